@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from readloom.llm.common import read_table
 from readloom.llm.exact_dedup import exact_dedup
+from readloom.llm.packing import pack
 from readloom.llm.simhash import simhash_components
 
 
@@ -19,8 +20,12 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), keep_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_simhash_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_simhash_dedup, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
