@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A key that holds more than 1/HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 1000
+#: A table of at most so many narrow rows may be broadcast whole.
+BROADCAST_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,14 +56,16 @@ def id_fold(column: str, folds: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % folds
 
 
-def join_by_key(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, spread: Column, how: str = "left") -> DataFrame:
+def join_by_key(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, spread: Column, how: str = "left", right_rows: int | None = None) -> DataFrame:
     """Joins rows of left to the one row that right has for their key, whatever share of left one key holds.
 
     ``right[weight]`` is how many rows of left have the key and ``total`` is left's row count.  Keys with
     over 1/HOT_SHARE of the rows, fewer than HOT_SHARE, are broadcast, and their rows are dealt out by ``spread``
     (an expression over left) instead of the key; the others meet in a shuffled join.  A null key finds nothing.
-    how: left or inner.
+    how: left or inner.  right_rows: right's row count, if known; up to BROADCAST_ROWS, all of it is broadcast.
     """
+    if right_rows is not None and right_rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, how).select(*left.columns, *(c for c in right.columns if c != key))
     others = [c for c in right.columns if c != key]
     is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
     hot = right.filter(is_hot).select(F.col(key), F.struct(*others).alias("__rl_hot"))

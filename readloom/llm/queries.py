@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from readloom.llm.common import read_table
 from readloom.llm.exact_dedup import exact_dedup
+from readloom.llm.mixing import mix
 from readloom.llm.packing import pack
 from readloom.llm.simhash import simhash_components
 
@@ -16,6 +17,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -25,7 +30,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_simhash_dedup, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op4_simhash_dedup, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
