@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from readloom.llm.common import read_table
 from readloom.llm.exact_dedup import exact_dedup
 from readloom.llm.mixing import mix
+from readloom.llm.neighbours import nearest
 from readloom.llm.packing import pack
 from readloom.llm.simhash import simhash_components
 
@@ -29,12 +30,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op4_simhash_dedup, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op4_simhash_dedup, op8_best_fit_packing, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op10_nearest_neighbours": OP10_SQL}
 
 
 OP1_SQL = """
@@ -45,3 +50,19 @@ SELECT doc_id,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 """
+
+OP10_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score
+FROM d
+QUALIFY rank <= 10
+"""
