@@ -12,6 +12,7 @@ from readloom.llm.mixing import mix
 from readloom.llm.neighbours import nearest
 from readloom.llm.packing import pack
 from readloom.llm.simhash import simhash_components
+from readloom.llm.warc import read_warc, write_warc
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_warc(write_warc(read_table(spark, sf_dir, "pages")), with_payload=False).drop("url")
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -35,11 +40,11 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op4_simhash_dedup, op8_best_fit_packing, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_warc_archives, op4_simhash_dedup, op8_best_fit_packing, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op10_nearest_neighbours": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_warc_archives": OP3_SQL, "op10_nearest_neighbours": OP10_SQL}
 
 
 OP1_SQL = """
@@ -66,3 +71,15 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id
 FROM d
 QUALIFY rank <= 10
 """
+
+OP3_SQL = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+    SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+"""
