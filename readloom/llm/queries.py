@@ -11,7 +11,9 @@ from readloom.llm.exact_dedup import exact_dedup
 from readloom.llm.mixing import mix
 from readloom.llm.neighbours import nearest
 from readloom.llm.packing import pack
+from readloom.llm.quality import quality_scores
 from readloom.llm.simhash import simhash_components
+from readloom.llm.toxicity import toxicity_scores
 from readloom.llm.warc import read_warc, write_warc
 
 
@@ -31,6 +33,14 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -40,7 +50,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_warc_archives, op4_simhash_dedup, op8_best_fit_packing, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_warc_archives, op4_simhash_dedup, op5_quality_compression, op7_toxicity, op8_best_fit_packing, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
