@@ -71,13 +71,16 @@ def _partials(log2: int):
     return run
 
 
-def _merge(group: pd.DataFrame) -> pd.DataFrame:
-    count = np.zeros(SEGMENT, np.uint8)
-    for once, twice in zip(group["once"], group["twice"]):
-        i, j = np.frombuffer(once, np.uint16), np.frombuffer(twice, np.uint16)
-        count[i] = np.minimum(count[i] + 1, 2)
-        count[j] = 2
-    return pd.DataFrame({"segment": [group["segment"].iloc[0]], "bits": [np.packbits(count > 1, bitorder="little").tobytes()]})
+def _merge(least: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        count = np.zeros(SEGMENT, np.uint8)
+        for once, twice in zip(group["once"], group["twice"]):
+            i, j = np.frombuffer(once, np.uint16), np.frombuffer(twice, np.uint16)
+            count[i] = np.minimum(count[i] + 1, 2)
+            count[j] = 2
+        return pd.DataFrame({"segment": [group["segment"].iloc[0]], "bits": [np.packbits(count >= least, bitorder="little").tobytes()]})
+
+    return run
 
 
 class RepeatFilter:
@@ -88,11 +91,11 @@ class RepeatFilter:
         self.bits = spark.sparkContext.broadcast(bits)
 
     @classmethod
-    def build(cls, hashes: DataFrame, n: int, max_log2: int = MAX_LOG2) -> RepeatFilter:
-        """hashes: one long column without nulls; n: about how many rows it has."""
+    def build(cls, hashes: DataFrame, n: int, max_log2: int = MAX_LOG2, least: int = 2) -> RepeatFilter:
+        """hashes: one long column without nulls; n: about how many rows it has.  With least 1, the filter has every hash."""
         log2 = log2_slots(n, max_log2)
         partials = hashes.mapInArrow(_partials(log2), "segment long, once binary, twice binary")
-        merged = partials.groupBy("segment").applyInPandas(_merge, "segment long, bits binary")
+        merged = partials.groupBy("segment").applyInPandas(_merge(least), "segment long, bits binary")
         bits = np.zeros((1 << log2) // 8, np.uint8)
         for row in merged.toLocalIterator():
             at = row["segment"] * (SEGMENT // 8)

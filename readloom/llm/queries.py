@@ -13,6 +13,7 @@ from readloom.llm.neighbours import nearest
 from readloom.llm.packing import pack
 from readloom.llm.quality import quality_scores
 from readloom.llm.simhash import simhash_components
+from readloom.llm.substrings import substring_dedup
 from readloom.llm.toxicity import toxicity_scores
 from readloom.llm.warc import read_warc, write_warc
 
@@ -37,6 +38,10 @@ def op5_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -50,11 +55,11 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_warc_archives, op4_simhash_dedup, op5_quality_compression, op7_toxicity, op8_best_fit_packing, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_warc_archives, op4_simhash_dedup, op5_quality_compression, op6_substring_dedup, op7_toxicity, op8_best_fit_packing, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_warc_archives": OP3_SQL, "op10_nearest_neighbours": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_warc_archives": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op10_nearest_neighbours": OP10_SQL}
 
 
 OP1_SQL = """
@@ -93,3 +98,22 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM f
 """
+
+OP6_SQL = """
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), h AS (
+    SELECT doc_id, unnest(hs) AS h, unnest(range(1, len(hs) + 1)) AS p
+    FROM (SELECT doc_id, list_transform(range(1, len(w) - 48), lambda p: md5(array_to_string(w[p:p + 49], ' '))) AS hs FROM d WHERE len(w) >= 50)
+), f AS (
+    SELECT h, min(doc_id) AS first FROM h GROUP BY h
+), r AS (
+    SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM h JOIN f USING (h) WHERE first < doc_id
+), x AS (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d
+), k AS (
+    SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY i)) AS s, count(*) AS n FROM x ANTI JOIN r USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, coalesce(s, sha256('')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
