@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from readloom.llm.common import read_table
 from readloom.llm.exact_dedup import exact_dedup
+from readloom.llm.lattice import lattice_scores
 from readloom.llm.mixing import mix
 from readloom.llm.neighbours import nearest
 from readloom.llm.packing import pack
@@ -50,12 +51,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op9_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_warc_archives, op4_simhash_dedup, op5_quality_compression, op6_substring_dedup, op7_toxicity, op8_best_fit_packing, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_source_mixing, op3_warc_archives, op4_simhash_dedup, op5_quality_compression, op6_substring_dedup, op7_toxicity, op8_best_fit_packing, op9_lattice_scores, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
