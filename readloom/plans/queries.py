@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.operators import align as A
 from readloom.operators import counting as C
 from readloom.operators import intervals as I
 from readloom.operators import readtools as R
 from readloom.operators import singlecell as S
 from readloom.operators import variants as V
+from readloom.operators.simulate import simulate_reads
 from readloom.plans import views
 from readloom.plans.views import SQL
 
@@ -446,6 +448,41 @@ def barcode_correction(spark, sf_dir):
     return S.correct_barcodes(*_barcodes(spark, sf_dir))
 
 
+# Mapping and simulation
+
+
+def _chunks(spark, sf_dir):
+    """A contig of random bases for each document, in chunks of 1000 bases that overlap by 300."""
+    letters = F.translate(F.concat(*(F.sha2(F.concat("chr", F.lit(str(i))), 512) for i in range(20))), "0123456789abcdef", "ACGTACGTACGTACGT")
+    q = views.sequences(spark, sf_dir).select("chr", letters.alias("seq"))
+    at = F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(1000)))
+    return q.select("chr", "seq", at.alias("a")).select("chr", (F.col("a") + 1).cast("long").alias("start"), F.expr("substring(seq, a + 1, 1300)").alias("seq"))
+
+
+@query(f"""WITH {SEQ}, p AS (SELECT doc_id, seq, unnest(range(1, length(seq) - 14)) AS i FROM q), k AS (SELECT doc_id, i, substr(seq, i::INT, 16) AS s FROM p), g AS (SELECT s, count(*) AS n FROM k WHERE NOT contains(s, 'N') GROUP BY s HAVING count(*) <= 100)
+SELECT count(*) AS kmers, coalesce(sum(n), 0)::BIGINT AS places FROM g""")
+def kmer_index(spark, sf_dir):
+    q = views.sequences(spark, sf_dir).select("chr", F.lit(1).cast("long").alias("start"), "seq")
+    return A.build_index(q).groupBy("kmer").count().agg(F.count(F.lit(1)).alias("kmers"), F.coalesce(F.sum("count"), F.lit(0)).alias("places"))
+
+
+def _simulated(spark, sf_dir):
+    whole = _chunks(spark, sf_dir).filter("start = 1").select(F.col("chr").alias("transcript_id"), "seq", F.lit(1.0).alias("expression"))
+    return simulate_reads(whole, 2000, 75)
+
+
+@query()
+def simulated_reads(spark, sf_dir):
+    return _simulated(spark, sf_dir)
+
+
+@query()
+def aligned_reads(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    reads = _simulated(spark, sf_dir).select(F.col("name").alias("rid"), "seq", "qual")
+    return A.align(reads, A.build_index(chunks), chunks, A.AlignOptions(), 1000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
