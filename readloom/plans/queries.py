@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.operators import align as A
 from readloom.operators import counting as C
+from readloom.operators import events as E
 from readloom.operators import intervals as I
 from readloom.operators import readtools as R
 from readloom.operators import singlecell as S
@@ -448,6 +449,39 @@ def barcode_correction(spark, sf_dir):
     return S.correct_barcodes(*_barcodes(spark, sf_dir))
 
 
+# Events
+
+
+@query(f"""WITH {SQL}, x AS (SELECT chr, e, lead(s) OVER (PARTITION BY gene_id, transcript_id, chr, strand ORDER BY s, e) AS r FROM (SELECT chr AS gene_id, * EXCLUDE (gene_id) FROM f))
+SELECT DISTINCT chr, e::INT AS "left", r::INT AS "right" FROM x WHERE r > e + 1""")
+def annotated_introns(spark, sf_dir):
+    return E.annotated_introns(views.features(spark, sf_dir).withColumn("gene_id", F.col("chr")))
+
+
+def _with_indels(spark, sf_dir):
+    """Reads of over 30 bases with a cut after ten: an insertion of 2 bases, or a deletion of 3."""
+    cut = F.when(F.col("len") % 2 == 0, F.concat(F.lit("10M2I"), F.col("len") - 12, F.lit("M"))).otherwise(F.concat(F.lit("10M3D"), F.col("len") - 10, F.lit("M")))
+    return views.reads(spark, sf_dir).withColumn("cigar", F.when(F.col("len") > 30, cut).otherwise(F.col("cigar")))
+
+
+INDELS = """, ev AS (SELECT chr, pos + 9 AS pos, CASE WHEN len % 2 = 0 THEN 'I' ELSE 'D' END AS kind, CASE WHEN len % 2 = 0 THEN 2 ELSE 3 END AS length, count(*) AS support FROM l WHERE len > 30 GROUP BY ALL)"""
+
+
+@query(f"WITH {SQL}{INDELS} SELECT chr, pos::INT AS pos, kind, length, support FROM ev")
+def indel_events(spark, sf_dir):
+    return E.indel_events(_with_indels(spark, sf_dir))
+
+
+@query(f"""WITH {SQL}{INDELS}, sec AS (
+    SELECT chr, pos AS a, CASE WHEN len > 30 THEN pos + 9 ELSE pos + len - 1 END AS b FROM l
+    UNION ALL SELECT chr, pos + 10 + CASE WHEN len % 2 = 0 THEN 0 ELSE 3 END, pos + CASE WHEN len % 2 = 0 THEN len - 3 ELSE len + 2 END FROM l WHERE len > 30
+), t AS (SELECT ev.chr, ev.pos, kind, length, count(*) AS against FROM ev JOIN sec ON sec.chr = ev.chr AND sec.a <= ev.pos AND sec.b >= ev.pos + 1 GROUP BY ALL)
+SELECT chr, pos::INT AS pos, kind, length, support, coalesce(against, 0) AS against FROM ev LEFT JOIN t USING (chr, pos, kind, length)""")
+def event_anti_support(spark, sf_dir):
+    a = _with_indels(spark, sf_dir)
+    return E.anti_support(E.indel_events(a), a)
+
+
 # Mapping and simulation
 
 
