@@ -54,6 +54,18 @@ def words_of(text: str) -> list[str]:
     return [w.decode() for w in text.encode().lower().split()]
 
 
+#: Words that are worked on together, and characters from which they go singly.
+GROUP, LONG_WORD = 4096, 64
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hash(piece: str) -> int:
+    h = 0
+    for c in piece:
+        h = (h * int(_BASE) + ord(c)) & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
 class Pieces:
     """A vocabulary's pieces with log weights.  Characters that are no piece are written in byte pieces."""
 
@@ -70,6 +82,12 @@ class Pieces:
         rank = np.argsort(np.argsort(-score, kind="stable"), kind="stable")
         weight = 1 / (rank + 2.7)
         self.first = weight / weight.sum()
+        # the text pieces by a hash of their characters, sorted
+        keys = np.array([_hash(p) for p in self.names[:-256]], np.uint64)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two pieces have one hash")
 
     def arcs(self, word: str, log_weight: list[float]) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """Per end position the arcs (start, log weight, pieces) that end there."""
@@ -121,6 +139,68 @@ class Pieces:
                     into[k] += p
 
 
+    def batch(self, words: list[str], log_weight: list[float], into: np.ndarray | None = None) -> np.ndarray:
+        """``log_probability`` of many words, and, into an array, their ``expected`` counts; words of one length go together.
+
+        Long words go singly: their arcs would take much memory for few words."""
+        out = np.empty(len(words))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(size):
+            at = np.flatnonzero(size == n)
+            for a in range(0, len(at), GROUP):
+                some = at[a : a + GROUP]
+                if n <= LONG_WORD:
+                    out[some] = self._equal(["".join((SPACE, words[i])) for i in some], int(n) + 1, np.asarray(log_weight), into)
+                    continue
+                for i in some:
+                    out[i] = self.log_probability(words[i], log_weight)
+                    if into is not None:
+                        self.expected(words[i], log_weight, into)
+        return out
+
+    def _equal(self, texts: list[str], n: int, weight: np.ndarray, into: np.ndarray | None) -> np.ndarray:
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), n).T.astype(np.uint64)
+        arcs: list[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(n + 1)]  # by end: start, rows, pieces, log weights
+        bytes_of = {}
+        for i in range(n):
+            h = np.zeros(len(texts), np.uint64)
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                h = h * _BASE + codes[j - 1]
+                place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                rows = np.flatnonzero(self.keys[place] == h)
+                if len(rows):
+                    ids = self.order[place[rows]]
+                    arcs[j].append((i, rows, ids, weight[ids]))
+                if j == i + 1 and len(rows) < len(texts):  # characters that are no piece
+                    rest = np.setdiff1d(np.arange(len(texts)), rows, assume_unique=True)
+                    chars, which = np.unique(codes[i][rest], return_inverse=True)
+                    for c in chars.tolist():
+                        bytes_of.setdefault(-1 - c, [self.index[bytes([b])] for b in chr(c).encode()])
+                    cost = np.array([weight[bytes_of[-1 - c]].sum() for c in chars.tolist()])
+                    arcs[j].append((i, rest, -1 - chars.astype(np.int64)[which], cost[which]))
+        forward = np.full((n + 1, len(texts)), -np.inf)
+        forward[0] = 0
+        for j in range(1, n + 1):
+            for i, rows, _, w in arcs[j]:
+                forward[j, rows] = np.logaddexp(forward[j, rows], forward[i, rows] + w)
+        if into is not None:
+            backward = np.full((n + 1, len(texts)), -np.inf)
+            backward[n] = 0
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for j in range(n, 0, -1):
+                for i, rows, ids, w in arcs[j]:
+                    after = w + backward[j, rows]
+                    backward[i, rows] = np.logaddexp(backward[i, rows], after)
+                    p = np.exp(forward[i, rows] + after - forward[n, rows])
+                    text = ids >= 0
+                    found.append((ids[text], p[text]))
+                    for c, x in zip(ids[~text].tolist(), p[~text].tolist()):
+                        np.add.at(into, bytes_of[c], x)
+            if found:
+                into += np.bincount(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), len(into))
+        return forward[n]
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
     """One for each worker process."""
@@ -153,8 +233,7 @@ def _expect_batches(path: str, shared):
         model, weights = pieces(path), shared.value
         total = np.zeros(len(model.names))
         for batch in batches:
-            for word in batch.column(0).to_pylist():
-                model.expected(word, weights, total)
+            model.batch(batch.column(0).to_pylist(), weights, total)
         some = np.flatnonzero(total)
         if len(some):
             yield pa.record_batch([pa.array(some, pa.int64()), pa.array(total[some])], ["piece", "n"])
@@ -171,8 +250,9 @@ def _lattice_batches(path: str, shared, n: int, v: int, discount: float):
         spare = math.log(discount * v / n) if n else 0.0
         for batch in batches:
             logp = []
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                free = math.log(end) if word == END else math.log1p(-end) + model.log_probability(word, weights)
+            words = batch.column(0).to_pylist()
+            for word, c, inside in zip(words, batch.column(1).to_pylist(), model.batch(words, weights).tolist()):
+                free = math.log(end) if word == END else math.log1p(-end) + inside
                 both = spare + free
                 if c:
                     whole = math.log((c - discount) / n)
