@@ -35,8 +35,8 @@ class AlignOptions:
 
 
 def _kmer(seq):
-    """A 16-mer as a number of base 4."""
-    return F.conv(F.translate(seq, "ACGT", "0123"), 4, 10).cast("long")
+    """A 16-mer as a number, a decimal digit a base."""
+    return F.translate(seq, "ACGT", "0123").cast("long")
 
 
 def build_index(chunks: DataFrame, step: int = 1, max_occurrences: int = 100) -> DataFrame:
@@ -129,6 +129,8 @@ def banded(read: str, window: str, band: int, match: int = 2, mismatch: int = 0,
             o1, o2 = M[i, c - 1] + gap_open, Y[i, c - 1] + gap_extend
             Y[i, c], back[2, i, c] = (o1, 0) if o1 >= o2 else (o2, 2)
     end = int(M[n].argmax())
+    if M[n, end] <= low / 2:  # the window is too short, as at a contig's end
+        return "", n, 0
     i, j, state, ops, wrong = n, end, 0, [], 0
     while i > 0:
         if state == 0:

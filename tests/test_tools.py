@@ -136,6 +136,14 @@ def test_indels_junctions_and_unmapped(spark):
     assert "D" in got["del"]["cigar"] and got["del"]["pos"] == 501 and "I" in got["ins"]["cigar"] and got["ins"]["pos"] == 701
 
 
+def test_banded_alignment():
+    g = genome(200)
+    assert A.banded(g[50:100], g[45:105], 5) == ("50M", 0, 5)
+    assert A.banded(g[50:100], g[45:70], 5) == ("", 50, 0)
+    cigar, wrong, at = A.banded(g[50:75] + g[78:103], g[45:108], 5)
+    assert wrong == 0 and at == 5 and "3D" in cigar
+
+
 def test_long_reads(spark):
     g = genome(8000)
     rng = random.Random(3)
