@@ -69,7 +69,9 @@ def join_by_key(left: DataFrame, right: DataFrame, key: str, weight: str, total:
     others = [c for c in right.columns if c != key]
     is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
     hot = right.filter(is_hot).select(F.col(key), F.struct(*others).alias("__rl_hot"))
-    cold = right.filter(~is_hot).select(F.col(key), F.lit(0).alias("__rl_salt"), F.struct(*others).alias("__rl_cold"))
+    # a literal 0 would be folded into a filter, and the join would deal out by the key alone
+    zero = F.least(F.col(weight).cast("int"), F.lit(0))
+    cold = right.filter(~is_hot).select(F.col(key), zero.alias("__rl_salt"), F.struct(*others).alias("__rl_cold"))
     salted = left.join(F.broadcast(hot), key, "left").withColumn(
         "__rl_salt", F.when(F.col("__rl_hot").isNotNull() | F.col(key).isNull(), 1 + F.pmod(spread, F.lit(10 * HOT_SHARE))).otherwise(0).cast("int")
     )
