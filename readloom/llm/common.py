@@ -56,6 +56,13 @@ def id_fold(column: str, folds: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % folds
 
 
+def sampled(hashes: Column, wanted: int, of: int) -> Column:
+    """Whether a 64-bit hash is among the smallest, so that about twice as many as wanted of so many are: a top-k over these
+    needs a few rows of each task, however many tasks there are."""
+    share = 2 * wanted / max(of, 1)
+    return F.lit(True) if share >= 1 else hashes < F.lit(int(-(2**63) + share * 2**64))
+
+
 def join_by_key(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, spread: Column, how: str = "left", right_rows: int | None = None) -> DataFrame:
     """Joins rows of left to the one row that right has for their key, whatever share of left one key holds.
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import id_fold, materialise, text_of
+from readloom.llm.common import id_fold, materialise, sampled, text_of
 
 #: Rows whose crc32(id) modulo FOLDS is 0 are held out: their labels are never read.
 FOLDS = 5
@@ -27,7 +27,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("top")).filter("label = top").drop("top")
     known = known.withColumn("o", F.xxhash64(F.lit(label_col), "id"))
     count = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = [known.filter(F.col("label") == y).orderBy("o", "id").limit(per_class) for y in (0, 1)]
+    chosen = [known.filter((F.col("label") == y) & sampled(F.col("o"), per_class, count.get(y, 0))).orderBy("o", "id").limit(per_class) for y in (0, 1)]
     sample = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "id")
     return materialise(sample.dropDuplicates(["id"]), "sample"), (count.get(0, 0), count.get(1, 0))
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.bloom import RepeatFilter
-from readloom.llm.common import join_by_key, materialise, scratch
+from readloom.llm.common import join_by_key, materialise, sampled, scratch
 
 LEAST = 100
 #: The dictionary's sample: records, and characters of each one's payload.
@@ -213,7 +213,8 @@ def write_warc(
 
     at = F.pmod(F.xxhash64("digest"), F.greatest(F.length("html") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     piece = F.substring("html", at, F.lit(SAMPLE_CHARS))
-    sample = rows.select("page_id", "url", "digest", piece.alias("piece"), F.xxhash64("digest", "page_id").alias("o")).orderBy("o", "page_id").limit(SAMPLE_RECORDS).collect()
+    sample = rows.select("page_id", "url", "digest", piece.alias("piece"), F.xxhash64("digest", "page_id").alias("o"))
+    sample = sample.filter(sampled(F.col("o"), SAMPLE_RECORDS, n)).orderBy("o", "page_id").limit(SAMPLE_RECORDS).collect()
     samples = [page_record(r["page_id"], r["url"], r["piece"].encode(), r["digest"], len(r["piece"].encode()), "response", None) for r in sample]
     folder = folder or scratch(spark, "archives")
     written = decided.mapInArrow(_write_batches(folder, train(samples), level, archive_bytes), "path string, records long, bytes long")
