@@ -29,10 +29,12 @@ class SnpOptions:
 def aligned_bases(alignments: DataFrame, o: SnpOptions = SnpOptions()) -> DataFrame:
     """fid, end, chr, pos, base, qual: each aligned base outside the trimmed ends, one row."""
     s = alignments.filter(~has(F.col("flag"), UNMAPPED)).select("fid", "end", "chr", "seq", "qual", F.explode(cigar_sections(F.col("cigar"), F.col("pos"))).alias("s"))
-    each = s.select("fid", "end", "chr", "seq", "qual", "s", F.explode(F.sequence(F.col("s.start"), F.col("s.end"))).alias("pos"))
-    at = F.col("pos") - F.col("s.start") + F.col("s.read_start")
-    kept = each.withColumn("at", at).filter((F.col("at") >= o.trim) & (F.col("at") < F.length("seq") - o.trim))
-    return kept.select("fid", "end", "chr", "pos", F.expr("upper(substring(seq, at + 1, 1))").alias("base"), (F.ascii(F.expr("substring(qual, at + 1, 1)")) - o.phred_offset).alias("q"))
+    first = F.greatest(F.col("s.read_start"), F.lit(o.trim))
+    n = F.least(F.col("s.read_start") + F.col("s.end") - F.col("s.start") + 1, F.length("seq") - o.trim) - first
+    part = lambda c: F.split(F.substring(c, first + 1, n), "")  # noqa: E731  # split once, so that a long read costs its length
+    kept = s.filter(n > 0).select("fid", "end", "chr", (F.col("s.start") + first - F.col("s.read_start")).alias("from"), part(F.col("seq")).alias("bases"), part(F.col("qual")).alias("quals"))
+    each = kept.select("fid", "end", "chr", "from", "quals", F.posexplode("bases").alias("i", "base"))
+    return each.select("fid", "end", "chr", (F.col("from") + F.col("i")).alias("pos"), F.upper("base").alias("base"), (F.ascii(F.coalesce(F.get("quals", F.col("i")), F.lit(""))) - o.phred_offset).alias("q"))
 
 
 def mates_resolved(bases: DataFrame) -> DataFrame:

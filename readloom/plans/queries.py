@@ -390,11 +390,13 @@ def snp_calls(spark, sf_dir):
 @query("""WITH s AS (SELECT doc_id, translate(text, 'acgt', 'ACGT') AS t FROM documents), b AS (SELECT (doc_id % 20) AS pos0, doc_id, unnest(range(0, least(length(t), 60))) AS i, t FROM s), x AS (SELECT 'chr1' AS chr, pos0 + i + 1 AS pos, substr(t, i + 1, 1) AS base FROM b WHERE i >= 3 AND i < least(length(t), 60) - 3)
 SELECT chr, pos, 'A' AS ref, count(*) FILTER (base = 'A') AS a, count(*) FILTER (base = 'C') AS c, count(*) FILTER (base = 'G') AS g, count(*) FILTER (base = 'T') AS t, count(*) AS depth FROM x WHERE base IN ('A', 'C', 'G', 'T') GROUP BY chr, pos""")
 def pileup_counts(spark, sf_dir):
+    # whole texts; the SQL counts the first 60 characters of each.  Single ends have a base once a place: no mates to resolve
     d = views.table(spark, sf_dir, "documents")
-    seq = F.substring(F.translate("text", "acgt", "ACGT"), 1, 60)
+    seq = F.translate("text", "acgt", "ACGT")
     a = d.select(F.col("doc_id").alias("fid"), F.lit(1).alias("end"), F.lit("chr1").alias("chr"), (F.col("doc_id") % 20 + 1).cast("long").alias("pos"), F.lit(0).alias("flag"), F.concat(F.length(seq).cast("string"), F.lit("M")).alias("cigar"), seq.alias("seq"), F.repeat(F.lit("I"), F.length(seq)).alias("qual"))
-    reference = spark.range(1, 100).select(F.lit("chr1").alias("chr"), F.col("id").alias("pos"), F.lit("A").alias("ref"))
-    return V.pileup(V.mates_resolved(V.aligned_bases(a.filter(F.length("seq") > 0))), reference).withColumn("pos", F.col("pos").cast("long"))
+    furthest = d.agg(F.max(F.col("doc_id") % 20 + F.length("text"))).first()[0] or 0
+    reference = spark.range(1, furthest + 1).select(F.lit("chr1").alias("chr"), F.col("id").alias("pos"), F.lit("A").alias("ref"))
+    return V.pileup(V.aligned_bases(a.filter(F.length("seq") > 0)), reference).withColumn("pos", F.col("pos").cast("long"))
 
 
 # Single cell
