@@ -30,3 +30,20 @@ def test_pileup_counts_equals_sql_without_its_cut(spark):
     want = con.sql(Q.ORACLES["pileup_counts"].replace("least(length(t), 60)", "length(t)"))
     got = Q.QUERIES["pileup_counts"](spark, SF).select(*want.columns).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_unique_bases_of_all_exons(spark, tmp_path):
+    parts = [(k, k % 50 + 1, f"B{k % 7}") for k in range(1, 2201)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    by = {}
+    for k, size, brand in parts:
+        start = k * 50 + (k % 3) * 20
+        for p in range(start, start + size * 6 + 1):
+            by.setdefault((f"chr{k % 5}", "+-"[k % 2], p), set()).add(brand)
+    every, alone = Counter(), Counter()
+    for (gene, _, _), brands in by.items():
+        for b in brands:
+            every[gene, b] += 1
+            alone[gene, b] += len(brands) == 1
+    got = Q.QUERIES["transcript_unique_bases"](spark, str(tmp_path)).collect()
+    assert {(r["gene_id"], r["transcript_id"]): (r["unique_bases"], r["all_bases"]) for r in got} == {k: (alone[k], n) for k, n in every.items()}
