@@ -487,12 +487,16 @@ def event_anti_support(spark, sf_dir):
 # Mapping and simulation
 
 
-def _chunks(spark, sf_dir):
-    """A contig of random bases for each document, in chunks of 1000 bases that overlap by 300."""
+def _contigs(spark, sf_dir):
+    """A contig of 2560 random bases for each document."""
     letters = F.translate(F.concat(*(F.sha2(F.concat("chr", F.lit(str(i))), 512) for i in range(20))), "0123456789abcdef", "ACGTACGTACGTACGT")
-    q = views.sequences(spark, sf_dir).select("chr", letters.alias("seq"))
+    return views.sequences(spark, sf_dir).select("chr", letters.alias("seq"))
+
+
+def _chunks(spark, sf_dir):
+    """The contigs in chunks of 1000 bases that overlap by 300."""
     at = F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(1000)))
-    return q.select("chr", "seq", at.alias("a")).select("chr", (F.col("a") + 1).cast("long").alias("start"), F.expr("substring(seq, a + 1, 1300)").alias("seq"))
+    return _contigs(spark, sf_dir).select("chr", "seq", at.alias("a")).select("chr", (F.col("a") + 1).cast("long").alias("start"), F.expr("substring(seq, a + 1, 1300)").alias("seq"))
 
 
 @query(f"""WITH {SEQ}, p AS (SELECT doc_id, seq, unnest(range(1, length(seq) - 14)) AS i FROM q), k AS (SELECT doc_id, i, substr(seq, i::INT, 16) AS s FROM p), g AS (SELECT s, count(*) AS n FROM k WHERE NOT contains(s, 'N') GROUP BY s HAVING count(*) <= 100)
@@ -503,8 +507,9 @@ def kmer_index(spark, sf_dir):
 
 
 def _simulated(spark, sf_dir):
-    whole = _chunks(spark, sf_dir).filter("start = 1").select(F.col("chr").alias("transcript_id"), "seq", F.lit(1.0).alias("expression"))
-    return simulate_reads(whole, 2000, 75)
+    """Ten reads a contig on average, one for each 256 bases, from whole contigs."""
+    whole = _contigs(spark, sf_dir).select(F.col("chr").alias("transcript_id"), "seq", F.lit(1.0).alias("expression"))
+    return simulate_reads(whole, 10 * views.table(spark, sf_dir, "documents").count(), 75)
 
 
 @query()

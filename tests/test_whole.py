@@ -47,3 +47,13 @@ def test_unique_bases_of_all_exons(spark, tmp_path):
             alone[gene, b] += len(brands) == 1
     got = Q.QUERIES["transcript_unique_bases"](spark, str(tmp_path)).collect()
     assert {(r["gene_id"], r["transcript_id"]): (r["unique_bases"], r["all_bases"]) for r in got} == {k: (alone[k], n) for k, n in every.items()}
+
+
+def test_reads_of_whole_contigs_grow_with_them_and_map(spark):
+    assert Q.QUERIES["simulated_reads"](spark, "/root/testdata/sf0.01").count() == 10 * 1000
+    truth = Q.QUERIES["simulated_reads"](spark, SF).select("name", "transcript_id", "start", "fragment_length")
+    got = Q.QUERIES["aligned_reads"](spark, SF).join(truth.withColumnRenamed("name", "rid"), "rid").collect()
+    assert len(got) == 10 * 200 and max(r["start"] for r in got) > 2300
+    true = [r["chr"] == r["transcript_id"] and r["pos"] in (r["start"], r["start"] + r["fragment_length"] - 75) for r in got]
+    # contigs share pieces (piece 15 of chr1 is piece 5 of chr11): quality 0 marks what fits both
+    assert all(r["chr"] != "*" and r["nm"] == 0 for r in got) and all(t or r["mapq"] == 0 for t, r in zip(true, got)) and sum(true) > 0.9 * len(got)
