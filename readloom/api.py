@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,23 +90,35 @@ def _chromosomes(spark, reads: DataFrame, features: DataFrame, aliases: str | No
 
 
 def build_index(spark: SparkSession, reference: str, target: str, gapped: bool = False, threshold: int = 100) -> None:
-    """Writes kmers/ (in files by kmer) and chunks/ (bases) to target."""
+    """Writes kmers/ (in files by kmer), chunks/ (bases) and step/ (one place in step has a 16-mer) to target."""
     _align.check_reference(read_fasta(spark, reference, 1 << 30))
     chunks = read_fasta(spark, reference, CHUNK, OVERLAP).select("chr", "start", "seq")
     chunks.write.parquet(f"{target}/chunks")
     chunks = spark.read.parquet(f"{target}/chunks")
-    _align.build_index(chunks, 3 if gapped else 1, threshold).repartition("kmer").sortWithinPartitions("kmer").write.parquet(f"{target}/kmers")
+    step = 3 if gapped else 1
+    spark.range(1).select(F.lit(step).alias("step")).write.parquet(f"{target}/step")
+    _align.build_index(chunks, step, threshold).repartition("kmer").sortWithinPartitions("kmer").write.parquet(f"{target}/kmers")
+
+
+def _read_index(spark: SparkSession, index: str) -> tuple[DataFrame, DataFrame, int]:
+    """16-mers, bases and step; an index without a stored step shows it by its places."""
+    kmers, chunks = spark.read.parquet(f"{index}/kmers"), spark.read.parquet(f"{index}/chunks")
+    try:
+        step = spark.read.parquet(f"{index}/step").first()["step"]
+    except AnalysisException:
+        step = 1 if kmers.filter((F.col("pos") - 1) % 3 != 0).limit(1).count() else 3
+    return kmers, chunks, step
 
 
 def align(spark: SparkSession, index: str, reads: str, mates: str | None = None, options: _align.AlignOptions = _align.AlignOptions(), kind: str = "rna") -> DataFrame:
     """Alignments of FASTQ reads; with mates, rid, r1, r2, proper and tlen.  kind "dna" takes other thresholds for pairs as given."""
     if kind not in ("rna", "dna"):
         raise ValueError("kind is rna or dna")
-    kmers, chunks = spark.read.parquet(f"{index}/kmers"), spark.read.parquet(f"{index}/chunks")
+    kmers, chunks, step = _read_index(spark, index)
 
     def one(path: str) -> DataFrame:
         r = read_fastq(spark, path).select(F.regexp_replace("name", "/[12]$", "").alias("rid"), "seq", "qual")
-        return _align.align(r, kmers, chunks, options, CHUNK)
+        return _align.align(r, kmers, chunks, options, CHUNK, step)
 
     return one(reads) if mates is None else _align.pair_up(one(reads), one(mates), options)
 
@@ -228,11 +241,11 @@ def cell_counts(
     """sheet: BarcodeUMIFile, ReadFile, SampleName; barcodes: barcode, ordinal.  counts (long), cells, and samples."""
     _cells.check_sheet(sheet.columns, "fastq")
     features, hits = annotation(spark, annot, is_gtf), None
-    kmers, chunks = spark.read.parquet(f"{index}/kmers"), spark.read.parquet(f"{index}/chunks")
+    kmers, chunks, step = _read_index(spark, index)
     for row in sheet.collect():
         pairs = read_barcode_pairs(spark, row["BarcodeUMIFile"], row["ReadFile"], barcode_length, umi_length)
         fixed = _cells.correct_barcodes(pairs.select(F.col("barcode").alias("raw")).distinct(), barcodes).withColumnRenamed("barcode", "cell")
-        placed = _align.align(pairs.select(F.col("name").alias("rid"), "seq", "qual"), kmers, chunks, _align.AlignOptions(max_mismatches=10), CHUNK)
+        placed = _align.align(pairs.select(F.col("name").alias("rid"), "seq", "qual"), kmers, chunks, _align.AlignOptions(max_mismatches=10), CHUNK, step)
         reads = placed.filter("chr != '*'").select(F.col("rid").alias("fid"), "flag", "chr", "pos", "mapq", "cigar", F.lit(0).alias("tlen"), "nh")
         genes = _counting.assign(_counting.single_fragments(reads), features, _counting.CountOptions(strand=1)).filter("status = 'Assigned'")
         met = genes.select(F.col("fid").alias("name"), F.col("targets")[0].alias("gene")).join(pairs.select("name", "barcode", "umi"), "name").join(fixed.withColumnRenamed("raw", "barcode"), "barcode")

@@ -259,9 +259,9 @@ def report(placed: DataFrame, reads: DataFrame, o: AlignOptions = AlignOptions()
     )
 
 
-def align(reads: DataFrame, index: DataFrame, chunks: DataFrame, o: AlignOptions = AlignOptions(), chunk: int = 65_536) -> DataFrame:
-    """Single ends.  reads: rid, seq, qual; chunks: chr, start, seq in steps of ``chunk`` bases that overlap by a read and its band."""
-    votes = vote(seeds(reads, o), index, o)
+def align(reads: DataFrame, index: DataFrame, chunks: DataFrame, o: AlignOptions = AlignOptions(), chunk: int = 65_536, step: int = 1) -> DataFrame:
+    """Single ends.  reads: rid, seq, qual; chunks: chr, start, seq in steps of ``chunk`` bases that overlap by a read and its band; step: as the index was built."""
+    votes = vote(seeds(reads, o, step), index, o)
     placed = extend(candidates(votes.filter(F.col("votes") >= o.threshold), o), reads, chunks, o, chunk)
     if o.junctions:
         spliced = splice(junction_candidates(candidates(votes, o, 8).drop("r"), o), reads, chunks, o, chunk)
