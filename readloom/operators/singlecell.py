@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -112,20 +114,21 @@ def umi_counts(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("sample", "cell", "gene").agg(F.count(F.lit(1)).alias("umis"))
 
 
-def high_confidence_count(totals: np.ndarray, draws: int = 100, stride: int = 11_218_439) -> int:
-    """How many of the cells (totals, descending) are high-confidence ones: over pseudo-draws with a fixed stride, a tenth of the
-    30th highest total is the limit; the mean number above it."""
-    n = len(totals)
+def high_confidence_count(totals: np.ndarray, cells: np.ndarray | None = None, stride: int = 11_218_439) -> int:
+    """How many cells are high-confidence ones: over pseudo-draws with a fixed stride, a tenth of the 30th highest total is the
+    limit; the mean number above it.  totals, descending: one a cell, or each once with the number of its cells.
+
+    Every draw visits the same ranks, as it begins where the first did: all, or where the number of cells n shares a factor g
+    with the stride, each rank that equals n // 2 modulo g, g times.  So one draw gives the mean, from counts alone."""
+    cells = np.ones(len(totals), np.int64) if cells is None else cells
+    upto = np.cumsum(cells, dtype=np.int64)
+    n = int(upto[-1]) if len(upto) else 0
     if not n:
         return 0
-    at, found = n // 2, []
-    for _ in range(draws):
-        picks = (at + stride * np.arange(n, dtype=np.int64)) % n
-        at = int((at + stride * n) % n)
-        some = np.sort(totals[picks])[::-1]
-        limit = np.floor(some[min(29, n - 1)] / 10 + 0.5)
-        found.append(int((some >= max(limit, 1)).sum()))
-    return int(np.floor(np.mean(found) + 0.5))
+    g = math.gcd(stride, n)
+    drawn = g * ((upto - n // 2 % g + g - 1) // g)  # of the totals down to each
+    limit = np.floor(totals[np.searchsorted(drawn, min(30, n))] / 10 + 0.5)
+    return int(drawn[np.count_nonzero(totals >= max(limit, 1)) - 1])
 
 
 def ranked_cells(counts: DataFrame) -> DataFrame:
@@ -142,9 +145,12 @@ def call_cells(counts: DataFrame, cutoff: float | None = None) -> DataFrame:
     ranked = ranked_cells(counts)
     if cutoff is not None:
         return ranked.withColumn("high", F.col("total") >= cutoff - 0.1)
-    limits = ranked.filter(F.col("rank") <= 100_000).groupBy("sample").applyInPandas(
-        lambda g: pd.DataFrame({"sample": [g["sample"].iloc[0]], "n": [high_confidence_count(np.sort(g["total"].to_numpy())[::-1])]}), f"sample {dict(counts.dtypes)['sample']}, n long"
-    )
+    def limit(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("total", ascending=False)
+        return pd.DataFrame({"sample": [g["sample"].iloc[0]], "n": [high_confidence_count(g["total"].to_numpy(), g["cells"].to_numpy())]})
+
+    # a sample's group has a row a distinct total, however many cells
+    limits = ranked.groupBy("sample", "total").agg(F.count(F.lit(1)).alias("cells")).groupBy("sample").applyInPandas(limit, f"sample {dict(counts.dtypes)['sample']}, n long")
     return ranked.join(F.broadcast(limits), "sample").withColumn("high", F.col("rank") <= F.col("n")).drop("n")
 
 
