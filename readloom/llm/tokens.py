@@ -20,10 +20,11 @@ def default_paths() -> tuple[str, str]:
 
 
 class TextTokenizer:
-    """``ids(text)``: the ids as little-endian unsigned 32-bit bytes; special tokens' strings are ordinary text.
+    """``ids(text)``: the ids as little-endian unsigned 32-bit bytes, as the vocabulary's own tokenizer gives them.
 
     Text of Latin script goes through the ranks, which give the vocabulary's ids some times faster; chunks with other
-    characters, whose classes the two libraries may see differently, go through the vocabulary itself.
+    characters, whose classes the two libraries may see differently, go through the vocabulary itself, as do whole texts that hold
+    an added token's string.
     """
 
     def __init__(self, vocabulary: str, ranks: str):
@@ -32,13 +33,16 @@ class TextTokenizer:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(vocabulary)
-        self.full.encode_special_tokens = True
+        added = [re.escape(a.content) for a in self.full.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
     def ids(self, text: str) -> bytes:
         try:
+            if self.added.search(text):
+                return self._bytes(array("I", self.full.encode(text, add_special_tokens=False).ids))
             text.encode("latin-1")
             out = array("I", self.fast(text))
         except UnicodeEncodeError:
@@ -47,6 +51,10 @@ class TextTokenizer:
                 chunk, start = text[start:end], end
                 latin = chunk.isascii() or max(chunk) < "ɐ"
                 out.extend(self.fast(chunk) if latin else self.full.encode(chunk, add_special_tokens=False).ids)
+        return self._bytes(out)
+
+    @staticmethod
+    def _bytes(out: array) -> bytes:
         if sys.byteorder == "big":
             out.byteswap()
         return out.tobytes()
