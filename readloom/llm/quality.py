@@ -54,8 +54,8 @@ def compressed_sizes(texts: list[bytes], dictionaries: tuple[bytes, bytes]) -> n
 
 def measures(sizes: np.ndarray) -> np.ndarray:
     n, good, bad = sizes[:, 0] + 1, sizes[:, 1], sizes[:, 2]
-    difference, ratio, length = (good - bad) / np.maximum(good, bad), good / n, np.log(n)
-    return np.stack([difference, ratio, np.minimum(good, bad) / n, length, ratio**2, difference**2, difference * ratio, length**2], axis=1)
+    difference, ratio = (good - bad) / np.maximum(good, bad), good / n
+    return np.stack([difference, ratio, np.minimum(good, bad) / n, ratio**2, difference**2, difference * ratio], axis=1)
 
 
 class Calibration:
