@@ -1,18 +1,22 @@
 """Language-model scoring by subword lattices.
 
-A token's lattice holds every way to write it in pieces of an existing vocabulary, and one arc for the whole token if
-the training texts have it.  Pieces start from the vocabulary's own scores, read as ranks of Zipf's law, and take the
-expected counts that ``rounds`` of forward and backward recursion over all training word types give.  The whole-token arc has
-the token's count less an absolute discount, and what is discounted goes to the pieces; so every text has a
-probability, the probabilities of all tokens add up to 1, and a token's is the sum over all its lattice's paths, by forward recursion
-in log space.  A text's is the product over its tokens, the end token included.
+A token's lattice holds every way to write it in pieces of an existing vocabulary.  The vocabulary's own scores weigh them:
+they are ranks, so a piece of rank r has the weight (r + shift) ** -power, and single bytes share what is left.  Training
+text sets no piece's weight by itself, but only power, shift and the bytes' share, at the likeliest values given the expected
+counts that ``rounds`` of forward and backward recursion over all training word types give; and how often a text ends.
+A token's probability is the sum over all its segmentations, by forward recursion in log space, and a text's is the product over
+its tokens, the end token included: ``score``.
+
+``mixture_score`` has one more arc for each word that training has, with its count less an absolute discount, and leaves what
+is discounted to the lattice.
 
 Counts, expectations and lattices are made once a distinct word, in a table that grows with the corpus and stays
-distributed; only piece weights, one a vocabulary entry, pass the driver.  The ``broadcast_words`` commonest words at most,
-with their scores, are broadcast; a document's other words, summed by document, meet the table in a shuffled join.
+distributed; only sums by piece, one a vocabulary entry, pass the driver.  The commonest words, ``broadcast_words`` and
+``broadcast_bytes`` at most, with their scores, are broadcast; a document's other words, summed by document, meet the table in a
+shuffled join.
 
 Null text has the end token alone.  Repeated rows are counted and scored each.  A null id counts as training text.  With
-no training text, words get their pieces' probability.  Empty tables give no rows.
+no training text, words get their pieces' probability at the first power and shift.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,12 +36,14 @@ from readloom.llm.common import id_fold, materialise, text_of
 
 FOLDS, HELD_OUT = 7, 2
 ROUNDS = 2
-#: Words that may be broadcast.
-BROADCAST_WORDS = 300_000
+#: Words that may be broadcast, and bytes of them.
+BROADCAST_WORDS, BROADCAST_BYTES = 300_000, 16 << 20
 #: Distinct words that a task counts before it passes them on.
 FLUSH = 500_000
-#: Pieces' first weights count as so many words.
-PRIOR = 100.0
+#: Power and shift of the law of ranks at first, what is tried, and the bytes' share at first and at least.
+FIRST_LAW = (1.0, 2.7)
+POWERS, SHIFTS = np.arange(0.3, 2.01, 0.05), np.geomspace(1, 10_000, 25)
+BYTE_SHARE, LEAST_BYTE_SHARE = 0.01, 1e-6
 END = ""  # no word is empty
 SPACE = "▁"
 LOG10 = math.log(10)
@@ -77,11 +83,9 @@ class Pieces:
         self.names = [model.id_to_piece(i) for i in ids] + [bytes([b]) for b in range(256)]
         self.index = {p: i for i, p in enumerate(self.names)}
         self.longest = max(len(p) for p in self.names[:-256])
-        # the scores order the pieces; bytes rank last
-        score = np.array([model.get_score(i) for i in ids] + [-math.inf] * 256)
-        rank = np.argsort(np.argsort(-score, kind="stable"), kind="stable")
-        weight = 1 / (rank + 2.7)
-        self.first = weight / weight.sum()
+        score = np.array([model.get_score(i) for i in ids])
+        self.rank = np.argsort(np.argsort(-score, kind="stable"), kind="stable")
+        self.first = self.weights(*FIRST_LAW, BYTE_SHARE)
         # the text pieces by a hash of their characters, sorted
         keys = np.array([_hash(p) for p in self.names[:-256]], np.uint64)
         self.order = np.argsort(keys)
@@ -89,6 +93,19 @@ class Pieces:
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
 
+    def weights(self, power: float, shift: float, bytes_share: float) -> np.ndarray:
+        """All pieces' probabilities under a law of ranks."""
+        text = (self.rank + shift) ** -power
+        return np.r_[text / text.sum() * (1 - bytes_share), np.full(256, bytes_share / 256)]
+
+    def fitted(self, expected: np.ndarray) -> np.ndarray:
+        """The probabilities under the power, shift and bytes' share that make these expected counts likeliest."""
+        text = expected[:-256]
+        total = max(expected.sum(), 1e-300)
+        laws = [(-a * (text * np.log(self.rank + b)).sum() - text.sum() * np.log(((self.rank + b) ** -a).sum()), a, b) for a in POWERS.tolist() for b in SHIFTS.tolist()]
+        _, power, shift = max(laws)
+        return self.weights(power, shift, min(0.5, max(LEAST_BYTE_SHARE, expected[-256:].sum() / total)))
+
     def arcs(self, word: str, log_weight: list[float]) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """Per end position the arcs (start, log weight, pieces) that end there."""
         text, get, longest = SPACE + word, self.index.get, self.longest
@@ -117,8 +134,8 @@ class Pieces:
             forward.append(top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms])))
         return forward[-1]
 
-    def expected(self, word: str, log_weight: list[float], into: np.ndarray) -> None:
-        """Adds the expected count of each piece in a word's segmentations."""
+    def expected(self, word: str, log_weight: list[float], into: np.ndarray, times: float = 1) -> None:
+        """Adds the expected count of each piece in the segmentations of a word that comes so many times."""
         arcs = self.arcs(word, log_weight)
         n, exp, log = len(arcs), math.exp, math.log
         forward = [0.0]
@@ -136,29 +153,30 @@ class Pieces:
                 backward[i] = b if a == -math.inf else max(a, b) + math.log1p(exp(-abs(a - b)))
                 p = exp(forward[i] + b - forward[n])
                 for k in ids:
-                    into[k] += p
-
+                    into[k] += p * times
 
-    def batch(self, words: list[str], log_weight: list[float], into: np.ndarray | None = None) -> np.ndarray:
-        """``log_probability`` of many words, and, into an array, their ``expected`` counts; words of one length go together.
+    def batch(self, words: list[str], log_weight: list[float], into: np.ndarray | None = None, times: np.ndarray | None = None) -> np.ndarray:
+        """``log_probability`` of many words, and, into an array, their ``expected`` counts, each word's so many times; words of one
+        length go together.
 
         Long words go singly: their arcs would take much memory for few words."""
         out = np.empty(len(words))
         size = np.fromiter(map(len, words), np.int64, len(words))
+        times = np.ones(len(words)) if times is None else times
         for n in np.unique(size):
             at = np.flatnonzero(size == n)
             for a in range(0, len(at), GROUP):
                 some = at[a : a + GROUP]
                 if n <= LONG_WORD:
-                    out[some] = self._equal(["".join((SPACE, words[i])) for i in some], int(n) + 1, np.asarray(log_weight), into)
+                    out[some] = self._equal(["".join((SPACE, words[i])) for i in some], int(n) + 1, np.asarray(log_weight), into, times[some])
                     continue
                 for i in some:
                     out[i] = self.log_probability(words[i], log_weight)
                     if into is not None:
-                        self.expected(words[i], log_weight, into)
+                        self.expected(words[i], log_weight, into, times[i])
         return out
 
-    def _equal(self, texts: list[str], n: int, weight: np.ndarray, into: np.ndarray | None) -> np.ndarray:
+    def _equal(self, texts: list[str], n: int, weight: np.ndarray, into: np.ndarray | None, times: np.ndarray) -> np.ndarray:
         codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), n).T.astype(np.uint64)
         arcs: list[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(n + 1)]  # by end: start, rows, pieces, log weights
         bytes_of = {}
@@ -191,7 +209,7 @@ class Pieces:
                 for i, rows, ids, w in arcs[j]:
                     after = w + backward[j, rows]
                     backward[i, rows] = np.logaddexp(backward[i, rows], after)
-                    p = np.exp(forward[i, rows] + after - forward[n, rows])
+                    p = np.exp(forward[i, rows] + after - forward[n, rows]) * times[rows]
                     text = ids >= 0
                     found.append((ids[text], p[text]))
                     for c, x in zip(ids[~text].tolist(), p[~text].tolist()):
@@ -233,7 +251,7 @@ def _expect_batches(path: str, shared):
         model, weights = pieces(path), shared.value
         total = np.zeros(len(model.names))
         for batch in batches:
-            model.batch(batch.column(0).to_pylist(), weights, total)
+            model.batch(batch.column(0).to_pylist(), weights, total, batch.column(1).to_numpy().astype(float))
         some = np.flatnonzero(total)
         if len(some):
             yield pa.record_batch([pa.array(some, pa.int64()), pa.array(total[some])], ["piece", "n"])
@@ -241,25 +259,25 @@ def _expect_batches(path: str, shared):
     return run
 
 
-def _lattice_batches(path: str, shared, n: int, v: int, discount: float):
-    """word, c, c_all -> and known (log10(c + 1)), logp (log10 of the token's probability)."""
+def _lattice_batches(path: str, shared, n: int, v: int, ends: int, discount: float):
+    """word, c, c_all -> and known (log10(c + 1)), logp and mixed (log10 of the token's probability by the lattice, and by the mixture)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, weights = pieces(path), shared.value
-        end = 1 / (v + 1) if v else 0.5
+        end, free_end = (ends + 0.5) / (n + 1), 1 / (v + 1) if v else 0.5
         spare = math.log(discount * v / n) if n else 0.0
         for batch in batches:
-            logp = []
+            logp, mixed = [], []
             words = batch.column(0).to_pylist()
             for word, c, inside in zip(words, batch.column(1).to_pylist(), model.batch(words, weights).tolist()):
-                free = math.log(end) if word == END else math.log1p(-end) + inside
-                both = spare + free
+                logp.append((math.log(end) if word == END else math.log1p(-end) + inside) / LOG10)
+                both = spare + (math.log(free_end) if word == END else math.log1p(-free_end) + inside)
                 if c:
                     whole = math.log((c - discount) / n)
                     both = max(whole, both) + math.log1p(math.exp(-abs(whole - both)))
-                logp.append(both / LOG10)
+                mixed.append(both / LOG10)
             known = np.log10(batch.column(1).to_numpy() + 1.0)
-            yield pa.record_batch([*batch.columns, pa.array(known), pa.array(logp, pa.float64())], ["word", "c", "c_all", "known", "logp"])
+            yield pa.record_batch([*batch.columns, pa.array(known), pa.array(logp, pa.float64()), pa.array(mixed, pa.float64())], ["word", "c", "c_all", "known", "logp", "mixed"])
 
     return run
 
@@ -271,8 +289,8 @@ def _table(shared) -> tuple:
     """The broadcast words' places and figures, built once a worker."""
     if shared.id not in _TABLES:
         _TABLES.clear()
-        words, known, logp = shared.value
-        _TABLES[shared.id] = {w: i for i, w in enumerate(words.split("\n"))} if words is not None else {}, known, logp
+        words, *figures = shared.value
+        _TABLES[shared.id] = {w: i for i, w in enumerate(words.split("\n"))} if words is not None else {}, *figures
     return _TABLES[shared.id]
 
 
@@ -289,9 +307,9 @@ class _Shared:
 
 def _score_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, known, logp = _table(shared)
+        place, known, logp, mixed = _table(shared)
         for batch in batches:
-            n, n_known, base, score, rare, start = [], [], [], [], [], 0
+            n, n_known, base, score, mixture, rare, start = [], [], [], [], [], [], 0
             while start < batch.num_rows:
                 text = batch.column(3)[start].as_py()
                 words = words_of(text)
@@ -307,18 +325,19 @@ def _score_batches(shared):
                 n_known.append(int((known[at] > 0).sum()))
                 base.append(float(known[at].sum()))
                 score.append(float(logp[at].sum()))
+                mixture.append(float(mixed[at].sum()))
                 start += 1
             kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
             rare = pa.array([[{"word": w, "times": t} for w, t in r] for r in rare], kind)
-            yield pa.record_batch([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), rare], ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+            yield pa.record_batch([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(mixture, pa.float64()), rare], ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "mixture", "rare"])
 
     return run
 
 
 def lattice_scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, rounds: int = ROUNDS, broadcast_words: int = BROADCAST_WORDS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, rounds: int = ROUNDS, broadcast_words: int = BROADCAST_WORDS, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """One row per row of docs: <id_col>, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row per row of docs: <id_col>, held_out, n_tokens, n_known, train_tokens, base_score, score, mixture_score."""
     spark, path = docs.sparkSession, path or default_path()
     kind = docs.schema[id_col].dataType.simpleString()
     held = F.coalesce(id_fold(id_col, FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")
@@ -326,45 +345,48 @@ def lattice_scores(
     vocabulary = materialise(counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all")), "vocabulary")
     power = F.floor(F.log2("c_all")).cast("int")
     stats = vocabulary.groupBy(power.alias("power")).agg(
-        F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"), F.count(F.lit(1)).alias("words")
+        F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"), F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("word")).alias("bytes"), F.sum(F.when(F.col("word") == END, F.col("c"))).alias("ends"),
     ).collect()
     n, v, n1, n2 = (sum(r[k] for r in stats) for k in ("n", "v", "n1", "n2"))
+    ends = sum(r["ends"] or 0 for r in stats)
     discount = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
 
     model = Pieces(path)
     weight = model.first
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(r["words"] for r in stats) // 100_000 + 1)
-    types = vocabulary.filter((F.col("c") > 0) & (F.col("word") != END)).select("word").repartition(tasks)
+    types = vocabulary.filter((F.col("c") > 0) & (F.col("word") != END)).select("word", "c").repartition(tasks)
     for _ in range(rounds if n else 0):
         shared = spark.sparkContext.broadcast(np.log(weight).tolist())
         sums = types.mapInArrow(_expect_batches(path, shared), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         expected = np.zeros(len(weight))
         expected[[r["piece"] for r in sums]] = [r["n"] for r in sums]
-        weight = (expected + PRIOR * model.first) / (expected.sum() + PRIOR)
+        weight = model.fitted(expected)
         shared.destroy()
     shared = spark.sparkContext.broadcast(np.log(weight).tolist())
-    lattices = vocabulary.repartition(tasks).mapInArrow(_lattice_batches(path, shared, n, v, discount), "word string, c long, c_all long, known double, logp double")
+    lattices = vocabulary.repartition(tasks).mapInArrow(_lattice_batches(path, shared, n, v, ends, discount), "word string, c long, c_all long, known double, logp double, mixed double")
     lattices = materialise(lattices, "lattices")
 
-    least, room = 0, broadcast_words  # the power of two of its count that a word needs to be broadcast
+    least, words, size = 0, broadcast_words, broadcast_bytes  # the power of two of its count that a word needs to be broadcast
     for r in sorted(stats, key=lambda r: -r["power"]):
-        room -= r["words"]
-        if room < 0:
+        words, size = words - r["words"], size - r["bytes"]
+        if words < 0 or size < 0:
             least = r["power"] + 1
             break
-    common = lattices.filter(power >= least).select("word", "known", "logp").toArrow()
+    common = lattices.filter(power >= least).select("word", "known", "logp", "mixed").toArrow()
     names = common.column("word").to_pylist()
-    table = _Shared(spark, ("\n".join(names) if names else None, common.column("known").to_numpy(), common.column("logp").to_numpy()), uuid.uuid4().hex)
+    table = _Shared(spark, ("\n".join(names) if names else None, *(common.column(c).to_numpy() for c in ("known", "logp", "mixed"))), uuid.uuid4().hex)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), held, text_of(text_col).alias("text"))
-    schema = f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,times:long>>"
+    schema = f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, mixture double, rare array<struct<word:string,times:long>>"
     part = materialise(rows.mapInArrow(_score_batches(table), schema), "scores")
 
-    rare = part.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(lattices.select("word", "known", "logp"), "word")
+    rare = part.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(lattices.select("word", "known", "logp", "mixed"), "word")
     rare = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("known") > 0, F.col("times"))).alias("more_known"), F.sum(F.col("times") * F.col("known")).alias("more_base"), F.sum(F.col("times") * F.col("logp")).alias("more_score")
+        F.sum(F.when(F.col("known") > 0, F.col("times"))).alias("more_known"), F.sum(F.col("times") * F.col("known")).alias("more_base"), F.sum(F.col("times") * F.col("logp")).alias("more_score"),
+        F.sum(F.col("times") * F.col("mixed")).alias("more_mixture"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return part.drop("rare").join(rare, "row", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + zero("more_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + zero("more_base") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"), (F.col("score") + zero("more_score")).alias("score"),
+        (F.col("mixture") + zero("more_mixture")).alias("mixture_score"),
     )

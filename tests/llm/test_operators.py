@@ -416,17 +416,44 @@ def test_lattices_by_batch_equal_single_ones():
     assert np.allclose(one, many, atol=1e-9)
 
 
-@pytest.mark.parametrize("common", [300_000, 5])
-def test_lattice_scores(spark, common):
-    rows = corpus(5, 120)
-    got = lattice_scores(documents(spark, rows), broadcast_words=common).collect()
+@pytest.mark.parametrize(("common", "size"), [(300_000, 1 << 20), (5, 1 << 20), (300_000, 12)])
+def test_lattice_scores(spark, common, size):
+    rows = [*corpus(5, 120), (700, "x" * 40_000 + " tail", "a"), (701, "字" * 3000, "a")]
+    got = lattice_scores(documents(spark, rows), broadcast_words=common, broadcast_bytes=size).collect()
     tokens = lambda t: (t or "").encode().lower().split() + [b""]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     c = Counter(w for i, t, _ in rows if not held(i) for w in tokens(t))
     n, v = sum(c.values()), len(c)
     want = sorted((str(i), held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 4)) for i, t, _ in rows)
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
-    assert all(-1e7 < r["score"] < 0 for r in got)
+    # the score: power, shift and the bytes' share fitted twice, then all segmentations of each token, one by one
+    p = Pieces(default_path())
+    weight, types = p.first, [(w.decode(), k) for w, k in c.items() if w]
+    for _ in range(2):
+        expected = np.zeros(len(p.names))
+        for w, k in types:
+            p.expected(w, np.log(weight).tolist(), expected, k)
+        weight = p.fitted(expected)
+    end, seen = (c[b""] + 0.5) / (n + 1), {}
+
+    def slow(w):
+        if len(w) > 50:  # the product would underflow
+            return p.log_probability(w, np.log(weight).tolist()) / math.log(10) + math.log10(1 - end)
+        if w not in seen:
+            text, total = "▁" + w, [1.0]
+            for j in range(1, len(text) + 1):
+                arcs = [total[i] * weight[p.index[text[i:j]]] for i in range(j) if text[i:j] in p.index]
+                if text[j - 1] not in p.index:
+                    arcs.append(total[j - 1] * math.prod(weight[p.index[bytes([b])]] for b in text[j - 1].encode()))
+                total.append(sum(arcs))
+            seen[w] = math.log10(total[-1]) + math.log10(1 - end)
+        return seen[w]
+
+    texts = defaultdict(list)
+    for i, t, *_ in rows:
+        texts[i].append(round(math.log10(end) + sum(slow(w.decode()) for w in tokens(t)[:-1]), 4))
+    assert sorted((str(r["doc_id"]), round(r["score"], 4)) for r in got) == sorted((str(i), s) for i, x in texts.items() for s in x)
+    assert all(-1e7 < r["mixture_score"] < 0 for r in got)
     by = {r["doc_id"]: r["score"] for r in got}
     assert by[121] == by[122] == by[120]  # no words: the end token alone
     assert lattice_scores(documents(spark, EMPTY)).count() == 0
