@@ -1,9 +1,11 @@
 """Quality by compression.
 
 Two Zstandard dictionaries are trained on pieces of good and of bad labelled texts.  A text is cut into chunks small enough for
-the dictionary to matter all along it, each is compressed with both, and the sizes are summed over the whole text.  The
-difference of the two sums over the larger is the text's measure; with the sums' ratios to the text's length, which show
-repetition, it goes through a logistic calibration that other labelled documents give, weighted to the classes' shares.
+the dictionary to matter all along it, and each is compressed with both.  Its normalised difference is the size with the good
+dictionary less that with the bad one, over the larger.  A text's measures are the difference of the two sums over the whole
+text, and of its chunks' differences the mean, spread, mean magnitude, median, and the shares above zero and at zero, for each of
+the chunk sizes CHUNKS; they go, with their squares, through a logistic calibration that other labelled documents give, weighted to the classes' shares.  Neither length nor
+compression ratio is an input.
 
 Bounds: ``dictionary_docs`` and ``calibration_docs`` documents of each class, and PIECE bytes of a document for a
 dictionary.  Null text is empty text and gets a score like any other.  Where a class has no labels, all scores
@@ -27,7 +29,9 @@ from readloom.llm.warc import train
 DICTIONARY_DOCS = 1500
 CALIBRATION_DOCS = 3000
 PIECE = 8192
-CHUNK = 512
+CHUNKS = (64, 256)
+#: Differences of a chunk size.
+MEASURES = 7
 LEVEL = 3
 DICTIONARY_BYTES = 112_640
 THRESHOLD = 0.3
@@ -42,20 +46,24 @@ def _codec(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, **plain)
 
 
-def compressed_sizes(texts: list[bytes], dictionaries: tuple[bytes, bytes]) -> np.ndarray:
-    """Per text: length, size with the first and with the second dictionary."""
-    good, bad = (_codec(d).compress for d in dictionaries)
-    out = np.empty((len(texts), 3))
-    for i, t in enumerate(texts):
-        chunks = [t[a : a + CHUNK] for a in range(0, max(len(t), 1), CHUNK)]
-        out[i] = len(t), sum(len(good(c)) for c in chunks), sum(len(bad(c)) for c in chunks)
-    return out
+def compressed_sizes(text: bytes, chunk: int, codecs: tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]) -> np.ndarray:
+    """Sizes of a text's chunks with the first and, in the second row, with the second codec; an empty text is one chunk."""
+    chunks = [text[a : a + chunk] for a in range(0, max(len(text), 1), chunk)]
+    return np.array([[len(c.compress(x)) for x in chunks] for c in codecs], float)
 
 
-def measures(sizes: np.ndarray) -> np.ndarray:
-    n, good, bad = sizes[:, 0] + 1, sizes[:, 1], sizes[:, 2]
-    difference, ratio = (good - bad) / np.maximum(good, bad), good / n
-    return np.stack([difference, ratio, np.minimum(good, bad) / n, ratio**2, difference**2, difference * ratio], axis=1)
+def differences(sizes: np.ndarray) -> list[float]:
+    """Of the sums, and of the chunks' mean, spread, mean magnitude, median, and shares above and at zero."""
+    good, bad = sizes
+    each = (good - bad) / np.maximum(good, bad)
+    return [(good.sum() - bad.sum()) / max(good.sum(), bad.sum()), each.mean(), each.std(), np.abs(each).mean(), np.median(each), (each > 0).mean(), (each == 0).mean()]
+
+
+def measures(texts: list[bytes], dictionaries: tuple[bytes, bytes]) -> np.ndarray:
+    """A row a text."""
+    codecs = tuple(map(_codec, dictionaries))
+    x = np.array([[v for c in CHUNKS for v in differences(compressed_sizes(t, c, codecs))] for t in texts]).reshape(len(texts), MEASURES * len(CHUNKS))
+    return np.c_[x, x * x]
 
 
 class Calibration:
@@ -94,24 +102,26 @@ def quality_scores(
     pieces = sample.filter("for_dictionary").select("label", "o", F.substring("text", at, F.lit(PIECE)).alias("piece")).orderBy("o").collect()
     dictionaries = tuple(train([r["piece"].encode()[:PIECE] for r in pieces if r["label"] == y], DICTIONARY_BYTES) for y in (1, 0))
 
-    def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f"m{i}" for i in range(2 * MEASURES * len(CHUNKS))]
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = compressed_sizes(_texts(batch), dictionaries)
-            yield pa.record_batch([batch.column(0), *(pa.array(s[:, i]) for i in range(3))], ["label", "n", "good", "bad"])
+            m = measures(_texts(batch), dictionaries)
+            yield pa.record_batch([batch.column(0), *map(pa.array, m.T)], ["label", *names])
 
-    rows = sample.filter("not for_dictionary").select("label", "text").mapInArrow(sizes_of, "label int, n double, good double, bad double").toPandas()
+    rows = sample.filter("not for_dictionary").select("label", "text").mapInArrow(measured, "label int, " + ", ".join(f"{n} double" for n in names)).toPandas()
     y = rows["label"].to_numpy()
     model = None
     if 0 < y.sum() < len(y):
         weight = np.where(y == 1, n_good / y.sum(), n_bad / (len(y) - y.sum())) * len(y) / (n_good + n_bad)
-        model = Calibration(measures(rows[["n", "good", "bad"]].to_numpy()), y, weight)
+        model = Calibration(rows[names].to_numpy(), y, weight)
     prior = (n_good + 1) / (n_good + n_bad + 2)
     shared = spark.sparkContext.broadcast((dictionaries, model))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionaries, model = shared.value
         for batch in batches:
-            s = model(measures(compressed_sizes(_texts(batch), dictionaries))) if model else np.full(batch.num_rows, prior)
+            s = model(measures(_texts(batch), dictionaries)) if model else np.full(batch.num_rows, prior)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(s)], ["id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("text"))
