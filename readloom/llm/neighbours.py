@@ -1,17 +1,18 @@
 """Exact nearest neighbours by a block matrix join on int8 product tiles.
 
-Query blocks of at most ``query_block`` vectors, whose size bounds what is broadcast, meet every block of candidates; a
-round's blocks are scanned together, and a larger query set takes more rounds.  Each vector is quantised to int8
-with its own scale, and the norm of what that loses is kept.  A tile of integer products gives the
-distances of the quantised vectors; they differ from the true ones by the two lost norms at most.  A query's tenth
-smallest upper bound so far, or tenth smallest true distance, is its limit; only pairs whose lower bound is
-within it are computed again from the original vectors in double precision.  Heaps merge a query's best of the
-blocks in a task, and then of the tasks.  No pair is dropped on an estimate: results are exact.
+Queries are dealt out to groups of about ``query_block`` and candidates to shards of about ``candidate_block`` vectors.  Each group meets
+each shard in a cell of a grid, one task's work, whose size the two numbers bound; all cells are one job, and nothing
+of it is broadcast or comes to the driver.  Each vector is quantised to int8 with its own scale, and the norm of what that
+loses is kept.  A tile of integer products gives the distances of the quantised vectors; they differ from the true ones by
+the two lost norms at most.  A query's tenth smallest upper bound so far, or tenth smallest true distance, is its limit;
+only pairs whose lower bound is within it are computed again from the original vectors in double precision.  Heaps merge a
+query's best within a cell, and a shuffle ranks the cells' best.  No pair is dropped on an estimate: results are exact.
 
 Vectors that are null or zero or hold null or non-finite components take no part, neither as queries nor as
-candidates; only vectors of equal length meet.  Rows with a null id take no part.  Repeated rows (equal id
-and vector) count once; a candidate with the query's own id is the query's own.  Ties go to the smaller id.  Fewer
-candidates than ``k`` give fewer rows; empty tables none.  Other columns may have any names.
+candidates; only vectors of equal length meet.  Rows with a null id take no part.  Of rows that share an id and differ in
+their vectors, the smallest vector (component by component) asks, and the nearest answers.  Repeated rows count once; a candidate with
+the query's own id is the query's own.  Ties go to the smaller id.  Fewer candidates than ``k`` give fewer rows; empty tables
+none.  Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -20,36 +21,51 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import materialise
-
 K = 10
 EVERY = 100
-#: Queries of a tile and of a round, and candidates of a tile.
-QUERY_TILE = 512
-ROUND_QUERIES = 16_384
-BLOCK = 4096
+#: Queries and candidates of a tile, and of a cell of the grid.
+QUERY_TILE, BLOCK = 512, 4096
+QUERY_BLOCK, CANDIDATE_BLOCK = 16_384, 65_536
+#: Vectors that travel as one row.
+PIECE = 512
 #: Products of int8 vectors up to this length are exact in single precision.
 EXACT_FLOAT32 = 1024
 
 
-def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors, a matrix for each length."""
+def usable(column: Column) -> Column:
+    """Whether a vector takes part."""
+    odd = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce((F.size(column) > 0) & ~odd & F.exists(column, lambda x: x != 0), F.lit(False))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, id, v -> part, width, ids, data: up to PIECE vectors of one part and length."""
     for batch in batches:
-        column = batch.column(1).cast(pa.list_(pa.float64()))
-        ids, width = batch.column(0).to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        start = column.offsets.to_numpy()[:-1]
-        values = column.values.to_numpy(zero_copy_only=False) if len(column.values) else np.zeros(0)
-        for w in np.unique(width[width > 0]):
-            at = np.flatnonzero(width == w)
-            vectors = values[start[at][:, None] + np.arange(w)]
-            good = np.isfinite(vectors).all(axis=1) & (vectors != 0).any(axis=1)
-            if good.any():
-                yield ids[at][good], vectors[good]
+        part, ids, column = (batch.column(i) for i in range(3))
+        part, ids, width, start = part.to_numpy(), ids.to_numpy(), column.value_lengths().to_numpy(), column.offsets.to_numpy()[:-1]
+        values, out = column.values.to_numpy(), []
+        for p, w in np.unique(np.stack([part, width]), axis=1).T.tolist() if len(part) else ():
+            at = np.flatnonzero((part == p) & (width == w))
+            for a in range(0, len(at), PIECE):
+                some = at[a : a + PIECE]
+                out.append((p, w, ids[some].tobytes(), np.ascontiguousarray(values[start[some][:, None] + np.arange(w)]).tobytes()))
+        if out:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["part", "width", "ids", "data"])
+
+
+def _unpacked(table: pa.Table, kind: type, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors, up to wide of them, of one length."""
+    rows = {}
+    for w, ids, data in zip(*(table.column(c).to_pylist() for c in ("width", "ids", "data"))):
+        rows.setdefault(w, []).append((np.frombuffer(ids, np.int64), np.frombuffer(data, kind).reshape(-1, w)))
+    for some in rows.values():
+        ids, vectors = (np.concatenate([r[i] for r in some]) for i in range(2))
+        for a in range(0, len(ids), wide):
+            yield ids[a : a + wide], vectors[a : a + wide].astype(np.float64)
 
 
 def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,62 +153,47 @@ def _merge(heap: list[tuple[float, int]], entries: list[tuple[float, int]], k: i
             held.add(entry)
 
 
-def _search(queries, k: int):
-    """queries: a broadcast list of (ids, vectors), each of one length and at most QUERY_TILE rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [QueryBlock(ids, vectors, k) for ids, vectors in queries.value]
-        for ids, vectors in _usable(batches):
-            for a in range(0, len(ids), BLOCK):
-                some = vectors[a : a + BLOCK]
-                coded = quantise(some)
-                for block in blocks:
-                    if block.vectors.shape[1] == some.shape[1]:
-                        block.meet(ids[a : a + BLOCK], some, *coded)
+def _cell(k: int, kind: type):
+    def run(asked: pa.Table, met: pa.Table) -> pa.Table:
+        blocks = [QueryBlock(ids, vectors, k) for ids, vectors in _unpacked(asked, kind, QUERY_TILE)]
+        for ids, vectors in _unpacked(met, kind, BLOCK):
+            coded = quantise(vectors)
+            for block in blocks:
+                if block.vectors.shape[1] == vectors.shape[1]:
+                    block.meet(ids, vectors, *coded)
         found = [(q, -i, -d) for block in blocks for q, heap in zip(block.ids.tolist(), block.heaps) for d, i in heap]
-        if found:
-            q, i, d = zip(*found)
-            yield pa.record_batch([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], ["query_id", "vec_id", "score"])
-
-    return run
-
-
-def _best(k: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        best = heapq.nsmallest(k, set(zip(group["score"].tolist(), group["vec_id"].tolist())))
-        return pd.DataFrame({"query_id": group["query_id"].iloc[0], "rank": np.arange(1, len(best) + 1, dtype=np.int32), "vec_id": [i for _, i in best], "score": [d for d, _ in best]})
+        q, i, d = zip(*found) if found else ((), (), ())
+        return pa.table([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], ["query_id", "vec_id", "score"])
 
     return run
 
 
 def nearest(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", is_query: Column | None = None,
-    k: int = K, round_queries: int = ROUND_QUERIES,
+    k: int = K, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest.  is_query: a condition on vectors; ids divisible by 100."""
     spark = vectors.sparkSession
     is_query = F.col(id_col) % EVERY == 0 if is_query is None else is_query
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q")).filter("id is not null")
-    ids = materialise(rows.filter("q").select("id").distinct(), "query_ids")
-    n = ids.count()
-    rounds = -(-n // round_queries)
-    found = None
-    for r in range(rounds):
-        asked = rows.filter("q") if rounds == 1 else rows.filter(F.col("q") & (F.pmod(F.xxhash64("id"), F.lit(rounds)) == r))
-        at: dict[int, dict] = {}
-        for part in _usable(asked.select("id", "v").toArrow().to_batches()):
-            at.setdefault(part[1].shape[1], {}).update(zip(part[0].tolist(), part[1]))
-        blocks = []
-        for some in at.values():
-            keys = sorted(some)
-            blocks += [(np.array(keys[a : a + QUERY_TILE]), np.stack([some[i] for i in keys[a : a + QUERY_TILE]])) for a in range(0, len(keys), QUERY_TILE)]
-        shared = spark.sparkContext.broadcast(blocks)
-        best = rows.select("id", "v").mapInArrow(_search(shared, k), "query_id long, vec_id long, score double")
-        best = best.groupBy("query_id").applyInPandas(_best(k), "query_id long, rank int, vec_id long, score double")
-        if rounds > 1:  # the next round's queries take this round's place
-            best = materialise(best, "nearest")
-            shared.destroy()
-        found = best if found is None else found.unionByName(best)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return found
+    plain = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    v = F.col(vector_col) if plain else F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), is_query.alias("q")).filter("id is not null").filter(usable(F.col("v")))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("asked")).first()
+    if not size["asked"]:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    groups = -(-size["asked"] // query_block)
+    shards = max(-(-size["n"] // candidate_block), min(-(-size["n"] // BLOCK), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    packed = "part long, width int, ids binary, data binary"
+    part = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("long").alias("part")
+    # keys of both sides are long, or equal ones would be dealt apart
+    each_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = rows.filter("q").groupBy("id").agg(F.min("v").alias("v"))
+    asked = asked.select(part(groups, "id"), "id", "v").repartition(groups, "part").mapInArrow(_pack, packed)
+    asked = asked.select(F.col("part").alias("g"), each_of(shards).alias("s"), "width", "ids", "data")
+    # a piece is a run of rows of one task, dealt to a shard whole
+    met = rows.select(F.lit(0).cast("long").alias("part"), "id", "v").mapInArrow(_pack, packed)
+    met = met.select(part(shards, "ids", "data").alias("s"), each_of(groups).alias("g"), "width", "ids", "data")
+    cells = asked.groupBy("g", "s").cogroup(met.groupBy("g", "s")).applyInArrow(_cell(k, np.float32 if plain else np.float64), "query_id long, vec_id long, score double")
+    each = cells.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

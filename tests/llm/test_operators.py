@@ -486,15 +486,15 @@ def slow_neighbours(rows, k):
     return out
 
 
-@pytest.mark.parametrize("round_queries", [16_384, 3])
-def test_neighbours(spark, round_queries):
+@pytest.mark.parametrize(("queries", "candidates"), [(16_384, 65_536), (3, 200)])
+def test_neighbours(spark, queries, candidates):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=24).round(1 if i % 2 else 3).tolist()) for i in range(1500)]
     hot = rows[100][1]
     rows = [(i, hot if i % 3 == 0 else v) for i, v in rows]
     rows += [(2000, None), (2100, [0.0] * 24), (2200, [float("nan")] + [1.0] * 23), (2300, [None] + [1.0] * 23), (2400, [1.0] * 5), (2401, [2.0] * 5), (2500, []), (None, hot), (2600, [1e-3] * 24), (2700, [1e30] * 24), rows[100], rows[101]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("q", F.lit(1)).repartition(5)
-    got = neighbours.nearest(df, round_queries=round_queries)
+    got = neighbours.nearest(df, query_block=queries, candidate_block=candidates)
     assert rows_of(got, "query_id", "rank", "vec_id") == sorted(slow_neighbours(rows, 10), key=repr)
     v = dict(rows[:1500])
     for r in got.collect():
@@ -502,3 +502,10 @@ def test_neighbours(spark, round_queries):
             a, b = (np.array(v[r[c]], np.float32).astype(float) for c in ("query_id", "vec_id"))
             assert abs(r["score"] - np.sqrt(((a - b) ** 2).sum())) < 1e-12
     assert neighbours.nearest(df.limit(0)).count() == 0
+
+
+def test_neighbours_of_an_id_with_two_vectors(spark):
+    rows = [(100, [5.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [9.0, 9.0]), (2, [1.0, 3.0]), (1, [1.0, 1.0])]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(4)
+        assert rows_of(neighbours.nearest(df), "query_id", "rank", "vec_id", "score") == [(100, 1, 1, 1.0), (100, 2, 2, 3.0)]
