@@ -2,8 +2,14 @@
 
 Each task counts, with saturation at two, how often its hashes fall on each of their slots.  Merged over tasks,
 a slot is set when two insertions or more fell on it.  A hash that occurs twice has all its slots set, so there
-are no false negatives.  The size is a power of two in [2**16, 2**max_log2]; when more hashes than
-it has room for come, more rows than needed are taken for repeated, never fewer.
+are no false negatives.  The size is a power of two in [2**16, 2**max_log2].
+
+Where there are more hashes than one filter of that size has room for, they are cut down first: each task's distinct hashes, with
+counts saturated at two, are dealt out by hash to ranges of about RANGE, and each range's task builds and applies a
+filter of its own, in its own memory.  The hashes that pass, repeated ones and a few in a thousand of the others, make up the
+filter that is broadcast.  So however many rows there are, unique rows pass for possibly repeated at about that rate,
+until the *repeated* distinct hashes alone overflow the broadcast filter (2**max_log2 / SLOTS_PER_HASH of them, 6.7e7 by
+default); beyond it more unique rows are tested in vain, and results stay the same.
 """
 
 from __future__ import annotations
@@ -16,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.llm.common import materialise, release
+
 PROBES = 4
 SLOTS_PER_HASH = 16
 SEGMENT = 1 << 16
@@ -23,6 +31,8 @@ SEGMENT = 1 << 16
 MAX_LOG2 = 30
 #: Slots that a task holds before it passes them on.
 FLUSH = 1 << 22
+#: Hashes of a range.
+RANGE = 1 << 20
 
 
 def log2_slots(n: int, max_log2: int = MAX_LOG2) -> int:
@@ -83,6 +93,47 @@ def _merge(least: int):
     return run
 
 
+def _saturated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's distinct hashes, and whether it has them twice."""
+    held, count = [], 0
+
+    def flush() -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.record_batch([pa.array(h), pa.array(n > 1)], ["h", "again"])
+
+    for batch in batches:
+        held.append(batch.column(0).to_numpy())
+        count += batch.num_rows
+        if count >= FLUSH:
+            yield flush()
+            count = 0
+    if count:
+        yield flush()
+
+
+def _range_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of a range that its own filter takes for repeated."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    if not parts:
+        return
+    log2 = log2_slots(sum(len(h) for h, _ in parts), 32)
+    seen = np.zeros(1 << log2, np.uint8)
+    for h, again in parts:
+        for times in (h, h[again]):
+            slots, n = np.unique(slots_of(times, log2), return_counts=True)
+            seen[slots] = np.minimum(seen[slots] + np.minimum(n, 2), 2)
+    bits = np.packbits(seen >= 2, bitorder="little")
+    passed = np.unique(np.concatenate([h[hit(bits, h, log2)] for h, _ in parts]))
+    yield pa.record_batch([pa.array(passed)], ["h"])
+
+
+def possibly_repeated(hashes: DataFrame, n: int, size: int = RANGE) -> DataFrame:
+    """h: distinct hashes that may occur twice, by a filter for each range of about size hashes."""
+    each = hashes.mapInArrow(_saturated, "h long, again boolean").repartition(-(-max(n, 1) // size), "h")
+    return each.mapInArrow(_range_filter, "h long")
+
+
 class RepeatFilter:
     """Holds the bits on the driver; ``test(column)`` is true for each hash that may occur twice."""
 
@@ -93,6 +144,10 @@ class RepeatFilter:
     @classmethod
     def build(cls, hashes: DataFrame, n: int, max_log2: int = MAX_LOG2, least: int = 2) -> RepeatFilter:
         """hashes: one long column without nulls; n: about how many rows it has.  With least 1, the filter has every hash."""
+        narrowed = None
+        if least == 2 and n * SLOTS_PER_HASH > 1 << max_log2:
+            hashes = narrowed = materialise(possibly_repeated(hashes, n), "possibly_repeated")
+            n, least = hashes.count(), 1
         log2 = log2_slots(n, max_log2)
         partials = hashes.mapInArrow(_partials(log2), "segment long, once binary, twice binary")
         merged = partials.groupBy("segment").applyInPandas(_merge(least), "segment long, bits binary")
@@ -100,6 +155,8 @@ class RepeatFilter:
         for row in merged.toLocalIterator():
             at = row["segment"] * (SEGMENT // 8)
             bits[at : at + SEGMENT // 8] = np.frombuffer(row["bits"], np.uint8)
+        if narrowed is not None:
+            release(narrowed)
         return cls(hashes.sparkSession, log2, bits)
 
     def test(self, column: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +38,52 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/readloom-{uuid.uuid4().hex}/{name}"
 
 
-def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+#: Folders of tables that this process wrote and has not deleted, in order.
+_WRITTEN: list[str] = []
+
+
+def _delete(paths: list[str]) -> None:
+    """Through Hadoop's file systems, which reach the shared folder wherever it is."""
+    jvm = SparkContext._jvm
+    for path in paths:
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(jvm.org.apache.hadoop.conf.Configuration() if SparkContext._active_spark_context is None else SparkContext._active_spark_context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more."""
+    _delete([path for t in tables if (path := vars(t).get("written_at"))])
+
+
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Builds a table and writes it, and deletes what was materialised on the way."""
+    before = set(_WRITTEN)
+    out = materialise(build(), name)
+    _delete([path for path in _WRITTEN if path not in before and path != vars(out)["written_at"]])
+    return out
+
+
+@atexit.register
+def _delete_all() -> None:
+    """What is left goes with the process, as its results do."""
+    try:
+        if _WRITTEN and SparkContext._jvm is not None:
+            _delete(list(_WRITTEN))
+    except (Py4JError, OSError):  # the JVM went first
+        pass
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: later stages don't compute it again, and a lost
-    executor costs a read, not a recomputation."""
+    executor costs a read, not a recomputation.  ``release`` deletes it; what is not released goes when the process ends."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path, partitionBy=partition_by, compression="zstd")
-    return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+    _WRITTEN.append(path.rpartition("/")[0])
+    df.write.parquet(path, compression="zstd")
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = _WRITTEN[-1]
+    return out
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
