@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import join_by_key, materialise, text_of
+from readloom.llm.common import join_by_key, materialise, release, text_of
 from readloom.llm.graph import connected_components
 
 SHINGLE = 4
@@ -230,6 +230,7 @@ def _components(rows: DataFrame, bucket_limit: int) -> DataFrame:
     labels = connected_components(links(groups.select("fp"), groups.count(), bucket_limit))
     rooted = groups.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialise(rooted, "roots")
+    release(labels)
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("w"))
     of_fp = join_by_key(rooted, ids, "root", "w", groups.count(), F.col("fp")).select("fp", "component_id", "root", "members")
     return join_by_key(rows, of_fp, "fp", "members", rows.count(), F.xxhash64("id"))
