@@ -74,8 +74,7 @@ def _threshold_bucket(rows: DataFrame, shift: int, level: DataFrame) -> DataFram
 
 def _last_few(group: pd.DataFrame) -> pd.DataFrame:
     """Which of a boundary bucket's hashes go."""
-    by_hash = group.groupby("h", as_index=False).agg(size=("size", "sum"), rest=("rest", "first"))
-    by_hash = by_hash.iloc[by_hash["h"].to_numpy().view("uint64").argsort(kind="stable")]
+    by_hash = group.iloc[group["h"].to_numpy().view("uint64").argsort(kind="stable")]
     rest, taken = float(group["rest"].iloc[0]), []
     for size in by_hash["size"]:
         taken.append(size <= rest)
@@ -123,7 +122,8 @@ def _mixed(rows: DataFrame, narrow: DataFrame, weights: tuple[int, ...], share:
     """Adds source_size, target, copies to rows; narrow: their key, size, h, materialised."""
     n = narrow.count()
     plan, n_sources = _plan(narrow, n, weights, share, most)
-    boundary = _decided(narrow.select("key", "size", "h"), n, plan, n_sources).filter("at = 0 and size > 0").select("key", "h", "size", "rest")
+    boundary = _decided(narrow.select("key", "size", "h"), n, plan, n_sources).filter("at = 0 and size > 0")
+    boundary = boundary.groupBy("key", "h").agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))  # repeated rows are one row
     last = materialise(boundary.groupBy("key").applyInPandas(_last_few, "key string, h long, last boolean"), "last")
     n_last = last.count()
     met = _decided(rows, n, plan, n_sources)
