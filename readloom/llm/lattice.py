@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import id_fold, materialise, text_of
+from readloom.llm.common import id_fold, materialise, release, text_of
 
 FOLDS, HELD_OUT = 7, 2
 ROUNDS = 2
@@ -365,6 +365,7 @@ def lattice_scores(
     shared = spark.sparkContext.broadcast(np.log(weight).tolist())
     lattices = vocabulary.repartition(tasks).mapInArrow(_lattice_batches(path, shared, n, v, ends, discount), "word string, c long, c_all long, known double, logp double, mixed double")
     lattices = materialise(lattices, "lattices")
+    release(vocabulary)
 
     least, words, size = 0, broadcast_words, broadcast_bytes  # the power of two of its count that a word needs to be broadcast
     for r in sorted(stats, key=lambda r: -r["power"]):

@@ -94,6 +94,18 @@ def test_exact_dedup_of_documents(spark):
     assert drop_exact_copies(documents(spark, EMPTY)).count() == 0
 
 
+def test_unique_rows_pass_a_filter_that_is_far_too_small_for_them(spark):
+    from readloom.llm.bloom import RepeatFilter, possibly_repeated
+
+    n, log2 = 120_000, 16  # room for 4096 hashes
+    h = spark.range(n, numPartitions=7).select(F.xxhash64(F.when(F.col("id") % 4 == 0, F.col("id") % 400).otherwise(F.col("id"))).alias("h"), (F.col("id") % 4 != 0).alias("alone"))
+    passed = h.withColumn("maybe", RepeatFilter.build(h.select("h"), n, log2).test(F.col("h"))).groupBy("alone").agg(F.count_if("maybe").alias("m"), F.count("*").alias("n"))
+    share = {r["alone"]: r["m"] / r["n"] for r in passed.collect()}
+    assert share[False] == 1 and share[True] < 0.01
+    few = possibly_repeated(h.select("h"), n, 5000).count()
+    assert 100 <= few < 100 + 0.01 * n
+
+
 def test_one_group_of_a_third_of_all_rows(spark):
     rows = [(i, "same" if i % 3 == 0 else f"text {i}") for i in range(3000)]
     got = exact_dedup(documents(spark, rows)).filter("group_size > 1").agg(F.count("*"), F.max("keep_id"), F.count_if("kept")).first()
@@ -308,8 +320,8 @@ def slow_substrings(rows, w):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [10_000, 5])
-def test_substrings(spark, hot):
+@pytest.mark.parametrize(("hot", "bucket", "id_kind"), [(10_000, 1000, "long"), (5, 3, "long"), (10_000, 2, "long"), (10_000, 4, "string")])
+def test_substrings(spark, hot, bucket, id_kind):
     rng = random.Random(1)
     passages = [[f"p{rng.randrange(40)}" for _ in range(rng.randrange(8, 60))] for _ in range(12)]
     rows = []
@@ -320,7 +332,10 @@ def test_substrings(spark, hot):
             t += ["x"] * 200 if rng.random() < 0.05 else []
         rows.append((i if rng.random() < 0.95 else None, rng.choice([" ", "\n", "  "]).join(t) if rng.random() < 0.95 else None))
     rows += rows[:20] + [(900, LONG), (901, LONG)]
-    got = substring_dedup(documents(spark, rows), window=12, mer=4, hot_least=hot)
+    docs = documents(spark, rows)
+    if id_kind == "string":
+        docs, rows = docs.withColumn("doc_id", F.col("doc_id").cast("string")), [(None if i is None else str(i), t) for i, t in rows]
+    got = substring_dedup(docs, window=12, mer=4, hot_least=hot, bucket=bucket)
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256", "kept") == slow_substrings(rows, 12)
 
 
