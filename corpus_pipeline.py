@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm.common import materialise, read_table
+from readloom.llm.common import read_table, release, settled
 from readloom.llm.exact_dedup import drop_exact_copies
 from readloom.llm.mixing import mix_documents
 from readloom.llm.packing import pack
@@ -50,5 +50,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before = docs
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        release(before)  # what a stage read goes when it is done
     return docs
