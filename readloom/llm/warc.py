@@ -4,7 +4,8 @@ Each task writes its pages to archives of its own in the shared folder: a Zstand
 of the records that are archived, lies in a skippable frame at the head; then each record is a Zstandard frame of its own.
 A manifest table names the archives that tasks finished; one that a lost executor or a repeated task
 left behind is in no manifest and is never read.  Of pages with equal payloads of at least ``least`` bytes the one with the
-smallest id is a response; the others revisit it and hold its digest and the payload's length, not the payload.
+smallest id is a response; the others revisit it and hold its digest and the payload's length, not the payload.  Which are which
+is settled on digests; payloads don't shuffle.
 
 Null html is an empty payload.  Repeated rows with the smallest id are all responses.  A null id is archived without id and
 never the smallest, unless all are null: then all are responses.  A null url gives a record without one.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.bloom import RepeatFilter
-from readloom.llm.common import join_by_key, materialise, sampled, scratch
+from readloom.llm.common import join_by_key, materialise, release, sampled, scratch
 
 LEAST = 100
 #: The dictionary's sample: records, and characters of each one's payload.
@@ -200,16 +201,28 @@ def write_warc(
     """Writes the archives to a new folder of the shared one, or to folder.  Returns the manifest: path, records, bytes."""
     spark = pages.sparkSession
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("size"), html.alias("html"))
-    n = pages.count()
-    repeats = RepeatFilter.build(pages.select(F.xxhash64(html).alias("h")), n)
-    maybe = repeats.test(F.xxhash64("html")) & (F.col("size") >= least)
-    rows = rows.withColumn("maybe", maybe)
-    groups = rows.filter("maybe").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("w"))
-    met = join_by_key(rows.filter("maybe"), groups, "digest", "w", n, F.xxhash64("page_id"))
-    decided = rows.filter(~F.col("maybe")).withColumn("first", F.lit(None).cast("long")).unionByName(met.drop("w"))
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    decided = decided.select("page_id", "url", "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to"), F.when(~revisit, F.col("html")).alias("html"))
+    page_id, url = F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")
+    # of pages with one id, only those with equal payloads share a key
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("n")), F.xxhash64(html).cast("string")).alias("key")
+    facts = [page_id, url, F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("size")]
+    rows = pages.select(*facts, html.alias("html"), key)
+    narrow = materialise(pages.select(*facts, key, F.xxhash64(html).alias("h")), "pages")
+    n = narrow.count()
+    # which pages revisit another is settled without their payloads
+    maybe = narrow.filter((F.col("size") >= least) & RepeatFilter.build(narrow.select("h"), n).test(F.col("h")))
+    groups = maybe.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("w")).filter(F.col("first").isNotNull() & (F.col("w") > 1))
+    met = join_by_key(maybe.drop("h"), groups, "digest", "w", n, F.xxhash64("key"), "inner")
+    revisits = materialise(met.filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "url", "digest", "size", "first", "key"), "revisits")
+    # payloads stay where they are: pages whose key no revisit has are responses; the few others that only seem to have one meet their list
+    gone = RepeatFilter.build(revisits.select(F.xxhash64("key").alias("h")), revisits.count(), least=1)
+    seem = narrow.filter(gone.test(F.xxhash64("key"))).join(revisits.select("key").distinct(), "key", "left_anti").select("key").distinct()
+    seem = materialise(seem, "seeming_revisits")
+    kept = RepeatFilter.build(seem.select(F.xxhash64("key").alias("h")), seem.count(), least=1)
+    there = gone.test(F.xxhash64("key"))
+    responses = rows.filter(~there).unionByName(rows.filter(there & kept.test(F.xxhash64("key"))).join(seem, "key", "left_semi"))
+    null = F.lit(None)
+    decided = responses.select("page_id", "url", "digest", "size", F.lit("response").alias("kind"), null.cast("long").alias("refers_to"), "html")
+    decided = decided.unionByName(revisits.select("page_id", "url", "digest", "size", F.lit("revisit").alias("kind"), F.col("first").alias("refers_to"), null.cast("string").alias("html")))
 
     at = F.pmod(F.xxhash64("digest"), F.greatest(F.length("html") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     piece = F.substring("html", at, F.lit(SAMPLE_CHARS))
@@ -218,7 +231,9 @@ def write_warc(
     samples = [page_record(r["page_id"], r["url"], r["piece"].encode(), r["digest"], len(r["piece"].encode()), "response", None) for r in sample]
     folder = folder or scratch(spark, "archives")
     written = decided.mapInArrow(_write_batches(folder, train(samples), level, archive_bytes), "path string, records long, bytes long")
-    return materialise(written, "manifest")
+    manifest = materialise(written, "manifest")
+    release(narrow, revisits, seem)
+    return manifest
 
 
 def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
