@@ -58,7 +58,10 @@ def cigar_sections(cigar: Column, pos: Column) -> Column:
             F.when(cuts, closed(acc, op)).otherwise(acc["done"]).alias("done"),
         )
 
-    return F.aggregate(cigar_parts(cigar), start, step, lambda acc: closed(acc, F.lit(None).cast("string")))
+    whole = F.aggregate(cigar_parts(cigar), start, step, lambda acc: closed(acc, F.lit(None).cast("string")))
+    at = pos.cast("int")
+    plain = F.array(F.struct(at.alias("start"), (at + F.rtrim(cigar, F.lit("M")).cast("int") - 1).alias("end"), F.lit(0).alias("read_start"), F.lit(None).cast("string").alias("after"))).cast(section)
+    return F.when(cigar.rlike("^[1-9][0-9]{0,8}M$"), plain).otherwise(whole)  # most are one match, which needs no parsing
 
 
 def chromosome_match(contigs, annotation_contigs, aliases=None):

@@ -1,7 +1,9 @@
 """Read counting: filter cascade, geometry, overlap, assignment, tables.
 
 Input is one row per fragment (``fragments_of``): fid, and r1, r2, structs of the two ends' fields or null.  A single-end read has r2
-null and FLAG bit 0x1 unset.  Everything is one lazy plan; fragments that a rule rejects never reach the join.
+null and FLAG bit 0x1 unset.  Fragments pass once: status, sections and length are columns of the fragment's row; its sections, one
+row a bin, meet the features in one outer join, against a broadcast where the features are few (checked), and one shuffle by fragment
+brings what a fragment met together.  A fragment that a rule rejects goes through as one row that meets nothing.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.dna import DUPLICATE, REVERSE, SECOND, SECONDARY, UNMAPPED, cigar_sections, has
-from readloom.operators.intervals import BIN, islands, overlap_join, union_length
+from readloom.operators.intervals import BIN, BIN_FACTOR, overlap_join, union_length
 
 #: A whole count; fractions are whole parts of it, as in fixed-point arithmetic.
 UNIT = 65536
@@ -21,6 +23,15 @@ STATUSES = [
     "Assigned", "Unassigned_Unmapped", "Unassigned_Read_Type", "Unassigned_Singleton", "Unassigned_MappingQuality", "Unassigned_Chimera", "Unassigned_FragmentLength", "Unassigned_Duplicate",
     "Unassigned_MultiMapping", "Unassigned_Secondary", "Unassigned_NonSplit", "Unassigned_NoFeatures", "Unassigned_Overlapping_Length", "Unassigned_Ambiguity",
 ]
+#: All statuses, numbered from 1 in plans.
+ALL = [*STATUSES, "Unassigned_Split"]
+#: Rows of features, one a bin, that may be broadcast.
+BROADCAST_FEATURES = 500_000
+
+
+def statuses(o: CountOptions) -> list[str]:
+    """Rows of the summary under these options."""
+    return [s if s != "Unassigned_NonSplit" or not o.non_split_only else "Unassigned_Split" for s in STATUSES]
 
 
 @dataclass(frozen=True)
@@ -64,18 +75,23 @@ class CountOptions:
 FIELDS = ["flag", "chr", "pos", "mapq", "cigar", "tlen", "nh"]
 
 
-def fragments_of(alignments: DataFrame, by: list[str]) -> DataFrame:
-    """Alignments with FIELDS -> fid, r1, r2; ``by`` names what the records of a fragment share."""
+def _one(alignments: DataFrame) -> Column:
+    """A record's FIELDS, and chr_length if there is one: the contig's length, at which shifts and extensions end."""
+    return F.struct(*FIELDS, F.col("chr_length") if "chr_length" in alignments.columns else F.lit(None).cast("int").alias("chr_length"))
+
+
+def fragments_of(alignments: DataFrame, by: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Alignments with FIELDS -> fid, carry, r1, r2; ``by`` names what the records of a fragment share, carry some of it."""
     second = has(F.col("flag"), SECOND)
-    one = F.struct(*FIELDS)
+    one = _one(alignments)
     fid = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in by])
-    return alignments.groupBy(fid.alias("fid")).agg(F.max(F.when(~second, one)).alias("r1"), F.max(F.when(second, one)).alias("r2"))
+    return alignments.groupBy(fid.alias("fid"), *carry).agg(F.max(F.when(~second, one)).alias("r1"), F.max(F.when(second, one)).alias("r2"))
 
 
-def single_fragments(alignments: DataFrame, fid: str = "fid") -> DataFrame:
+def single_fragments(alignments: DataFrame, fid: str = "fid", carry: tuple[str, ...] = ()) -> DataFrame:
     """Single-end records, each a fragment; no shuffle."""
-    one = F.struct(*FIELDS)
-    return alignments.select(F.col(fid).alias("fid"), one.alias("r1"), F.lit(None).cast(alignments.select(one.alias("x")).schema["x"].dataType).alias("r2"))
+    one = _one(alignments)
+    return alignments.select(F.col(fid).alias("fid"), *carry, one.alias("r1"), F.lit(None).cast(alignments.select(one.alias("x")).schema["x"].dataType).alias("r2"))
 
 
 def status_of(o: CountOptions) -> Column:
@@ -117,34 +133,25 @@ def status_of(o: CountOptions) -> Column:
     return F.coalesce(rules(there1, mapped1, r1), rules(there2, mapped2, r2))
 
 
-def _ends(fragments: DataFrame, o: CountOptions) -> DataFrame:
-    """fid, nh (of the fragment), end, chr, strand, sections of each mapped end."""
-    nh = F.greatest(F.coalesce(F.col("r1")["nh"], F.lit(1)), F.coalesce(F.col("r2")["nh"], F.lit(1)))
-    ends = F.filter(F.array(F.struct(F.lit(1).alias("end"), F.col("r1").alias("r")), F.struct(F.lit(2).alias("end"), F.col("r2").alias("r"))), lambda x: x["r"].isNotNull() & ~has(x["r"]["flag"], UNMAPPED))
-    each = fragments.select("fid", nh.alias("fnh"), F.explode(ends).alias("x"))
-    reverse = has(F.col("x.r.flag"), REVERSE)
-    if o.mate_orientation == "fr":
-        reverse = reverse != (F.col("x.end") == 2)
-    each = each.select("fid", F.col("fnh").alias("nh"), F.col("x.end").alias("end"), F.col("x.r.chr").alias("chr"), F.when(reverse, "-").otherwise("+").alias("strand"), cigar_sections(F.col("x.r.cigar"), F.col("x.r.pos")).alias("sections"))
-    return _moved(each, o)
-
-
-def _moved(ends: DataFrame, o: CountOptions) -> DataFrame:
-    """Shift, extend, reduce, in this order; starts stay at 1 or more."""
-    s, plus = F.col("sections"), F.col("strand") == "+"
+def _moved(s: Column, plus: Column, pos: Column, most: Column, o: CountOptions) -> Column:
+    """Sections after shift, extension and reduction, in this order.  A shift moves all sections alike and, like an extension, ends at
+    base 1 and at the contig's length, where it is known."""
+    first, last = lambda: F.get(s, F.lit(0)), lambda: F.get(s, F.size(s) - 1)
+    room = lambda ext, end: F.when(end + ext > most, most - end).otherwise(ext)  # noqa: E731  # null where the length is unknown: no bound
     if o.shift:
         to_right = {"upstream": F.when(plus, -o.shift).otherwise(o.shift), "downstream": F.when(plus, o.shift).otherwise(-o.shift), "left": F.lit(-o.shift), "right": F.lit(o.shift)}[o.shift_type]
-        s = F.transform(s, lambda x: x.withField("start", F.greatest(x["start"] + to_right, F.lit(1))).withField("end", F.greatest(x["end"] + to_right, F.lit(1))))
+        by = F.when((to_right < 0) & (first()["start"] <= -to_right), 1 - first()["start"]).when(to_right > 0, room(to_right, last()["end"])).otherwise(to_right)
+        s = F.transform(s, lambda x: x.withField("start", x["start"] + by).withField("end", x["end"] + by))
     if o.extend_5 or o.extend_3:
-        left = F.when(plus, o.extend_5).otherwise(o.extend_3)
-        right = F.when(plus, o.extend_3).otherwise(o.extend_5)
+        left = F.least(F.when(plus, o.extend_5).otherwise(o.extend_3), pos - 1)
+        right = room(F.when(plus, o.extend_3).otherwise(o.extend_5), last()["end"])
         n = F.size(s)
-        s = F.transform(s, lambda x, i: x.withField("start", F.when(i == 0, F.greatest(x["start"] - left, F.lit(1))).otherwise(x["start"])).withField("end", F.when(i == n - 1, x["end"] + right).otherwise(x["end"])))
+        s = F.transform(s, lambda x, i: x.withField("start", F.when(i == 0, x["start"] - left).otherwise(x["start"])).withField("end", F.when(i == n - 1, x["end"] + right).otherwise(x["end"])))
     if o.reduce_to:
         at_left = plus if o.reduce_to == 5 else ~plus
-        base = F.when(at_left, s[0]["start"]).otherwise(F.element_at(s, -1)["end"])
-        s = F.array(F.element_at(s, 1).withField("start", base).withField("end", base))
-    return ends.withColumn("sections", s)
+        base = F.when(at_left, first()["start"]).otherwise(last()["end"])
+        s = F.transform(F.slice(s, 1, 1), lambda x: x.withField("start", base).withField("end", base))
+    return s
 
 
 def _ceil(x: Column) -> Column:
@@ -152,77 +159,158 @@ def _ceil(x: Column) -> Column:
     return F.when(x - F.floor(x) >= 0.001, F.floor(x) + 1).otherwise(F.floor(x))
 
 
-def _hits(ends: DataFrame, features: DataFrame, o: CountOptions) -> DataFrame:
-    sections = ends.select("fid", "nh", "end", "chr", "strand", F.explode("sections").alias("s")).select("fid", "nh", "end", "chr", "strand", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
-    f = features.select("chr", F.col("start").alias("f_start"), F.col("end").alias("f_end"), F.col("strand").alias("f_strand"), "feature_id", "gene_id")
-    hits = overlap_join(sections, f, ["chr"], ("start", "stop"), ("f_start", "f_end"), o.bin_width)
+def _union(ranges: Column) -> Column:
+    """Bases of an array of (chr, a, b), each once."""
+    def add(acc: Column, x: Column) -> Column:
+        fresh = ~acc["chr"].eqNullSafe(x["chr"]) | (x["a"] > acc["to"])
+        more = F.when(fresh, x["b"] - x["a"] + 1).otherwise(F.greatest(x["b"] - acc["to"], F.lit(0)))
+        return F.struct(x["chr"].alias("chr"), F.when(fresh, x["b"]).otherwise(F.greatest(x["b"], acc["to"])).alias("to"), (acc["n"] + more).alias("n"))
+
+    start = F.struct(F.lit(None).cast("string").alias("chr"), F.lit(0).alias("to"), F.lit(0).alias("n"))
+    return F.aggregate(F.array_sort(ranges), start, add, lambda acc: acc["n"])
+
+
+def _insertions(s: Column) -> Column:
+    """array<(at, length)> of a read's insertions; at is the reference base after one."""
+    near = F.when(F.size(s) > 1, F.sequence(F.lit(0), F.size(s) - 2)).otherwise(F.array().cast("array<int>"))
+    found = F.transform(near, lambda i: F.struct(F.get(s, i + 1)["start"].alias("at"), (F.get(s, i + 1)["read_start"] - F.get(s, i)["read_start"] - F.get(s, i)["end"] + F.get(s, i)["start"] - 1).alias("length"), F.get(s, i)["after"].alias("kind")))
+    return F.transform(F.filter(found, lambda x: x["kind"] == "I"), lambda x: F.struct(x["at"].alias("at"), x["length"].alias("length")))
+
+
+def fragment_length(s1: Column, s2: Column, chr1: Column, chr2: Column) -> Column:
+    """Bases of a fragment: reference bases that either end covers, each once, and insertions: those that one end alone could have,
+    and those that both have where both cover the place, once."""
+    ranges = lambda s, c: F.transform(s, lambda x: F.struct(c.alias("chr"), x["start"].alias("a"), x["end"].alias("b")))
+    i1, i2, one_chr = _insertions(s1), _insertions(s2), chr1 == chr2
+
+    def counted(mine: Column, other: Column, others: Column, both: bool) -> Column:
+        there = lambda x: F.coalesce(one_chr, F.lit(False)) & F.exists(other, lambda y: (y["start"] <= x["at"]) & (y["end"] >= x["at"]))
+        kept = F.filter(mine, lambda x: ~there(x) | (F.lit(both) & F.array_contains(others, x)))
+        return F.aggregate(kept, F.lit(0), lambda n, x: n + x["length"])
+
+    return _union(F.concat(ranges(s1, chr1), ranges(s2, chr2))) + counted(i1, s2, i2, True) + counted(i2, s1, i1, False)
+
+
+def _keyed(features: DataFrame, o: CountOptions) -> tuple[DataFrame, DataFrame, dict]:
+    """Features with kid, a number for the key that is counted; kid and key, each once; and how many rows and keys there are."""
+    key = F.col("gene_id") if o.gene_level else F.col("feature_id").cast("string")
+    f = features.select("chr", F.col("start").alias("f_start"), F.col("end").alias("f_end"), F.col("strand").alias("f_strand"), "feature_id", key.alias("key"))
+    for seed in range(100):
+        numbered = f.withColumn("kid", F.xxhash64(F.lit(seed), "key"))
+        wide = F.col("f_end") - F.col("f_start") >= o.bin_width * BIN_FACTOR
+        bins = F.floor(F.col("f_end") / o.bin_width) - F.floor(F.col("f_start") / o.bin_width) + 1
+        size = numbered.agg(
+            F.count_if(wide).alias("wide"), F.coalesce(F.sum(F.when(wide, F.floor(bins / BIN_FACTOR) + 2).otherwise(bins)), F.lit(0)).alias("rows"), F.count_distinct("key").alias("keys"), F.count_distinct("kid").alias("kids")
+        ).first()
+        if size["keys"] == size["kids"]:
+            return numbered, numbered.select("kid", "key").distinct(), size.asDict()
+    raise RuntimeError("keys can't be numbered")
+
+
+def _sections(fragments: DataFrame, o: CountOptions, carry: tuple[str, ...]) -> DataFrame:
+    """fid, carry, code (of the status, 0 if open), nh, frag_length, s: array of (end, chr, strand, start, stop)."""
+    status = status_of(o)
+    df = fragments.withColumn("code", F.when(status.isNull(), 0).otherwise(F.array_position(F.array(*map(F.lit, ALL)), status)).cast("int"))
+    nh = F.greatest(F.coalesce(F.col("r1")["nh"], F.lit(1)), F.coalesce(F.col("r2")["nh"], F.lit(1)))
+    df = df.withColumn("nh", nh)
+    for no in (1, 2):
+        r = F.col(f"r{no}")
+        there = (F.col("code") == 0) & r.isNotNull() & ~has(r["flag"], UNMAPPED)
+        reverse = has(r["flag"], REVERSE) if no == 1 or o.mate_orientation != "fr" else ~has(r["flag"], REVERSE)
+        df = df.withColumn(f"raw{no}", F.when(there, cigar_sections(r["cigar"], r["pos"]))).withColumn(f"raw{no}", F.coalesce(f"raw{no}", F.array().cast(df.select(cigar_sections(F.lit("1M"), F.lit(1)).alias("x")).schema["x"].dataType)))
+        df = df.withColumn(f"strand{no}", F.when(reverse, "-").otherwise("+")).withColumn(f"s{no}", _moved(F.col(f"raw{no}"), F.col(f"strand{no}") == "+", r["pos"], r["chr_length"], o))
+    length = fragment_length(F.col("s1"), F.col("s2"), F.col("r1")["chr"], F.col("r2")["chr"]) if o.frac_overlap > 0 or o.non_overlap is not None else F.lit(0)
+    rows = lambda no: F.transform(f"s{no}", lambda x: F.struct(F.lit(no).alias("end"), F.col(f"r{no}")["chr"].alias("chr"), F.col(f"strand{no}").alias("strand"), x["start"].alias("start"), x["end"].alias("stop")))
+    return df.select("fid", *carry, "code", "nh", length.alias("frag_length"), F.concat(rows(1), rows(2)).alias("s"))
+
+
+def _met(sections: DataFrame, features: DataFrame, size: dict, o: CountOptions, carry: tuple[str, ...]) -> DataFrame:
+    """A row for each section, bin and feature that meet there first, and rows without a feature for what meets none."""
+    narrow, broad = o.bin_width, o.bin_width * BIN_FACTOR
+    two = size["wide"] > 0
+    bins = lambda a, b, w, odd: F.sequence(F.floor(F.col(a) / w) * 2 + odd, F.floor(F.col(b) / w) * 2 + odd, F.lit(2).cast("long"))  # noqa: E731  # even: narrow bins, odd: broad ones
+    each = sections.select("fid", *carry, "code", "nh", "frag_length", F.explode_outer("s").alias("s")).select("fid", *carry, "code", "nh", "frag_length", "s.*")
+    spread = bins("start", "stop", narrow, 0)
+    each = each.withColumn("bin", F.explode_outer(F.concat(spread, bins("start", "stop", broad, 1)) if two else spread))
+    wide = F.col("f_end") - F.col("f_start") >= broad
+    of = F.when(wide, bins("f_start", "f_end", broad, 1)).otherwise(bins("f_start", "f_end", narrow, 0)) if two else bins("f_start", "f_end", narrow, 0)
+    f = features.drop("key").withColumn("f_bin", F.explode(of)).withColumnRenamed("chr", "f_chr")
+    if size["rows"] <= BROADCAST_FEATURES:
+        f = F.broadcast(f)
+    else:  # rows that meet nothing are dealt out too
+        each = each.withColumn("bin", F.coalesce("bin", -1 - F.pmod(F.xxhash64("fid"), F.lit(1 << 20)))).withColumn("chr", F.coalesce("chr", F.lit("")))
+    width = F.when(F.col("bin") % 2 == 0, narrow).otherwise(broad) if two else F.lit(narrow)
+    first = F.greatest(F.floor(F.col("start") / width), F.floor(F.col("f_start") / width)) == F.floor(F.col("bin") / 2)
+    on = (F.col("chr") == F.col("f_chr")) & (F.col("bin") == F.col("f_bin")) & (F.col("f_start") <= F.col("stop")) & (F.col("f_end") >= F.col("start")) & first
     if o.strand:
-        same = F.col("strand") == F.col("f_strand")
-        hits = hits.filter(same if o.strand == 1 else ~same)
-    return hits.withColumn("key", F.col("gene_id") if o.gene_level else F.col("feature_id").cast("string"))
+        on = on & (F.col("strand") == F.col("f_strand") if o.strand == 1 else F.col("strand") != F.col("f_strand"))
+    return each.join(f, on, "left").drop("f_chr", "f_bin", "bin", "f_strand", "strand")
+
+
+def assign(fragments: DataFrame, features: DataFrame, o: CountOptions = CountOptions(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per fragment: fid, carry (columns of fragments), status, targets (array of keys), units (what each target gets).
+
+    Features are evaluated once beforehand, to count them."""
+    f, keys, size = _keyed(features, o)
+    met = _met(_sections(fragments, o, carry), f, size, o, carry)
+    by = ["fid", *carry]
+    broadcast = (lambda df: F.broadcast(df)) if size["keys"] <= BROADCAST_FEATURES else (lambda df: df)
+    code = lambda s: F.lit(ALL.index(s) + 1)
+    if not o.needs_lengths and not o.allow_multi_overlap:
+        if o.paired:  # a key that both ends meet goes before those that one end meets
+            per = met.repartition("fid").groupBy(*by, "kid").agg(F.max("code").alias("code"), F.max("nh").alias("nh"), (F.min("end") < F.max("end")).alias("both"))
+            lo, hi = (F.coalesce(agg(F.when(F.col("both"), F.col("kid"))), agg("kid")) for agg in (F.min, F.max))
+        else:
+            per, lo, hi = met, F.min("kid"), F.max("kid")
+        one = per.groupBy(*by).agg(F.max("code").alias("code"), F.max("nh").alias("nh"), lo.alias("lo"), hi.alias("hi"))
+        status = F.when(F.col("code") > 0, F.col("code")).when(F.col("lo").isNull(), code("Unassigned_NoFeatures")).when(F.col("lo") == F.col("hi"), code("Assigned")).otherwise(code("Unassigned_Ambiguity"))
+        one = one.withColumn("code", status).withColumn("kid", F.when(status == code("Assigned"), F.col("lo"))).join(broadcast(keys), "kid", "left")
+        done = one.withColumn("targets", F.when(F.col("key").isNull(), F.array().cast("array<string>")).otherwise(F.array("key")))
+    else:
+        per = _scored(met.repartition("fid"), o, by)
+        hit = F.when(F.col("passes"), F.struct("score", "kid"))
+        one = per.groupBy(*by).agg(F.max("code").alias("code"), F.max("nh").alias("nh"), F.count("kid").alias("met"), F.collect_list(hit).alias("hits"))
+        top = F.array_max("hits")["score"]
+        wins = F.transform(F.filter("hits", lambda x: x["score"] == top) if not o.allow_multi_overlap or o.largest_overlap else F.col("hits"), lambda x: x["kid"])
+        one = one.withColumn("kids", wins)
+        n = F.size("kids")
+        many = code("Assigned") if o.allow_multi_overlap else code("Unassigned_Ambiguity")
+        status = F.when(F.col("code") > 0, F.col("code")).when(F.col("met") == 0, code("Unassigned_NoFeatures")).when(n == 0, code("Unassigned_Overlapping_Length")).when(n == 1, code("Assigned")).otherwise(many)
+        one = one.withColumn("code", status).withColumn("kids", F.when(status == code("Assigned"), F.col("kids")))
+        named = one.select(*by, "code", "nh", F.explode_outer("kids").alias("kid")).join(broadcast(keys), "kid", "left")
+        done = named.groupBy(*by).agg(F.max("code").alias("code"), F.max("nh").alias("nh"), F.sort_array(F.collect_list("key")).alias("targets"))
+    weight = F.expr(f"{UNIT} div nh") if o.fraction and not o.primary_only else F.lit(UNIT).cast("long")
+    if o.fraction and o.allow_multi_overlap:
+        weight = F.floor(weight / F.greatest(F.size("targets"), F.lit(1)))
+    assigned = F.col("code") == code("Assigned")
+    return done.select("fid", *carry, F.element_at(F.array(*map(F.lit, ALL)), F.col("code")).alias("status"), "targets", F.when(assigned, weight.cast("long")).otherwise(F.lit(0).cast("long")).alias("units"))
 
 
-def _scored(hits: DataFrame, ends: DataFrame, o: CountOptions) -> DataFrame:
-    """fid, key, nh, score, passes."""
+def _scored(met: DataFrame, o: CountOptions, by: list[str]) -> DataFrame:
+    """by, kid, code, nh, score, passes; met is dealt out by fragment."""
+    facts = [F.max("code").alias("code"), F.max("nh").alias("nh"), F.max("frag_length").alias("frag_length")]
+    both = F.when((F.min("end") < F.max("end")) & F.lit(not o.allow_multi_overlap), 1).otherwise(0)
     if not o.needs_lengths:
-        score = F.when((F.min("end") < F.max("end")) & F.lit(not o.allow_multi_overlap), 2).otherwise(1)
-        return hits.groupBy("fid", "key").agg(F.max("nh").alias("nh"), score.alias("score")).withColumn("passes", F.lit(True))
-    clipped = hits.withColumn("a", F.greatest("start", "f_start")).withColumn("b", F.least("stop", "f_end"))
+        return met.groupBy(*by, "kid").agg(*facts, (1 + both).alias("score")).withColumn("passes", F.col("kid").isNotNull())
+    shared = F.when(F.col("kid").isNotNull(), F.struct("chr", F.greatest("start", "f_start").alias("a"), F.least("stop", "f_end").alias("b")))
     if o.frac_overlap_feature > 0 or o.non_overlap_feature is not None:
-        each = union_length(clipped, ["fid", "feature_id", "chr", "f_start", "f_end"], "a", "b", "shared")
+        each = met.groupBy(*by, "kid", "feature_id", "f_start", "f_end").agg(*facts, F.collect_list(shared).alias("x"), F.min("end").alias("a"), F.max("end").alias("z"))
         span = F.col("f_end") - F.col("f_start") + 1
         need = _ceil(span * o.frac_overlap_feature)
         if o.non_overlap_feature is not None:
             need = F.greatest(need, span - o.non_overlap_feature)
-        good = each.filter(F.col("shared") >= need).select("fid", "feature_id")
-        clipped = clipped.join(good, ["fid", "feature_id"], "left_semi")
-    runs = islands(clipped, ["fid", "key", "nh", "chr"], "a", "b").groupBy("fid", "key", "nh", "chr", "__island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.collect_set("end").alias("ends"))
-    per = runs.groupBy("fid", "key", "nh").agg(F.sum(F.col("b") - F.col("a") + 1).alias("shared"), F.size(F.array_distinct(F.flatten(F.collect_list("ends")))).alias("ends"))
-    need = F.lit(o.min_overlap)
-    if o.frac_overlap > 0 or o.non_overlap is not None:
-        length = fragment_lengths(ends)
-        per = per.join(length, "fid")
-        if o.frac_overlap > 0:
-            need = F.greatest(need, _ceil(F.col("frag_length") * o.frac_overlap))
-        if o.non_overlap is not None:
-            need = F.greatest(need, F.col("frag_length") - o.non_overlap)
-    both = F.when((F.col("ends") > 1) & F.lit(not o.allow_multi_overlap), 1).otherwise(0)
-    score = 2 * F.col("shared") + both if o.largest_overlap else (1 + both)
-    return per.select("fid", "key", "nh", score.alias("score"), (F.col("shared") >= need).alias("passes"))
-
-
-def fragment_lengths(ends: DataFrame) -> DataFrame:
-    """fid, frag_length: reference bases that either end aligns to, each once."""
-    s = ends.select("fid", "chr", F.explode("sections").alias("s")).select("fid", "chr", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
-    return union_length(s, ["fid", "chr"], "start", "stop", "n").groupBy("fid").agg(F.sum("n").alias("frag_length"))
-
-
-def assign(fragments: DataFrame, features: DataFrame, o: CountOptions = CountOptions()) -> DataFrame:
-    """One row per fragment: fid, status, targets (array of keys), units (what each target gets)."""
-    judged = fragments.withColumn("status", status_of(o))
-    open_ = judged.filter("status is null")
-    ends = _ends(open_, o)
-    scored = _scored(_hits(ends, features, o), ends, o)
-    if o.needs_lengths and (o.largest_overlap or not o.allow_multi_overlap):
-        passing = F.col("passes")
-        top = F.max(F.when(passing, F.col("score"))).over(Window.partitionBy("fid"))
-        scored = scored.withColumn("wins", passing & (F.col("score") == top))
-    elif not o.needs_lengths and o.paired and not o.allow_multi_overlap:
-        scored = scored.withColumn("wins", F.col("score") == F.max("score").over(Window.partitionBy("fid")))
+        each = each.withColumn("kid", F.when(_union(F.col("x")) >= need, F.col("kid")))
+        per = each.groupBy(*by, "kid").agg(F.max("code").alias("code"), F.max("nh").alias("nh"), F.max("frag_length").alias("frag_length"), F.flatten(F.collect_list("x")).alias("x"), F.when((F.min("a") < F.max("z")) & F.lit(not o.allow_multi_overlap), 1).otherwise(0).alias("both"))
     else:
-        scored = scored.withColumn("wins", F.col("passes"))
-    per = scored.groupBy("fid").agg(F.sort_array(F.collect_list(F.when(F.col("wins"), F.col("key")))).alias("targets"), F.max("nh").alias("nh"))
-    met = open_.select("fid").join(per, "fid", "left")
-    n = F.size("targets")
-    status = F.when(F.col("targets").isNull(), "Unassigned_NoFeatures").when(n == 0, "Unassigned_Overlapping_Length")
-    status = status.otherwise("Assigned") if o.allow_multi_overlap else status.when(n > 1, "Unassigned_Ambiguity").otherwise("Assigned")
-    weight = F.expr(f"{UNIT} div nh") if o.fraction and not o.primary_only else F.lit(UNIT).cast("long")
-    done = met.withColumn("status", status).withColumn("weight", weight.cast("long"))
-    if o.fraction and o.allow_multi_overlap:
-        done = done.withColumn("weight", F.expr("weight div greatest(size(targets), 1)"))
-    done = done.select("fid", "status", F.when(F.col("status") == "Assigned", F.col("targets")).otherwise(F.array().cast("array<string>")).alias("targets"), F.when(F.col("status") == "Assigned", F.col("weight")).otherwise(F.lit(0).cast("long")).alias("units"))
-    shut = judged.filter("status is not null").select("fid", "status", F.array().cast("array<string>").alias("targets"), F.lit(0).cast("long").alias("units"))
-    return done.unionByName(shut)
+        per = met.groupBy(*by, "kid").agg(*facts, F.collect_list(shared).alias("x"), both.alias("both"))
+    need = F.lit(o.min_overlap)
+    if o.frac_overlap > 0:
+        need = F.greatest(need, _ceil(F.col("frag_length") * o.frac_overlap))
+    if o.non_overlap is not None:
+        need = F.greatest(need, F.col("frag_length") - o.non_overlap)
+    per = per.withColumn("shared", _union(F.col("x")))
+    score = 2 * F.col("shared") + F.col("both") if o.largest_overlap else 1 + F.col("both")
+    return per.select(*by, "kid", "code", "nh", score.alias("score"), (F.col("kid").isNotNull() & (F.col("shared") >= need)).alias("passes"))
 
 
 def count_table(assigned: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ def _moved_sql(start: str, end: str) -> str:
 SELECT key, count(*)::DOUBLE AS count FROM k WHERE k = 1 GROUP BY key"""
 
 
-@query(_moved_sql("greatest(1, pos + CASE WHEN strand = '+' THEN -15 ELSE 15 END)", "greatest(1, pos + len - 1 + CASE WHEN strand = '+' THEN -15 ELSE 15 END)"))
+@query(_moved_sql("pos + CASE WHEN strand = '+' THEN greatest(-15, 1 - pos) ELSE 15 END", "pos + len - 1 + CASE WHEN strand = '+' THEN greatest(-15, 1 - pos) ELSE 15 END"))
 def count_shifted(spark, sf_dir):
     return _counts(_assigned(spark, sf_dir, shift=15, shift_type="upstream"))
 
@@ -219,8 +219,8 @@ def feature_count_table(spark, sf_dir):
 
 @query(f"""WITH {ANY}, g AS ({ONE_GENE}) SELECT file AS library, key, count(*)::DOUBLE AS count FROM g JOIN l USING (fid) WHERE k = 1 GROUP BY file, key""")
 def count_by_library(spark, sf_dir):
-    a = views.reads(spark, sf_dir).withColumn("fid", F.concat_ws("\x1f", "file", "fid"))
-    done = C.assign(C.single_fragments(a), views.features(spark, sf_dir)).withColumn("library", F.substring_index("fid", "\x1f", 1))
+    a = views.reads(spark, sf_dir).withColumnRenamed("file", "library")
+    done = C.assign(C.single_fragments(a, carry=("library",)), views.features(spark, sf_dir), carry=("library",))
     each = done.filter("status = 'Assigned'").select("library", F.explode("targets").alias("key"), "units")
     return each.groupBy("library", "key").agg((F.sum("units") / C.UNIT).alias("count"))
 

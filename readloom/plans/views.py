@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,9 +10,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
-
-
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single-end alignments: one of each line item.  nh counts the records of a name."""
     li = table(spark, sf_dir, "lineitem")
@@ -22,10 +19,9 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = li.select(
         F.col("l_linestatus").alias("file"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("qname"), flag.cast("int").alias("flag"), F.concat(F.lit("chr"), F.col("l_suppkey") % 5).alias("chr"),
         (F.col("l_partkey") * 50 + F.col("l_linenumber") * 7).cast("int").alias("pos"), (F.col("l_suppkey") % 60).cast("int").alias("mapq"), cigar.alias("cigar"), F.lit(0).alias("tlen"), qty.alias("len"),
-        F.concat_ws("|", *[F.col(c).cast("string") for c in LINE_KEY]).alias("fid"),
+        F.monotonically_increasing_id().alias("fid"),
     )
-    names = out.groupBy("qname").agg(F.count(F.lit(1)).cast("int").alias("nh"))
-    return out.join(names, "qname")
+    return out.withColumn("nh", F.count(F.lit(1)).over(Window.partitionBy("qname")).cast("int"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
