@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.operators import align as _align
@@ -20,19 +20,27 @@ from readloom.operators import readtools as _tools
 from readloom.operators import singlecell as _cells
 from readloom.operators import variants as _variants
 from readloom.operators.simulate import simulate_reads
+from readloom.session import written
 from readloom.sources import tables
-from readloom.sources.bam import read_bam
+from readloom.sources.bam import read_bam, read_header
 from readloom.sources.files import probe
-from readloom.sources.sequences import read_barcode_pairs, read_fasta, read_fastq
+from readloom.sources.sequences import barcode_reads, read_barcode_folder, read_barcode_pairs, read_fasta, read_fastq
 
 CHUNK, OVERLAP = 65_536, 2048
+#: Places of each mate from which a pair is chosen.
+MATE_PLACES = 4
+#: Bases of a transcript, which is one row.
+TRANSCRIPT = 1 << 26
 
 
 def read_alignments(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """SAM and BAM files, by their content."""
-    out = None
-    for path in [paths] if isinstance(paths, str) else paths:
+    """SAM and BAM files, by their content.  A file goes by its base name, or by its path where base names repeat."""
+    out, paths = None, [paths] if isinstance(paths, str) else list(paths)
+    base = [p.rstrip("/").rpartition("/")[2] for p in paths]
+    for path, name in zip(paths, base):
         one = read_bam(spark, path) if probe(path) == "bam" else tables.read_sam(spark, path)
+        if base.count(name) > 1:
+            one = one.withColumn("file", F.lit(path))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -45,44 +53,58 @@ def annotation(spark: SparkSession, given: str | DataFrame, is_gtf: bool = False
 
 def feature_counts(
     spark: SparkSession, files: str | Sequence[str] | DataFrame, annot: str | DataFrame, is_gtf: bool = False, feature_types: str = "exon", gene_attribute: str = "gene_id", aliases: str | None = None,
-    by_read_group: bool = False, junction_counts: bool = False, genome: str | None = None, options: _counting.CountOptions = _counting.CountOptions(),
+    by_read_group: bool = False, junction_counts: bool = False, genome: str | None = None, extra: tuple[str, ...] = (), options: _counting.CountOptions = _counting.CountOptions(),
 ) -> dict[str, DataFrame]:
-    """counts (key, a column a library), annotation (with lengths), summary (status, library, n), assigned (per fragment), and
-    junctions if asked, with strands if a genome is given."""
+    """counts (key, a column a library), annotation (exon lists, lengths and the ``extra`` attributes, each value once), summary (status, a
+    column a library), assigned (per fragment), and with junction_counts junctions, in eleven columns and one a library, with strands if a genome is given.
+
+    Shifts and extensions end at the contigs' lengths, which the files' headers give."""
     reads = files if isinstance(files, DataFrame) else read_alignments(spark, files)
-    features = annotation(spark, annot, is_gtf, feature_types, gene_attribute)
+    features = annotation(spark, annot, is_gtf, feature_types, gene_attribute, extra)
     library = F.concat_ws(":", "file", "rg") if by_read_group else F.col("file")
     if by_read_group:
         reads = reads.filter("rg is not null")
     if not options.paired and reads.filter(F.col("flag").bitwiseAND(F.lit(1)) != 0).limit(1).count():
         raise ValueError("paired reads in a library that is declared single-end")
+    if (options.shift or options.extend_5 or options.extend_3) and not isinstance(files, DataFrame):
+        reads = reads.join(F.broadcast(contig_lengths(spark, files)), "chr", "left")
     names = _chromosomes(spark, reads, features, aliases)
     reads = reads.withColumn("library", library).join(F.broadcast(names.withColumnRenamed("chr", "known")), reads["chr"] == F.col("rname"), "left").withColumn("chr", F.coalesce("known", "chr")).drop("known", "rname")
+    carry = ("library",)
     if options.paired:
         place = F.least(F.struct("chr", "pos"), F.struct(F.when(F.col("rnext") == "=", F.col("chr")).otherwise(F.col("rnext")).alias("chr"), F.col("pnext").alias("pos")))
         reads = reads.withColumn("at", F.concat_ws(":", place["chr"], place["pos"]))
-        fragments = _counting.fragments_of(reads, ["library", "qname", "at", "hi"])
+        fragments = _counting.fragments_of(reads, ["library", "qname", "at", "hi"], carry)
     else:
         numbered = reads.withColumn("fid", F.concat_ws("\x1f", "library", "qname", "flag", "chr", "pos", "cigar", "hi"))
-        fragments = _counting.single_fragments(numbered)
-    assigned = _counting.assign(fragments, features, options).withColumn("library", F.substring_index("fid", "\x1f", 1))
+        fragments = _counting.single_fragments(numbered, carry=carry)
+    assigned = _counting.assign(fragments, features, options, carry)
     each = assigned.filter("status = 'Assigned'").select("library", F.explode("targets").alias("key"), "units").groupBy("library", "key").agg((F.sum("units") / _counting.UNIT).alias("count"))
+    table = _counting.gene_table(features, each.groupBy("key").agg(F.sum("count").alias("count")), extra) if options.gene_level else features
     out = {
-        "counts": _counting.wide(each, "library"), "summary": assigned.groupBy("library", "status").agg(F.count(F.lit(1)).alias("n")), "assigned": assigned,
-        "annotation": _counting.gene_table(features, each.groupBy("key").agg(F.sum("count").alias("count"))) if options.gene_level else features,
+        "counts": _counting.wide(each, "library"), "annotation": table, "assigned": assigned,
+        "summary": tables.summary_rows(assigned.groupBy("library", "status").agg(F.count(F.lit(1)).alias("n")), _counting.statuses(options)),
     }
     if junction_counts:
-        found = _counting.junctions(fragments).withColumn("library", F.substring_index("fid", "\x1f", 1))
-        per = found.groupBy("library", "chr", "left", "right").agg(F.count(F.lit(1)).alias("support"))
+        per = _counting.junctions(fragments, carry).groupBy("library", "chr", "left", "right").agg(F.count(F.lit(1)).alias("support"))
         sites = per.groupBy("chr", "left", "right").agg(F.sum("support").alias("support"))
-        exons = features if "transcript_id" in features.columns else features.withColumn("transcript_id", F.col("gene_id"))
+        exons = features if "transcript_id" in features.columns else features.withColumn("transcript_id", F.col("attrs")["transcript_id"] if "attrs" in features.columns else F.col("gene_id"))
         classes = _counting.classify_junctions(sites, exons)
         if genome:
-            classes = _counting.junction_strand(classes, read_fasta(spark, genome, 1 << 30).select("chr", "seq"))
-        out["junctions"], out["junction_counts"] = classes, per
+            classes = _counting.junction_strand(classes, read_fasta(spark, genome, CHUNK, OVERLAP).select("chr", "start", "seq"), CHUNK)
+        out["junctions"], out["junction_counts"] = _counting.junction_table(classes, per), per
     return out
 
 
+def contig_lengths(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """chr, chr_length by the headers of SAM and BAM files; the least where they differ."""
+    out = None
+    for path in [paths] if isinstance(paths, str) else paths:
+        one = spark.createDataFrame(read_header(path)[1], "chr string, chr_length int") if probe(path) == "bam" else tables.contig_lengths(spark, path)
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("chr").agg(F.min("chr_length").alias("chr_length"))
+
+
 def _chromosomes(spark, reads: DataFrame, features: DataFrame, aliases: str | None) -> DataFrame:
     from readloom.functions.dna import chromosome_match
 
@@ -91,8 +113,8 @@ def _chromosomes(spark, reads: DataFrame, features: DataFrame, aliases: str | No
 
 def build_index(spark: SparkSession, reference: str, target: str, gapped: bool = False, threshold: int = 100) -> None:
     """Writes kmers/ (in files by kmer), chunks/ (bases) and step/ (one place in step has a 16-mer) to target."""
-    _align.check_reference(read_fasta(spark, reference, 1 << 30))
     chunks = read_fasta(spark, reference, CHUNK, OVERLAP).select("chr", "start", "seq")
+    _align.check_reference(chunks)
     chunks.write.parquet(f"{target}/chunks")
     chunks = spark.read.parquet(f"{target}/chunks")
     step = 3 if gapped else 1
@@ -111,19 +133,26 @@ def _read_index(spark: SparkSession, index: str) -> tuple[DataFrame, DataFrame,
 
 
 def align(spark: SparkSession, index: str, reads: str, mates: str | None = None, options: _align.AlignOptions = _align.AlignOptions(), kind: str = "rna") -> DataFrame:
-    """Alignments of FASTQ reads; with mates, rid, r1, r2, proper and tlen.  kind "dna" takes other thresholds for pairs as given."""
+    """Alignments of FASTQ reads; with mates, records of both ends with mate fields.
+
+    kind: "dna" reads have no introns, so they map without junctions, and more mismatches pass, as the reference's whole read has to fit."""
     if kind not in ("rna", "dna"):
         raise ValueError("kind is rna or dna")
+    if kind == "dna":
+        options = replace(options, junctions=False, max_mismatches=max(options.max_mismatches, 3))
     kmers, chunks, step = _read_index(spark, index)
 
-    def one(path: str) -> DataFrame:
+    def one(path: str, o: _align.AlignOptions) -> DataFrame:
         r = read_fastq(spark, path).select(F.regexp_replace("name", "/[12]$", "").alias("rid"), "seq", "qual")
-        return _align.align(r, kmers, chunks, options, CHUNK, step)
+        return _align.align(r, kmers, chunks, o, CHUNK, step)
 
-    return one(reads) if mates is None else _align.pair_up(one(reads), one(mates), options)
+    if mates is None:
+        return one(reads, options)
+    several = replace(options, best=max(options.best, MATE_PLACES), unique=False, threshold=min(options.threshold, max(options.mate_threshold, 1)))
+    return _align.mate_records(_align.pair_up(one(reads, several), one(mates, several), options))
 
 
-def subjunc(spark: SparkSession, index: str, reads: str, mates: str | None = None, options: _align.AlignOptions = _align.AlignOptions(subreads=14, threshold=1, mate_threshold=1)) -> DataFrame:
+def subjunc(spark: SparkSession, index: str, reads: str, mates: str | None = None, options: _align.AlignOptions = _align.AlignOptions(seeds=14, threshold=1, mate_threshold=1)) -> DataFrame:
     """As align, with exon junctions."""
     return align(spark, index, reads, mates, replace(options, junctions=True))
 
@@ -133,12 +162,26 @@ def sublong(spark: SparkSession, index: str, reads: str) -> DataFrame:
     return _align.align_long(r, spark.read.parquet(f"{index}/kmers"))
 
 
-def exact_snp(spark: SparkSession, alignments: str, reference: str, known: str | None = None, options: _variants.SnpOptions = _variants.SnpOptions()) -> DataFrame:
-    reads = read_alignments(spark, alignments).withColumn("fid", F.concat_ws("\x1f", "file", "qname", "hi")).withColumn("end", F.when(F.col("flag").bitwiseAND(F.lit(128)) != 0, 2).otherwise(1))
-    bases = _variants.mates_resolved(_variants.aligned_bases(reads, options))
-    ref = read_fasta(spark, reference, 1000).select("chr", "start", F.posexplode(F.split("seq", "")).alias("i", "ref")).filter("ref != ''").select("chr", (F.col("start") + F.col("i")).alias("pos"), "ref")
+def exact_snp(
+    spark: SparkSession, alignments: str, reference: str, known: str | None = None, options: _variants.SnpOptions = _variants.SnpOptions(), control: str | None = None, indels: bool = True,
+) -> DataFrame:
+    """SNP rows chr, pos, ref, alt, qual, info and indel rows; with a control's alignments, its counts are in the INFO of SNPs."""
+    ref = read_fasta(spark, reference, CHUNK, OVERLAP).select("chr", "start", "seq")
+
+    def piled(path: str) -> tuple[DataFrame, DataFrame]:
+        reads = read_alignments(spark, path).withColumn("fid", F.concat_ws("\x1f", "file", "qname", "hi")).withColumn("end", F.when(F.col("flag").bitwiseAND(F.lit(128)) != 0, 2).otherwise(1))
+        return reads, _variants.pileup(_variants.mates_resolved(_variants.aligned_bases(reads, options)), ref, options, CHUNK)
+
+    reads, pile = piled(alignments)
     seen = _variants.snp_bitmap(tables.read_vcf(spark, known)) if known else None
-    return _variants.call_snps(_variants.pileup(bases, ref, options), seen, options)
+    rows = _variants.call_snps(pile, seen, options)
+    if control:
+        rows = _variants.with_control(rows, pile, piled(control)[1])
+    rows = rows.select("chr", "pos", "ref", "alt", "qual", "info")
+    if indels:
+        found = _variants.indel_rows(_variants.indel_alleles(reads, ref, options, CHUNK))
+        rows = rows.unionByName(found.withColumn("qual", F.col("qual").cast("double")))
+    return rows
 
 
 def find_common_variants(spark: SparkSession, files: Sequence[str]) -> DataFrame:
@@ -169,9 +212,10 @@ def get_in_built_annotation(spark: SparkSession, genome: str, folder: str) -> Da
 process_exons = _intervals.process_exons
 
 
-def detection_call_annotation(spark: SparkSession, exons: DataFrame, reference: str, bin_width: int = 2000) -> dict[str, DataFrame]:
-    """exons and bins between genes with their GC, AT and N counts."""
-    contigs = read_fasta(spark, reference, 1 << 30).select("chr", "seq")
+def detection_call_annotation(spark: SparkSession, exons: DataFrame | str, reference: str, bin_width: int = 2000) -> dict[str, DataFrame]:
+    """exons (a table, or a GTF file) and bins between genes with their GC, AT and N counts."""
+    exons = annotation(spark, exons, is_gtf=True) if isinstance(exons, str) else exons
+    contigs = read_fasta(spark, reference, CHUNK).select("chr", "start", "seq")
     genes = exons.groupBy("chr", "gene_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return {"exons": _tools.gc_content(exons, contigs, ["gene_id", "chr"]), "bins": _tools.gc_content(_tools.intergenic_bins(genes, bin_width), contigs, ["chr"])}
 
@@ -193,17 +237,14 @@ def propmapped(spark: SparkSession, files: str | Sequence[str], count_fragments:
 def quality_scores(spark: SparkSession, path: str, wanted: int = 10000, offset: int = 33) -> DataFrame:
     """path: FASTQ, SAM or BAM."""
     if probe(path).startswith("fastq"):
-        reads = read_fastq(spark, path).withColumn("flag", F.lit(0)).orderBy("file", "offset", "ordinal").select("flag", "qual")
-    else:
-        reads = read_alignments(spark, path).select("flag", "qual")
-    # record numbers: a number within the task plus what the tasks before hold
-    parts = reads.withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id())
-    sizes = {r["p"]: r["n"] for r in parts.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    offsets = spark.createDataFrame(sorted(before.items()) or [], "p int, o long")
-    numbered = parts.join(F.broadcast(offsets), "p").withColumn("ordinal", F.col("o") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
+        reads, split = read_fastq(spark, path).withColumn("flag", F.lit(0)), ["file", "offset"]
+    else:  # numbered once: read again, the tasks could differ
+        reads, split = written(read_alignments(spark, path).select("flag", "qual", F.spark_partition_id().alias("split"), F.monotonically_increasing_id().alias("m")), "records"), ["split"]
+        reads = reads.withColumn("ordinal", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
+    # a record's number is its number within its split and how many the splits before hold
+    sizes = reads.groupBy(*split).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    numbered = reads.join(F.broadcast(before), split).withColumn("ordinal", F.col("ordinal") + F.col("before"))
     return _tools.quality_scores(numbered.select("ordinal", "flag", "qual"), wanted, offset)
 
 
@@ -226,29 +267,42 @@ def sam2bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
-    return _tools.fasta_summary(read_fasta(spark, path, 1 << 30).select(F.col("chr").alias("transcript_id"), "seq"))
+    return _tools.fasta_summary(transcripts(spark, path))
+
+
+def transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """transcript_id, seq; one of over TRANSCRIPT bases is an error."""
+    long = F.when(F.col("start") > 1, F.raise_error(F.concat(F.lit("too long a transcript: "), "chr"))).otherwise(F.col("seq"))
+    return read_fasta(spark, path, TRANSCRIPT).select(F.col("chr").alias("transcript_id"), long.alias("seq"))
 
 
 def sim_reads(spark: SparkSession, path: str, expression: DataFrame, reads: int, **options) -> DataFrame:
     """expression: transcript_id, expression."""
-    tx = read_fasta(spark, path, 1 << 30).select(F.col("chr").alias("transcript_id"), "seq").join(expression, "transcript_id", "left")
+    tx = transcripts(spark, path).join(expression, "transcript_id", "left")
     return simulate_reads(tx, reads, **options)
 
 
 def cell_counts(
     spark: SparkSession, index: str, sheet: DataFrame, barcodes: DataFrame, annot: str | DataFrame, cutoff: float | None = None, barcode_length: int = 16, umi_length: int = 12, rescue: bool = True, is_gtf: bool = False,
 ) -> dict[str, DataFrame]:
-    """sheet: BarcodeUMIFile, ReadFile, SampleName; barcodes: barcode, ordinal.  counts (long), cells, and samples."""
-    _cells.check_sheet(sheet.columns, "fastq")
+    """sheet: SampleName and BarcodeUMIFile with ReadFile, or FastqDirectory (files ..._R1_... and ..._R2_... of each lane), or BAMFile
+    (raw barcodes and UMIs in tags CR and UR); barcodes: barcode, ordinal.  counts (long), cells, and samples."""
+    mode = next((m for m in ("fastq", "fastq-dir", "bam") if set(_cells.SHEET_COLUMNS[m]) <= set(sheet.columns)), "fastq")
+    _cells.check_sheet(sheet.columns, mode)
     features, hits = annotation(spark, annot, is_gtf), None
     kmers, chunks, step = _read_index(spark, index)
+    read = {
+        "fastq": lambda row: read_barcode_pairs(spark, row["BarcodeUMIFile"], row["ReadFile"], barcode_length, umi_length),
+        "fastq-dir": lambda row: read_barcode_folder(spark, row["FastqDirectory"], barcode_length, umi_length),
+        "bam": lambda row: barcode_reads(read_alignments(spark, row["BAMFile"]), barcode_length, umi_length),
+    }[mode]
     for row in sheet.collect():
-        pairs = read_barcode_pairs(spark, row["BarcodeUMIFile"], row["ReadFile"], barcode_length, umi_length)
+        pairs = read(row)
         fixed = _cells.correct_barcodes(pairs.select(F.col("barcode").alias("raw")).distinct(), barcodes).withColumnRenamed("barcode", "cell")
         placed = _align.align(pairs.select(F.col("name").alias("rid"), "seq", "qual"), kmers, chunks, _align.AlignOptions(max_mismatches=10), CHUNK, step)
         reads = placed.filter("chr != '*'").select(F.col("rid").alias("fid"), "flag", "chr", "pos", "mapq", "cigar", F.lit(0).alias("tlen"), "nh")
         genes = _counting.assign(_counting.single_fragments(reads), features, _counting.CountOptions(strand=1)).filter("status = 'Assigned'")
-        met = genes.select(F.col("fid").alias("name"), F.col("targets")[0].alias("gene")).join(pairs.select("name", "barcode", "umi"), "name").join(fixed.withColumnRenamed("raw", "barcode"), "barcode")
+        met = genes.select(F.col("fid").alias("name"), F.get("targets", F.lit(0)).alias("gene")).join(pairs.select("name", "barcode", "umi"), "name").join(fixed.withColumnRenamed("raw", "barcode"), "barcode")
         one = met.select(F.lit(row["SampleName"]).alias("sample"), "cell", "gene", "umi")
         hits = one if hits is None else hits.unionByName(one)
     counts = _cells.umi_counts(_cells.resolve_genes(_cells.merge_umis(_cells.umi_evidence(hits))))

@@ -8,17 +8,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.dna import reverse_complement
 
 K = 16
+#: Places of a piece of a chunk.
+PIECE = 256
 
 
 @dataclass(frozen=True)
 class AlignOptions:
-    subreads: int = 10
+    seeds: int = 10
     threshold: int = 3  # votes that a read's best place needs
     mate_threshold: int = 1
     indel: int = 5
@@ -44,6 +46,9 @@ def build_index(chunks: DataFrame, step: int = 1, max_occurrences: int = 100) ->
 
     step 3 keeps every third base.  16-mers with another letter than ACGT or with more than max_occurrences places are left out."""
     seq = chunks.withColumn("seq", F.upper("seq")).filter(F.length("seq") >= K)
+    # short pieces first: taking a substring costs its place in the string
+    cut = F.explode(F.sequence(F.lit(0), F.length("seq") - K, F.lit(PIECE)))
+    seq = seq.select("chr", "start", "seq", cut.alias("a")).select("chr", (F.col("start") + F.col("a")).alias("start"), F.substring("seq", F.col("a") + 1, F.lit(PIECE + K - 1)).alias("seq"))
     each = seq.select("chr", "start", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("seq") - (K - 1)), lambda i: F.substring("seq", i, F.lit(K)))).alias("i", "s"))
     places = each.select("chr", (F.col("start") + F.col("i")).alias("pos"), "s").filter(((F.col("pos") - 1) % step == 0) & ~F.col("s").rlike("[^ACGT]")).distinct()
     places = places.select(_kmer("s").alias("kmer"), "chr", "pos")
@@ -51,9 +56,10 @@ def build_index(chunks: DataFrame, step: int = 1, max_occurrences: int = 100) ->
     return places.join(common, "kmer", "left_anti")
 
 
-def check_reference(contigs: DataFrame) -> None:
-    """Contigs have names, each once, and bases."""
-    bad = contigs.groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("seq")).alias("m")).filter((F.col("n") > 1) | F.col("chr").isNull() | (F.col("chr") == "") | (F.col("m") == 0))
+def check_reference(chunks: DataFrame) -> None:
+    """Contigs have names, each once, and bases.  chunks: chr, start, seq; each contig's first begins at 1."""
+    first = chunks.filter("start = 1")
+    bad = first.groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("seq")).alias("m")).filter((F.col("n") > 1) | F.col("chr").isNull() | (F.col("chr") == "") | (F.col("m") == 0))
     if names := [r["chr"] for r in bad.limit(5).collect()]:
         raise ValueError(f"repeated or empty contigs: {names}")
 
@@ -64,8 +70,8 @@ def seeds(reads: DataFrame, o: AlignOptions = AlignOptions(), step: int = 1) ->
     both = reads.select("rid", trimmed.alias("s")).filter(F.length("s") >= K)
     both = both.select("rid", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("s").alias("s")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("s")).alias("s")))).alias("x")).select("rid", "x.*")
     last = F.length("s") - K
-    gap = F.greatest(last / max(o.subreads - 1, 1), F.lit(float(step)))
-    at = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(0), F.lit(o.subreads - 1)), lambda i: F.floor(i * gap).cast("int")), lambda i: i <= last))
+    gap = F.greatest(last / max(o.seeds - 1, 1), F.lit(float(step)))
+    at = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(0), F.lit(o.seeds - 1)), lambda i: F.floor(i * gap).cast("int")), lambda i: i <= last))
     if step > 1:  # a gapped index has one place in step: each seed tries so many neighbours
         at = F.array_distinct(F.filter(F.flatten(F.transform(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(step - 1)), lambda d: a + d))), lambda i: i <= last))
     each = both.select("rid", "strand", "s", F.explode(at).alias("offset")).withColumn("k", F.expr(f"substring(s, offset + 1, {K})"))
@@ -95,16 +101,6 @@ def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode(), np.uint8)
 
 
-def split_alignment(read: str, left: str, right: str) -> tuple[int, int]:
-    """The cut b in 1..n-1 with fewest mismatches if the first b bases follow left and the rest right, and how many."""
-    r = _codes(read)
-    a = np.r_[0, np.cumsum(r != _codes(left))]
-    z = np.r_[np.cumsum((r != _codes(right))[::-1])[::-1], 0]
-    total = (a + z)[1 : len(r)]
-    b = int(np.argmin(total)) + 1
-    return b, int(total[b - 1])
-
-
 def banded(read: str, window: str, band: int, match: int = 2, mismatch: int = 0, gap_open: int = -1, gap_extend: int = 0) -> tuple[str, int, int]:
     """CIGAR, mismatches and start of the best alignment of a whole read within a window that begins ``band`` bases before
     its place; affine gaps, diagonals within band of the middle one."""
@@ -270,8 +266,11 @@ def align(reads: DataFrame, index: DataFrame, chunks: DataFrame, o: AlignOptions
 
 
 def pair_up(first: DataFrame, second: DataFrame, o: AlignOptions = AlignOptions()) -> DataFrame:
-    """Alignments of two mates side by side with FLAG, TLEN and whether the pair is proper."""
-    a, b = (df.select("rid", F.struct(*[c for c in df.columns if c != "rid"]).alias(f"r{i}")) for i, df in ((1, first.filter("hi is null or hi = 1")), (2, second.filter("hi is null or hi = 1"))))
+    """Alignments of two mates side by side, rid, r1, r2, with whether the pair is proper and its length.
+
+    Mates may have several places each (``best``): of all combinations a proper one goes first, then one on one contig, then that with fewest
+    mismatches, then the mates' own order."""
+    a, b = (df.select("rid", F.struct(*[c for c in df.columns if c != "rid"]).alias(f"r{i}")) for i, df in ((1, first), (2, second)))
     met = a.join(b, "rid", "full")
     rev = lambda r: F.col(f"{r}.flag").bitwiseAND(F.lit(16)) != 0
     span = lambda r: F.length(f"{r}.seq")
@@ -280,8 +279,35 @@ def pair_up(first: DataFrame, second: DataFrame, o: AlignOptions = AlignOptions(
     size = right - left
     ahead = F.when(rev("r1"), F.col("r2.pos") <= F.col("r1.pos")).otherwise(F.col("r1.pos") <= F.col("r2.pos"))
     proper = F.coalesce(mapped & (F.col("r1.chr") == F.col("r2.chr")) & (rev("r1") != rev("r2")) & ahead & size.between(o.min_fragment, o.max_fragment), F.lit(False))
-    tlen = F.when(mapped & (F.col("r1.chr") == F.col("r2.chr")), F.when(F.col("r1.pos") <= F.col("r2.pos"), size).otherwise(-size)).otherwise(0)
-    return met.withColumn("proper", proper).withColumn("tlen", tlen)
+    same = F.coalesce(mapped & (F.col("r1.chr") == F.col("r2.chr")), F.lit(False))
+    tlen = F.when(same, F.when(F.col("r1.pos") <= F.col("r2.pos"), size).otherwise(-size)).otherwise(0)
+    met = met.withColumn("proper", proper).withColumn("tlen", tlen)
+    none = F.lit(0)
+    order = [F.col("proper").desc(), same.desc(), F.coalesce("r1.nm", none) + F.coalesce("r2.nm", none), F.coalesce("r1.hi", none) + F.coalesce("r2.hi", none), "r1.chr", "r1.pos", "r2.pos"]
+    return met.withColumn("r", F.row_number().over(Window.partitionBy("rid").orderBy(*order))).filter("r = 1").drop("r")
+
+
+def mate_records(pairs: DataFrame) -> DataFrame:
+    """Two alignment records of each pair, with mate fields: qname, flag, chr, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, tags, nh, hi."""
+    def record(no: int) -> Column:
+        me, mate = F.col(f"r{no}"), F.col(f"r{3 - no}")
+        up = F.coalesce(me["chr"] != "*", F.lit(False))
+        mate_up = F.coalesce(mate["chr"] != "*", F.lit(False))
+        bit = lambda r, b: F.coalesce(r["flag"].bitwiseAND(F.lit(b)) != 0, F.lit(False))
+        flag = F.lit(1 + (64 if no == 1 else 128)) + F.when(F.col("proper"), 2).otherwise(0) + F.when(up, F.when(bit(me, 16), 16).otherwise(0)).otherwise(4) + F.when(mate_up, F.when(bit(mate, 16), 32).otherwise(0)).otherwise(8)
+        # an unmapped end stands at its mate's place
+        chrom = F.when(up, me["chr"]).when(mate_up, mate["chr"]).otherwise("*")
+        pos = F.when(up, me["pos"]).when(mate_up, mate["pos"]).otherwise(0)
+        mate_chr = F.when(mate_up, mate["chr"]).when(up, me["chr"])
+        mate_pos = F.when(mate_up, mate["pos"]).when(up, me["pos"]).otherwise(0)
+        tags = F.when(up, F.create_map(F.lit("NM"), me["nm"].cast("string"), F.lit("NH"), me["nh"].cast("string"), F.lit("HI"), me["hi"].cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+        return F.struct(
+            flag.alias("flag"), chrom.alias("chr"), pos.alias("pos"), F.coalesce(me["mapq"], F.lit(0)).alias("mapq"), F.coalesce(me["cigar"], F.lit("*")).alias("cigar"),
+            F.when(mate_chr.isNull(), "*").when(mate_chr == chrom, "=").otherwise(mate_chr).alias("rnext"), mate_pos.alias("pnext"), (F.col("tlen") if no == 1 else -F.col("tlen")).cast("int").alias("tlen"),
+            me["seq"].alias("seq"), me["qual"].alias("qual"), tags.alias("tags"), F.coalesce(me["nh"], F.lit(0)).alias("nh"), me["hi"].alias("hi"),
+        )
+
+    return pairs.select(F.col("rid").alias("qname"), F.explode(F.array(record(1), record(2))).alias("x")).select("qname", "x.*").filter("seq is not null")
 
 
 def breakpoint_class(pairs: DataFrame, most: int = 10_000, o: AlignOptions = AlignOptions()) -> DataFrame:

@@ -324,13 +324,15 @@ def summary_table(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def gene_table(features: DataFrame, counts: DataFrame) -> DataFrame:
-    """gene_id, exon lists, length (union per chromosome and strand) and count, 0 where nothing came."""
+def gene_table(features: DataFrame, counts: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """gene_id, exon lists, length (union per chromosome and strand), extra columns of the features, whose values are listed exon by exon, or
+    once where all are equal, and count, 0 where nothing came."""
     length = union_length(features, ["gene_id", "chr", "strand"], name="n").groupBy("gene_id").agg(F.sum("n").alias("length"))
-    rows = F.sort_array(F.collect_list(F.struct("feature_id", "chr", "start", "end", "strand")))
+    rows = F.sort_array(F.collect_list(F.struct("feature_id", "chr", "start", "end", "strand", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in extra))))
     exons = features.groupBy("gene_id").agg(rows.alias("x"))
     joined = lambda c: F.array_join(F.transform("x", lambda v: v[c].cast("string")), ";").alias(c)
-    lists = exons.select("gene_id", *map(joined, ("chr", "start", "end", "strand")))
+    once = lambda c: F.when(F.size(F.array_distinct(F.transform("x", lambda v: v[c]))) == 1, F.get("x", F.lit(0))[c]).otherwise(joined(c)).alias(c)
+    lists = exons.select("gene_id", *map(joined, ("chr", "start", "end", "strand")), *map(once, extra))
     return lists.join(length, "gene_id").join(counts.select(F.col("key").alias("gene_id"), "count"), "gene_id", "left").na.fill({"count": 0.0})
 
 
@@ -348,13 +350,13 @@ def wide(counts: DataFrame, library: str = "file") -> DataFrame:
 # Junctions: an independent branch from the raw fragments, whatever their status.
 
 
-def junctions(fragments: DataFrame) -> DataFrame:
-    """fid, chr, left (last base before), right (first base after): each of a fragment's junctions once."""
-    each = fragments.select("fid", F.explode(F.array("r1", "r2")).alias("r")).filter(F.col("r").isNotNull() & ~has(F.col("r.flag"), UNMAPPED) & F.col("r.cigar").contains("N"))
-    s = each.select("fid", F.col("r.chr").alias("chr"), cigar_sections(F.col("r.cigar"), F.col("r.pos")).alias("s"))
+def junctions(fragments: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """fid, carry, chr, left (last base before), right (first base after): each of a fragment's junctions once."""
+    each = fragments.select("fid", *carry, F.explode(F.array("r1", "r2")).alias("r")).filter(F.col("r").isNotNull() & ~has(F.col("r.flag"), UNMAPPED) & F.col("r.cigar").contains("N"))
+    s = each.select("fid", *carry, F.col("r.chr").alias("chr"), cigar_sections(F.col("r.cigar"), F.col("r.pos")).alias("s"))
     pairs = F.filter(F.transform(F.sequence(F.lit(0), F.size("s") - 2), lambda i: F.struct(F.get("s", i).alias("a"), F.get("s", i + 1).alias("b"))), lambda p: p["a"]["after"] == "N")
-    cut = s.filter(F.size("s") > 1).select("fid", "chr", F.explode(pairs).alias("p"))
-    return cut.select("fid", "chr", F.col("p.a.end").alias("left"), F.col("p.b.start").alias("right")).distinct()
+    cut = s.filter(F.size("s") > 1).select("fid", *carry, "chr", F.explode(pairs).alias("p"))
+    return cut.select("fid", *carry, "chr", F.col("p.a.end").alias("left"), F.col("p.b.start").alias("right")).distinct()
 
 
 def junction_counts(found: DataFrame) -> DataFrame:
@@ -362,28 +364,72 @@ def junction_counts(found: DataFrame) -> DataFrame:
 
 
 def classify_junctions(counts: DataFrame, exons: DataFrame) -> DataFrame:
-    """Adds status, gene_left, gene_right.  exons: gene_id, transcript_id, chr, start, end.
+    """Adds gene_name, transcript_id, status, n_exons, distance.  exons: gene_id, transcript_id, chr, start, end.
 
-    KNOWN: both edges are edges of exons of one transcript; NOVEL: one gene's body spans both; NOVEL_FUSION: each lies in
-    some gene's body; NA otherwise."""
+    KNOWN: both edges are edges of exons of one transcript; NOVEL: a gene's body holds both sites; NOVEL_FUSION: each lies in some
+    gene's body; NA otherwise.  Named are the known transcripts' genes, or of the others those of which most sites are known;
+    distance is from the nearest known site before the left and after the right one, NA where there is none.  A gene carries its exons, so each
+    site meets each gene once, and a junction's genes come together in one shuffle."""
     site = ["chr", "left", "right"]
-    ends = exons.select("chr", F.col("end").alias("left"), "transcript_id", F.col("gene_id").alias("g")).distinct()
-    begins = exons.select("chr", F.col("start").alias("right"), "transcript_id").distinct()
-    known = counts.join(ends, ["chr", "left"]).join(begins, ["chr", "right", "transcript_id"]).groupBy(*site).agg(F.min("g").alias("known_gene"))
-    bodies = exons.groupBy("chr", "gene_id").agg(F.min("start").alias("f_start"), F.max("end").alias("f_end"))
-    at = counts.select(*site)
-    left = overlap_join(at.withColumn("x", F.col("left")), bodies, ["chr"], ("x", "x")).select(*site, F.col("gene_id").alias("gl"), F.col("f_end").alias("fe"))
-    right = overlap_join(at.withColumn("x", F.col("right")), bodies, ["chr"], ("x", "x")).select(*site, F.col("gene_id").alias("gr"))
-    in_left = left.groupBy(*site).agg(F.min("gl").alias("gene_left"), F.min(F.when(F.col("fe") >= F.col("right"), F.col("gl"))).alias("span_gene"))
-    in_right = right.groupBy(*site).agg(F.min("gr").alias("gene_right"))
-    met = counts.join(known, site, "left").join(in_left, site, "left").join(in_right, site, "left")
-    status = F.when(F.col("known_gene").isNotNull(), "KNOWN").when(F.col("span_gene").isNotNull(), "NOVEL").when(F.col("gene_left").isNotNull() & F.col("gene_right").isNotNull(), "NOVEL_FUSION").otherwise("NA")
-    return met.withColumn("status", status).withColumn("n_exons", F.when(F.col("status") == "KNOWN", 2))
-
-
-def junction_strand(counts: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Adds strand by the intron's ends: GT..AG +, CT..AC -, else null.  contigs: chr, seq."""
-    met = counts.join(contigs, "chr", "left")
-    donor, acceptor = F.expr("upper(substring(seq, left + 1, 2))"), F.expr("upper(substring(seq, right - 2, 2))")
-    return met.withColumn("strand", F.when((donor == "GT") & (acceptor == "AG"), "+").when((donor == "CT") & (acceptor == "AC"), "-")).drop("seq")
-
+    genes = exons.groupBy("chr", "gene_id").agg(F.min("start").alias("f_start"), F.max("end").alias("f_end"), F.collect_set(F.struct("start", "end", "transcript_id")).alias("exons"))
+    at = F.explode(F.array(F.struct(F.lit(1).alias("no"), F.col("left").alias("x")), F.struct(F.lit(2).alias("no"), F.col("right").alias("x"))))
+    ends = counts.select(*site, at.alias("p")).select(*site, "p.no", "p.x")
+    edge = lambda e: F.when(F.col("no") == 1, F.col("x") - e["end"]).otherwise(e["start"] - F.col("x"))
+    far = F.array_min(F.filter(F.transform("exons", edge), lambda d: d >= 0))
+    known = F.transform(F.filter("exons", lambda e: edge(e) == 0), lambda e: e["transcript_id"])
+    met = overlap_join(ends, genes, ["chr"], ("x", "x")).select(*site, "no", F.struct(F.col("gene_id").alias("gene"), far.alias("far"), known.alias("known")).alias("g"))
+    each = met.groupBy(*site).agg(*(F.sort_array(F.collect_list(F.when(F.col("no") == no, F.col("g")))).alias(f"g{no}") for no in (1, 2)))
+    each = each.withColumn("tx", F.sort_array(F.array_intersect(*(F.flatten(F.transform(f"g{no}", lambda g: g["known"])) for no in (1, 2)))))
+    named = lambda gs: F.transform(gs, lambda g: g["gene"])
+    far_in = lambda gs, gene: F.get(F.filter(gs, lambda g: g["gene"] == gene), F.lit(0))["far"]
+    zero = lambda far: F.coalesce((far == 0).cast("int"), F.lit(0))
+    each = each.withColumn("both", F.transform(F.array_intersect(named("g1"), named("g2")), lambda gene: F.struct(gene.alias("gene"), far_in("g1", gene).alias("a"), far_in("g2", gene).alias("b"))))
+    best = F.coalesce(F.array_max(F.transform("both", lambda g: zero(g["a"]) + zero(g["b"]))), F.lit(0))
+    each = each.withColumn("best", best).withColumns({f"hit{no}": F.exists(f"g{no}", lambda g: g["far"] == 0) for no in (1, 2)})
+    each = each.withColumns({f"hit{no}": F.coalesce(f"hit{no}", F.lit(False)) for no in (1, 2)})
+    is_known, spans, apart = F.size("tx") > 0, F.size("both") > 0, (F.size("g1") > 0) & (F.size("g2") > 0)
+    sided = lambda no: F.transform(F.filter(f"g{no}", lambda g: ~F.col(f"hit{no}") | F.coalesce(g["far"] == 0, F.lit(False))), lambda g: F.struct(g["gene"].alias("gene"), (g["far"] if no == 1 else F.lit(None).cast("int")).alias("a"), (g["far"] if no == 2 else F.lit(None).cast("int")).alias("b")))
+    chosen = F.when(spans, F.filter("both", lambda g: zero(g["a"]) + zero(g["b"]) == F.col("best"))).when(apart, F.sort_array(F.concat(sided(1), sided(2))))
+    text = lambda d: F.coalesce(d.cast("string"), F.lit("NA"))
+    tx_genes = F.array_sort(named(F.filter("g1", lambda g: F.arrays_overlap(g["known"], F.col("tx")))))
+    each = each.withColumn("chosen", chosen).select(
+        *site,
+        F.when(is_known, F.array_join(tx_genes, ",")).otherwise(F.array_join(named("chosen"), ",")).alias("gene_name"),
+        F.when(is_known, F.array_join("tx", ",")).when(spans, "").alias("transcript_id"),
+        F.when(is_known, "KNOWN").when(spans, "NOVEL").when(apart, "NOVEL_FUSION").alias("status"),
+        F.when(is_known, 2).when(spans, F.col("best")).when(apart, F.col("hit1").cast("int") + F.col("hit2").cast("int")).alias("n_exons"),
+        F.when(is_known, "0/0").otherwise(F.array_join(F.transform("chosen", lambda g: F.concat(text(g["a"]), F.lit("/"), text(g["b"]))), ",")).alias("distance"),
+    )
+    out = counts.join(each, site, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("NA")) for c in ("gene_name", "transcript_id", "status", "distance")}).withColumn("n_exons", F.coalesce("n_exons", F.lit(0)))
+
+
+def junction_strand(counts: DataFrame, contigs: DataFrame, chunk: int = 65_536) -> DataFrame:
+    """Adds strand by the intron's ends: GT..AG +, CT..AC -, else null.
+
+    contigs: chr, start, seq, in chunks that begin every ``chunk`` bases and overlap by one base or more.  Each end meets one chunk."""
+    c = contigs.select("chr", F.floor((F.col("start") - 1) / chunk).alias("__c"), F.col("start").alias("__s"), F.upper("seq").alias("__q"))
+
+    def two(df: DataFrame, at: Column, name: str) -> DataFrame:
+        met = df.withColumn("__at", at).withColumn("__c", F.floor((F.col("__at") - 1) / chunk)).join(c, ["chr", "__c"], "left")
+        return met.withColumn(name, F.expr("substring(__q, CAST(__at - __s + 1 AS INT), 2)")).drop("__at", "__c", "__s", "__q")
+
+    met = two(two(counts, F.col("left") + 1, "__donor"), F.col("right") - 2, "__acceptor")
+    donor, acceptor = F.col("__donor"), F.col("__acceptor")
+    return met.withColumn("strand", F.when((donor == "GT") & (acceptor == "AG"), "+").when((donor == "CT") & (acceptor == "AC"), "-")).select(*counts.columns, "strand")
+
+
+#: The eleven columns of the junction table before those of the libraries, in order (fixed values).
+JUNCTION_COLUMNS = ["GeneName", "TranscriptID", "Status", "nExons", "Dist.to.nearest.splicing.site", "Site1_chr", "Site1_location", "Site1_strand", "Site2_chr", "Site2_location", "Site2_strand"]
+
+
+def junction_table(classified: DataFrame, per_library: DataFrame) -> DataFrame:
+    """The eleven columns and one a library, in order of place.  classified: as classify_junctions gives it, with strand if the genome is
+    known; per_library: library, chr, left, right, support."""
+    site = ["chr", "left", "right"]
+    wide_ = per_library.groupBy(*site).pivot("library").agg(F.first("support")).na.fill(0)
+    strand = F.coalesce("strand", F.lit("NA")) if "strand" in classified.columns else F.lit("NA")
+    given = [F.col("gene_name"), F.col("transcript_id"), F.col("status"), F.col("n_exons"), F.col("distance"), F.col("chr"), F.col("left"), strand, F.col("chr"), F.col("right"), strand]
+    named = classified.select(*site, *(c.alias(n) for c, n in zip(given, (f"__{i}" for i in range(len(given))))))
+    out = named.join(wide_, site).orderBy(*site)
+    return out.select(*(F.col(f"__{i}").alias(n) for i, n in enumerate(JUNCTION_COLUMNS)), *(F.col(f"`{c}`") for c in wide_.columns if c not in site))

@@ -264,11 +264,11 @@ def union_lengths(spark, sf_dir):
     return I.union_length(views.features(spark, sf_dir), ["gene_id", "chr", "strand"])
 
 
-@query(f"""WITH {SQL}, g AS (SELECT gene_id || ':' || (feature_id % 3) AS x, * FROM f), b AS (SELECT DISTINCT chr AS gene_id, chr, strand, transcript_id, unnest(range(s, e + 1)) AS p FROM g WHERE feature_id <= 2000),
+@query(f"""WITH {SQL}, g AS (SELECT gene_id || ':' || (feature_id % 3) AS x, * FROM f), b AS (SELECT DISTINCT chr AS gene_id, chr, strand, transcript_id, unnest(range(s, e + 1)) AS p FROM g),
 d AS (SELECT *, count(*) OVER (PARTITION BY gene_id, strand, p) AS k FROM b)
 SELECT gene_id, transcript_id, count(*) FILTER (k = 1) AS unique_bases, count(*) AS all_bases FROM d GROUP BY ALL""")
 def transcript_unique_bases(spark, sf_dir):
-    # chromosomes stand for genes, so that transcripts overlap; all exons, of which the SQL, that enumerates bases, takes the first 2000
+    # chromosomes stand for genes, so that transcripts overlap
     f = views.features(spark, sf_dir).withColumn("gene_id", F.col("chr"))
     return I.unique_transcript_bases(f)
 
@@ -310,7 +310,7 @@ SELECT * FROM c WHERE n <= 0.9 * length""")
 def gc_content(spark, sf_dir):
     q = views.sequences(spark, sf_dir)
     w = I.fixed_bins(q.select("chr", F.lit(1).cast("long").alias("start"), F.length("seq").cast("long").alias("end")), 100)
-    return R.gc_content(w, q.select("chr", "seq"), ["chr"], 0.9)
+    return R.gc_content(w, views.chunks(q, 65_536), ["chr"], 0.9)
 
 
 # Read tools
@@ -387,16 +387,16 @@ def snp_calls(spark, sf_dir):
     return V.call_snps(_piled(spark, sf_dir))
 
 
-@query("""WITH s AS (SELECT doc_id, translate(text, 'acgt', 'ACGT') AS t FROM documents), b AS (SELECT (doc_id % 20) AS pos0, doc_id, unnest(range(0, least(length(t), 60))) AS i, t FROM s), x AS (SELECT 'chr1' AS chr, pos0 + i + 1 AS pos, substr(t, i + 1, 1) AS base FROM b WHERE i >= 3 AND i < least(length(t), 60) - 3)
+@query("""WITH s AS (SELECT doc_id, translate(text, 'acgt', 'ACGT') AS t FROM documents), b AS (SELECT (doc_id % 20) AS pos0, doc_id, unnest(range(0, length(t))) AS i, t FROM s), x AS (SELECT 'chr1' AS chr, pos0 + i + 1 AS pos, substr(t, i + 1, 1) AS base FROM b WHERE i >= 3 AND i < length(t) - 3)
 SELECT chr, pos, 'A' AS ref, count(*) FILTER (base = 'A') AS a, count(*) FILTER (base = 'C') AS c, count(*) FILTER (base = 'G') AS g, count(*) FILTER (base = 'T') AS t, count(*) AS depth FROM x WHERE base IN ('A', 'C', 'G', 'T') GROUP BY chr, pos""")
 def pileup_counts(spark, sf_dir):
-    # whole texts; the SQL counts the first 60 characters of each.  Single ends have a base once a place: no mates to resolve
+    # single ends have a base once a place: no mates to resolve
     d = views.table(spark, sf_dir, "documents")
     seq = F.translate("text", "acgt", "ACGT")
     a = d.select(F.col("doc_id").alias("fid"), F.lit(1).alias("end"), F.lit("chr1").alias("chr"), (F.col("doc_id") % 20 + 1).cast("long").alias("pos"), F.lit(0).alias("flag"), F.concat(F.length(seq).cast("string"), F.lit("M")).alias("cigar"), seq.alias("seq"), F.repeat(F.lit("I"), F.length(seq)).alias("qual"))
     furthest = d.agg(F.max(F.col("doc_id") % 20 + F.length("text"))).first()[0] or 0
-    reference = spark.range(1, furthest + 1).select(F.lit("chr1").alias("chr"), F.col("id").alias("pos"), F.lit("A").alias("ref"))
-    return V.pileup(V.aligned_bases(a.filter(F.length("seq") > 0)), reference).withColumn("pos", F.col("pos").cast("long"))
+    reference = spark.range(0, furthest, 1000).select(F.lit("chr1").alias("chr"), (F.col("id") + 1).alias("start"), F.repeat(F.lit("A"), F.least(F.lit(1000), F.lit(furthest) - F.col("id")).cast("int")).alias("seq"))
+    return V.pileup(V.aligned_bases(a.filter(F.length("seq") > 0)), reference, chunk=1000).withColumn("pos", F.col("pos").cast("long"))
 
 
 # Single cell

@@ -66,6 +66,13 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat(F.lit("chr"), "doc_id").alias("chr"), F.col("doc_id"), F.regexp_replace(F.translate("text", "acgt", "ACGT"), "[^ACGT]", "N").alias("seq"))
 
 
+def chunks(contigs: DataFrame, size: int, overlap: int = 0) -> DataFrame:
+    """chr, start, seq of contigs (chr, seq), in steps of size bases."""
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size)))
+    cut = contigs.select("chr", "seq", at.alias("a"))
+    return cut.select("chr", (F.col("a") + 1).cast("long").alias("start"), F.substring("seq", F.col("a") + 1, F.lit(size + overlap)).alias("seq"))
+
+
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variant rows: a file per event type."""
     e = table(spark, sf_dir, "events")

@@ -1,14 +1,17 @@
-"""Getting this package to the executors."""
+"""Getting this package to the executors, and tables that are written on the way."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -27,3 +30,36 @@ def ship(spark: SparkSession) -> None:
             out.write(path, f"readloom/{path.relative_to(root).as_posix()}")
     context.addPyFile(str(name))
     _SHIPPED.add(context.applicationId)
+
+
+_FOLDERS: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, in ``spark.checkpoint.dir``; it goes with the process.  Where that is unset, a local
+    session gets a temporary folder; a cluster must set it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="readloom-")
+    _FOLDERS.append(f"{root.rstrip('/')}/readloom-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+@atexit.register
+def _clear() -> None:
+    try:
+        jvm = SparkContext._jvm
+        for folder in _FOLDERS if jvm is not None else ():
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except (Py4JError, OSError):  # the JVM went first
+        pass
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written and read back: computed once, whatever is lost later."""
+    path = f"{scratch(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

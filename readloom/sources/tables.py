@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.dna import reverse_complement
+from readloom.session import written
 
 GENOMES = ("mm9", "mm10", "mm39", "hg19", "hg38")
 
@@ -25,6 +25,13 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("nh", F.coalesce(F.col("tags")["NH"].cast("int"), F.lit(1))).withColumn("hi", F.col("tags")["HI"].cast("int")).withColumn("rg", F.col("tags")["RG"])
 
 
+def contig_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """chr, chr_length of a SAM file's header."""
+    head = spark.read.text(path).filter(F.col("value").startswith("@SQ\t"))
+    tag = lambda k: F.regexp_extract("value", rf"\t{k}:([^\t]+)", 1)
+    return head.select(tag("SN").alias("chr"), tag("LN").cast("int").alias("chr_length")).distinct()
+
+
 def read_gtf(spark: SparkSession, path: str, feature_types: str = "exon", gene_attribute: str = "gene_id", strict_strand: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """feature_id, gene_id, chr, start, end, strand, attrs of rows of these types (a comma list).
 
@@ -91,7 +98,8 @@ def write_matrix_market(counts: DataFrame, folder: str) -> None:
 
     def numbered(name: str) -> DataFrame:
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        part = counts.select(name).distinct().repartitionByRange(tasks, name).sortWithinPartitions(name).withColumn("part", F.spark_partition_id()).persist()
+        # written once, with the numbers of the ranges: computed again, the ranges could differ
+        part = written(counts.select(name).distinct().repartitionByRange(tasks, name).sortWithinPartitions(name).withColumn("part", F.spark_partition_id()), "numbered")
         before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         offset = part.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before)
         nth = F.row_number().over(Window.partitionBy("part").orderBy(name))
@@ -202,7 +210,3 @@ def mapping_summary(alignments: DataFrame) -> DataFrame:
         F.count_if(~mapped).alias("unmapped"), F.count_if(bit(1) & bit(2)).alias("properly_paired"), F.count_if(bit(1) & mapped & bit(8)).alias("singleton"),
         F.count_if(bit(1) & mapped & ~bit(8) & ~F.col("rnext").isin("=", "*") & (F.col("rnext") != F.col("chr"))).alias("more_than_one_chr"),
     )
-
-
-def reverse_if(seq: Column, strand: Column) -> Column:
-    return F.when(strand == "-", reverse_complement(seq)).otherwise(seq)
