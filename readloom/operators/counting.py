@@ -220,7 +220,8 @@ def _sections(fragments: DataFrame, o: CountOptions, carry: tuple[str, ...]) ->
         df = df.withColumn(f"raw{no}", F.when(there, cigar_sections(r["cigar"], r["pos"]))).withColumn(f"raw{no}", F.coalesce(f"raw{no}", F.array().cast(df.select(cigar_sections(F.lit("1M"), F.lit(1)).alias("x")).schema["x"].dataType)))
         df = df.withColumn(f"strand{no}", F.when(reverse, "-").otherwise("+")).withColumn(f"s{no}", _moved(F.col(f"raw{no}"), F.col(f"strand{no}") == "+", r["pos"], r["chr_length"], o))
     length = fragment_length(F.col("s1"), F.col("s2"), F.col("r1")["chr"], F.col("r2")["chr"]) if o.frac_overlap > 0 or o.non_overlap is not None else F.lit(0)
-    rows = lambda no: F.transform(f"s{no}", lambda x: F.struct(F.lit(no).alias("end"), F.col(f"r{no}")["chr"].alias("chr"), F.col(f"strand{no}").alias("strand"), x["start"].alias("start"), x["end"].alias("stop")))
+    # a section that ends before it begins, beyond its contig, is none
+    rows = lambda no: F.transform(F.filter(f"s{no}", lambda x: x["end"] >= x["start"]), lambda x: F.struct(F.lit(no).alias("end"), F.col(f"r{no}")["chr"].alias("chr"), F.col(f"strand{no}").alias("strand"), x["start"].alias("start"), x["end"].alias("stop")))
     return df.select("fid", *carry, "code", "nh", length.alias("frag_length"), F.concat(rows(1), rows(2)).alias("s"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,22 +14,9 @@ from readloom.operators import singlecell as S
 from readloom.operators import variants as V
 from readloom.operators.simulate import simulate_reads
 from readloom.plans import views
+from readloom.plans.registry import query
 from readloom.plans.views import SQL
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Counting
 
 HITS = SQL + """, h AS (
@@ -524,16 +509,6 @@ def aligned_reads(spark, sf_dir):
     return A.align(reads, A.build_index(chunks), chunks, A.AlignOptions(), 1000)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts per gene, with exon lists and lengths."""
     return gene_count_table(spark, sf_dir)
-
-

@@ -84,8 +84,10 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 
 def read_matrix_market(spark: SparkSession, folder: str) -> DataFrame:
     """gene, cell, umis from matrix.mtx, genes.tsv and barcodes.tsv of a folder."""
-    body = spark.read.text(f"{folder}/matrix.mtx").filter(~F.col("value").startswith("%")).select(F.split("value", r"\s+").alias("p"), F.monotonically_increasing_id().alias("o"))
-    first = body.agg(F.min("o")).first()[0]
+    lines = spark.read.text(f"{folder}/matrix.mtx").select("value", F.monotonically_increasing_id().alias("o"))
+    head = lines.filter(F.col("value").startswith("%")).agg(F.max("o")).first()[0]
+    body = lines.filter(~F.col("value").startswith("%")).select(F.split("value", r"\s+").alias("p"), "o")
+    first = body.filter(F.col("o") > (-1 if head is None else head)).agg(F.min("o")).first()[0]  # the line of sizes follows the comments, whatever file comes first
     t = body.filter(F.col("o") != first).select(F.col("p")[0].cast("long").alias("g"), F.col("p")[1].cast("long").alias("c"), F.col("p")[2].cast("long").alias("umis"))
     side = lambda n, k: spark.read.csv(f"{folder}/{n}", sep="\t", schema=f"{k} long, name string")
     return t.join(side("genes.tsv", "g").withColumnRenamed("name", "gene"), "g").join(side("barcodes.tsv", "c").withColumnRenamed("name", "cell"), "c").select("gene", "cell", "umis")
@@ -119,8 +121,11 @@ def _tsv(df: DataFrame, path: str, header: bool = True) -> None:
 
 
 def as_count(units: Column, unit: int = 65536) -> Column:
-    """Whole counts as such, others with two decimals."""
-    return F.when(units % unit == 0, (units / unit).cast("long").cast("string")).otherwise(F.format_string("%.2f", units / unit))
+    """Whole counts as such, others with two decimals, ties to the even one."""
+    cents, rest = F.floor(units * 100 / unit), (units * 100) % unit
+    cents = cents + F.when((rest * 2 > unit) | ((rest * 2 == unit) & (cents % 2 == 1)), 1).otherwise(0)
+    text = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when(units % unit == 0, F.floor(units / unit).cast("string")).otherwise(text)
 
 
 def write_counts(table: DataFrame, path: str) -> None:
@@ -130,9 +135,9 @@ def write_counts(table: DataFrame, path: str) -> None:
 def summary_rows(summaries: DataFrame, statuses: list[str]) -> DataFrame:
     """status and a column per library, all statuses in order.  summaries: library, status, n."""
     spark = summaries.sparkSession
-    order = spark.createDataFrame(list(enumerate(statuses)), "o int, status string")
+    order = spark.createDataFrame(list(enumerate(statuses)), "__order int, status string")
     wide = summaries.groupBy("status").pivot("library").sum("n")
-    return order.join(wide, "status", "left").orderBy("o").drop("o").na.fill(0)
+    return order.join(wide, "status", "left").orderBy("__order").drop("__order").na.fill(0)
 
 
 def write_report(assigned: DataFrame, path: str) -> None:
