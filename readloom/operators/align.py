@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ from readloom.functions.dna import reverse_complement
 K = 16
 #: Places of a piece of a chunk.
 PIECE = 256
+#: Reads whose gaps are looked for together.
+GAPPED_READS = 512
 
 
 @dataclass(frozen=True)
@@ -97,76 +100,86 @@ def candidates(votes: DataFrame, o: AlignOptions = AlignOptions(), keep: int = 4
     return top.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= keep + o.best - 1).drop("top")
 
 
-def _codes(s: str) -> np.ndarray:
-    return np.frombuffer(s.encode(), np.uint8)
+def _matrix(strings: list[str], width: int) -> np.ndarray:
+    """A row of codes a string, cut or filled with 0 to width."""
+    return np.frombuffer("".join(x[:width].ljust(width, "\0") for x in strings).encode(), np.uint8).reshape(len(strings), width)
 
 
-def banded(read: str, window: str, band: int, match: int = 2, mismatch: int = 0, gap_open: int = -1, gap_extend: int = 0) -> tuple[str, int, int]:
-    """CIGAR, mismatches and start of the best alignment of a whole read within a window that begins ``band`` bases before
-    its place; affine gaps, diagonals within band of the middle one."""
-    n, m = len(read), len(window)
-    low = -1e9
-    r, w = _codes(read), _codes(window)
-    M, X, Y = (np.full((n + 1, m + 1), low) for _ in range(3))
-    M[0, : 2 * band + 1] = 0
-    back = np.zeros((3, n + 1, m + 1), np.int8)
+def banded(reads: np.ndarray, windows: np.ndarray, band: int, match: int = 2, mismatch: int = 0, gap_open: int = -1, gap_extend: int = 0) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The best alignment of each whole read within its window: CIGAR strings, mismatches, starts in the window, and bases in gaps.
+
+    reads: codes, a row a read of n bases; windows: n + 2 * band codes a row.  Affine gaps; a step works on all reads and all
+    2 * band + 1 diagonals at once."""
+    m, n = reads.shape
+    width, low, rows = 2 * band + 1, -1e9, np.arange(m)
+    M, X, Y = np.zeros((m, width)), np.full((m, width), low), np.full((m, width), low)
+    back = np.zeros((3, n + 1, m, width), np.int8)
+    none = np.full((m, 1), low)
     for i in range(1, n + 1):
-        a, b = max(1, i), min(m, i + 2 * band)
-        if a > b:
-            continue
-        j = np.arange(a, b + 1)
-        s = np.where(r[i - 1] == w[j - 1], match, mismatch)
-        prev = np.stack([M[i - 1, j - 1], X[i - 1, j - 1], Y[i - 1, j - 1]])
-        k = prev.argmax(axis=0)
-        M[i, j], back[0, i, j] = prev[k, np.arange(len(j))] + s, k
-        opened, longer = M[i - 1, j] + gap_open, X[i - 1, j] + gap_extend
-        X[i, j], back[1, i, j] = np.maximum(opened, longer), np.where(opened >= longer, 0, 1)
-        for c in j:  # a deletion continues along the row
-            o1, o2 = M[i, c - 1] + gap_open, Y[i, c - 1] + gap_extend
-            Y[i, c], back[2, i, c] = (o1, 0) if o1 >= o2 else (o2, 2)
-    end = int(M[n].argmax())
-    if M[n, end] <= low / 2:  # the window is too short, as at a contig's end
-        return "", n, 0
-    i, j, state, ops, wrong = n, end, 0, [], 0
-    while i > 0:
-        if state == 0:
-            ops.append("M")
-            wrong += int(r[i - 1] != w[j - 1])
-            state, i, j = int(back[0, i, j]), i - 1, j - 1
-        elif state == 1:
-            ops.append("I")
-            state, i = int(back[1, i, j]), i - 1
-        else:
-            ops.append("D")
-            state, j = 0 if back[2, i, j] == 0 else 2, j - 1
-    ops.reverse()
-    cigar, run = "", 0
-    for k, c in enumerate(ops):
-        run += 1
-        if k + 1 == len(ops) or ops[k + 1] != c:
-            cigar, run = f"{cigar}{run}{c}", 0
-    return cigar, wrong, j
+        best, k = M.copy(), np.zeros((m, width), np.int8)
+        for state, other in ((1, X), (2, Y)):
+            k[other > best] = state
+            best = np.maximum(best, other)
+        opened, longer = np.c_[M[:, 1:], none] + gap_open, np.c_[X[:, 1:], none] + gap_extend  # an insertion leaves a diagonal to the left
+        X, back[1, i] = np.maximum(opened, longer), opened < longer
+        M, back[0, i] = best + np.where(reads[:, i - 1, None] == windows[:, i - 1 : i - 1 + width], match, mismatch), k
+        Y = np.full((m, width), low)
+        for c in range(1, width):
+            opened, longer = M[:, c - 1] + gap_open, Y[:, c - 1] + gap_extend
+            Y[:, c], back[2, i, :, c] = np.maximum(opened, longer), np.where(opened < longer, 2, 0)
+    diagonal, state, left = M.argmax(axis=1), np.zeros(m, np.int8), np.full(m, n)
+    ops, wrong = [], np.zeros(m, np.int64)
+    while (left > 0).any():
+        on = left > 0
+        ops.append(np.where(on, state, -1))
+        at = np.maximum(left, 1)
+        wrong += on & (state == 0) & (reads[rows, at - 1] != windows[rows, at - 1 + diagonal])
+        before = back[state, at, rows, diagonal]
+        left = left - (on & (state != 2))
+        diagonal = np.where(on & (state == 1), diagonal + 1, np.where(on & (state == 2), diagonal - 1, diagonal))
+        state = np.where(on, before, state)
+    path = np.array(ops)[::-1].T
+    cigars = []
+    for row in path:
+        row = row[row >= 0]
+        cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        cigars.append("".join(f"{k}{'MID'[c]}" for k, c in zip(np.diff(np.r_[cut, len(row)]).tolist(), row[cut].tolist())))
+    return cigars, wrong, diagonal, (path > 0).sum(axis=1)
+
+
+def _by_length(strings: list[str]) -> list[tuple[int, np.ndarray]]:
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    return [(int(n), np.flatnonzero(size == n)) for n in np.unique(size)]
 
 
 def _extend(o: AlignOptions):
+    """Reads of one length are compared with the reference together; those that don't fit as they are, with gaps."""
+    band = max(o.indel, 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                read, ref, diagonal, lead = row["s"], row["ref"], row["diagonal"], row["lead"]
-                n = len(read)
-                plain = ref[lead : lead + n]
-                wrong = int((_codes(read) != _codes(plain)).sum()) if len(plain) == n else n
-                cigar, start = f"{n}M", diagonal
-                if wrong > o.max_mismatches and o.indel:
-                    c, bad, at = banded(read, ref, lead)
-                    if bad < wrong and c[-1:] == "M":
-                        cigar, wrong, start = c, bad, diagonal - lead + at
-                if wrong <= o.max_mismatches:
-                    rows.append((row["rid"], row["strand"], row["chr"], start, cigar, wrong, row["votes"]))
-            if rows:
-                kinds = [batch.schema.field("rid").type, pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
-                yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["rid", "strand", "chr", "pos", "cigar", "mismatches", "votes"])
+            reads, refs = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("s", "ref"))
+            diagonal, lead = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("diagonal", "lead"))
+            found = []  # row, place, CIGAR, mismatches
+            for n, at in _by_length(reads):
+                code, window = _matrix([reads[i] for i in at], n), _matrix([refs[i] for i in at], n + 2 * band)
+                wrong = (code != np.take_along_axis(window, lead[at][:, None] + np.arange(n), axis=1)).sum(axis=1)
+                fits = wrong <= o.max_mismatches
+                found += [(i, d, f"{n}M", w) for i, d, w in zip(at[fits].tolist(), diagonal[at[fits]].tolist(), wrong[fits].tolist())]
+                bad = np.flatnonzero(~fits)
+                for a in range(0, len(bad) if o.indel else 0, GAPPED_READS):
+                    some = bad[a : a + GAPPED_READS]
+                    cigars, w, begin, gaps = banded(code[some], window[some], band)
+                    for j, cigar, mm, s, g in zip(some.tolist(), cigars, w.tolist(), begin.tolist(), gaps.tolist()):
+                        i = at[j]
+                        span = n - sum(int(x) for x in re.findall(r"(\d+)I", cigar)) + sum(int(x) for x in re.findall(r"(\d+)D", cigar))
+                        if mm <= o.max_mismatches and g <= o.indel and cigar.endswith("M") and s + span <= len(refs[i]):
+                            found.append((int(i), int(diagonal[i] - lead[i] + s), cigar, mm))
+            if found:
+                row, place, cigar, wrong = zip(*found)
+                take = pa.array(row, pa.int64())
+                keep = [batch.column(batch.schema.get_field_index(c)).take(take) for c in ("rid", "strand", "chr", "votes")]
+                yield pa.record_batch([*keep[:3], pa.array(place, pa.int64()), pa.array(cigar), pa.array(wrong, pa.int32()), keep[3]], ["rid", "strand", "chr", "pos", "cigar", "mismatches", "votes"])
 
     return run
 
@@ -207,24 +220,32 @@ def splice(pairs: DataFrame, reads: DataFrame, chunks: DataFrame, o: AlignOption
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                s, left, right = row["s"], row["left_ref"], row["right_ref"]
-                n = len(s)
-                if len(left) < n + 2 or len(right) < n + 2:
+            reads, lefts, rights = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("s", "left_ref", "right_ref"))
+            d1, d2, v1, v2 = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("d1", "d2", "v1", "v2"))
+            found = []  # row, CIGAR, mismatches
+            for n, at in _by_length(reads):
+                at = np.array([i for i in at if len(lefts[i]) >= n + 2 and len(rights[i]) >= n + 2], np.int64)
+                if not len(at) or n < 2:
                     continue
-                r = _codes(s)
-                a = np.r_[0, np.cumsum(r != _codes(left[:n]))]
-                z = np.r_[np.cumsum((r != _codes(right[2:]))[::-1])[::-1], 0]
-                cost = (a + z)[1:n] * 4.0
-                signal = [{("GT", "AG"): 0, ("CT", "AC"): 0, ("GC", "AG"): 1, ("AT", "AC"): 1}.get((left[b : b + 2], right[b : b + 2]), 3) for b in range(1, n)]
-                b = int(np.argmin(cost + np.array(signal))) + 1
-                wrong = int((a + z)[b])
-                if wrong <= o.max_mismatches and signal[b - 1] < 3:
-                    rows.append((row["rid"], row["strand"], row["chr"], row["d1"], f"{b}M{row['d2'] - row['d1']}N{n - b}M", wrong, row["v1"] + row["v2"]))
-            if rows:
-                kinds = [batch.schema.field("rid").type, pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
-                yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["rid", "strand", "chr", "pos", "cigar", "mismatches", "votes"])
+                r, left, right = _matrix([reads[i] for i in at], n), _matrix([lefts[i] for i in at], n + 2), _matrix([rights[i] for i in at], n + 2)
+                zero = np.zeros((len(at), 1), np.int64)
+                before = np.c_[zero, np.cumsum(r != left[:, :n], axis=1)]
+                after = np.c_[np.cumsum((r != right[:, 2:])[:, ::-1], axis=1)[:, ::-1], zero]
+                wrong = (before + after)[:, 1:n]
+                pair = lambda x: x[:, 1:n].astype(np.int32) * 256 + x[:, 2 : n + 1]  # noqa: E731  # the two bases from each cut on
+                donor, acceptor = pair(left), pair(right)
+                signal = np.full(wrong.shape, 3)
+                for a, b, cost in (("GT", "AG", 0), ("CT", "AC", 0), ("GC", "AG", 1), ("AT", "AC", 1)):
+                    signal[(donor == ord(a[0]) * 256 + ord(a[1])) & (acceptor == ord(b[0]) * 256 + ord(b[1]))] = cost
+                cut = (wrong * 4 + signal).argmin(axis=1)
+                rows = np.arange(len(at))
+                good = (wrong[rows, cut] <= o.max_mismatches) & (signal[rows, cut] < 3)
+                found += [(int(i), f"{b}M{d2[i] - d1[i]}N{n - b}M", int(w)) for i, b, w in zip(at[good], (cut[good] + 1).tolist(), wrong[rows, cut][good])]
+            if found:
+                row, cigar, wrong = zip(*found)
+                take = np.array(row)
+                keep = [batch.column(batch.schema.get_field_index(c)).take(pa.array(take)) for c in ("rid", "strand", "chr")]
+                yield pa.record_batch([*keep, pa.array(d1[take], pa.int64()), pa.array(cigar), pa.array(wrong, pa.int32()), pa.array(v1[take] + v2[take], pa.int64())], ["rid", "strand", "chr", "pos", "cigar", "mismatches", "votes"])
 
     kind = dict(reads.dtypes)["rid"]
     return met.mapInArrow(run, f"rid {kind}, strand string, chr string, pos long, cigar string, mismatches int, votes long")

@@ -32,12 +32,12 @@ def count_matrix(spark, sf_dir):
 
 
 def _moved(start: str, end: str) -> str:
-    return f"""WITH {SQL}, m AS (SELECT fid, chr, {start} AS a, {end} AS b FROM (SELECT *, CASE WHEN strand = '+' THEN 1 ELSE -1 END AS d, pos + len - 1 AS e, 50000 AS z FROM l)),
+    return f"""WITH {SQL}, m AS (SELECT fid, chr, {start} AS a, {end} AS b FROM (SELECT *, CASE WHEN strand = '+' THEN 1 ELSE -1 END AS d, pos + len - 1 AS e, 90000 AS z FROM l)),
 k AS (SELECT m.fid, min(gene_id) AS key, count(DISTINCT gene_id) AS k FROM m JOIN f ON m.chr = f.chr AND f.s <= m.b AND f.e >= m.a AND m.a <= m.b GROUP BY m.fid) SELECT key, count(*)::DOUBLE AS count FROM k WHERE k = 1 GROUP BY key"""
 
 
 def _at_ends(spark, sf_dir, **options):
-    a = views.reads(spark, sf_dir).withColumn("chr_length", F.lit(50_000))
+    a = views.reads(spark, sf_dir).withColumn("chr_length", F.lit(90_000))
     return C.count_table(C.assign(C.single_fragments(a), views.features(spark, sf_dir), C.CountOptions(**options))).select("key", "count")
 
 
@@ -103,7 +103,7 @@ def junction_table(spark, sf_dir):
 
 @query(f"""WITH {SEQ}, s AS (SELECT chr, 10 + doc_id % 97 AS "left", 40 + doc_id % 389 AS "right", seq, length(seq) AS n FROM q),
 d AS (SELECT chr, "left", "right", CASE WHEN "left" < n THEN seq["left" + 1:"left" + 2] ELSE '' END AS d, CASE WHEN "right" - 2 <= n THEN seq["right" - 2:"right" - 1] ELSE '' END AS a FROM s)
-SELECT chr, "left", "right", CASE WHEN d = 'GT' AND a = 'AG' THEN '+' WHEN d = 'CT' AND a = 'AC' THEN '-' END FROM d""")
+SELECT chr, "left", "right", CASE WHEN d = 'GT' AND a = 'AG' THEN '+' WHEN d = 'CT' AND a = 'AC' THEN '-' END AS strand FROM d""")
 def junction_strands(spark, sf_dir):
     q = views.sequences(spark, sf_dir)
     sites = q.select("chr", (10 + F.col("doc_id") % 97).alias("left"), (40 + F.col("doc_id") % 389).alias("right"))

@@ -1 +1,107 @@
-"""To come."""
+"""Queries that simulate reads of random contigs, map them and hold the places against the truth."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from readloom.operators import align as A
+from readloom.operators.simulate import simulate_reads
+from readloom.plans import views
+from readloom.plans.queries import _chunks, _contigs, _simulated
+from readloom.plans.registry import query
+from readloom.session import written
+
+READS = "SELECT 10 * count(*) AS reads, 10 * count(*) AS right_ FROM documents"
+
+
+def _truth(spark, sf_dir, **options):
+    return written(simulate_reads(_contigs(spark, sf_dir).select(F.col("chr").alias("transcript_id"), "seq", F.lit(1.0).alias("expression")), 10 * views.table(spark, sf_dir, "documents").count(), 75, **options), "reads")
+
+
+@query(READS)
+def simulated_reads_of_transcripts(spark, sf_dir):
+    """How many simulated reads there are, and how many are what their transcript has at their place, on either strand."""
+    from readloom.functions.dna import reverse_complement
+
+    r = _simulated(spark, sf_dir).join(_contigs(spark, sf_dir).select(F.col("chr").alias("transcript_id"), F.col("seq").alias("whole")), "transcript_id")
+    piece = F.expr("substring(whole, start, fragment_length)")
+    same = (F.left(piece, F.lit(75)) == F.col("seq")) | (F.left(reverse_complement(piece), F.lit(75)) == F.col("seq"))
+    return r.agg(F.count(F.lit(1)).alias("reads"), F.count_if(same & (F.length("qual") == 75)).alias("right_"))
+
+
+def _right(mapped, reads):
+    """Whether a read lies where it was taken: at its fragment's start, or ending with it."""
+    met = mapped.filter("hi = 1").join(reads.select(F.col("name").alias("rid"), "transcript_id", "start", "fragment_length"), "rid", "right")
+    ok = (F.col("chr") == F.col("transcript_id")) & ((F.col("pos") == F.col("start")) | (F.col("pos") == F.col("start") + F.col("fragment_length") - 75)) & (F.col("cigar") == "75M") & (F.col("nh") == 1)
+    return met.agg(F.count(F.lit(1)).alias("reads"), F.count_if(ok).alias("right_"))
+
+
+@query(READS)
+def mapped_reads_in_place(spark, sf_dir):
+    chunks, reads = _chunks(spark, sf_dir), _truth(spark, sf_dir)
+    return _right(A.align(reads.select(F.col("name").alias("rid"), "seq", "qual"), A.build_index(chunks), chunks, A.AlignOptions(), 1000), reads)
+
+
+@query(READS)
+def mapped_reads_in_place_gapped(spark, sf_dir):
+    """The same over an index that keeps one place in three."""
+    chunks, reads = _chunks(spark, sf_dir), _truth(spark, sf_dir)
+    return _right(A.align(reads.select(F.col("name").alias("rid"), "seq", "qual"), A.build_index(chunks, 3), chunks, A.AlignOptions(), 1000, 3), reads)
+
+
+@query("SELECT 10 * count(*) AS pairs, 10 * count(*) AS proper, 20 * count(*) AS records, 0::BIGINT AS wrong_mates FROM documents")
+def mapped_pairs(spark, sf_dir):
+    """Pairs that map as pairs, and records whose mate fields disagree with their mate's place."""
+    chunks, reads = _chunks(spark, sf_dir), _truth(spark, sf_dir, paired=True)
+    index = A.build_index(chunks)
+    one = lambda no: A.align(reads.filter(F.col("mate") == no).select(F.col("name").alias("rid"), "seq", "qual"), index, chunks, A.AlignOptions(best=4), 1000)
+    pairs = written(A.pair_up(one(1), one(2)), "pairs")
+    records = A.mate_records(pairs)
+    here = records.select("qname", F.col("flag").bitwiseAND(F.lit(64)).alias("first"), F.col("chr").alias("c"), F.col("pos").alias("p"))
+    met = records.withColumn("first", 64 - F.col("flag").bitwiseAND(F.lit(64))).join(here, ["qname", "first"])
+    wrong = met.agg(F.count(F.lit(1)).alias("records"), F.count_if((F.col("rnext") != "=") | (F.col("c") != F.col("chr")) | (F.col("p") != F.col("pnext"))).alias("wrong_mates"))
+    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("proper").alias("proper")).crossJoin(wrong)
+
+
+#: Contigs with GT at 801 and AG before 1601: an intron of 800 bases.
+SPLICED = "substr(seq, 1, 800) || 'GT' || substr(seq, 803, 796) || 'AG' || substr(seq, 1601)"
+
+
+def _spliced_contigs(spark, sf_dir):
+    return _contigs(spark, sf_dir).select("chr", F.expr(SPLICED).alias("seq"))
+
+
+@query("""SELECT 'chr' || doc_id AS chr, 800::INT AS "left", 1601::INT AS "right", 3::BIGINT AS support FROM documents""")
+def found_junctions(spark, sf_dir):
+    """Junctions that spliced reads show: three reads of each contig run over its intron."""
+    from readloom.operators import counting as C
+
+    whole = _spliced_contigs(spark, sf_dir)
+    chunks = written(views.chunks(whole, 1000, 300), "chunks")
+    # a read of 100 bases has 40, 50 or 60 of them before the intron
+    read = whole.select("chr", "seq", F.explode(F.array(F.lit(40), F.lit(50), F.lit(60))).alias("n")).select(
+        F.concat_ws(":", "chr", "n").alias("rid"), F.expr("concat(substr(seq, 801 - n, n), substr(seq, 1601, 100 - n))").alias("seq"), F.repeat(F.lit("I"), F.lit(100)).alias("qual")
+    )
+    o = A.AlignOptions(seeds=14, threshold=1, junctions=True)
+    mapped = A.align(read, A.build_index(chunks), chunks, o, 1000).filter("hi = 1")
+    found = C.junctions(C.single_fragments(mapped.select(F.col("rid").alias("fid"), "flag", "chr", "pos", "mapq", "cigar", F.lit(0).alias("tlen"), "nh")))
+    return C.junction_counts(found)
+
+
+@query("""WITH r AS (SELECT c_custkey AS rid, translate(sha256(c_custkey::VARCHAR) || md5(c_custkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT')[1:75] AS s FROM customer),
+b AS (SELECT rid, '+' AS strand, s FROM r UNION ALL SELECT rid, '-', reverse(translate(s, 'ACGT', 'TGCA')) FROM r),
+e AS (SELECT DISTINCT rid, strand, s, floor(i * (59 / 9.0))::INT AS "offset" FROM b, range(10) t(i))
+SELECT rid, strand, "offset", translate(s["offset" + 1:"offset" + 16], 'ACGT', '0123')::BIGINT AS kmer FROM e""")
+def read_seeds(spark, sf_dir):
+    """Ten 16-mers of each read and strand."""
+    k = F.col("c_custkey").cast("string")
+    seq = F.left(F.translate(F.concat(F.sha2(k, 256), F.md5(k)), "0123456789abcdef", "ACGTACGTACGTACGT"), F.lit(75))
+    return A.seeds(views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rid"), seq.alias("seq")))
+
+
+@query("SELECT 'chr' || doc_id AS rid, '+' AS strand, 'chr' || doc_id AS chr, 101::BIGINT AS start, 2100::BIGINT AS \"end\" FROM documents")
+def long_reads_in_place(spark, sf_dir):
+    """Long reads: 2000 bases of each contig, from 101 on."""
+    chunks = _chunks(spark, sf_dir)
+    r = _contigs(spark, sf_dir).select(F.col("chr").alias("rid"), F.substring("seq", 101, 2000).alias("seq"))
+    return A.align_long(r, A.build_index(chunks)).select("rid", "strand", "chr", "start", "end")

@@ -367,11 +367,6 @@ def snp_background(spark, sf_dir):
     return V.background(_piled(spark, sf_dir)).select("chr", "pos", "match", "mismatch", "bg_match", "bg_mismatch")
 
 
-@query()
-def snp_calls(spark, sf_dir):
-    return V.call_snps(_piled(spark, sf_dir))
-
-
 @query("""WITH s AS (SELECT doc_id, translate(text, 'acgt', 'ACGT') AS t FROM documents), b AS (SELECT (doc_id % 20) AS pos0, doc_id, unnest(range(0, length(t))) AS i, t FROM s), x AS (SELECT 'chr1' AS chr, pos0 + i + 1 AS pos, substr(t, i + 1, 1) AS base FROM b WHERE i >= 3 AND i < length(t) - 3)
 SELECT chr, pos, 'A' AS ref, count(*) FILTER (base = 'A') AS a, count(*) FILTER (base = 'C') AS c, count(*) FILTER (base = 'G') AS g, count(*) FILTER (base = 'T') AS t, count(*) AS depth FROM x WHERE base IN ('A', 'C', 'G', 'T') GROUP BY chr, pos""")
 def pileup_counts(spark, sf_dir):
@@ -413,11 +408,6 @@ def cell_calls(spark, sf_dir):
     return S.call_cells(S.umi_counts(S.resolve_genes(S.umi_evidence(views.umis(spark, sf_dir)))), cutoff=10)
 
 
-@query()
-def cell_calls_bootstrap(spark, sf_dir):
-    return S.call_cells(S.umi_counts(S.resolve_genes(S.umi_evidence(views.umis(spark, sf_dir)))))
-
-
 BARCODE = """b AS (SELECT c_custkey AS k, substr('ACGT', (c_custkey % 4 + 1)::INT, 1) || substr('ACGT', (c_custkey // 4 % 4 + 1)::INT, 1) || substr('ACGT', (c_custkey // 16 % 4 + 1)::INT, 1) || substr('ACGT', (c_custkey // 64 % 4 + 1)::INT, 1) || substr('ACGT', (c_custkey // 256 % 4 + 1)::INT, 1) || substr('ACGT', (c_custkey // 1024 % 4 + 1)::INT, 1) AS bc FROM customer),
 kn AS (SELECT bc AS barcode, min(k) AS ordinal FROM b WHERE k % 7 = 0 GROUP BY bc), se AS (SELECT DISTINCT bc AS raw FROM b)"""
 
@@ -474,7 +464,7 @@ def event_anti_support(spark, sf_dir):
 
 def _contigs(spark, sf_dir):
     """A contig of 2560 random bases for each document."""
-    letters = F.translate(F.concat(*(F.sha2(F.concat("chr", F.lit(str(i))), 512) for i in range(20))), "0123456789abcdef", "ACGTACGTACGTACGT")
+    letters = F.translate(F.concat(*(F.sha2(F.concat("chr", F.lit(f":{i}")), 512) for i in range(20))), "0123456789abcdef", "ACGTACGTACGTACGT")
     return views.sequences(spark, sf_dir).select("chr", letters.alias("seq"))
 
 

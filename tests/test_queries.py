@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from readloom.plans import queries as Q
+from readloom import plans
+from readloom.plans import registry as Q
 
 SF = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
