@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from readloom.llm.common import id_fold, materialise, release, text_of
 
 FOLDS, HELD_OUT = 7, 2
-ROUNDS = 2
+ROUNDS = 1
 #: Words that may be broadcast, and bytes of them.
 BROADCAST_WORDS, BROADCAST_BYTES = 300_000, 16 << 20
 #: Distinct words that a task counts before it passes them on.
