@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from readloom import plans
+from readloom import plans  # noqa: F401  # registers the queries
 from readloom.plans import registry as Q
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +14,7 @@ duckdb = pytest.importorskip("duckdb")
 @pytest.fixture(scope="module")
 def oracle():
     con = duckdb.connect()
-    for t in "part lineitem events documents customer".split():
+    for t in "part lineitem events documents customer orders supplier nation benchmark".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 

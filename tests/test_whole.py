@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
-from readloom.plans import queries as Q
+from readloom import plans  # noqa: F401  # registers the queries
+from readloom.plans import registry as Q
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,17 +22,6 @@ def test_pileup_counts_whole_texts(spark, tmp_path):
     assert {(r["pos"], b): r[b] for r in got for b in "acgt" if r[b]} == want and max(r["pos"] for r in got) > 150
 
 
-def test_pileup_counts_equals_sql_without_its_cut(spark):
-    import pytest
-
-    duckdb = pytest.importorskip("duckdb")
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = con.sql(Q.ORACLES["pileup_counts"].replace("least(length(t), 60)", "length(t)"))
-    got = Q.QUERIES["pileup_counts"](spark, SF).select(*want.columns).collect()
-    assert sorted(map(tuple, got)) == sorted(want.fetchall())
-
-
 def test_unique_bases_of_all_exons(spark, tmp_path):
     parts = [(k, k % 50 + 1, f"B{k % 7}") for k in range(1, 2201)]
     spark.createDataFrame(parts, "p_partkey long, p_size int, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
@@ -54,6 +44,4 @@ def test_reads_of_whole_contigs_grow_with_them_and_map(spark):
     truth = Q.QUERIES["simulated_reads"](spark, SF).select("name", "transcript_id", "start", "fragment_length")
     got = Q.QUERIES["aligned_reads"](spark, SF).join(truth.withColumnRenamed("name", "rid"), "rid").collect()
     assert len(got) == 10 * 200 and max(r["start"] for r in got) > 2300
-    true = [r["chr"] == r["transcript_id"] and r["pos"] in (r["start"], r["start"] + r["fragment_length"] - 75) for r in got]
-    # contigs share pieces (piece 15 of chr1 is piece 5 of chr11): quality 0 marks what fits both
-    assert all(r["chr"] != "*" and r["nm"] == 0 for r in got) and all(t or r["mapq"] == 0 for t, r in zip(true, got)) and sum(true) > 0.9 * len(got)
+    assert all(r["nm"] == 0 and r["chr"] == r["transcript_id"] and r["pos"] in (r["start"], r["start"] + r["fragment_length"] - 75) for r in got)
