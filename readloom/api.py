@@ -26,7 +26,8 @@ from readloom.sources.bam import read_bam, read_header
 from readloom.sources.files import probe
 from readloom.sources.sequences import barcode_reads, read_barcode_folder, read_barcode_pairs, read_fasta, read_fastq
 
-CHUNK, OVERLAP = 65_536, 2048
+#: Bases of a reference's chunk and what consecutive ones share.  To take bases out of a chunk costs their place in it, so chunks are short.
+CHUNK, OVERLAP = 16_384, 2048
 #: Places of each mate from which a pair is chosen.
 MATE_PLACES = 4
 #: Bases of a transcript, which is one row.
@@ -112,24 +113,26 @@ def _chromosomes(spark, reads: DataFrame, features: DataFrame, aliases: str | No
 
 
 def build_index(spark: SparkSession, reference: str, target: str, gapped: bool = False, threshold: int = 100) -> None:
-    """Writes kmers/ (in files by kmer), chunks/ (bases) and step/ (one place in step has a 16-mer) to target."""
+    """Writes kmers/ (in files by kmer), chunks/ (bases) and step/ (one place in step has a 16-mer; the chunks' length) to target."""
     chunks = read_fasta(spark, reference, CHUNK, OVERLAP).select("chr", "start", "seq")
     _align.check_reference(chunks)
     chunks.write.parquet(f"{target}/chunks")
     chunks = spark.read.parquet(f"{target}/chunks")
     step = 3 if gapped else 1
-    spark.range(1).select(F.lit(step).alias("step")).write.parquet(f"{target}/step")
-    _align.build_index(chunks, step, threshold).repartition("kmer").sortWithinPartitions("kmer").write.parquet(f"{target}/kmers")
+    spark.range(1).select(F.lit(step).alias("step"), F.lit(CHUNK).alias("chunk")).write.parquet(f"{target}/step")
+    _align.build_index(chunks, step, threshold, CHUNK).write.parquet(f"{target}/kmers")
 
 
-def _read_index(spark: SparkSession, index: str) -> tuple[DataFrame, DataFrame, int]:
-    """16-mers, bases and step; an index without a stored step shows it by its places."""
+def _read_index(spark: SparkSession, index: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """16-mers, bases, step and chunks' length; an index without a stored step shows it by its places."""
     kmers, chunks = spark.read.parquet(f"{index}/kmers"), spark.read.parquet(f"{index}/chunks")
     try:
-        step = spark.read.parquet(f"{index}/step").first()["step"]
+        stored = spark.read.parquet(f"{index}/step").first().asDict()
     except AnalysisException:
-        step = 1 if kmers.filter((F.col("pos") - 1) % 3 != 0).limit(1).count() else 3
-    return kmers, chunks, step
+        stored = {"step": 1 if kmers.filter((F.col("pos") - 1) % 3 != 0).limit(1).count() else 3}
+    if "chunk" not in stored:
+        stored["chunk"] = chunks.filter("start > 1").agg(F.min(F.col("start") - 1)).first()[0] or CHUNK
+    return kmers, chunks, stored["step"], stored["chunk"]
 
 
 def align(spark: SparkSession, index: str, reads: str, mates: str | None = None, options: _align.AlignOptions = _align.AlignOptions(), kind: str = "rna") -> DataFrame:
@@ -140,11 +143,11 @@ def align(spark: SparkSession, index: str, reads: str, mates: str | None = None,
         raise ValueError("kind is rna or dna")
     if kind == "dna":
         options = replace(options, junctions=False, max_mismatches=max(options.max_mismatches, 3))
-    kmers, chunks, step = _read_index(spark, index)
+    kmers, chunks, step, chunk = _read_index(spark, index)
 
     def one(path: str, o: _align.AlignOptions) -> DataFrame:
         r = read_fastq(spark, path).select(F.regexp_replace("name", "/[12]$", "").alias("rid"), "seq", "qual")
-        return _align.align(r, kmers, chunks, o, CHUNK, step)
+        return _align.align(r, kmers, chunks, o, chunk, step)
 
     if mates is None:
         return one(reads, options)
@@ -215,7 +218,7 @@ process_exons = _intervals.process_exons
 def detection_call_annotation(spark: SparkSession, exons: DataFrame | str, reference: str, bin_width: int = 2000) -> dict[str, DataFrame]:
     """exons (a table, or a GTF file) and bins between genes with their GC, AT and N counts."""
     exons = annotation(spark, exons, is_gtf=True) if isinstance(exons, str) else exons
-    contigs = read_fasta(spark, reference, CHUNK).select("chr", "start", "seq")
+    contigs = read_fasta(spark, reference, _tools.GC_CHUNK).select("chr", "start", "seq")
     genes = exons.groupBy("chr", "gene_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return {"exons": _tools.gc_content(exons, contigs, ["gene_id", "chr"]), "bins": _tools.gc_content(_tools.intergenic_bins(genes, bin_width), contigs, ["chr"])}
 
@@ -290,7 +293,7 @@ def cell_counts(
     mode = next((m for m in ("fastq", "fastq-dir", "bam") if set(_cells.SHEET_COLUMNS[m]) <= set(sheet.columns)), "fastq")
     _cells.check_sheet(sheet.columns, mode)
     features, hits = annotation(spark, annot, is_gtf), None
-    kmers, chunks, step = _read_index(spark, index)
+    kmers, chunks, step, chunk = _read_index(spark, index)
     read = {
         "fastq": lambda row: read_barcode_pairs(spark, row["BarcodeUMIFile"], row["ReadFile"], barcode_length, umi_length),
         "fastq-dir": lambda row: read_barcode_folder(spark, row["FastqDirectory"], barcode_length, umi_length),
@@ -299,7 +302,7 @@ def cell_counts(
     for row in sheet.collect():
         pairs = read(row)
         fixed = _cells.correct_barcodes(pairs.select(F.col("barcode").alias("raw")).distinct(), barcodes).withColumnRenamed("barcode", "cell")
-        placed = _align.align(pairs.select(F.col("name").alias("rid"), "seq", "qual"), kmers, chunks, _align.AlignOptions(max_mismatches=10), CHUNK, step)
+        placed = _align.align(pairs.select(F.col("name").alias("rid"), "seq", "qual"), kmers, chunks, _align.AlignOptions(max_mismatches=10), chunk, step)
         reads = placed.filter("chr != '*'").select(F.col("rid").alias("fid"), "flag", "chr", "pos", "mapq", "cigar", F.lit(0).alias("tlen"), "nh")
         genes = _counting.assign(_counting.single_fragments(reads), features, _counting.CountOptions(strand=1)).filter("status = 'Assigned'")
         met = genes.select(F.col("fid").alias("name"), F.get("targets", F.lit(0)).alias("gene")).join(pairs.select("name", "barcode", "umi"), "name").join(fixed.withColumnRenamed("raw", "barcode"), "barcode")

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from readloom.functions.dna import reverse_complement
 
 K = 16
-#: Places of a piece of a chunk.
-PIECE = 256
 #: Reads whose gaps are looked for together.
 GAPPED_READS = 512
 
@@ -44,19 +42,41 @@ def _kmer(seq):
     return F.translate(seq, "ACGT", "0123").cast("long")
 
 
-def build_index(chunks: DataFrame, step: int = 1, max_occurrences: int = 100) -> DataFrame:
-    """kmer, chr, pos from chunks (chr, start, seq; consecutive chunks of a contig share K - 1 bases or more).
+_CODE = np.full(256, 4, np.int64)
+_CODE[np.frombuffer(b"ACGTacgt", np.uint8)] = [0, 1, 2, 3, 0, 1, 2, 3]
 
-    step 3 keeps every third base.  16-mers with another letter than ACGT or with more than max_occurrences places are left out."""
-    seq = chunks.withColumn("seq", F.upper("seq")).filter(F.length("seq") >= K)
-    # short pieces first: taking a substring costs its place in the string
-    cut = F.explode(F.sequence(F.lit(0), F.length("seq") - K, F.lit(PIECE)))
-    seq = seq.select("chr", "start", "seq", cut.alias("a")).select("chr", (F.col("start") + F.col("a")).alias("start"), F.substring("seq", F.col("a") + 1, F.lit(PIECE + K - 1)).alias("seq"))
-    each = seq.select("chr", "start", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("seq") - (K - 1)), lambda i: F.substring("seq", i, F.lit(K)))).alias("i", "s"))
-    places = each.select("chr", (F.col("start") + F.col("i")).alias("pos"), "s").filter(((F.col("pos") - 1) % step == 0) & ~F.col("s").rlike("[^ACGT]")).distinct()
-    places = places.select(_kmer("s").alias("kmer"), "chr", "pos")
-    common = places.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_occurrences).select("kmer")
-    return places.join(common, "kmer", "left_anti")
+
+def _places(step: int, chunk: int):
+    """chr, start, seq, last -> chr, pos, kmer: all 16-mers of a chunk that no later chunk has, a step of the loop a base of theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (start, seq, last) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
+                code = _CODE[np.frombuffer(seq.encode(), np.uint8)]
+                n = len(code) - K + 1 if start == last else min(len(code) - K + 1, chunk)
+                if n <= 0:
+                    continue
+                kmer, known = np.zeros(n, np.int64), np.ones(n, bool)
+                for j in range(K):
+                    kmer = kmer * 10 + code[j : j + n]
+                    known &= code[j : j + n] < 4
+                pos = start + np.arange(n)
+                kept = np.flatnonzero(known & ((pos - 1) % step == 0))
+                name = pa.array([batch.column(0)[i].as_py()]).take(pa.array(np.zeros(len(kept), np.int8)))
+                yield pa.record_batch([name, pa.array(pos[kept]), pa.array(kmer[kept])], ["chr", "pos", "kmer"])
+
+    return run
+
+
+def build_index(chunks: DataFrame, step: int = 1, max_occurrences: int = 100, chunk: int = 65_536) -> DataFrame:
+    """kmer, chr, pos from chunks (chr, start, seq; consecutive chunks of a contig begin ``chunk`` bases apart and share K - 1 or more).
+
+    step 3 keeps every third base.  16-mers with another letter than ACGT or with more than max_occurrences places are left out.  The index
+    is dealt out and sorted by 16-mer, as a join by it wants."""
+    last = chunks.groupBy("chr").agg(F.max("start").alias("last"))
+    places = chunks.select("chr", F.col("start").cast("long").alias("start"), "seq").join(last.withColumn("last", F.col("last").cast("long")), "chr").mapInArrow(_places(step, chunk), "chr string, pos long, kmer long")
+    n = F.count(F.lit(1)).over(Window.partitionBy("kmer"))
+    return places.withColumn("n", n).filter(F.col("n") <= max_occurrences).select("kmer", "chr", "pos")
 
 
 def check_reference(chunks: DataFrame) -> None:

@@ -94,7 +94,11 @@ def repair(alignments: DataFrame, add_dummy: bool = True) -> DataFrame:
     return keyed.repartition("pair").sortWithinPartitions("pair", "end")
 
 
-def gc_content(ranges: DataFrame, contigs: DataFrame, keys: list[str], most_n: float = 0.3, chunk: int = 65_536) -> DataFrame:
+#: Bases of a contig's chunk; to take a range's bases out of it costs their place in it.
+GC_CHUNK = 4096
+
+
+def gc_content(ranges: DataFrame, contigs: DataFrame, keys: list[str], most_n: float = 0.3, chunk: int = GC_CHUNK) -> DataFrame:
     """keys, start, end, length, gc, at, n of ranges on contigs; ranges with more N than most_n go.
 
     contigs: chr, start (1, 1 + chunk, ...), seq, in chunks of that many bases or with overlaps, which count once.  A range meets the chunks it
@@ -104,10 +108,10 @@ def gc_content(ranges: DataFrame, contigs: DataFrame, keys: list[str], most_n: f
     each = ranges.select("chr", "start", "end").distinct()
     each = each.withColumn("__c", F.explode(F.sequence(F.floor((F.col("start") - 1) / chunk), F.floor((F.col("end") - 1) / chunk))))
     each = each.join(c, ["chr", "__c"])
-    part = each.select("chr", "start", "end", F.expr("substring(__q, CAST(greatest(start, __s) - __s + 1 AS INT), CAST(least(end, __s + length(__q) - 1) - greatest(start, __s) + 1 AS INT))").alias("s")).filter(F.length("s") > 0)
+    part = each.select("chr", "start", "end", F.expr("substring(__q, CAST(greatest(start, __s) - __s + 1 AS INT), CAST(least(end, __s + length(__q) - 1) - greatest(start, __s) + 1 AS INT))").alias("s"))
     counted = part.select("chr", "start", "end", F.length("s").alias("length"), count_bases(F.col("s"), "GC").alias("gc"), count_bases(F.col("s"), "AT").alias("at"), count_bases(F.col("s"), "N").alias("n"))
     sums = counted.groupBy("chr", "start", "end").agg(*(F.sum(x).cast("int").alias(x) for x in ("length", "gc", "at", "n")))
-    sums = sums.filter(F.col("n") <= most_n * F.col("length"))
+    sums = sums.filter((F.col("length") > 0) & (F.col("n") <= most_n * F.col("length")))
     others = [k for k in keys if k != "chr"]
     if others:
         sums = ranges.select("chr", "start", "end", *others).join(sums, ["chr", "start", "end"])

@@ -39,21 +39,21 @@ def _right(mapped, reads):
 @query(READS)
 def mapped_reads_in_place(spark, sf_dir):
     chunks, reads = _chunks(spark, sf_dir), _truth(spark, sf_dir)
-    return _right(A.align(reads.select(F.col("name").alias("rid"), "seq", "qual"), A.build_index(chunks), chunks, A.AlignOptions(), 1000), reads)
+    return _right(A.align(reads.select(F.col("name").alias("rid"), "seq", "qual"), A.build_index(chunks, chunk=1000), chunks, A.AlignOptions(), 1000), reads)
 
 
 @query(READS)
 def mapped_reads_in_place_gapped(spark, sf_dir):
     """The same over an index that keeps one place in three."""
     chunks, reads = _chunks(spark, sf_dir), _truth(spark, sf_dir)
-    return _right(A.align(reads.select(F.col("name").alias("rid"), "seq", "qual"), A.build_index(chunks, 3), chunks, A.AlignOptions(), 1000, 3), reads)
+    return _right(A.align(reads.select(F.col("name").alias("rid"), "seq", "qual"), A.build_index(chunks, 3, chunk=1000), chunks, A.AlignOptions(), 1000, 3), reads)
 
 
 @query("SELECT 10 * count(*) AS pairs, 10 * count(*) AS proper, 20 * count(*) AS records, 0::BIGINT AS wrong_mates FROM documents")
 def mapped_pairs(spark, sf_dir):
     """Pairs that map as pairs, and records whose mate fields disagree with their mate's place."""
     chunks, reads = _chunks(spark, sf_dir), _truth(spark, sf_dir, paired=True)
-    index = A.build_index(chunks)
+    index = A.build_index(chunks, chunk=1000)
     one = lambda no: A.align(reads.filter(F.col("mate") == no).select(F.col("name").alias("rid"), "seq", "qual"), index, chunks, A.AlignOptions(best=4), 1000)
     pairs = written(A.pair_up(one(1), one(2)), "pairs")
     records = A.mate_records(pairs)
@@ -83,7 +83,7 @@ def found_junctions(spark, sf_dir):
         F.concat_ws(":", "chr", "n").alias("rid"), F.expr("concat(substr(seq, 801 - n, n), substr(seq, 1601, 100 - n))").alias("seq"), F.repeat(F.lit("I"), F.lit(100)).alias("qual")
     )
     o = A.AlignOptions(seeds=14, threshold=1, junctions=True)
-    mapped = A.align(read, A.build_index(chunks), chunks, o, 1000).filter("hi = 1")
+    mapped = A.align(read, A.build_index(chunks, chunk=1000), chunks, o, 1000).filter("hi = 1")
     found = C.junctions(C.single_fragments(mapped.select(F.col("rid").alias("fid"), "flag", "chr", "pos", "mapq", "cigar", F.lit(0).alias("tlen"), "nh")))
     return C.junction_counts(found)
 
@@ -104,4 +104,4 @@ def long_reads_in_place(spark, sf_dir):
     """Long reads: 2000 bases of each contig, from 101 on."""
     chunks = _chunks(spark, sf_dir)
     r = _contigs(spark, sf_dir).select(F.col("chr").alias("rid"), F.substring("seq", 101, 2000).alias("seq"))
-    return A.align_long(r, A.build_index(chunks)).select("rid", "strand", "chr", "start", "end")
+    return A.align_long(r, A.build_index(chunks, chunk=1000)).select("rid", "strand", "chr", "start", "end")

@@ -295,7 +295,7 @@ SELECT * FROM c WHERE n <= 0.9 * length""")
 def gc_content(spark, sf_dir):
     q = views.sequences(spark, sf_dir)
     w = I.fixed_bins(q.select("chr", F.lit(1).cast("long").alias("start"), F.length("seq").cast("long").alias("end")), 100)
-    return R.gc_content(w, views.chunks(q, 65_536), ["chr"], 0.9)
+    return R.gc_content(w, views.chunks(q, R.GC_CHUNK), ["chr"], 0.9)
 
 
 # Read tools
@@ -477,8 +477,8 @@ def _chunks(spark, sf_dir):
 @query(f"""WITH {SEQ}, p AS (SELECT doc_id, seq, unnest(range(1, length(seq) - 14)) AS i FROM q), k AS (SELECT doc_id, i, substr(seq, i::INT, 16) AS s FROM p), g AS (SELECT s, count(*) AS n FROM k WHERE NOT contains(s, 'N') GROUP BY s HAVING count(*) <= 100)
 SELECT count(*) AS kmers, coalesce(sum(n), 0)::BIGINT AS places FROM g""")
 def kmer_index(spark, sf_dir):
-    q = views.sequences(spark, sf_dir).select("chr", F.lit(1).cast("long").alias("start"), "seq")
-    return A.build_index(q).groupBy("kmer").count().agg(F.count(F.lit(1)).alias("kmers"), F.coalesce(F.sum("count"), F.lit(0)).alias("places"))
+    q = views.chunks(views.sequences(spark, sf_dir), 4096, A.K - 1)
+    return A.build_index(q, chunk=4096).groupBy("kmer").count().agg(F.count(F.lit(1)).alias("kmers"), F.coalesce(F.sum("count"), F.lit(0)).alias("places"))
 
 
 def _simulated(spark, sf_dir):
@@ -496,7 +496,7 @@ def simulated_reads(spark, sf_dir):
 def aligned_reads(spark, sf_dir):
     chunks = _chunks(spark, sf_dir)
     reads = _simulated(spark, sf_dir).select(F.col("name").alias("rid"), "seq", "qual")
-    return A.align(reads, A.build_index(chunks), chunks, A.AlignOptions(), 1000)
+    return A.align(reads, A.build_index(chunks, chunk=1000), chunks, A.AlignOptions(), 1000)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

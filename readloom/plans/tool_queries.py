@@ -41,7 +41,7 @@ def gene_rollup(spark, sf_dir):
 
     q = views.sequences(spark, sf_dir)
     w = I.fixed_bins(q.select("chr", F.col("chr").alias("gene_id"), F.lit(1).cast("long").alias("start"), F.length("seq").cast("long").alias("end")), 100)
-    exons = R.gc_content(w, views.chunks(q, 65_536), ["gene_id", "chr"], 0.9).withColumn("reads", F.col("start") % 7)
+    exons = R.gc_content(w, views.chunks(q, R.GC_CHUNK), ["gene_id", "chr"], 0.9).withColumn("reads", F.col("start") % 7)
     return R.gene_rollup(exons).withColumn("gc_percent", F.round("gc_percent", 9))
 
 

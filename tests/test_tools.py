@@ -114,7 +114,7 @@ def test_simulated_reads_map_back(spark):
     tx = spark.createDataFrame([("t1", g[1000:2000], 1.0), ("t2", g[3000:4500], 2.0), ("t3", "ACGT", 5.0)], "transcript_id string, seq string, expression double")
     sim = simulate_reads(tx, 150, 75, paired=True)
     assert sim.count() == 300 and sim.filter("transcript_id = 't3'").count() == 0
-    index = A.build_index(chunks)
+    index = A.build_index(chunks, chunk=1000)
     assert index.count() == 6000 - 15
     offset = F.when(F.col("transcript_id") == "t1", 1000).otherwise(3000)
     reads = sim.withColumn("rid", F.concat_ws("/", "name", "mate")).withColumn("from", offset + F.col("start")).withColumn("to", offset + F.col("start") + F.col("fragment_length") - 1)
@@ -131,7 +131,7 @@ def test_indels_junctions_and_unmapped(spark):
     chunks = spark.createDataFrame([("c1", a + 1, g[a : a + 1000 + 300]) for a in range(0, 5000, 1000)], "chr string, start long, seq string")
     reads = [("del", g[500:550] + g[553:603]), ("ins", g[700:740] + "AC" + g[740:798]), ("junc", g[1950:2000] + g[3000:3050]), ("none", genome(100, 9)), ("same", g[100:200])]
     df = spark.createDataFrame([(n, s, "I" * len(s)) for n, s in reads], "rid string, seq string, qual string")
-    got = {r["rid"]: r for r in A.align(df, A.build_index(chunks), chunks, A.AlignOptions(junctions=True), 1000).collect()}
+    got = {r["rid"]: r for r in A.align(df, A.build_index(chunks, chunk=1000), chunks, A.AlignOptions(junctions=True), 1000).collect()}
     assert got["same"]["cigar"] == "100M" and got["none"]["flag"] == 4
     assert (got["junc"]["pos"], got["junc"]["cigar"]) == (1951, "50M1000N50M")
     assert "D" in got["del"]["cigar"] and got["del"]["pos"] == 501 and "I" in got["ins"]["cigar"] and got["ins"]["pos"] == 701
