@@ -161,8 +161,21 @@ def subjunc(spark: SparkSession, index: str, reads: str, mates: str | None = Non
 
 
 def sublong(spark: SparkSession, index: str, reads: str) -> DataFrame:
+    """Records of long FASTQ reads, gaps between seeds filled, ends clipped."""
     r = read_fastq(spark, reads).select(F.col("name").alias("rid"), "seq")
-    return _align.align_long(r, spark.read.parquet(f"{index}/kmers"))
+    kmers, chunks, _, chunk = _read_index(spark, index)
+    return _align.long_records(_align.align_long(r, kmers), r, chunks, chunk)
+
+
+def structural_variants(spark: SparkSession, index: str, reads: str, mates: str, options: _align.AlignOptions = _align.AlignOptions()) -> DataFrame:
+    """Deletions, inversions and translocations that mate pairs show."""
+    kmers, chunks, step, chunk = _read_index(spark, index)
+
+    def one(path: str) -> DataFrame:
+        r = read_fastq(spark, path).select(F.regexp_replace("name", "/[12]$", "").alias("rid"), "seq", "qual")
+        return _align.align(r, kmers, chunks, replace(options, best=MATE_PLACES), chunk, step)
+
+    return _align.structural_variants(_align.pair_up(one(reads), one(mates), options), options)
 
 
 def exact_snp(

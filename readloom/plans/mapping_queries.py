@@ -105,3 +105,16 @@ def long_reads_in_place(spark, sf_dir):
     chunks = _chunks(spark, sf_dir)
     r = _contigs(spark, sf_dir).select(F.col("chr").alias("rid"), F.substring("seq", 101, 2000).alias("seq"))
     return A.align_long(r, A.build_index(chunks, chunk=1000)).select("rid", "strand", "chr", "start", "end")
+
+
+@query("SELECT 'chr' || doc_id AS rid, 0::INT AS flag, 'chr' || doc_id AS chr, 101::BIGINT AS pos, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE -4 END::INT AS net, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 4 END::INT AS nm, CASE WHEN doc_id % 2 = 0 THEN 2000 ELSE 1996 END::INT AS length FROM documents")
+def long_read_records(spark, sf_dir):
+    """Long reads with two bases inserted, or four left out, after 1000 bases: how many more bases their records insert than delete, their edit
+    distance, and the bases that their CIGAR strings account for."""
+    chunks = _chunks(spark, sf_dir)
+    even = F.expr("CAST(substr(chr, 4) AS BIGINT) % 2 = 0")
+    cut = F.when(even, F.expr("concat(substr(seq, 101, 1000), 'AC', substr(seq, 1101, 998))")).otherwise(F.expr("concat(substr(seq, 101, 1000), substr(seq, 1105, 996))"))
+    r = written(_contigs(spark, sf_dir).select(F.col("chr").alias("rid"), cut.alias("seq")), "long")
+    out = A.long_records(A.align_long(r, A.build_index(chunks, chunk=1000), seed_step=8), r, chunks, 1000)
+    bases = lambda ops: F.aggregate(F.transform(F.regexp_extract_all("cigar", F.lit(f"(\\d+)[{ops}]"), F.lit(1)), lambda x: x.cast("int")), F.lit(0), lambda s, x: s + x)
+    return out.select("rid", "flag", "chr", "pos", (bases("I") - bases("D")).alias("net"), "nm", bases("MIS").alias("length"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -128,8 +129,19 @@ def test_mapping_of_pairs_spliced_and_long_reads(spark, place):
     one, two = got["p", 99], got["p", 147]
     assert (one["pos"], one["pnext"], one["tlen"], one["rnext"]) == (301, 426, 200, "=") and (two["pos"], two["pnext"], two["tlen"]) == (426, 301, -200) and one["tags"]["NM"] == "0"
     assert {r["rid"]: r["cigar"] for r in api.subjunc(spark, str(place / "ix"), a).collect()} == {"p": "75M", "q": "40M1000N40M"}
-    long = api.sublong(spark, str(place / "ix"), fastq(place, "long.fastq", [("x", G[500:2500])])).first()
-    assert long["strand"] == "+" and (long["start"], long["end"]) == (501, 2500)
+    reads = [("x", G[500:2500]), ("y", turned("TTTTT" + G[700:1200] + "ACG" + G[1200:1700] + G[1704:2400]))]
+    long = {r["rid"]: (r["flag"], r["pos"], r["cigar"], r["nm"]) for r in api.sublong(spark, str(place / "ix"), fastq(place, "long.fastq", reads)).collect()}
+    assert long["x"] == (0, 501, "2000M", 0)
+    flag, pos, cigar, nm = long["y"]
+    kinds = {op: sum(int(k) for k, o in re.findall(r"(\d+)([A-Z])", cigar) if o == op) for op in "MIDS"}
+    assert flag == 16 and abs(pos - 701) <= 16 and kinds["I"] - kinds["D"] == 3 - 4 and nm == kinds["I"] + kinds["D"] and kinds["M"] + kinds["I"] + kinds["S"] == len(reads[1][1])
+
+
+def test_structural_variants_of_pairs(spark, place):
+    a = fastq(place, "v1.fastq", [(f"d{i}/1", G[100 + i : 175 + i]) for i in range(3)] + [(f"v{i}/1", G[3200 + i : 3275 + i]) for i in range(3)])
+    b = fastq(place, "v2.fastq", [(f"d{i}/2", turned(G[4000 + i : 4075 + i])) for i in range(3)] + [(f"v{i}/2", G[3500 + i : 3575 + i]) for i in range(3)])
+    got = sorted((r["kind"], r["pos1"], r["end1"], r["pos2"], r["end2"], r["support"]) for r in api.structural_variants(spark, str(place / "ix"), a, b).collect())
+    assert got == [("deletion", 101, 103, 4001, 4003, 3), ("inversion", 3201, 3203, 3501, 3503, 3)]
 
 
 @pytest.mark.parametrize("mode", ["fastq", "fastq-dir", "bam"])
