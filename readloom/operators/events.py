@@ -20,6 +20,18 @@ def indel_events(alignments: DataFrame) -> DataFrame:
     return p.groupBy("chr", F.col("p.a.end").alias("pos"), F.col("p.a.after").alias("kind"), length.alias("length")).agg(F.count(F.lit(1)).alias("support"))
 
 
+def event_counts(alignments: DataFrame) -> DataFrame:
+    """file, junctions, indels: different junctions and indels that a file's mapped records show."""
+    mapped = alignments.filter(~has(F.col("flag"), UNMAPPED) & F.col("cigar").rlike("[NID]"))
+    s = mapped.select("file", "chr", cigar_sections(F.col("cigar"), F.col("pos")).alias("s")).filter(F.size("s") > 1)
+    near = F.transform(F.sequence(F.lit(0), F.size("s") - 2), lambda i: F.struct(F.get("s", i).alias("a"), F.get("s", i + 1).alias("b")))
+    p = s.select("file", "chr", F.explode(near).alias("p"))
+    length = F.when(F.col("p.a.after") == "I", F.col("p.b.read_start") - F.col("p.a.read_start")).otherwise(F.col("p.b.start"))
+    each = p.select("file", "chr", F.col("p.a.after").alias("kind"), F.col("p.a.end").alias("left"), length.alias("to")).distinct()
+    found = each.groupBy("file").agg(F.count_if(F.col("kind") == "N").alias("junctions"), F.count_if(F.col("kind") != "N").alias("indels"))
+    return alignments.select("file").distinct().join(found, "file", "left").na.fill(0)
+
+
 def prune_neighbours(events: DataFrame, within: int = 5) -> DataFrame:
     """Of events of a contig that follow each other within so many bases, the best supported."""
     runs = islands(events.withColumn("to", F.col("pos")), ["chr"], "pos", "to", within)

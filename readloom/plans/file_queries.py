@@ -267,3 +267,24 @@ def repaired_pairs(spark, sf_dir):
         F.lit("f").alias("file"), "qname", "flag", "chr", "pos", "mapq", "cigar", F.coalesce("mchr", F.lit("*")).alias("rnext"), F.coalesce("mpos", F.lit(0)).alias("pnext"), "tlen", F.lit("A").alias("seq"), F.lit("I").alias("qual"), "nh", F.lit(1).alias("hi"),
     )
     return R.repair(full).groupBy("dummy", "end").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
+
+
+@query(f"""WITH {SQL}, e AS (SELECT DISTINCT file, chr, pos, l_linenumber FROM l WHERE len > 40 AND flag & 4 = 0) SELECT file, count(*) AS junctions, 0::BIGINT AS indels FROM e GROUP BY file""")
+def mapping_events(spark, sf_dir):
+    """Different junctions and indels of each file."""
+    from readloom.operators import events as E
+
+    return E.event_counts(views.alignments(spark, sf_dir))
+
+
+@query(f"""{MATED}, p AS (SELECT *, rev, mchr = chr AS one FROM m),
+f AS (SELECT a.no, a.un, a.rev, a.tlen AS t0, a.one, b.un AS mun, b.rev AS mrev FROM p a JOIN p b ON a.fid = b.fid AND a.no <> b.no WHERE a.no = 1 AND NOT a.un AND NOT b.un AND a.one)
+SELECT count(*) FILTER (rev = mrev) AS unexpected_strandness, count(*) FILTER (rev <> mrev AND NOT t0 BETWEEN 50 AND 600) AS unexpected_template_length, count(*) FILTER (rev <> mrev AND t0 BETWEEN 50 AND 600) AS inversed_mapping FROM f""")
+def mapping_summary_of_pairs(spark, sf_dir):
+    """Pairs on one contig that are not proper, by what is wrong with them."""
+    p = views.pairs(spark, sf_dir).withColumn("first", F.col("flag").bitwiseAND(F.lit(64)))
+    mate = p.select("l_orderkey", "pair", (64 - F.col("first")).alias("first"), F.col("flag").alias("mflag"), F.col("chr").alias("mchr"))
+    met = p.join(mate, ["l_orderkey", "pair", "first"], "left")
+    flag = F.col("flag") + F.when(F.col("mflag").bitwiseAND(F.lit(4)) != 0, 8).otherwise(0) + F.when(F.col("mflag").bitwiseAND(F.lit(16)) != 0, 32).otherwise(0)
+    full = met.withColumn("flag", F.when(F.col("mflag").isNull(), F.col("flag") + 8).otherwise(flag)).withColumn("rnext", F.when(F.col("mchr") == F.col("chr"), "=").otherwise(F.coalesce("mchr", F.lit("*")))).withColumn("file", F.lit("f"))
+    return tables.mapping_summary(full).select("unexpected_strandness", "unexpected_template_length", "inversed_mapping")

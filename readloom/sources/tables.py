@@ -204,14 +204,19 @@ def write_vcf(rows: DataFrame, path: str) -> None:
     head.unionByName(out.select(F.concat_ws("\t", *(F.coalesce(c, F.lit(".")) for c in cols)).alias("value"))).write.text(path)
 
 
-def mapping_summary(alignments: DataFrame) -> DataFrame:
-    """Counts over primary records: total, mapped, uniquely and multi-mapping, unmapped, properly paired."""
+def mapping_summary(alignments: DataFrame, min_fragment: int = 50, max_fragment: int = 600) -> DataFrame:
+    """Counts over primary records: total, mapped, uniquely and multi-mapping, unmapped, and of pairs: proper ones, ends that map alone,
+    ends on two contigs, and, of other pairs on one contig (by their first ends), those on one strand, of a wrong length, or turned
+    away from each other.  Junctions and indels: ``operators.events.event_counts``."""
     flag = F.col("flag")
     bit = lambda b: flag.bitwiseAND(F.lit(b)) != 0
     first = alignments.filter(~bit(256))
     mapped = ~bit(4)
+    odd = bit(1) & bit(64) & mapped & ~bit(8) & ~bit(2) & ((F.col("rnext") == "=") | (F.col("rnext") == F.col("chr")))
+    one_strand, fits = bit(16) == bit(32), F.abs("tlen").between(min_fragment, max_fragment)
     return first.groupBy("file").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(mapped).alias("mapped"), F.count_if(mapped & (F.col("nh") == 1)).alias("uniquely_mapped"), F.count_if(mapped & (F.col("nh") > 1)).alias("multi_mapping"),
         F.count_if(~mapped).alias("unmapped"), F.count_if(bit(1) & bit(2)).alias("properly_paired"), F.count_if(bit(1) & mapped & bit(8)).alias("singleton"),
         F.count_if(bit(1) & mapped & ~bit(8) & ~F.col("rnext").isin("=", "*") & (F.col("rnext") != F.col("chr"))).alias("more_than_one_chr"),
+        F.count_if(odd & one_strand).alias("unexpected_strandness"), F.count_if(odd & ~one_strand & ~fits).alias("unexpected_template_length"), F.count_if(odd & ~one_strand & fits).alias("inversed_mapping"),
     )
