@@ -169,44 +169,56 @@ def ambient_profile(counts: DataFrame, called: DataFrame, ranks: tuple[int, int]
     return counts.join(low, CELL_KEYS).groupBy("sample", "gene").agg(F.sum("umis").alias("umis"))
 
 
-def rescue(counts: DataFrame, candidates: DataFrame, ambient: DataFrame, simulations: int = 10_000, fdr: float = 0.01, seed: int = 42) -> DataFrame:
+def rescue(counts: DataFrame, candidates: DataFrame, ambient: DataFrame, simulations: int = 10_000, fdr: float = 0.01, seed: int = 42, block: int = 500) -> DataFrame:
     """sample, cell, p_value, fdr, rescued: candidates whose genes are unlikely draws from the ambient profile.
 
-    The ambient profile (a row a gene) goes to the driver and is smoothed; for each sample, draws are simulated once by growing
-    UMI totals and serve all of its candidates."""
+    The ambient profile (a row a gene) goes to the driver and is smoothed. Each candidate's own likelihood is worked out where its
+    counts are. Draws are simulated by growing UMI totals, ``block`` simulations of a sample a task, and each serves all of the
+    sample's candidates, of which a task sees only totals and likelihoods (RESCUE_MOST rows at most)."""
     profile = ambient.toPandas()
-    known = {s: (dict(zip(g["gene"], good_turing(g["umis"].to_numpy())))) for s, g in profile.groupby("sample")}
-    chosen = counts.join(candidates.select(*CELL_KEYS, "total"), CELL_KEYS)
+    shares = {s: dict(zip(g["gene"], good_turing(g["umis"].to_numpy()))) for s, g in profile.groupby("sample")}
+    kinds = dict(counts.dtypes)
 
-    def test(group: pd.DataFrame) -> pd.DataFrame:
-        sample = group["sample"].iloc[0]
-        share = known.get(sample, {})
-        genes = {g: i for i, g in enumerate(share)}
+    def log_shares(sample) -> tuple[dict, np.ndarray]:
+        share = shares.get(sample, {})
         p = np.maximum(np.array(list(share.values()) or [1.0]), 1e-12)
-        logp = np.log(p / p.sum())
-        rng = np.random.default_rng(seed)
-        cells = group.groupby("cell")
-        totals = cells["umis"].sum().sort_values(kind="stable")
-        draws, size, seen = np.zeros((simulations, len(p)), np.int32), 0, np.zeros(simulations)
-        out = []
-        for cell, total in totals.items():
+        return {g: i for i, g in enumerate(share)}, np.log(p / p.sum())
+
+    def likelihood(group: pd.DataFrame) -> pd.DataFrame:
+        genes, logp = log_shares(group["sample"].iloc[0])
+        at = np.array([genes.get(g, -1) for g in group["gene"]])
+        n = group["umis"].to_numpy()
+        own = (n * np.where(at >= 0, logp[at], np.log(1e-12))).sum() - log_factorial(n).sum()
+        return pd.DataFrame({"sample": [group["sample"].iloc[0]], "cell": [group["cell"].iloc[0]], "total": [int(n.sum())], "own": [own]})
+
+    chosen = counts.join(candidates.select(*CELL_KEYS), CELL_KEYS)
+    own = chosen.groupBy(*CELL_KEYS).applyInPandas(likelihood, f"sample {kinds['sample']}, cell {kinds['cell']}, total long, own double")
+
+    def simulate(group: pd.DataFrame) -> pd.DataFrame:
+        _, logp = log_shares(group["sample"].iloc[0])
+        number = int(group["block"].iloc[0])
+        runs = min(block, simulations - number * block)
+        rng, upto = np.random.default_rng([seed, number]), np.cumsum(np.exp(logp))
+        draws, size, seen, rows = np.zeros((runs, len(logp)), np.int32), 0, np.zeros(runs), np.arange(runs)
+        ordered, below = group.sort_values("total", kind="stable"), []
+        for total, mine in zip(ordered["total"], ordered["own"]):
             for _ in range(int(total) - size):  # one more UMI in each simulation
-                pick = np.searchsorted(np.cumsum(np.exp(logp)), rng.random(simulations) * 0.999999)
-                draws[np.arange(simulations), pick] += 1
-                seen += logp[pick] - np.log(draws[np.arange(simulations), pick])
+                pick = np.minimum(np.searchsorted(upto, rng.random(runs) * upto[-1], side="right"), len(logp) - 1)
+                draws[rows, pick] += 1
+                seen += logp[pick] - np.log(draws[rows, pick])
             size = int(total)
-            mine = cells.get_group(cell)
-            at = np.array([genes.get(g, -1) for g in mine["gene"]])
-            n = mine["umis"].to_numpy()
-            own = (n * np.where(at >= 0, logp[at], np.log(1e-12))).sum() - log_factorial(n).sum()
-            out.append((sample, cell, (1 + (seen < own + 1e-9).sum()) / (simulations + 1)))
-        frame = pd.DataFrame(out, columns=["sample", "cell", "p_value"])
-        frame["fdr"] = benjamini_hochberg(frame["p_value"].to_numpy())
-        frame["rescued"] = frame["fdr"] <= fdr
-        return frame
+            below.append(int((seen < mine + 1e-9).sum()))
+        return pd.DataFrame({"sample": ordered["sample"].to_numpy(), "cell": ordered["cell"].to_numpy(), "below": below})
 
-    kinds = dict(counts.dtypes)
-    return chosen.groupBy("sample").applyInPandas(test, f"sample {kinds['sample']}, cell {kinds['cell']}, p_value double, fdr double, rescued boolean")
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(-(-simulations // block) - 1)))
+    drawn = own.withColumn("block", numbers).groupBy("sample", "block").applyInPandas(simulate, f"sample {kinds['sample']}, cell {kinds['cell']}, below long")
+    tested = drawn.groupBy(*CELL_KEYS).agg(((F.sum("below") + 1) / (simulations + 1)).alias("p_value"))
+
+    def adjust(group: pd.DataFrame) -> pd.DataFrame:
+        q = benjamini_hochberg(group["p_value"].to_numpy())
+        return group.assign(fdr=q, rescued=q <= fdr)[["sample", "cell", "p_value", "fdr", "rescued"]]
+
+    return tested.groupBy("sample").applyInPandas(adjust, f"sample {kinds['sample']}, cell {kinds['cell']}, p_value double, fdr double, rescued boolean")
 
 
 def cell_matrix(counts: DataFrame, cells: DataFrame) -> DataFrame:
