@@ -5,7 +5,8 @@ table of at most ``capacity`` rows however large the corpus, go to the driver, w
 long to short: a segment tree over remaining capacities gives the tightest open bin in logarithmic time, and
 equal pieces and equal bins move as runs.  Each run gives a line of the plan: pieces number a to b of a length go, some to
 a bin, to bins number c and on.  The plan's size depends on the capacity, not on the corpus.  Pieces are numbered within their length
-by hash bucket, so that no task holds all pieces of one length, and find their line by binary search.
+by hash bucket, a length in as many buckets as it has pieces for, so that no task holds all pieces of one length, and find their line by
+binary search.
 Bins are those that packing document by document would give.
 
 Null text is empty text and packs as its end token alone.  Repeated rows are packed as often as they occur.  Empty
@@ -28,8 +29,8 @@ from readloom.llm.tokens import default_paths, tokenizer
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces that are numbered together.
-PIECES_PER_BUCKET = 100_000
+#: Pieces that are numbered together, and buckets of all lengths together, about.
+PIECES_PER_BUCKET, BUCKETS = 500, 1_000_000
 
 
 class OpenBins:
@@ -153,12 +154,14 @@ def pack(
     """One row per piece: <id_col>, piece, start, length, ids_crc32, [ids,] sequence_id, offset."""
     cut = materialise(pieces(docs, id_col, text_col, capacity, end_id, paths, keep_ids), "pieces")
     n = cut.count()
-    bucket = F.pmod(F.xxhash64("id", "piece", "start"), F.lit(n // pieces_per_bucket + 1))
-    numbered = cut.withColumn("bucket", bucket)
+    by_length = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = max(pieces_per_bucket, n // BUCKETS)
+    buckets = F.element_at(F.array(*(F.lit(by_length.get(k, 0) // each + 1) for k in range(1, capacity + 1))), F.col("length").cast("int"))
+    numbered = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "start"), buckets))
     counts = materialise(numbered.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("count")), "counts")
     before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("length", "bucket", before.alias("before"))
-    lines = plan({r["length"]: r["n"] for r in numbered.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}, capacity)
+    lines = plan(by_length, capacity)
     nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32")) - 1
     ranked = numbered.withColumn("nth", nth).join(counts, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("nth"))
     ranked = ranked.select(*cut.columns, "rank")
