@@ -9,7 +9,7 @@ only pairs whose lower bound is within it are computed again from the original v
 query's best within a cell, and a shuffle ranks the cells' best.  No pair is dropped on an estimate: results are exact.
 
 Vectors that are null or zero or hold null or non-finite components take no part, neither as queries nor as
-candidates; only vectors of equal length meet.  Rows with a null id take no part.  Of rows that share an id and differ in
+candidates; only vectors of equal length meet.  Ids are whole numbers or their text; another text raises under ANSI rules.  Rows with a null id take no part.  Of rows that share an id and differ in
 their vectors, the smallest vector (component by component) asks, and the nearest answers.  Repeated rows count once; a candidate with
 the query's own id is the query's own.  Ties go to the smaller id.  Fewer candidates than ``k`` give fewer rows; empty tables
 none.  Other columns may have any names.
@@ -105,7 +105,7 @@ class QueryBlock:
         self.tile = self.codes.astype(self.kind)
         self.size = _norm(self.codes * self.scale[:, None])
         self.limit = np.full(len(ids), np.inf)
-        self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]  # (-distance, -id): the worst on top
+        self.best: list[dict[int, float]] = [{} for _ in ids]  # the nearest of each id, up to k ids
 
     def meet(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scale: np.ndarray, lost: np.ndarray) -> None:
         product = (self.tile @ codes.astype(self.kind).T).astype(np.float64) * self.scale[:, None] * scale[None, :]
@@ -115,8 +115,12 @@ class QueryBlock:
         near = np.sqrt(np.maximum(square, 0))
         lower = near - (self.lost[:, None] + lost[None, :]) - slack
         own = self.ids[:, None] == ids[None, :]
-        if len(ids) > self.k:
+        distinct = np.unique(ids)
+        if len(distinct) > self.k:
             upper = np.where(own, np.inf, near + (self.lost[:, None] + lost[None, :]) + slack)
+            if len(distinct) < len(ids):  # an id is one candidate, however many rows it has
+                order = np.argsort(ids, kind="stable")
+                upper = np.minimum.reduceat(upper[:, order], np.searchsorted(ids[order], distinct), axis=1)
             limit = np.minimum(self.limit, np.partition(upper, self.k - 1, axis=1)[:, self.k - 1])
         else:
             limit = self.limit
@@ -130,27 +134,22 @@ class QueryBlock:
         q, c, exact = q[order], c[order], exact[order]
         begin = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else []
         for a, b in zip(begin, [*begin[1:], len(q)]):
-            best, heap = {}, self.heaps[q[a]]
+            found = {}
             for d, i in zip(exact[a:b].tolist(), c[a:b].tolist()):
-                best.setdefault(i, d)  # repeated rows count once
-                if len(best) == self.k:
+                found.setdefault(i, d)  # nearest first
+                if len(found) == self.k:
                     break
-            _merge(heap, [(-d, -i) for i, d in best.items()], self.k)
-            if len(heap) == self.k:
-                self.limit[q[a]] = -heap[0][0]
+            best = self.best[q[a]] = _merge(self.best[q[a]], found, self.k)
+            if len(best) == self.k:
+                self.limit[q[a]] = max(best.values())
 
 
-def _merge(heap: list[tuple[float, int]], entries: list[tuple[float, int]], k: int) -> None:
-    held = set(heap)
-    for entry in entries:
-        if entry in held:
-            continue
-        if len(heap) < k:
-            heapq.heappush(heap, entry)
-            held.add(entry)
-        elif entry > heap[0]:
-            held.discard(heapq.heapreplace(heap, entry))
-            held.add(entry)
+def _merge(held: dict[int, float], found: dict[int, float], k: int) -> dict[int, float]:
+    """The k nearest ids of both, each with its least distance; ties to smaller ids."""
+    for i, d in found.items():
+        if i not in held or d < held[i]:
+            held[i] = d
+    return held if len(held) <= k else {i: d for d, i in heapq.nsmallest(k, ((d, i) for i, d in held.items()))}
 
 
 def _cell(k: int, kind: type):
@@ -161,7 +160,7 @@ def _cell(k: int, kind: type):
             for block in blocks:
                 if block.vectors.shape[1] == vectors.shape[1]:
                     block.meet(ids, vectors, *coded)
-        found = [(q, -i, -d) for block in blocks for q, heap in zip(block.ids.tolist(), block.heaps) for d, i in heap]
+        found = [(q, i, d) for block in blocks for q, best in zip(block.ids.tolist(), block.best) for i, d in best.items()]
         q, i, d = zip(*found) if found else ((), (), ())
         return pa.table([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], ["query_id", "vec_id", "score"])
 

@@ -35,7 +35,7 @@ RUNS, BUCKETS = 2, 10_000
 SEED = 7
 LEAST_WORDS, PERCENT = 20, 25
 #: Entries and rows of a block of the matrix; only a single document may have more entries, at most one a bucket.
-BLOCK_ENTRIES, BLOCK_ROWS = 1 << 17, 1 << 12
+BLOCK_ENTRIES, BLOCK_ROWS = 1 << 15, 1 << 12
 SEGMENT = 1 << 20
 #: Rows of a range of the drawn, about.
 ROWS_A_RANGE = 1 << 18
@@ -83,7 +83,7 @@ def _rows(runs: int, buckets: int, kind: pa.DataType):
 
     def block(ids: list, words: list[int], found: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
         starts = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-        data = (np.array(words, np.int64), starts, np.concatenate(found).astype(np.uint32), np.concatenate(counts).astype(np.int64))
+        data = (np.array(words, np.int64), starts, np.concatenate(found).astype(np.uint32), np.concatenate(counts).astype(np.uint32))
         return pa.record_batch([pa.array([ids], pa.list_(kind)), *(pa.array([x.tobytes()], pa.binary()) for x in data)], ["ids", "words", "starts", "buckets", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             for at, counts in zip(batch.column(0), batch.column(1)):
-                np.add.at(total, np.frombuffer(at.as_py(), np.uint32), np.frombuffer(counts.as_py(), np.int64))
+                total += np.bincount(np.frombuffer(at.as_py(), np.uint32), np.frombuffer(counts.as_py(), np.uint32), minlength=buckets).astype(np.int64)
         found = np.flatnonzero(total)
         yield pa.record_batch([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["bucket", "n"])
 
@@ -143,7 +143,7 @@ def weights(matrix: DataFrame, gain: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                words, starts, at, counts = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in ((1, np.int64), (2, np.int32), (3, np.uint32), (4, np.int64)))
+                words, starts, at, counts = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in ((1, np.int64), (2, np.int32), (3, np.uint32), (4, np.uint32)))
                 summed = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[starts])
                 n = summed(counts)
                 weight = summed(counts * gain[at]) // np.maximum(n, 1)

@@ -149,7 +149,7 @@ def first_documents(strings: list[tuple[bytes, int | None]], window: int) -> lis
     for s, (packed, first) in enumerate(strings):
         found = _windows(packed, window)
         out.append([None] * len(found))
-        entries += [(w, first is None, first or 0, s, i) for i, w in enumerate(found)]
+        entries += [(w, first is None, first, s, i) for i, w in enumerate(found)]
     entries.sort()
     last, least = None, None
     for w, empty, first, s, i in entries:

@@ -523,3 +523,26 @@ def test_neighbours_of_an_id_with_two_vectors(spark):
     for kind in ("float", "double"):
         df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(4)
         assert rows_of(neighbours.nearest(df), "query_id", "rank", "vec_id", "score") == [(100, 1, 1, 1.0), (100, 2, 2, 3.0)]
+
+
+@pytest.mark.parametrize("queries,candidates", [(16_384, 65_536), (2, 40)])
+def test_neighbours_of_repeated_rows(spark, queries, candidates):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
+    table = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<float>")
+    columns = ("query_id", "rank", "vec_id", "score")
+    want = rows_of(neighbours.nearest(table(rows)), *columns)
+    assert len(want) == 30
+    for many in (rows * 2, rows * 3, rows + [rows[7]] * 50 + [rows[100]] * 20):
+        assert rows_of(neighbours.nearest(table(many), query_block=queries, candidate_block=candidates), *columns) == want
+    # one id with fifty vectors, all nearer than the other ids
+    near = rows + [(5, [x + 0.001 * k for x in rows[0][1]]) for k in range(1, 51)]
+    got = neighbours.nearest(table(near), query_block=queries, candidate_block=candidates)
+    assert rows_of(got, *columns[:3]) == sorted(slow_neighbours([(i, tuple(v)) for i, v in near], 10), key=repr)
+
+
+def test_substrings_with_an_empty_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [("", text), ("b", text), (None, text), ("", "x " + text)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(2)
+    assert sum(r["n_removed"] for r in substring_dedup(df).collect()) > 0
