@@ -38,6 +38,16 @@ def cigar_parts(cigar: Column) -> Column:
     return F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHPX=])"), F.lit(1)), lambda x: F.struct(F.regexp_extract(x, r"\d+", 0).cast("int").alias("len"), F.right(x, F.lit(1)).alias("op")))
 
 
+def bases_of(cigar: Column, ops: str) -> Column:
+    """How many bases the operations of a CIGAR string take, of those named in ops."""
+    return F.aggregate(F.transform(F.regexp_extract_all(cigar, F.lit(rf"(\d+)[{ops}]"), F.lit(1)), lambda x: x.cast("int")), F.lit(0), lambda s, x: s + x)
+
+
+def reference_span(cigar: Column) -> Column:
+    """Bases of the reference from the first aligned to the last."""
+    return F.when(cigar.rlike("^[1-9][0-9]{0,8}M$"), F.rtrim(cigar, F.lit("M")).cast("int")).otherwise(bases_of(cigar, "MDN=X"))
+
+
 def cigar_sections(cigar: Column, pos: Column) -> Column:
     """Aligned sections: array<struct<start, end, read_start, after>>; N, D and I end one and are named in ``after``."""
     section = "array<struct<start:int,end:int,read_start:int,after:string>>"

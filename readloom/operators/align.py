@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.dna import reverse_complement
+from readloom.functions.dna import reference_span, reverse_complement
 from readloom.operators.events import breakpoint_clusters
+from readloom.operators.local import MATCH, MISMATCH, align_locally
 
 K = 16
 #: Reads whose gaps are looked for together.
@@ -34,6 +35,7 @@ class AlignOptions:
     junctions: bool = False
     max_intron: int = 500_000
     max_occurrences: int = 100
+    least_aligned: int = 24  # bases that are not clipped, and a third of the read
     trim_5: int = 0
     trim_3: int = 0
 
@@ -126,81 +128,35 @@ def _matrix(strings: list[str], width: int) -> np.ndarray:
     return np.frombuffer("".join(x[:width].ljust(width, "\0") for x in strings).encode(), np.uint8).reshape(len(strings), width)
 
 
-def banded(reads: np.ndarray, windows: np.ndarray, band: int, match: int = 2, mismatch: int = 0, gap_open: int = -1, gap_extend: int = 0) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """The best alignment of each whole read within its window: CIGAR strings, mismatches, starts in the window, and bases in gaps.
-
-    reads: codes, a row a read of n bases; windows: n + 2 * band codes a row.  Affine gaps; a step works on all reads and all
-    2 * band + 1 diagonals at once."""
-    m, n = reads.shape
-    width, low, rows = 2 * band + 1, -1e9, np.arange(m)
-    M, X, Y = np.zeros((m, width)), np.full((m, width), low), np.full((m, width), low)
-    back = np.zeros((3, n + 1, m, width), np.int8)
-    none = np.full((m, 1), low)
-    for i in range(1, n + 1):
-        best, k = M.copy(), np.zeros((m, width), np.int8)
-        for state, other in ((1, X), (2, Y)):
-            k[other > best] = state
-            best = np.maximum(best, other)
-        opened, longer = np.c_[M[:, 1:], none] + gap_open, np.c_[X[:, 1:], none] + gap_extend  # an insertion leaves a diagonal to the left
-        X, back[1, i] = np.maximum(opened, longer), opened < longer
-        M, back[0, i] = best + np.where(reads[:, i - 1, None] == windows[:, i - 1 : i - 1 + width], match, mismatch), k
-        Y = np.full((m, width), low)
-        for c in range(1, width):
-            opened, longer = M[:, c - 1] + gap_open, Y[:, c - 1] + gap_extend
-            Y[:, c], back[2, i, :, c] = np.maximum(opened, longer), np.where(opened < longer, 2, 0)
-    diagonal, state, left = M.argmax(axis=1), np.zeros(m, np.int8), np.full(m, n)
-    ops, wrong = [], np.zeros(m, np.int64)
-    while (left > 0).any():
-        on = left > 0
-        ops.append(np.where(on, state, -1))
-        at = np.maximum(left, 1)
-        wrong += on & (state == 0) & (reads[rows, at - 1] != windows[rows, at - 1 + diagonal])
-        before = back[state, at, rows, diagonal]
-        left = left - (on & (state != 2))
-        diagonal = np.where(on & (state == 1), diagonal + 1, np.where(on & (state == 2), diagonal - 1, diagonal))
-        state = np.where(on, before, state)
-    path = np.array(ops)[::-1].T
-    cigars = []
-    for row in path:
-        row = row[row >= 0]
-        cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        cigars.append("".join(f"{k}{'MID'[c]}" for k, c in zip(np.diff(np.r_[cut, len(row)]).tolist(), row[cut].tolist())))
-    return cigars, wrong, diagonal, (path > 0).sum(axis=1)
-
-
 def _by_length(strings: list[str]) -> list[tuple[int, np.ndarray]]:
     size = np.fromiter(map(len, strings), np.int64, len(strings))
     return [(int(n), np.flatnonzero(size == n)) for n in np.unique(size)]
 
 
 def _extend(o: AlignOptions):
-    """Reads of one length are compared with the reference together; those that don't fit as they are, with gaps."""
+    """Reads of one length are aligned with their windows of the reference together, ends that don't fit clipped."""
     band = max(o.indel, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reads, refs = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("s", "ref"))
-            diagonal, lead = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("diagonal", "lead"))
-            found = []  # row, place, CIGAR, mismatches
+            begin = batch.column(batch.schema.get_field_index("begin")).to_numpy()
+            found = []  # row, place, CIGAR, mismatches, score
             for n, at in _by_length(reads):
-                code, window = _matrix([reads[i] for i in at], n), _matrix([refs[i] for i in at], n + 2 * band)
-                wrong = (code != np.take_along_axis(window, lead[at][:, None] + np.arange(n), axis=1)).sum(axis=1)
-                fits = wrong <= o.max_mismatches
-                found += [(i, d, f"{n}M", w) for i, d, w in zip(at[fits].tolist(), diagonal[at[fits]].tolist(), wrong[fits].tolist())]
-                bad = np.flatnonzero(~fits)
-                for a in range(0, len(bad) if o.indel else 0, GAPPED_READS):
-                    some = bad[a : a + GAPPED_READS]
-                    cigars, w, begin, gaps = banded(code[some], window[some], band)
-                    for j, cigar, mm, s, g in zip(some.tolist(), cigars, w.tolist(), begin.tolist(), gaps.tolist()):
-                        i = at[j]
-                        span = n - sum(int(x) for x in re.findall(r"(\d+)I", cigar)) + sum(int(x) for x in re.findall(r"(\d+)D", cigar))
-                        if mm <= o.max_mismatches and g <= o.indel and cigar.endswith("M") and s + span <= len(refs[i]):
-                            found.append((int(i), int(diagonal[i] - lead[i] + s), cigar, mm))
+                if n == 0:
+                    continue
+                code, window = _matrix([reads[i] for i in at], n), _matrix(["\0" * int(max(0, 1 - begin[i])) + refs[i] for i in at], n + 2 * band)
+                for a in range(0, len(at), GAPPED_READS):
+                    some = slice(a, a + GAPPED_READS)
+                    for r, place, cigar, wrong, score in align_locally(code[some], window[some], band, o.indel, o.max_mismatches, min(n, max(o.least_aligned, n // 3))):
+                        i = int(at[a + r])
+                        found.append((i, int(begin[i]) + place, cigar, wrong, score))
             if found:
-                row, place, cigar, wrong = zip(*found)
+                row, place, cigar, wrong, score = zip(*found)
                 take = pa.array(row, pa.int64())
                 keep = [batch.column(batch.schema.get_field_index(c)).take(take) for c in ("rid", "strand", "chr", "votes")]
-                yield pa.record_batch([*keep[:3], pa.array(place, pa.int64()), pa.array(cigar), pa.array(wrong, pa.int32()), keep[3]], ["rid", "strand", "chr", "pos", "cigar", "mismatches", "votes"])
+                columns = [*keep[:3], pa.array(place, pa.int64()), pa.array(cigar), pa.array(wrong, pa.int32()), keep[3], pa.array(score, pa.int32())]
+                yield pa.record_batch(columns, ["rid", "strand", "chr", "pos", "cigar", "mismatches", "votes", "score"])
 
     return run
 
@@ -212,15 +168,18 @@ def _with_reference(places: DataFrame, chunks: DataFrame, start: str, length: st
     return met.withColumn(name, F.expr(f"substring(__q, CAST(greatest({start}, 1) - __s + 1 AS INT), CAST({length} AS INT))")).drop("__c", "__s", "__q")
 
 
+PLACED = "strand string, chr string, pos long, cigar string, mismatches int, votes long, score int"
+
+
 def extend(found: DataFrame, reads: DataFrame, chunks: DataFrame, o: AlignOptions = AlignOptions(), chunk: int = 65_536) -> DataFrame:
-    """rid, strand, chr, pos, cigar, mismatches, votes of candidates whose reads fit.  chunks overlap by a read and its band."""
+    """rid, strand, chr, pos, cigar, mismatches, votes, score of candidates whose reads fit, ends that don't clipped.  chunks overlap by a read and its band."""
     trimmed = F.expr(f"substring(upper(seq), {o.trim_5 + 1}, greatest(length(seq) - {o.trim_5 + o.trim_3}, 0))")
     met = found.join(reads.select("rid", trimmed.alias("s")), "rid").withColumn("s", F.when(F.col("strand") == "-", reverse_complement(F.col("s"))).otherwise(F.col("s")))
     band = max(o.indel, 1)
-    met = met.withColumn("lead", F.least(F.lit(band), F.greatest(F.col("diagonal") - 1, F.lit(0))).cast("int")).withColumn("begin", F.col("diagonal") - F.col("lead")).withColumn("need", F.length("s") + 2 * band)
-    met = _with_reference(met, chunks, "begin", "need", "ref", chunk).select("rid", "strand", "chr", "diagonal", "far", "votes", "s", "ref", "lead")
+    met = met.withColumn("begin", (F.col("diagonal") - band).cast("long")).withColumn("need", F.length("s") + 2 * band)
+    met = _with_reference(met, chunks, "begin", "need", "ref", chunk).select("rid", "strand", "chr", "votes", "s", "ref", "begin")
     kind = dict(reads.dtypes)["rid"]
-    return met.mapInArrow(_extend(o), f"rid {kind}, strand string, chr string, pos long, cigar string, mismatches int, votes long")
+    return met.mapInArrow(_extend(o), f"rid {kind}, {PLACED}")
 
 
 def junction_candidates(votes: DataFrame, o: AlignOptions = AlignOptions()) -> DataFrame:
@@ -266,34 +225,38 @@ def splice(pairs: DataFrame, reads: DataFrame, chunks: DataFrame, o: AlignOption
                 row, cigar, wrong = zip(*found)
                 take = np.array(row)
                 keep = [batch.column(batch.schema.get_field_index(c)).take(pa.array(take)) for c in ("rid", "strand", "chr")]
-                yield pa.record_batch([*keep, pa.array(d1[take], pa.int64()), pa.array(cigar), pa.array(wrong, pa.int32()), pa.array(v1[take] + v2[take], pa.int64())], ["rid", "strand", "chr", "pos", "cigar", "mismatches", "votes"])
+                score = np.array([len(reads[i]) for i in row]) * MATCH + np.array(wrong) * (MISMATCH - MATCH)
+                columns = [*keep, pa.array(d1[take], pa.int64()), pa.array(cigar), pa.array(wrong, pa.int32()), pa.array(v1[take] + v2[take], pa.int64()), pa.array(score, pa.int32())]
+                yield pa.record_batch(columns, ["rid", "strand", "chr", "pos", "cigar", "mismatches", "votes", "score"])
 
     kind = dict(reads.dtypes)["rid"]
-    return met.mapInArrow(run, f"rid {kind}, strand string, chr string, pos long, cigar string, mismatches int, votes long")
+    return met.mapInArrow(run, f"rid {kind}, {PLACED}")
 
 
 def report(placed: DataFrame, reads: DataFrame, o: AlignOptions = AlignOptions()) -> DataFrame:
-    """Alignment records: the best places of each read (fewest mismatches, most votes) with NH and HI, unmapped reads with flag 4.
+    """Alignment records: the best places of each read (highest score, most votes) with NH and HI, unmapped reads with flag 4.
 
     Quality is 40 over the number of places, less per mismatch, and 0 where the best is tied."""
-    order = Window.partitionBy("rid").orderBy("mismatches", F.col("votes").desc(), "chr", "pos", "strand")
+    order = Window.partitionBy("rid").orderBy(F.col("score").desc(), F.col("votes").desc(), "chr", "pos", "strand")
     per = Window.partitionBy("rid")
-    best = placed.dropDuplicates(["rid", "chr", "pos", "strand"]).withColumn("hi", F.row_number().over(order)).withColumn("places", F.count(F.lit(1)).over(per))
-    top = F.struct(F.col("mismatches"), -F.col("votes"))
-    best = best.withColumn("tied", F.count(F.lit(1)).over(Window.partitionBy("rid", "mismatches", "votes"))).withColumn("top", F.min(top).over(per)).withColumn("is_top", top == F.col("top"))
+    place = Window.partitionBy("rid", "chr", "pos", "strand").orderBy(F.col("score").desc(), F.col("votes").desc(), "cigar")
+    best = placed.withColumn("r", F.row_number().over(place)).filter("r = 1").drop("r")
+    best = best.withColumn("hi", F.row_number().over(order)).withColumn("places", F.count(F.lit(1)).over(per))
+    top = F.struct(-F.col("score"), -F.col("votes"))
+    best = best.withColumn("tied", F.count(F.lit(1)).over(Window.partitionBy("rid", "score", "votes"))).withColumn("top", F.min(top).over(per)).withColumn("is_top", top == F.col("top"))
     if o.unique:
         best = best.filter(~F.col("is_top") | (F.col("tied") == 1)).filter("is_top")
     best = best.filter(F.col("hi") <= o.best)
     nh = F.count(F.lit(1)).over(per)
     quality = F.when(F.col("is_top") & (F.col("tied") > 1), 0).otherwise(F.greatest(F.floor(40 / F.col("places")) - F.col("mismatches"), F.lit(1))).cast("int")
-    got = best.select("rid", "strand", "chr", "pos", "cigar", F.col("mismatches").alias("nm"), quality.alias("mapq"), nh.cast("int").alias("nh"), F.col("hi").cast("int").alias("hi"))
+    got = best.select("rid", "strand", "chr", "pos", "cigar", F.col("mismatches").alias("nm"), quality.alias("mapq"), nh.cast("int").alias("nh"), F.col("hi").cast("int").alias("hi"), "score")
     met = reads.join(got, "rid", "left")
     reverse, mapped = F.col("strand") == "-", F.col("chr").isNotNull()
     flag = F.when(~mapped, 4).otherwise(F.when(reverse, 16).otherwise(0) + F.when(F.col("hi") > 1, 256).otherwise(0))
     turned = lambda c, f: F.when(mapped & reverse, f).otherwise(F.col(c))
     return met.select(
         "rid", flag.alias("flag"), F.coalesce("chr", F.lit("*")).alias("chr"), F.coalesce("pos", F.lit(0)).cast("int").alias("pos"), F.coalesce("mapq", F.lit(0)).alias("mapq"), F.coalesce("cigar", F.lit("*")).alias("cigar"),
-        turned("seq", reverse_complement(F.col("seq"))).alias("seq"), turned("qual", F.reverse("qual")).alias("qual"), "nm", F.coalesce("nh", F.lit(0)).alias("nh"), "hi",
+        turned("seq", reverse_complement(F.col("seq"))).alias("seq"), turned("qual", F.reverse("qual")).alias("qual"), "nm", F.coalesce("nh", F.lit(0)).alias("nh"), "hi", "score",
     )
 
 
@@ -315,7 +278,7 @@ def pair_up(first: DataFrame, second: DataFrame, o: AlignOptions = AlignOptions(
     a, b = (df.select("rid", F.struct(*[c for c in df.columns if c != "rid"]).alias(f"r{i}")) for i, df in ((1, first), (2, second)))
     met = a.join(b, "rid", "full")
     rev = lambda r: F.col(f"{r}.flag").bitwiseAND(F.lit(16)) != 0
-    span = lambda r: F.length(f"{r}.seq")
+    span = lambda r: reference_span(F.col(f"{r}.cigar"))
     mapped = (F.col("r1.chr") != "*") & (F.col("r2.chr") != "*")
     left, right = F.least("r1.pos", "r2.pos"), F.greatest(F.col("r1.pos") + span("r1"), F.col("r2.pos") + span("r2"))
     size = right - left

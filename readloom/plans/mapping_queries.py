@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from readloom.functions.dna import bases_of
 from readloom.operators import align as A
 from readloom.operators.simulate import simulate_reads
 from readloom.plans import views
@@ -63,6 +64,36 @@ def mapped_pairs(spark, sf_dir):
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("proper").alias("proper")).crossJoin(wrong)
 
 
+#: Another letter than a base's own.
+OTHER = "translate({}, 'ACGT', 'CGTA')"
+
+
+@query("""WITH d AS (SELECT doc_id, (5 + doc_id % 26)::INT AS n FROM documents)
+SELECT doc_id || ':head' AS rid, 'chr' || doc_id AS chr, 301 + n AS pos, n AS head, 0 AS tail, 0 AS gaps, 0 AS nm FROM d
+UNION ALL SELECT doc_id || ':tail', 'chr' || doc_id, 301, 0, n, 0, 0 FROM d
+UNION ALL SELECT doc_id || ':both', 'chr' || doc_id, 301 + n, n, 20, 0, 0 FROM d
+UNION ALL SELECT doc_id || ':wrong', 'chr' || doc_id, 301, 0, 0, 0, 3 FROM d
+UNION ALL SELECT doc_id || ':deleted', 'chr' || doc_id, 301, 0, 0, 1 + n % 3, 0 FROM d""")
+def clipped_reads_in_place(spark, sf_dir):
+    """Reads of 100 bases of each contig, from 301 on: with 5 to 30 foreign bases at the head, at the tail, at both ends; with three mismatches; with 1 to 3
+    bases deleted.  Where they map, bases clipped at either end, bases in gaps, and mismatches."""
+    n = "CAST(5 + CAST(substr(chr, 4) AS BIGINT) % 26 AS INT)"
+    foreign = lambda a, k: OTHER.format(f"substring(seq, {a}, {k})")
+    made = {
+        "head": f"concat({foreign(301, n)}, substring(seq, 301 + {n}, 100 - {n}))",
+        "tail": f"concat(substring(seq, 301, 100 - {n}), {foreign(f'401 - {n}', n)})",
+        "both": f"concat({foreign(301, n)}, substring(seq, 301 + {n}, 80 - {n}), {foreign(381, 20)})",
+        "wrong": f"concat(substring(seq, 301, 24), {foreign(325, 1)}, substring(seq, 326, 24), {foreign(350, 1)}, substring(seq, 351, 24), {foreign(375, 1)}, substring(seq, 376, 25))",
+        "deleted": f"concat(substring(seq, 301, 50), substring(seq, 352 + {n} % 3, 50))",
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.expr(v).alias("seq")) for k, v in made.items())))
+    reads = _contigs(spark, sf_dir).select("chr", each.alias("x")).select(F.concat_ws(":", F.expr("substr(chr, 4)"), "x.kind").alias("rid"), "x.seq", F.repeat(F.lit("I"), F.lit(100)).alias("qual"))
+    chunks = _chunks(spark, sf_dir)
+    mapped = A.align(reads, A.build_index(chunks, chunk=1000), chunks, A.AlignOptions(), 1000).filter("hi = 1")
+    clip = lambda at: F.coalesce(F.try_to_number(F.regexp_extract("cigar", at, 1), F.lit("999")).cast("int"), F.lit(0))
+    return mapped.select("rid", "chr", "pos", clip(r"^(\d+)S").alias("head"), clip(r"(\d+)S$").alias("tail"), bases_of(F.col("cigar"), "ID").alias("gaps"), "nm")
+
+
 #: Contigs with GT at 801 and AG before 1601: an intron of 800 bases.
 SPLICED = "substr(seq, 1, 800) || 'GT' || substr(seq, 803, 796) || 'AG' || substr(seq, 1601)"
 
@@ -116,5 +147,4 @@ def long_read_records(spark, sf_dir):
     cut = F.when(even, F.expr("concat(substr(seq, 101, 1000), 'AC', substr(seq, 1101, 998))")).otherwise(F.expr("concat(substr(seq, 101, 1000), substr(seq, 1105, 996))"))
     r = written(_contigs(spark, sf_dir).select(F.col("chr").alias("rid"), cut.alias("seq")), "long")
     out = A.long_records(A.align_long(r, A.build_index(chunks, chunk=1000), seed_step=8), r, chunks, 1000)
-    bases = lambda ops: F.aggregate(F.transform(F.regexp_extract_all("cigar", F.lit(f"(\\d+)[{ops}]"), F.lit(1)), lambda x: x.cast("int")), F.lit(0), lambda s, x: s + x)
-    return out.select("rid", "flag", "chr", "pos", (bases("I") - bases("D")).alias("net"), "nm", bases("MIS").alias("length"))
+    return out.select("rid", "flag", "chr", "pos", (bases_of(F.col("cigar"), "I") - bases_of(F.col("cigar"), "D")).alias("net"), "nm", bases_of(F.col("cigar"), "MIS").alias("length"))

@@ -137,41 +137,6 @@ def test_indels_junctions_and_unmapped(spark):
     assert "D" in got["del"]["cigar"] and got["del"]["pos"] == 501 and "I" in got["ins"]["cigar"] and got["ins"]["pos"] == 701
 
 
-def slow_banded(read, window, band):
-    """The best score over all ways through the band, cell by cell."""
-    n, low, score = len(read), -1e9, {}
-    for i in range(n + 1):
-        for j in range(i, i + 2 * band + 1):
-            if i == 0:
-                score[i, j] = (0, low, low)
-                continue
-            up, left, before = score.get((i - 1, j), (low,) * 3), score.get((i, j - 1), (low,) * 3), score[i - 1, j - 1] if (i - 1, j - 1) in score else (low,) * 3
-            score[i, j] = (max(before) + 2 * (read[i - 1] == window[j - 1]), max(up[0] - 1, up[1]), max(left[0] - 1, left[2]))
-    return max(score[n, j][0] for j in range(n, n + 2 * band + 1))
-
-
-def test_banded_alignments_of_many_reads_equal_those_one_by_one():
-    rng, band, n = random.Random(7), 4, 40
-    windows = [genome(n + 2 * band, i) for i in range(60)]
-    reads = []
-    for w in windows:
-        r = list(w[band:])
-        for _ in range(rng.randrange(4)):
-            k = rng.randrange(5, 35)
-            r[k : k + rng.randrange(3)] = rng.choice(["", "A", "GT", "C"])
-        reads.append(("".join(r) + genome(n, 99))[:n])
-    cigars, wrong, start, gaps = A.banded(A._matrix(reads, n), A._matrix(windows, n + 2 * band), band)
-    for read, window, cigar, w, s, g in zip(reads, windows, cigars, wrong, start, gaps):
-        i, j, score, mm, gap = 0, s, 0, 0, 0
-        for k, op in re.findall(r"(\d+)([MID])", cigar):
-            for _ in range(int(k)):
-                score += 2 * (op == "M" and read[i] == window[j])
-                mm += op == "M" and read[i] != window[j]
-                i, j = i + (op != "D"), j + (op != "I")
-            score, gap = score - (op != "M"), gap + int(k) * (op != "M")
-        assert (i, mm, gap) == (n, w, g) and score == slow_banded(read, window, band)
-
-
 def test_long_reads(spark):
     g = genome(8000)
     rng = random.Random(3)
