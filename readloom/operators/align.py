@@ -17,6 +17,8 @@ from readloom.operators.events import breakpoint_clusters
 from readloom.operators.local import MATCH, MISMATCH, align_locally
 
 K = 16
+#: What two places that make no proper pair must score more than two that do.
+UNPAIRED = 17
 #: Reads whose gaps are looked for together.
 GAPPED_READS = 512
 
@@ -273,8 +275,8 @@ def align(reads: DataFrame, index: DataFrame, chunks: DataFrame, o: AlignOptions
 def pair_up(first: DataFrame, second: DataFrame, o: AlignOptions = AlignOptions()) -> DataFrame:
     """Alignments of two mates side by side, rid, r1, r2, with whether the pair is proper and its length.
 
-    Mates may have several places each (``best``): of all combinations a proper one goes first, then one on one contig, then that with fewest
-    mismatches, then the mates' own order."""
+    Mates may have several places each (``best``): of all combinations the one with the highest sum of scores goes first, a proper one UNPAIRED
+    ahead, then one on one contig, then that with fewest mismatches, then the mates' own order."""
     a, b = (df.select("rid", F.struct(*[c for c in df.columns if c != "rid"]).alias(f"r{i}")) for i, df in ((1, first), (2, second)))
     met = a.join(b, "rid", "full")
     rev = lambda r: F.col(f"{r}.flag").bitwiseAND(F.lit(16)) != 0
@@ -288,7 +290,8 @@ def pair_up(first: DataFrame, second: DataFrame, o: AlignOptions = AlignOptions(
     tlen = F.when(same, F.when(F.col("r1.pos") <= F.col("r2.pos"), size).otherwise(-size)).otherwise(0)
     met = met.withColumn("proper", proper).withColumn("tlen", tlen)
     none = F.lit(0)
-    order = [F.col("proper").desc(), same.desc(), F.coalesce("r1.nm", none) + F.coalesce("r2.nm", none), F.coalesce("r1.hi", none) + F.coalesce("r2.hi", none), "r1.chr", "r1.pos", "r2.pos"]
+    joint = F.coalesce("r1.score", none) + F.coalesce("r2.score", none) + F.when(F.col("proper"), UNPAIRED).otherwise(0)
+    order = [joint.desc(), F.col("proper").desc(), same.desc(), F.coalesce("r1.nm", none) + F.coalesce("r2.nm", none), F.coalesce("r1.hi", none) + F.coalesce("r2.hi", none), "r1.chr", "r1.pos", "r2.pos"]
     return met.withColumn("r", F.row_number().over(Window.partitionBy("rid").orderBy(*order))).filter("r = 1").drop("r")
 
 

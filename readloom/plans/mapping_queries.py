@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from readloom.functions.dna import bases_of
+from readloom.functions.dna import bases_of, reverse_complement
 from readloom.operators import align as A
+from readloom.operators import second_pass as P
 from readloom.operators.simulate import simulate_reads
 from readloom.plans import views
 from readloom.plans.queries import _chunks, _contigs, _simulated
@@ -22,8 +23,6 @@ def _truth(spark, sf_dir, **options):
 @query(READS)
 def simulated_reads_of_transcripts(spark, sf_dir):
     """How many simulated reads there are, and how many are what their transcript has at their place, on either strand."""
-    from readloom.functions.dna import reverse_complement
-
     r = _simulated(spark, sf_dir).join(_contigs(spark, sf_dir).select(F.col("chr").alias("transcript_id"), F.col("seq").alias("whole")), "transcript_id")
     piece = F.expr("substring(whole, start, fragment_length)")
     same = (F.left(piece, F.lit(75)) == F.col("seq")) | (F.left(reverse_complement(piece), F.lit(75)) == F.col("seq"))
@@ -119,6 +118,67 @@ def found_junctions(spark, sf_dir):
     return C.junction_counts(found)
 
 
+@query("""WITH d AS (SELECT doc_id, (6 + doc_id % 4)::INT AS k FROM documents)
+SELECT 'chr' || doc_id || ':tail' AS rid, 701 + k AS pos, 800 AS skipped, 0 AS deleted, 0 AS clipped, false AS before FROM d
+UNION ALL SELECT 'chr' || doc_id || ':head', 801 - k, 800, 0, 0, false FROM d
+UNION ALL SELECT 'chr' || doc_id || ':deleted', 1901 + k, 0, 4, 0, false FROM d
+UNION ALL SELECT 'chr' || doc_id || ':tail_6', 701 + k + 6, 800, 0, 0, NULL FROM d
+UNION ALL SELECT 'chr' || doc_id || ':head_6', 801 - k - 6, 800, 0, 0, NULL FROM d""")
+def reads_over_known_events(spark, sf_dir):
+    """Reads of each contig with 6 to 15 bases beyond an intron, at either end, and 6 to 9 beyond four deleted bases, which three other reads show: where they map in
+    the second pass, bases skipped, deleted and clipped, and for up to 9 bases whether the first pass had the event."""
+    whole = _spliced_contigs(spark, sf_dir)
+    chunks = written(views.chunks(whole, 1000, 300), "chunks")
+    k = "CAST(6 + CAST(substr(chr, 4) AS BIGINT) % 4 AS INT)"
+    over = lambda left, right, b, a: f"concat(substr(seq, {left} - {b} + 1, {b}), substr(seq, {right}, {a}))"
+    made = {f"junction{b}": over(800, 1601, b, 100 - b) for b in (40, 50, 60)} | {f"deletion{b}": over(2000, 2005, b, 100 - b) for b in (40, 50, 60)}
+    made |= {"tail": over(800, 1601, f"(100 - {k})", k), "head": over(800, 1601, k, f"(100 - {k})"), "deleted": over(2000, 2005, f"(100 - {k})", k)}
+    made |= {"tail_6": over(800, 1601, f"(94 - {k})", f"({k} + 6)"), "head_6": over(800, 1601, f"({k} + 6)", f"(94 - {k})")}
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), F.expr(v).alias("seq")) for n, v in made.items())))
+    reads = whole.select("chr", each.alias("x")).select(F.concat_ws(":", "chr", "x.kind").alias("rid"), "x.seq", F.repeat(F.lit("I"), F.length("x.seq")).alias("qual"))
+    o = A.AlignOptions(seeds=14, threshold=1, junctions=True)
+    first = written(A.align(reads, A.build_index(chunks, chunk=1000), chunks, o, 1000).filter("hi = 1"), "first_pass")
+    second = P.realign(first, written(P.shown_events(first, support=2), "events"), chunks, o, 1000)
+    short = lambda df: df.filter(F.substring_index("rid", ":", -1).isin("tail", "head", "deleted", "tail_6", "head_6"))
+    bases = lambda ops: bases_of(F.col("cigar"), ops)
+    seen = short(first).select("rid", F.when(~F.col("rid").endswith("_6"), bases("ND") > 0).alias("before"))
+    return short(second).select("rid", "pos", bases("N").alias("skipped"), bases("D").alias("deleted"), bases("S").alias("clipped")).join(seen, "rid")
+
+
+@query("""SELECT 'chr' || doc_id || ':' || kind AS rid, false AS before, true AS proper, 501 AS pos1, 726 AS pos2, 300 AS tlen, nm FROM documents, (VALUES ('four', 4), ('nine', 9)) t(kind, nm)""")
+def rescued_pairs(spark, sf_dir):
+    """Pairs of which one end has a mismatch in each 16 bases, or in each eight, so that no seed finds it: whether they are proper before and after the search beside
+    the other end, and the places."""
+    chunks = _chunks(spark, sf_dir)
+    wrong = lambda step, at: F.expr(f"array_join(transform(sequence(1, 75), i -> if(i % {step} = {at}, {OTHER.format('substr(last, i, 1)')}, substr(last, i, 1))), '')")
+    p = _contigs(spark, sf_dir).select("chr", F.substring("seq", 501, 75).alias("first"), reverse_complement(F.substring("seq", 726, 75)).alias("last"))
+    p = p.withColumn("x", F.explode(F.array(F.struct(F.lit("four").alias("kind"), wrong(16, 13).alias("second")), F.struct(F.lit("nine").alias("kind"), wrong(8, 6).alias("second")))))
+    p = p.select(F.concat_ws(":", "chr", "x.kind").alias("rid"), "first", "x.second", F.repeat(F.lit("I"), F.lit(75)).alias("qual"))
+    index, o = A.build_index(chunks, chunk=1000), A.AlignOptions(best=4)
+    one = lambda c: written(A.align(p.select("rid", F.col(c).alias("seq"), "qual"), index, chunks, o, 1000), c)
+    first, second = one("first"), one("second")
+    before = A.pair_up(first, second, o).select("rid", F.col("proper").alias("before"))
+    after = P.rescue_mates(first, second, chunks, o, 1000).select("rid", "proper", F.col("r1.pos").alias("pos1"), F.col("r2.pos").alias("pos2"), "tlen", F.col("r2.nm").alias("nm"))
+    return before.join(after, "rid")
+
+
+@query("""SELECT 'inversion' AS kind, 'chr' || doc_id AS chr1, 800::BIGINT AS pos1, '+' AS strand1, 'chr' || doc_id AS chr2, 1600::BIGINT AS pos2, '-' AS strand2, 3::BIGINT AS support FROM documents
+UNION ALL SELECT 'translocation', 'alt' || doc_id, 1601, '-', 'chr' || doc_id, 800, '-', 3 FROM documents""")
+def split_read_breakpoints(spark, sf_dir):
+    """Breakpoints that single reads show: of each contig with another, and with its own other strand, three reads each, one of them from the other side."""
+    marked = "substr({0}, 1, 792) || 'GTGTGTGTACACACAC' || substr({0}, 809, 784) || 'ACACACACGTGTGTGT' || substr({0}, 1609)"
+    two = _contigs(spark, sf_dir).select("chr", F.expr(marked.format("seq")).alias("seq"), F.expr("concat('alt', substr(chr, 4))").alias("other"), F.expr(marked.format("reverse(translate(seq, 'ACGT', 'CGTA'))")).alias("with"))
+    whole = two.select("chr", "seq").unionByName(two.select(F.col("other").alias("chr"), F.col("with").alias("seq")))
+    chunks = written(views.chunks(whole, 1000, 300), "chunks")
+    moved = lambda b: f"concat(substr(seq, {801 - b}, {b}), substr(with, 1601, {100 - b}))"
+    turned = lambda b: f"concat(substr(seq, {801 - b}, {b}), reverse(translate(substr(seq, {1501 + b}, {100 - b}), 'ACGT', 'TGCA')))"
+    made = {f"{n}{b}": f(b) for n, f in (("moved", moved), ("turned", turned)) for b in (45, 50)} | {f"{n}-": f"reverse(translate({f(55)}, 'ACGT', 'TGCA'))" for n, f in (("moved", moved), ("turned", turned))}
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), F.expr(v).alias("seq")) for n, v in made.items())))
+    reads = written(two.select("chr", each.alias("x")).select(F.concat_ws(":", "chr", "x.kind").alias("rid"), "x.seq", F.repeat(F.lit("I"), F.lit(100)).alias("qual")), "reads")
+    placed = P.all_places(reads, A.build_index(chunks, chunk=1000), chunks, A.AlignOptions(), 1000)
+    return P.fusions(P.split_reads(placed, reads))
+
+
 @query("""WITH r AS (SELECT c_custkey AS rid, translate(sha256(c_custkey::VARCHAR) || md5(c_custkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT')[1:75] AS s FROM customer),
 b AS (SELECT rid, '+' AS strand, s FROM r UNION ALL SELECT rid, '-', reverse(translate(s, 'ACGT', 'TGCA')) FROM r),
 e AS (SELECT DISTINCT rid, strand, s, floor(i * (59 / 9.0))::INT AS "offset" FROM b, range(10) t(i))
