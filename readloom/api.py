@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from readloom.operators import align as _align
 from readloom.operators import counting as _counting
+from readloom.operators import events as _events
 from readloom.operators import intervals as _intervals
 from readloom.operators import readtools as _tools
+from readloom.operators import second_pass as _second
 from readloom.operators import singlecell as _cells
 from readloom.operators import variants as _variants
 from readloom.operators.simulate import simulate_reads
@@ -57,7 +60,7 @@ def feature_counts(
     by_read_group: bool = False, junction_counts: bool = False, genome: str | None = None, extra: tuple[str, ...] = (), options: _counting.CountOptions = _counting.CountOptions(),
 ) -> dict[str, DataFrame]:
     """counts (key, a column a library), annotation (exon lists, lengths and the ``extra`` attributes, each value once), summary (status, a
-    column a library), assigned (per fragment), and with junction_counts junctions, in eleven columns and one a library, with strands if a genome is given.
+    column a library), assigned (per fragment; equal records, or pairs of records, count each), and with junction_counts junctions, in eleven columns and one a library, with strands if a genome is given.
 
     Shifts and extensions end at the contigs' lengths, which the files' headers give."""
     reads = files if isinstance(files, DataFrame) else read_alignments(spark, files)
@@ -77,7 +80,8 @@ def feature_counts(
         reads = reads.withColumn("at", F.concat_ws(":", place["chr"], place["pos"]))
         fragments = _counting.fragments_of(reads, ["library", "qname", "at", "hi"], carry)
     else:
-        numbered = reads.withColumn("fid", F.concat_ws("\x1f", "library", "qname", "flag", "chr", "pos", "cigar", "hi"))
+        # equal records are fragments of their own: files are read in the same order each time, so a record keeps its number
+        numbered = reads.withColumn("fid", F.concat_ws("\x1f", "library", "qname", "flag", "chr", "pos", "cigar", "hi", F.monotonically_increasing_id()))
         fragments = _counting.single_fragments(numbered, carry=carry)
     assigned = _counting.assign(fragments, features, options, carry)
     each = assigned.filter("status = 'Assigned'").select("library", F.explode("targets").alias("key"), "units").groupBy("library", "key").agg((F.sum("units") / _counting.UNIT).alias("count"))
@@ -135,9 +139,14 @@ def _read_index(spark: SparkSession, index: str) -> tuple[DataFrame, DataFrame,
     return kmers, chunks, stored["step"], stored["chunk"]
 
 
-def align(spark: SparkSession, index: str, reads: str, mates: str | None = None, options: _align.AlignOptions = _align.AlignOptions(), kind: str = "rna") -> DataFrame:
+def align(
+    spark: SparkSession, index: str, reads: str, mates: str | None = None, options: _align.AlignOptions = _align.AlignOptions(), kind: str = "rna", annot: str | DataFrame | None = None, is_gtf: bool = False, support: int = 2,
+) -> DataFrame:
     """Alignments of FASTQ reads; with mates, records of both ends with mate fields.
 
+    A second pass aligns the ends of reads over junctions and indels that at least ``support`` reads show (0: no second pass), and over the introns
+    of an annotation (GTF, or exons with transcript_id), if one is given.  Mates that no seed finds are looked for beside the other end.
+
     kind: "dna" reads have no introns, so they map without junctions, and more mismatches pass, as the reference's whole read has to fit."""
     if kind not in ("rna", "dna"):
         raise ValueError("kind is rna or dna")
@@ -147,17 +156,38 @@ def align(spark: SparkSession, index: str, reads: str, mates: str | None = None,
 
     def one(path: str, o: _align.AlignOptions) -> DataFrame:
         r = read_fastq(spark, path).select(F.regexp_replace("name", "/[12]$", "").alias("rid"), "seq", "qual")
-        return _align.align(r, kmers, chunks, o, chunk, step)
-
+        return written(_align.align(r, kmers, chunks, o, chunk, step), "first_pass")
+
+    def second(*first: DataFrame) -> list[DataFrame]:
+        if not support and introns is None:
+            return list(first)
+        shown = reduce(DataFrame.unionByName, first).filter("hi = 1")
+        events = written(_second.shown_events(shown if support else shown.limit(0), max(support, 1), introns), "events")
+        return [_second.realign(f, events, chunks, options, chunk) for f in first]
+
+    introns = None
+    if annot is not None:
+        exons = annotation(spark, annot, is_gtf, extra=("transcript_id",) if is_gtf else ())
+        introns = _events.annotated_introns(exons if "transcript_id" in exons.columns else exons.withColumn("transcript_id", F.col("gene_id")))
     if mates is None:
-        return one(reads, options)
+        return second(one(reads, options))[0]
     several = replace(options, best=max(options.best, MATE_PLACES), unique=False, threshold=min(options.threshold, max(options.mate_threshold, 1)))
-    return _align.mate_records(_align.pair_up(one(reads, several), one(mates, several), options))
+    ends = [written(end, "second_pass") for end in second(one(reads, several), one(mates, several))]
+    return _align.mate_records(_second.rescue_mates(*ends, chunks, options, chunk))
 
 
-def subjunc(spark: SparkSession, index: str, reads: str, mates: str | None = None, options: _align.AlignOptions = _align.AlignOptions(seeds=14, threshold=1, mate_threshold=1)) -> DataFrame:
+def subjunc(
+    spark: SparkSession, index: str, reads: str, mates: str | None = None, options: _align.AlignOptions = _align.AlignOptions(seeds=14, threshold=1, mate_threshold=1), annot: str | DataFrame | None = None, is_gtf: bool = False, support: int = 2,
+) -> DataFrame:
     """As align, with exon junctions."""
-    return align(spark, index, reads, mates, replace(options, junctions=True))
+    return align(spark, index, reads, mates, replace(options, junctions=True), annot=annot, is_gtf=is_gtf, support=support)
+
+
+def fusions(spark: SparkSession, index: str, reads: str, options: _align.AlignOptions = _align.AlignOptions(), support: int = 2) -> DataFrame:
+    """Breakpoints, to the base, between contigs or strands that at least ``support`` single reads run over."""
+    kmers, chunks, step, chunk = _read_index(spark, index)
+    r = read_fastq(spark, reads).select(F.col("name").alias("rid"), "seq", "qual")
+    return _second.fusions(_second.split_reads(_second.all_places(r, kmers, chunks, options, chunk, step), r), support)
 
 
 def sublong(spark: SparkSession, index: str, reads: str) -> DataFrame:

@@ -81,11 +81,18 @@ def _one(alignments: DataFrame) -> Column:
 
 
 def fragments_of(alignments: DataFrame, by: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
-    """Alignments with FIELDS -> fid, carry, r1, r2; ``by`` names what the records of a fragment share, carry some of it."""
+    """Alignments with FIELDS -> fid, carry, r1, r2; ``by`` names what the records of a fragment share, carry some of it.
+
+    Where several records of an end share all of it, the n-th of end 1 and the n-th of end 2, by their fields, make a fragment: equal pairs
+    count each.  One shuffle numbers and groups them."""
     second = has(F.col("flag"), SECOND)
     one = _one(alignments)
     fid = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in by])
-    return alignments.groupBy(fid.alias("fid"), *carry).agg(F.max(F.when(~second, one)).alias("r1"), F.max(F.when(second, one)).alias("r2"))
+    rows = alignments.select(fid.alias("fid"), *carry, second.alias("second"), one.alias("one"))
+    key = Window.partitionBy("fid", *carry)
+    nth = F.row_number().over(key.orderBy("second", "one")) - F.when(F.col("second"), F.count_if(~F.col("second")).over(key)).otherwise(0)
+    each = rows.withColumn("nth", nth).groupBy("fid", *carry, "nth").agg(F.max(F.when(~F.col("second"), F.col("one"))).alias("r1"), F.max(F.when(F.col("second"), F.col("one"))).alias("r2"))
+    return each.withColumn("fid", F.when(F.col("nth") > 1, F.concat_ws("\x1f", "fid", "nth")).otherwise(F.col("fid"))).drop("nth")
 
 
 def single_fragments(alignments: DataFrame, fid: str = "fid", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom import api
 from readloom.functions.dna import chromosome_match
 from readloom.operators import counting as C
 from readloom.operators import readtools as R
@@ -12,7 +13,7 @@ from readloom.plans import views
 from readloom.plans.queries import ANY, ONE_GENE, PAIRS, RESOLVED, SEQ, UMI
 from readloom.plans.registry import query
 from readloom.plans.views import SQL
-from readloom.session import scratch
+from readloom.session import scratch, written
 from readloom.sources import bam, files, sequences, tables
 
 CONTIGS = {f"chr{i}": 1_000_000_000 for i in range(5)}
@@ -44,13 +45,62 @@ def bam_round_trip(spark, sf_dir):
     return bam.read_bam(spark, path, 200_000).select(*RECORD_COLUMNS)
 
 
-@query("SELECT 'chr' || i AS chr, 1000000000::INT AS chr_length FROM range(5) t(i)")
+@query(f"WITH {SQL} SELECT chr, (max(pos) + 100)::INT AS chr_length FROM l GROUP BY chr")
 def header_contigs(spark, sf_dir):
-    path = f"{scratch(spark)}/a.sam"
-    tables.write_sam(_records(spark, sf_dir), path, CONTIGS)
+    """Contigs as the header of a file has them, as long as the records need."""
+    path, records = f"{scratch(spark)}/a.sam", _records(spark, sf_dir)
+    lengths = records.groupBy("chr").agg((F.max("pos") + 100).alias("n")).orderBy("chr").collect()  # a header's contigs
+    tables.write_sam(records, path, {r["chr"]: r["n"] for r in lengths})
     return tables.contig_lengths(spark, path)
 
 
+ELEVEN = {f"chr{i}": 1_000_000_000 for i in range(11)}
+
+
+@query(f"""WITH {SQL}, m AS (SELECT CASE WHEN s.l_discount >= 0.09 THEN '*' ELSE 'chr' || (s.l_suppkey % 11) END AS chr, CASE WHEN s.l_discount >= 0.09 THEN 0 ELSE (s.l_partkey * 50)::INT END AS pos,
+    CASE WHEN s.l_discount >= 0.09 THEN 99 ELSE s.l_suppkey % 11 END AS k FROM lineitem s)
+SELECT row_number() OVER (ORDER BY k, pos) AS n, chr, pos FROM m""")
+def sorted_places(spark, sf_dir):
+    """The n-th record's place in files that are sorted by place: eleven contigs in the header's order, then what has no place."""
+    out, li = f"{scratch(spark)}/sorted.bam", views.table(spark, sf_dir, "lineitem")
+    lost = F.col("l_discount") >= 0.09
+    r = li.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("qname"), F.when(lost, 4).otherwise(0).alias("flag"), F.when(lost, "*").otherwise(F.concat(F.lit("chr"), F.col("l_suppkey") % 11)).alias("chr"),
+        F.when(lost, 0).otherwise(F.col("l_partkey") * 50).cast("int").alias("pos"), F.lit(9).alias("mapq"), F.when(lost, "*").otherwise("4M").alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).alias("pnext"),
+        F.lit(0).alias("tlen"), F.lit("ACGT").alias("seq"), F.lit("IIII").alias("qual"), F.create_map(F.lit("NH"), F.lit("1")).alias("tags"),
+    )
+    paths = bam.write_bam(r, out, ELEVEN, by_place=True)
+    files_ = spark.createDataFrame(list(enumerate(paths)), "f int, path string").repartition(max(len(paths), 1), "f")
+    back = files_.mapInArrow(bam.records_in_order, "f int, k long, chr string, pos int")
+    back = written(back, "places")
+    sizes, before, begin = {x["f"]: x["n"] for x in back.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}, 0, []  # a number a file
+    for f in range(len(paths)):
+        begin.append((f, before))
+        before += sizes.get(f, 0)
+    at = back.join(F.broadcast(spark.createDataFrame(begin, "f int, b long")), "f")
+    return at.select((F.col("b") + F.col("k") + 1).alias("n"), "chr", "pos")
+
+
+@query("""WITH x AS (SELECT l_suppkey % 7 AS k, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT 'single' AS kind, 'G' || k AS key, 3 * n AS n FROM x UNION ALL SELECT 'paired', 'G' || k, 2 * n FROM x""")
+def count_equal_records(spark, sf_dir):
+    """Files in which equal records stand several times, through the function by task: each counts."""
+    li = views.table(spark, sf_dir, "lineitem").select(F.expr("l_suppkey % 7").alias("k"))
+    folder = scratch(spark)
+    genes = spark.range(7).select(F.concat(F.lit("G"), "id").alias("gene_id"), F.concat(F.lit("chr"), "id").alias("chr"), F.lit(1).alias("start"), F.lit(5000).alias("end"), F.lit("+").alias("strand"))
+    base = {"qname": F.lit("r"), "chr": F.concat(F.lit("chr"), "k"), "mapq": F.lit(40), "cigar": F.lit("4M"), "rnext": F.lit("*"), "pnext": F.lit(0), "tlen": F.lit(0), "seq": F.lit("ACGT"), "qual": F.lit("IIII"), "tags": F.create_map(F.lit("NH"), F.lit("1"))}
+    single = li.withColumn("i", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumns(base | {"flag": F.lit(0), "pos": F.lit(101)})
+    ends = F.explode(F.array(*(F.struct(F.lit(f).alias("flag"), F.lit(p).alias("pos"), F.lit(m).alias("pnext"), F.lit(t).alias("tlen")) for f, p, m, t in ((99, 101, 301, 204), (147, 301, 101, -204)))))
+    paired = li.withColumn("i", F.explode(F.array(F.lit(1), F.lit(2)))).withColumns(base | {"rnext": F.lit("=")}).drop("pnext", "tlen").withColumn("e", ends).select("*", "e.*").drop("e")
+    out = None
+    for kind, records, o in (("single", single, C.CountOptions()), ("paired", paired, C.CountOptions(paired=True))):
+        tables.write_sam(records, f"{folder}/{kind}.sam", ELEVEN)
+        counted = api.feature_counts(spark, f"{folder}/{kind}.sam", genes.withColumnRenamed("gene_id", "GeneID"), options=o)["assigned"]
+        one = counted.filter("status = 'Assigned'").select(F.lit(kind).alias("kind"), F.explode("targets").alias("key")).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"WITH {SEQ} SELECT 'd' || doc_id AS name, seq, repeat('I', length(seq)) AS qual FROM q WHERE length(seq) > 0")
 def fastq_round_trip(spark, sf_dir):
     path = f"{scratch(spark)}/r.fastq"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from readloom.functions.dna import bases_of, reverse_complement
 from readloom.operators import align as A
 from readloom.operators import second_pass as P
+from readloom.operators.events import annotated_introns
 from readloom.operators.simulate import simulate_reads
 from readloom.plans import views
 from readloom.plans.queries import _chunks, _contigs, _simulated
@@ -145,6 +146,20 @@ def reads_over_known_events(spark, sf_dir):
     return short(second).select("rid", "pos", bases("N").alias("skipped"), bases("D").alias("deleted"), bases("S").alias("clipped")).join(seen, "rid")
 
 
+@query("""SELECT 'chr' || doc_id || ':' || side AS rid, CASE side WHEN 'tail' THEN 709 ELSE 793 END AS pos, CASE side WHEN 'tail' THEN '92M800N8M' ELSE '8M800N92M' END AS cigar FROM documents, (VALUES ('tail'), ('head')) t(side)""")
+def reads_over_annotated_introns(spark, sf_dir):
+    """Reads with eight bases beyond an intron that an annotation has and no other read shows."""
+    whole = _spliced_contigs(spark, sf_dir)
+    chunks = written(views.chunks(whole, 1000, 300), "chunks")
+    exon = F.explode(F.array(F.struct(F.lit(1).alias("start"), F.lit(800).alias("end")), F.struct(F.lit(1601).alias("start"), F.lit(2560).alias("end"))))
+    exons = whole.select("chr", exon.alias("e")).select(F.col("chr").alias("gene_id"), F.col("chr").alias("transcript_id"), "chr", F.lit("+").alias("strand"), "e.start", "e.end")
+    side = F.explode(F.array(F.struct(F.lit("tail").alias("s"), F.expr("concat(substr(seq, 709, 92), substr(seq, 1601, 8))").alias("seq")), F.struct(F.lit("head").alias("s"), F.expr("concat(substr(seq, 793, 8), substr(seq, 1601, 92))").alias("seq"))))
+    reads = whole.select("chr", side.alias("x")).select(F.concat_ws(":", "chr", "x.s").alias("rid"), "x.seq", F.repeat(F.lit("I"), F.lit(100)).alias("qual"))
+    first = written(A.align(reads, A.build_index(chunks, chunk=1000), chunks, A.AlignOptions(), 1000).filter("hi = 1"), "first_pass")
+    events = written(P.shown_events(first.limit(0), 1, annotated_introns(exons)), "events")
+    return P.realign(first, events, chunks, A.AlignOptions(), 1000).select("rid", "pos", "cigar")
+
+
 @query("""SELECT 'chr' || doc_id || ':' || kind AS rid, false AS before, true AS proper, 501 AS pos1, 726 AS pos2, 300 AS tlen, nm FROM documents, (VALUES ('four', 4), ('nine', 9)) t(kind, nm)""")
 def rescued_pairs(spark, sf_dir):
     """Pairs of which one end has a mismatch in each 16 bases, or in each eight, so that no seed finds it: whether they are proper before and after the search beside

@@ -141,7 +141,7 @@ def count_reduced_to_5_prime(spark, sf_dir):
 
 PAIRS = """
 one AS (
-    SELECT * FROM lineitem WHERE l_linenumber <= 6
+    SELECT * FROM lineitem
     QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice, l_partkey, l_suppkey, l_quantity, l_shipdate, l_returnflag, l_discount, l_tax) = 1
 ), ends AS (
     SELECT l_orderkey || '-' || ((l_linenumber + 1) // 2) AS fid, 2 - l_linenumber % 2 AS no, 'chr' || (l_suppkey % 2) AS chr, l_partkey * 50 + l_linenumber * 7 AS pos, l_quantity::INT AS len,

@@ -39,8 +39,8 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired ends: of each order and pair of line numbers, the cheapest line of the odd number is end 1, of the even end 2."""
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 6")
+    """Paired ends: of each order and pair of line numbers, the cheapest line of the odd number is end 1, of the even end 2; a seventh line has no mate."""
+    li = table(spark, sf_dir, "lineitem")
     key = F.struct("l_extendedprice", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
     one = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(key.alias("k"), F.struct("l_returnflag", "l_discount", "l_tax").alias("v"))).alias("m"))
     one = one.select("l_orderkey", "l_linenumber", "m.k.*", "m.v.*")

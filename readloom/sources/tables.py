@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,14 +17,16 @@ def _file() -> Column:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """file, qname, flag, chr, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, tags, nh (1 if absent), hi, rg."""
+    """file, qname, flag, chr, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, tags, nh (1 if absent), hi, rg, kinds: the type of each tag, a letter, where it isn't plain text."""
     lines = spark.read.text(path).withColumn("file", _file()).filter(~F.col("value").startswith("@") & (F.length("value") > 0))
     p = F.split("value", "\t")
     tags = F.expr("map_from_entries(array_distinct(transform(slice(p, 12, greatest(size(p) - 11, 0)), t -> struct(substring(t, 1, 2) AS k, substring(t, 6) AS v))))")
     names = [("qname", "string"), ("flag", "int"), ("chr", "string"), ("pos", "int"), ("mapq", "int"), ("cigar", "string"), ("rnext", "string"), ("pnext", "int"), ("tlen", "int"), ("seq", "string"), ("qual", "string")]
     out = lines.withColumn("p", p).withColumn("tags", tags)
-    out = out.select("file", *(F.get("p", F.lit(i)).cast(t).alias(n) for i, (n, t) in enumerate(names)), "tags")
-    return out.withColumn("nh", F.coalesce(F.col("tags")["NH"].cast("int"), F.lit(1))).withColumn("hi", F.col("tags")["HI"].cast("int")).withColumn("rg", F.col("tags")["RG"])
+    kinds = F.expr("map_from_entries(array_distinct(transform(filter(slice(p, 12, greatest(size(p) - 11, 0)), t -> substring(t, 4, 1) <> 'Z'), t -> struct(substring(t, 1, 2) AS k, substring(t, 4, 1) AS v))))")
+    out = out.select("file", *(F.get("p", F.lit(i)).cast(t).alias(n) for i, (n, t) in enumerate(names)), "tags", kinds.alias("__kinds"))
+    out = out.withColumn("nh", F.coalesce(F.col("tags")["NH"].cast("int"), F.lit(1))).withColumn("hi", F.col("tags")["HI"].cast("int")).withColumn("rg", F.col("tags")["RG"])
+    return out.withColumn("kinds", F.col("__kinds")).drop("__kinds")
 
 
 def contig_lengths(spark: SparkSession, path: str) -> DataFrame:
@@ -158,16 +162,28 @@ INTEGER_TAGS = ("NH", "HI", "NM", "XN", "AS", "MQ")
 
 
 def sam_lines(alignments: DataFrame) -> DataFrame:
+    """Records as text; types of tags are those in the column kinds, if there is one, else by the tag's name."""
     listed = ",".join(f"'{t}'" for t in INTEGER_TAGS)
-    tags = F.expr(f"transform(map_entries(tags), x -> concat(x.key, ':', CASE WHEN x.key IN ({listed}) THEN 'i' ELSE 'Z' END, ':', x.value))")
+    known = "kinds[x.key]" if "kinds" in alignments.columns else "CAST(NULL AS STRING)"
+    tags = F.expr(f"transform(map_entries(tags), x -> concat(x.key, ':', coalesce({known}, CASE WHEN x.key IN ({listed}) THEN 'i' ELSE 'Z' END), ':', x.value))")
     fixed = ["qname", "flag", "chr", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
     return alignments.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("*")) for c in fixed), F.coalesce(tags, F.array())).alias("value"))
 
 
+def in_header_order(alignments: DataFrame, contigs: Iterable[str]) -> DataFrame:
+    """Rows dealt out and sorted by place: contigs in the header's order, then those it doesn't name, then records without a place."""
+    order = alignments.sparkSession.createDataFrame([(c, i) for i, c in enumerate(contigs)], "chr string, __order int")
+    at = alignments.join(F.broadcast(order), "chr", "left")  # a header is held whole by whoever writes or reads it
+    last = F.when(F.coalesce(F.col("chr"), F.lit("*")) == "*", 1 << 30).otherwise((1 << 30) - 1)
+    keys = "__order", "chr", "pos", "qname", "flag"
+    at = at.withColumn("__order", F.coalesce("__order", last))
+    return at.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*alignments.columns)
+
+
 def write_sam(alignments: DataFrame, path: str, contigs: dict[str, int], by_place: bool = False) -> None:
     """Header and lines; sorted by place over the whole folder if asked."""
     if by_place:
-        alignments = alignments.repartitionByRange("chr", "pos").sortWithinPartitions("chr", "pos")
+        alignments = in_header_order(alignments, contigs)
     sam_lines(alignments).write.text(path)
     order = "coordinate" if by_place else "unsorted"
     head = [f"@HD\tVN:1.6\tSO:{order}", *(f"@SQ\tSN:{c}\tLN:{n}" for c, n in contigs.items())]
