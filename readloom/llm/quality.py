@@ -29,7 +29,7 @@ from readloom.llm.warc import train
 DICTIONARY_DOCS = 1500
 CALIBRATION_DOCS = 3000
 PIECE = 8192
-CHUNKS = (64, 256)
+CHUNKS = (128, 512)
 #: Differences of a chunk size.
 MEASURES = 7
 LEVEL = 3
