@@ -83,7 +83,7 @@ def feature_counts(
         # equal records are fragments of their own: files are read in the same order each time, so a record keeps its number
         numbered = reads.withColumn("fid", F.concat_ws("\x1f", "library", "qname", "flag", "chr", "pos", "cigar", "hi", F.monotonically_increasing_id()))
         fragments = _counting.single_fragments(numbered, carry=carry)
-    assigned = _counting.assign(fragments, features, options, carry)
+    assigned = written(_counting.assign(fragments, features, options, carry), "assigned")  # counts, summary and the fragments' own table read it
     each = assigned.filter("status = 'Assigned'").select("library", F.explode("targets").alias("key"), "units").groupBy("library", "key").agg((F.sum("units") / _counting.UNIT).alias("count"))
     table = _counting.gene_table(features, each.groupBy("key").agg(F.sum("count").alias("count")), extra) if options.gene_level else features
     out = {
