@@ -17,13 +17,13 @@ def _file() -> Column:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """file, qname, flag, chr, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, tags, nh (1 if absent), hi, rg, kinds: the type of each tag, a letter, where it isn't plain text."""
+    """file, qname, flag, chr, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, tags, nh (1 if absent), hi, rg, kinds: the type of each tag, a letter."""
     lines = spark.read.text(path).withColumn("file", _file()).filter(~F.col("value").startswith("@") & (F.length("value") > 0))
     p = F.split("value", "\t")
     tags = F.expr("map_from_entries(array_distinct(transform(slice(p, 12, greatest(size(p) - 11, 0)), t -> struct(substring(t, 1, 2) AS k, substring(t, 6) AS v))))")
     names = [("qname", "string"), ("flag", "int"), ("chr", "string"), ("pos", "int"), ("mapq", "int"), ("cigar", "string"), ("rnext", "string"), ("pnext", "int"), ("tlen", "int"), ("seq", "string"), ("qual", "string")]
     out = lines.withColumn("p", p).withColumn("tags", tags)
-    kinds = F.expr("map_from_entries(array_distinct(transform(filter(slice(p, 12, greatest(size(p) - 11, 0)), t -> substring(t, 4, 1) <> 'Z'), t -> struct(substring(t, 1, 2) AS k, substring(t, 4, 1) AS v))))")
+    kinds = F.expr("map_from_entries(array_distinct(transform(slice(p, 12, greatest(size(p) - 11, 0)), t -> struct(substring(t, 1, 2) AS k, substring(t, 4, 1) AS v))))")
     out = out.select("file", *(F.get("p", F.lit(i)).cast(t).alias(n) for i, (n, t) in enumerate(names)), "tags", kinds.alias("__kinds"))
     out = out.withColumn("nh", F.coalesce(F.col("tags")["NH"].cast("int"), F.lit(1))).withColumn("hi", F.col("tags")["HI"].cast("int")).withColumn("rg", F.col("tags")["RG"])
     return out.withColumn("kinds", F.col("__kinds")).drop("__kinds")

@@ -88,3 +88,25 @@ def test_vcf_alias_matrix_and_sinks(spark, tmp_path):
     assert sorted((b["chrom"], b["pos"], b["alt"]) for b in bnd) == [("c1", 5, "N[c2:9["), ("c2", 9, "N[c1:5[")]
     bed = tables.junction_bed(spark.createDataFrame([("c1", 10, 21, 4, "+")], "chr string, left int, right int, support int, strand string")).first()
     assert (bed["start"], bed["end"], bed["starts"]) == (9, 21, "0,11")
+
+
+def test_tags_keep_their_types(spark, tmp_path):
+    tags = "XI:i:-7\tXU:i:4000000000\tXF:f:0.1\tXA:A:q\tXZ:Z:123456789012345678901\tXB:B:s,1,-2,3\tXH:H:1AE3\tXN:Z:12"
+    path = tmp_path / "a.sam"
+    path.write_text(f"@SQ\tSN:c1\tLN:1000\nr1\t0\tc1\t10\t40\t4M\t*\t0\t0\tACGT\tIIII\t{tags}\n")
+    one = tables.read_sam(spark, str(path))
+    bam.write_bam(one, str(tmp_path / "b"), {"c1": 1000})
+    back = bam.read_bam(spark, next(str(p) for p in (tmp_path / "b").iterdir() if p.suffix == ".bam"))
+    for df in (one, back):
+        assert sorted(tables.sam_lines(df).first()[0].split("\t")[11:]) == sorted(tags.split("\t"))
+    # without types: numbers where they fit
+    bam.write_bam(one.drop("kinds"), str(tmp_path / "c"), {"c1": 1000})
+
+
+def test_sorted_files_follow_the_header(spark, tmp_path):
+    rows = [(f"r{i}", 4 if c == "*" else 0, c, 0 if c == "*" else 100 - i, 9, "*" if c == "*" else "4M", "*", 0, 0, "ACGT", "IIII", {"NH": "1"}) for i, c in enumerate(["chr10", "*", "chr2", "chr1", "chr2", "chr10", "*", "odd"])]
+    df = spark.createDataFrame(rows, "qname string, flag int, chr string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, tags map<string,string>")
+    places = [tuple(r) for r in tables.in_header_order(df, {"chr1": 9, "chr2": 9, "chr10": 9}).select("chr", "pos").collect()]
+    assert places == [("chr1", 97), ("chr2", 96), ("chr2", 98), ("chr10", 95), ("chr10", 100), ("odd", 93), ("*", 0), ("*", 0)]
+    paths = bam.write_bam(df.filter("chr != 'odd'"), str(tmp_path / "s"), {"chr1": 9, "chr2": 9, "chr10": 9}, by_place=True)
+    assert [r[3] for p in paths for r in bam.records(p, 0, 1 << 62)] == ["chr1", "chr2", "chr2", "chr10", "chr10", "*", "*"]
