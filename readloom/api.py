@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.operators import align as _align
+from readloom.operators import long_reads as _long
 from readloom.operators import counting as _counting
 from readloom.operators import events as _events
 from readloom.operators import intervals as _intervals
@@ -194,7 +195,7 @@ def sublong(spark: SparkSession, index: str, reads: str) -> DataFrame:
     """Records of long FASTQ reads, gaps between seeds filled, ends clipped."""
     r = read_fastq(spark, reads).select(F.col("name").alias("rid"), "seq")
     kmers, chunks, _, chunk = _read_index(spark, index)
-    return _align.long_records(_align.align_long(r, kmers), r, chunks, chunk)
+    return _long.long_records(_long.align_long(r, kmers), r, chunks, chunk)
 
 
 def structural_variants(spark: SparkSession, index: str, reads: str, mates: str, options: _align.AlignOptions = _align.AlignOptions()) -> DataFrame:

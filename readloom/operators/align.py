@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -327,122 +325,6 @@ def breakpoint_class(pairs: DataFrame, most: int = 10_000, o: AlignOptions = Ali
     return pairs.filter(~F.col("proper") & (F.col("r1.chr") != "*") & (F.col("r2.chr") != "*")).withColumn("kind", kind).filter("kind is not null")
 
 
-def chain(hits: list[tuple[int, int]], window: int = 20_000, slack: float = 0.3) -> list[tuple[int, int]]:
-    """The colinear chain of seeds (read offset, place) of a long read with most hits: the window with most hits, then both ways
-    from its middle, each time the next seed whose distance on the contig is nearest to that on the read."""
-    if not hits:
-        return []
-    by_place = sorted(hits, key=lambda h: (h[1], h[0]))
-    best, a = (0, 0, 0), 0
-    for b in range(len(by_place)):
-        while by_place[b][1] - by_place[a][1] > window:
-            a += 1
-        if b - a + 1 > best[0]:
-            best = (b - a + 1, a, b)
-    some = sorted(by_place[best[1] : best[2] + 1])
-    start = some[len(some) // 2]
-    out = [start]
-    for step in (1, -1):
-        at = start
-        while True:
-            ahead = [h for h in some if (h[0] - at[0]) * step > 0 and (h[1] - at[1]) * step > 0]
-            ahead = [h for h in ahead if abs(abs(h[1] - at[1]) - abs(h[0] - at[0])) <= max(16, slack * abs(h[0] - at[0]))]
-            if not ahead:
-                break
-            at = min(ahead, key=lambda h: (abs(h[0] - at[0]), abs(abs(h[1] - at[1]) - abs(h[0] - at[0]))))
-            out.append(at)
-    return sorted(out)
-
-
-def align_long(reads: DataFrame, index: DataFrame, window: int = 20_000, seed_step: int = 16) -> DataFrame:
-    """rid, strand, chr, start, end, read_start, read_end, seeds, chain (read offset and place of each seed): the best chain of each long read."""
-    both = reads.select("rid", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.upper("seq").alias("s")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.upper("seq")).alias("s")))).alias("x")).select("rid", "x.*").filter(F.length("s") >= K)
-    each = both.select("rid", "strand", "s", F.explode(F.sequence(F.lit(0), F.length("s") - K, F.lit(seed_step))).alias("offset")).withColumn("k", F.expr(f"substring(s, offset + 1, {K})"))
-    hits = each.filter(~F.col("k").rlike("[^ACGT]")).select("rid", "strand", "offset", _kmer("k").alias("kmer")).join(index, "kmer")
-    kind = dict(reads.dtypes)["rid"]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        chained = chain(list(zip(group["offset"].tolist(), group["pos"].tolist())), window)
-        return pd.DataFrame({"rid": [group["rid"].iloc[0]], "strand": [group["strand"].iloc[0]], "chr": [group["chr"].iloc[0]], "start": [chained[0][1]], "end": [chained[-1][1] + K - 1], "read_start": [chained[0][0]], "read_end": [chained[-1][0] + K], "seeds": [len(chained)], "chain": [[{"offset": a, "pos": b} for a, b in chained]]})
-
-    chains = hits.groupBy("rid", "strand", "chr").applyInPandas(run, f"rid {kind}, strand string, chr string, start long, end long, read_start long, read_end long, seeds long, chain array<struct<offset:long,pos:long>>")
-    order = Window.partitionBy("rid").orderBy(F.col("seeds").desc(), "chr", "strand")
-    return chains.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
-
-
-def fill_gap(read: np.ndarray, ref: np.ndarray, match: int = 2, mismatch: int = -2, gap: int = 2) -> str:
-    """The operations, a letter a step, of the best alignment of two whole stretches; a row of the table at a time."""
-    n, m = len(read), len(ref)
-    if n == m and (read == ref).all():
-        return "M" * n
-    along = gap * np.arange(m + 1)
-    rows = [-along.astype(np.int64)]
-    for i in range(n):
-        above = rows[-1]
-        best = np.r_[above[0] - gap, np.maximum(above[:-1] + np.where(ref == read[i], match, mismatch), above[1:] - gap)]
-        rows.append(np.maximum.accumulate(best + along) - along)  # deletions run along the row
-    ops, i, j = [], n, m
-    while i or j:
-        here = rows[i][j]
-        if i and j and here == rows[i - 1][j - 1] + (match if read[i - 1] == ref[j - 1] else mismatch):
-            ops.append("M")
-            i, j = i - 1, j - 1
-        elif i and here == rows[i - 1][j] - gap:
-            ops.append("I")
-            i -= 1
-        else:
-            ops.append("D")
-            j -= 1
-    return "".join(reversed(ops))
-
-
-def chain_cigar(read: str, ref: str, first: int, chained: list[tuple[int, int]]) -> tuple[str, int]:
-    """CIGAR and edit distance of a read along its chain; ref begins at place first, the chain's first seed.  Ends are clipped."""
-    r, g = np.frombuffer(read.encode(), np.uint8), np.frombuffer(ref.encode(), np.uint8)
-    ops, at, place = [], chained[0][0], first
-    for offset, pos in [*chained[1:], (chained[-1][0] + K, chained[-1][1] + K)]:
-        # seeds may overlap on one side by what is inserted or deleted between them: the later one then gives way
-        if offset <= at or pos <= place:
-            continue
-        ops.append(fill_gap(r[at:offset], g[place - first : pos - first]))
-        at, place = offset, pos
-    path = "".join(ops)
-    cut, text = "S" * chained[0][0] + path + "S" * (len(r) - at), ""
-    for run in re.finditer(r"(.)\1*", cut):
-        text += f"{len(run.group())}{run.group(1)}"
-    step, i, j, edits = np.array(list(path)), chained[0][0], 0, 0
-    for op in step.tolist():
-        edits += op != "M" or r[i] != g[j]
-        i, j = i + (op != "D"), j + (op != "I")
-    return text, int(edits)
-
-
-def long_records(chains: DataFrame, reads: DataFrame, chunks: DataFrame, chunk: int = 65_536) -> DataFrame:
-    """Alignment records of long reads, rid, flag, chr, pos, cigar, nm, seq: gaps of the chains filled by dynamic programming, ends clipped.
-
-    A read meets the chunks (chr, start, seq) that its chain lies on, each once."""
-    on = F.explode(F.sequence(F.floor((F.col("start") - 1) / chunk), F.floor((F.col("end") - 1) / chunk)))
-    c = chunks.select("chr", F.floor((F.col("start") - 1) / chunk).alias("__c"), F.col("start").alias("__s"), F.substring(F.upper("seq"), 1, chunk).alias("__q"))
-    part = F.struct("__s", F.expr(f"substring(__q, CAST(greatest(start, __s) - __s + 1 AS INT), CAST(least(end, __s + {chunk} - 1) - greatest(start, __s) + 1 AS INT))").alias("q"))
-    met = chains.withColumn("__c", on).join(c, ["chr", "__c"]).groupBy("rid").agg(F.sort_array(F.collect_list(part)).alias("x"))
-    whole = chains.join(met.select("rid", F.array_join(F.transform("x", lambda v: v["q"]), "").alias("ref")), "rid").join(reads.select("rid", F.upper("seq").alias("s")), "rid")
-    whole = whole.withColumn("s", F.when(F.col("strand") == "-", reverse_complement(F.col("s"))).otherwise(F.col("s")))
-    kind = dict(reads.dtypes)["rid"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cigars, edits = [], []
-            for s, ref, start, chained in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("s", "ref", "start", "chain"))):
-                cigar, nm = chain_cigar(s, ref, start, [(x["offset"], x["pos"]) for x in chained])
-                cigars.append(cigar)
-                edits.append(nm)
-            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("rid", "flag", "chr", "pos")]
-            yield pa.record_batch([*keep, pa.array(cigars, pa.string()), pa.array(edits, pa.int32()), batch.column(batch.schema.get_field_index("s"))], ["rid", "flag", "chr", "pos", "cigar", "nm", "seq"])
-
-    flagged = whole.select("rid", F.when(F.col("strand") == "-", 16).otherwise(0).alias("flag"), "chr", F.col("start").alias("pos"), "start", "chain", "ref", "s")
-    return flagged.mapInArrow(run, f"rid {kind}, flag int, chr string, pos long, cigar string, nm int, seq string")
-
-
 def structural_variants(pairs: DataFrame, o: AlignOptions = AlignOptions(), within: int = 500, most: int = 10_000, support: int = 2) -> DataFrame:
     """kind, chr1, pos1, end1, chr2, pos2, end2, support: clusters of mate pairs (``pair_up``) that show a deletion, inversion or translocation."""
     first = F.least(F.struct("r1.chr", "r1.pos"), F.struct("r2.chr", "r2.pos"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions.dna import bases_of, reverse_complement
 from readloom.operators import align as A
+from readloom.operators import long_reads as L
 from readloom.operators import second_pass as P
 from readloom.operators.events import annotated_introns
 from readloom.operators.simulate import simulate_reads
@@ -210,7 +211,7 @@ def long_reads_in_place(spark, sf_dir):
     """Long reads: 2000 bases of each contig, from 101 on."""
     chunks = _chunks(spark, sf_dir)
     r = _contigs(spark, sf_dir).select(F.col("chr").alias("rid"), F.substring("seq", 101, 2000).alias("seq"))
-    return A.align_long(r, A.build_index(chunks, chunk=1000)).select("rid", "strand", "chr", "start", "end")
+    return L.align_long(r, A.build_index(chunks, chunk=1000)).select("rid", "strand", "chr", "start", "end")
 
 
 @query("SELECT 'chr' || doc_id AS rid, 0::INT AS flag, 'chr' || doc_id AS chr, 101::BIGINT AS pos, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE -4 END::INT AS net, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 4 END::INT AS nm, CASE WHEN doc_id % 2 = 0 THEN 2000 ELSE 1996 END::INT AS length FROM documents")
@@ -221,5 +222,23 @@ def long_read_records(spark, sf_dir):
     even = F.expr("CAST(substr(chr, 4) AS BIGINT) % 2 = 0")
     cut = F.when(even, F.expr("concat(substr(seq, 101, 1000), 'AC', substr(seq, 1101, 998))")).otherwise(F.expr("concat(substr(seq, 101, 1000), substr(seq, 1105, 996))"))
     r = written(_contigs(spark, sf_dir).select(F.col("chr").alias("rid"), cut.alias("seq")), "long")
-    out = A.long_records(A.align_long(r, A.build_index(chunks, chunk=1000), seed_step=8), r, chunks, 1000)
+    out = L.long_records(L.align_long(r, A.build_index(chunks, chunk=1000), seed_step=8), r, chunks, 1000)
     return out.select("rid", "flag", "chr", "pos", (bases_of(F.col("cigar"), "I") - bases_of(F.col("cigar"), "D")).alias("net"), "nm", bases_of(F.col("cigar"), "MIS").alias("length"))
+
+
+@query("""SELECT 'chr' || doc_id AS rid, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 16 END::INT AS flag, 'chr' || doc_id AS chr, 101::BIGINT AS pos, (20 + doc_id % 80)::INT AS deleted, (10 + doc_id % 50)::INT AS inserted,
+0::INT AS clipped, 5::INT AS ops, (46 + 20 + doc_id % 80 + 10 + doc_id % 50)::INT AS nm FROM documents""")
+def long_reads_with_events(spark, sf_dir):
+    """Long reads, every other one turned, with 46 other bases, 20 to 99 bases left out after 900 and 10 to 59 foreign ones after 1700: what their records
+    say of each.  Reads end with a seed, so nothing is clipped."""
+    n = F.expr("CAST(substr(chr, 4) AS BIGINT)")
+    parts = _contigs(spark, sf_dir).withColumn("gone", 20 + n % 80).withColumn("more", 10 + n % 50).withColumn("last", F.expr("2508 - (2408 - gone + more) % 16"))
+    other = F.transform(F.split("seq", ""), lambda b, i: F.when(((i + 1) % 50 == 25) & ~(i + 1).isin(925, 975), F.translate(b, "ACGT", "CGTA")).otherwise(b))
+    parts = parts.select("chr", "gone", "more", "last", F.array_join(other, "").alias("s"), F.translate(F.sha2(F.concat(F.lit("foreign"), "chr"), 256), "0123456789abcdef", "ACGTACGTACGTACGT").alias("x"))
+    read = F.expr("concat(substring(s, 101, 800), substring(s, CAST(901 + gone AS INT), CAST(800 - gone AS INT)), left(x, CAST(more AS INT)), substring(s, 1701, CAST(last - 1700 AS INT)))")
+    r = written(parts.select(F.col("chr").alias("rid"), F.when(n % 2 == 0, read).otherwise(reverse_complement(read)).alias("seq")), "long")
+    chunks = _chunks(spark, sf_dir)
+    cigar = F.col("cigar")
+    return L.long_records(L.align_long(r, A.build_index(chunks, chunk=1000)), r, chunks, 1000).select(
+        "rid", "flag", "chr", "pos", bases_of(cigar, "D").alias("deleted"), bases_of(cigar, "I").alias("inserted"), bases_of(cigar, "S").alias("clipped"), F.length(F.regexp_replace(cigar, "[0-9]", "")).alias("ops"), "nm",
+    )

@@ -137,15 +137,6 @@ def test_indels_junctions_and_unmapped(spark):
     assert "D" in got["del"]["cigar"] and got["del"]["pos"] == 501 and "I" in got["ins"]["cigar"] and got["ins"]["pos"] == 701
 
 
-def test_long_reads(spark):
-    g = genome(8000)
-    rng = random.Random(3)
-    read = "".join(c if rng.random() > 0.03 else rng.choice("ACGT") for c in g[1000:6000])
-    chunks = spark.createDataFrame([("c1", 1, g)], "chr string, start long, seq string")
-    r = A.align_long(spark.createDataFrame([("x", read)], "rid string, seq string"), A.build_index(chunks)).first()
-    assert r["strand"] == "+" and abs(r["start"] - 1001) < 200 and abs(r["end"] - 6000) < 200 and r["seeds"] > 100
-
-
 def test_length_weights():
     p = length_weights(180, 40, 110, 400)
     assert abs(p.sum() - 1) < 1e-12 and abs((p * np.arange(110, 401)).sum() - 185) < 10
