@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.operators import align as _align
-from readloom.operators import long_reads as _long
 from readloom.operators import counting as _counting
 from readloom.operators import events as _events
 from readloom.operators import intervals as _intervals
+from readloom.operators import long_reads as _long
 from readloom.operators import readtools as _tools
 from readloom.operators import second_pass as _second
 from readloom.operators import singlecell as _cells
 from readloom.operators import variants as _variants
+from readloom.operators.reassembly import reassemble
 from readloom.operators.simulate import simulate_reads
 from readloom.session import written
 from readloom.sources import tables
@@ -191,6 +192,15 @@ def fusions(spark: SparkSession, index: str, reads: str, options: _align.AlignOp
     return _second.fusions(_second.split_reads(_second.all_places(r, kmers, chunks, options, chunk, step), r), support)
 
 
+def insertions(
+    spark: SparkSession, index: str, reads: str, mates: str | None = None, options: _align.AlignOptions = _align.AlignOptions(), support: int = 2, shortest: int = 6, longest: int = 300,
+) -> DataFrame:
+    """chr, pos, ref, alt, support: insertions that no read's gap covers, put together from the clipped and unmapped ends of FASTQ reads."""
+    _, chunks, _, chunk = _read_index(spark, index)
+    records = written(align(spark, index, reads, mates, options, kind="dna", support=0), "records")
+    return reassemble(records, chunks, chunk, support=support, shortest=shortest, longest=longest, max_fragment=options.max_fragment)
+
+
 def sublong(spark: SparkSession, index: str, reads: str) -> DataFrame:
     """Records of long FASTQ reads, gaps between seeds filled, ends clipped."""
     r = read_fastq(spark, reads).select(F.col("name").alias("rid"), "seq")

@@ -9,6 +9,7 @@ from readloom.operators import align as A
 from readloom.operators import long_reads as L
 from readloom.operators import second_pass as P
 from readloom.operators.events import annotated_introns
+from readloom.operators.reassembly import reassemble
 from readloom.operators.simulate import simulate_reads
 from readloom.plans import views
 from readloom.plans.queries import _chunks, _contigs, _simulated
@@ -242,3 +243,21 @@ def long_reads_with_events(spark, sf_dir):
     return L.long_records(L.align_long(r, A.build_index(chunks, chunk=1000)), r, chunks, 1000).select(
         "rid", "flag", "chr", "pos", bases_of(cigar, "D").alias("deleted"), bases_of(cigar, "I").alias("inserted"), bases_of(cigar, "S").alias("clipped"), F.length(F.regexp_replace(cigar, "[0-9]", "")).alias("ops"), "nm",
     )
+
+
+@query("SELECT 'chr' || doc_id AS chr, (30 + doc_id % 121)::INT AS size, true AS right_, true AS seen_twice FROM documents")
+def assembled_insertions(spark, sf_dir):
+    """Insertions of 30 to 150 bases after 1200, from pairs of 100 bases of each changed contig, 15 apart: each one's size, whether the contig with it is the
+    changed one, and whether two reads at least show it."""
+    n = F.expr("CAST(substr(chr, 4) AS BIGINT)")
+    foreign = F.translate(F.concat(*(F.sha2(F.concat(F.lit(f"foreign{i}"), "chr"), 512) for i in range(2))), "0123456789abcdef", "ACGTACGTACGTACGT")
+    changed = _contigs(spark, sf_dir).select("chr", "seq", (30 + n % 121).alias("size"), foreign.alias("x"))
+    changed = changed.select("chr", "seq", "size", F.expr("concat(left(seq, 1200), left(x, CAST(size AS INT)), substring(seq, 1201))").alias("s"))
+    at = F.explode(F.sequence(F.lit(850), F.lit(1200) + F.col("size"), F.lit(15))).alias("at")
+    pairs = written(changed.select("chr", "s", at).select(F.concat_ws(":", "chr", "at").alias("rid"), F.expr("substring(s, CAST(at AS INT), 100)").alias("one"), reverse_complement(F.expr("substring(s, CAST(at + 200 AS INT), 100)")).alias("two")), "pairs")
+    chunks = _chunks(spark, sf_dir)
+    index = written(A.build_index(chunks, chunk=1000), "index")
+    end = lambda c: A.align(pairs.select("rid", F.col(c).alias("seq"), F.repeat(F.lit("I"), F.length(c)).alias("qual")), index, chunks, A.AlignOptions(best=4), 1000)
+    found = reassemble(written(A.mate_records(A.pair_up(end("one"), end("two"))), "records"), chunks, 1000)
+    with_it = F.expr("concat(left(seq, CAST(pos - 1 AS INT)), alt, substring(seq, CAST(pos + 1 AS INT)))")
+    return found.join(changed, "chr").select("chr", (F.length("alt") - 1).alias("size"), (with_it == F.col("s")).alias("right_"), (F.col("support") >= 2).alias("seen_twice"))
