@@ -49,8 +49,10 @@ _CODE = np.full(256, 4, np.int64)
 _CODE[np.frombuffer(b"ACGTacgt", np.uint8)] = [0, 1, 2, 3, 0, 1, 2, 3]
 
 
-def _places(step: int, chunk: int):
-    """chr, start, seq, last -> chr, pos, kmer: all 16-mers of a chunk that no later chunk has, a step of the loop a base of theirs."""
+def _places(step: int, chunk: int, most: int):
+    """chr, start, seq, last -> chr, pos, kmer: all 16-mers of a chunk that no later chunk has, a step of the loop a base of theirs.
+
+    Of a 16-mer with more than ``most`` places in the chunk alone, one more than that go on, enough to know it by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,6 +67,9 @@ def _places(step: int, chunk: int):
                     known &= code[j : j + n] < 4
                 pos = start + np.arange(n)
                 kept = np.flatnonzero(known & ((pos - 1) % step == 0))
+                kept = kept[np.argsort(kmer[kept], kind="stable")]
+                like = kmer[kept]
+                kept = kept[np.arange(len(kept)) - np.searchsorted(like, like) <= most]
                 name = pa.array([batch.column(0)[i].as_py()]).take(pa.array(np.zeros(len(kept), np.int8)))
                 yield pa.record_batch([name, pa.array(pos[kept]), pa.array(kmer[kept])], ["chr", "pos", "kmer"])
 
@@ -77,7 +82,7 @@ def build_index(chunks: DataFrame, step: int = 1, max_occurrences: int = 100, ch
     step 3 keeps every third base.  16-mers with another letter than ACGT or with more than max_occurrences places are left out.  The index
     is dealt out and sorted by 16-mer, as a join by it wants."""
     last = chunks.groupBy("chr").agg(F.max("start").alias("last"))
-    places = chunks.select("chr", F.col("start").cast("long").alias("start"), "seq").join(last.withColumn("last", F.col("last").cast("long")), "chr").mapInArrow(_places(step, chunk), "chr string, pos long, kmer long")
+    places = chunks.select("chr", F.col("start").cast("long").alias("start"), "seq").join(last.withColumn("last", F.col("last").cast("long")), "chr").mapInArrow(_places(step, chunk, max_occurrences), "chr string, pos long, kmer long")
     n = F.count(F.lit(1)).over(Window.partitionBy("kmer"))
     return places.withColumn("n", n).filter(F.col("n") <= max_occurrences).select("kmer", "chr", "pos")
 

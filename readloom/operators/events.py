@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.dna import UNMAPPED, cigar_sections, has
-from readloom.operators.intervals import islands, overlap_join
+from readloom.operators.intervals import islands, islands_in_bins, overlap_join
 
 
 def indel_events(alignments: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def event_counts(alignments: DataFrame) -> DataFrame:
 
 def prune_neighbours(events: DataFrame, within: int = 5) -> DataFrame:
     """Of events of a contig that follow each other within so many bases, the best supported."""
-    runs = islands(events.withColumn("to", F.col("pos")), ["chr"], "pos", "to", within)
+    runs = islands_in_bins(events.withColumn("to", F.col("pos")), ["chr"], "pos", "to", within)
     w = Window.partitionBy("chr", "__island").orderBy(F.col("support").desc(), "pos", "kind", "length")
     return runs.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r", "to", "__island")
 
@@ -66,8 +66,9 @@ def breakpoint_clusters(pairs: DataFrame, within: int = 500) -> DataFrame:
     """kind, chr1, pos1 (first), end1, chr2, pos2, end2, support of breakpoints whose both sides lie near each other's.
 
     pairs: kind, chr1, pos1, chr2, pos2."""
-    runs = islands(pairs.withColumn("a", F.col("pos1")).withColumn("b", F.col("pos1")), ["kind", "chr1", "chr2"], "a", "b", within).withColumnRenamed("__island", "one").drop("a", "b")
+    each = pairs.groupBy("kind", "chr1", "pos1", "chr2", "pos2").agg(F.count(F.lit(1)).alias("n"))  # a locus with most pairs is few rows
+    runs = islands_in_bins(each.withColumn("a", F.col("pos1")).withColumn("b", F.col("pos1")), ["kind", "chr1", "chr2"], "a", "b", within).withColumnRenamed("__island", "one").drop("a", "b")
     runs = islands(runs.withColumn("a", F.col("pos2")).withColumn("b", F.col("pos2")), ["kind", "chr1", "chr2", "one"], "a", "b", within)
     return runs.groupBy("kind", "chr1", "chr2", "one", "__island").agg(
-        F.min("pos1").alias("pos1"), F.max("pos1").alias("end1"), F.min("pos2").alias("pos2"), F.max("pos2").alias("end2"), F.count(F.lit(1)).alias("support")
+        F.min("pos1").alias("pos1"), F.max("pos1").alias("end1"), F.min("pos2").alias("pos2"), F.max("pos2").alias("end2"), F.sum("n").alias("support")
     ).drop("one", "__island")

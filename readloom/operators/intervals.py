@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.session import written
+
 #: Base pairs of a bin, and how many bins a range may cover before it goes to bins BIN_FACTOR times as wide.
 BIN = 2048
 BIN_FACTOR = 64
@@ -45,6 +47,22 @@ def islands(df: DataFrame, keys: Sequence[str], start: str = "start", end: str =
     return df.withColumn("__new", fresh).withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
+def islands_in_bins(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", gap: int = 1, width: int = 1 << 20) -> DataFrame:
+    """The same for keys that may hold most rows (contigs): each bin of ``width`` places is a task's work, and what earlier bins reach comes from
+    aggregates a bin.  An island is named by the start of its first range.  Keys and ends are not null."""
+    df = written(df.withColumn("__bin", F.floor(F.col(start) / width)), "binned")
+    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = lambda rows, value: rows.groupBy(*keys, "__bin").agg(value.alias("__v")).select(*keys, "__bin", F.max("__v").over(earlier).alias("__carried"))
+    order = Window.partitionBy(*keys, "__bin").orderBy(start, end)
+    reached = F.greatest(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("__carried"))  # nulls don't count
+    met = df.join(ahead(df, F.max(end)), [*keys, "__bin"]).withColumn("__reached", reached)
+    fresh = F.when(F.col("__reached").isNull() | (F.col(start) > F.col("__reached") + gap), F.col(start))
+    met = written(met.withColumn("__fresh", fresh).drop("__carried", "__reached"), "fresh")
+    whole = met.join(ahead(met, F.max("__fresh")), [*keys, "__bin"])
+    island = F.coalesce(F.max("__fresh").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.col("__carried"))  # equal ranges see each other
+    return whole.withColumn("__island", island).drop("__fresh", "__carried", "__bin")
+
+
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
     """keys, start, end: overlapping and adjacent ranges made one."""
     return islands(df, keys, start, end).groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")

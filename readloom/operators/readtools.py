@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from readloom.functions.dna import FIRST, MATE_UNMAPPED, PAIRED, PROPER, REVERSE, SECOND, SECONDARY, UNMAPPED, count_bases, has, phred
 from readloom.functions.stats import lowess, poisson_tail
 from readloom.operators.intervals import fixed_bins, gaps, stab
+from readloom.session import written
 
 
 def proportion_mapped(alignments: DataFrame, count_fragments: bool = True, properly_paired: bool = False) -> DataFrame:
@@ -157,9 +158,11 @@ def detection_call(genes: DataFrame, background: DataFrame, seed: int = 42) -> D
 
 
 def fasta_summary(transcripts: DataFrame) -> DataFrame:
-    """transcript_id, length, md5, is_unique, occurrence, duplicated; transcripts: transcript_id, seq."""
-    digest = F.md5(F.upper("seq"))
-    w = Window.partitionBy("md5")
-    out = transcripts.select("transcript_id", F.length("seq").alias("length"), digest.alias("md5"))
-    out = out.withColumn("occurrence", F.count(F.lit(1)).over(w)).withColumn("duplicated", F.row_number().over(w.orderBy("transcript_id")) > 1)
-    return out.select("transcript_id", "length", "md5", (F.col("occurrence") == 1).alias("is_unique"), "occurrence", "duplicated")
+    """transcript_id, length, md5, is_unique, occurrence, duplicated; transcripts: transcript_id, seq.
+
+    Only digests that repeat come back to the rows, with the first of their ids, so equal sequences aren't sorted in one task."""
+    out = written(transcripts.select("transcript_id", F.length("seq").alias("length"), F.md5(F.upper("seq")).alias("md5")), "digests")
+    repeated = out.groupBy("md5").agg(F.count(F.lit(1)).alias("n"), F.min("transcript_id").alias("first")).filter("n > 1")
+    met = out.join(repeated, "md5", "left").withColumn("again", F.row_number().over(Window.partitionBy("md5", "transcript_id").orderBy("length")) > 1)
+    occurrence = F.coalesce("n", F.lit(1)).alias("occurrence")
+    return met.select("transcript_id", "length", "md5", F.col("n").isNull().alias("is_unique"), occurrence, (F.col("n").isNotNull() & (F.col("again") | ~F.col("transcript_id").eqNullSafe(F.col("first")))).alias("duplicated"))

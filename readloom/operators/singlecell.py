@@ -131,13 +131,16 @@ def high_confidence_count(totals: np.ndarray, cells: np.ndarray | None = None, s
     return int(drawn[np.count_nonzero(totals >= max(limit, 1)) - 1])
 
 
-def ranked_cells(counts: DataFrame) -> DataFrame:
-    """sample, cell, total, rank (by total, then cell).  Ranks come from counts of totals, so no sample is sorted in one task."""
-    totals = counts.groupBy(*CELL_KEYS).agg(F.sum("umis").alias("total"))
-    by_total = totals.groupBy("sample", "total").agg(F.count(F.lit(1)).alias("n"))
-    above = F.coalesce(F.sum("n").over(Window.partitionBy("sample").orderBy(F.col("total").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    met = totals.join(by_total.withColumn("above", above).drop("n"), ["sample", "total"])
-    return met.withColumn("rank", F.col("above") + F.row_number().over(Window.partitionBy("sample", "total").orderBy("cell"))).drop("above")
+def ranked_cells(counts: DataFrame, cells: int = 4096) -> DataFrame:
+    """sample, cell, total, rank (by total, then cell).  Ranks come from counts of totals by ranges of cells, so neither a sample nor the cells of
+    one total, of which most have a single UMI, are sorted in one task.  A range is ``cells`` numbers, or the barcodes that share six letters."""
+    ranges = F.left("cell", F.lit(6)) if dict(counts.dtypes)["cell"] == "string" else F.floor(F.col("cell") / cells)
+    totals = counts.groupBy(*CELL_KEYS).agg(F.sum("umis").alias("total")).withColumn("__range", ranges)
+    by_range = totals.groupBy("sample", "total", "__range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("sample").orderBy(F.col("total").desc(), "__range").rowsBetween(Window.unboundedPreceding, -1)
+    above = by_range.select("sample", "total", "__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("above"))
+    met = totals.join(above, ["sample", "total", "__range"])
+    return met.withColumn("rank", F.col("above") + F.row_number().over(Window.partitionBy("sample", "total", "__range").orderBy("cell"))).drop("above", "__range")
 
 
 def call_cells(counts: DataFrame, cutoff: float | None = None) -> DataFrame:
