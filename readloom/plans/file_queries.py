@@ -14,7 +14,7 @@ from readloom.plans.queries import ANY, ONE_GENE, PAIRS, RESOLVED, SEQ, UMI
 from readloom.plans.registry import query
 from readloom.plans.views import SQL
 from readloom.session import scratch, written
-from readloom.sources import bam, files, sequences, tables
+from readloom.sources import bam, bam_index, files, sequences, tables
 
 CONTIGS = {f"chr{i}": 1_000_000_000 for i in range(5)}
 
@@ -45,6 +45,18 @@ def bam_round_trip(spark, sf_dir):
     return bam.read_bam(spark, path, 200_000).select(*RECORD_COLUMNS)
 
 
+REGIONS = [("chr0", 1, 20_000), ("chr1", 30_000, 30_400), ("chr1", 30_300, 90_000), ("chr3", 50_000, 50_000)]
+_met = lambda span: " OR ".join(f"(chr = '{c}' AND pos <= {b} AND pos + {span} - 1 >= {a})" for c, a, b in REGIONS)
+
+
+@query(f"SELECT * FROM ({RECORDS}) WHERE " + _met("CASE WHEN contains(cigar, 'N') THEN 10 + split_part(split_part(cigar, 'M', 2), 'N', 1)::INT + length(seq) - 10 ELSE length(seq) END"))
+def bam_regions(spark, sf_dir):
+    """Records of sorted, indexed BAM files that overlap a few regions, by the blocks that the indexes name."""
+    path = f"{scratch(spark)}/a.bam"
+    bam.write_bam(_records(spark, sf_dir), path, CONTIGS, by_place=True)
+    return bam_index.read_bam_regions(spark, path, REGIONS).select(*RECORD_COLUMNS)
+
+
 @query(f"WITH {SQL} SELECT chr, (max(pos) + 100)::INT AS chr_length FROM l GROUP BY chr")
 def header_contigs(spark, sf_dir):
     """Contigs as the header of a file has them, as long as the records need."""
