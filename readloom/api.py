@@ -201,6 +201,11 @@ def insertions(
     return reassemble(records, chunks, chunk, support=support, shortest=shortest, longest=longest, max_fragment=options.max_fragment)
 
 
+def trim_reads(spark: SparkSession, reads: str) -> DataFrame:
+    """name, seq, qual, trimmed_5 of FASTQ reads without the ends of low quality."""
+    return _tools.trim_ends(read_fastq(spark, reads).select("name", "seq", "qual"))
+
+
 def sublong(spark: SparkSession, index: str, reads: str) -> DataFrame:
     """Records of long FASTQ reads, gaps between seeds filled, ends clipped."""
     r = read_fastq(spark, reads).select(F.col("name").alias("rid"), "seq")

@@ -166,3 +166,24 @@ def fasta_summary(transcripts: DataFrame) -> DataFrame:
     met = out.join(repeated, "md5", "left").withColumn("again", F.row_number().over(Window.partitionBy("md5", "transcript_id").orderBy("length")) > 1)
     occurrence = F.coalesce("n", F.lit(1)).alias("occurrence")
     return met.select("transcript_id", "length", "md5", F.col("n").isNull().alias("is_unique"), occurrence, (F.col("n").isNotNull() & (F.col("again") | ~F.col("transcript_id").eqNullSafe(F.col("first")))).alias("duplicated"))
+
+
+def trim_ends(reads: DataFrame) -> DataFrame:
+    """reads (seq, qual) without their bad ends, and trimmed_5, the bases taken at the start.
+
+    From the middle on, either way, a base of Phred score 4 or less is passed over once and a second one ends the way; what lies up to the
+    last good base before it stays, at the start with that base, at the end without it.  A start whose way meets no second one stays whole.
+    Reads that keep less than a third become empty.  Reads without qualities, empty or null, stay as they are.
+    """
+    bad, n = "[!-%]", F.length("qual")
+    middle = F.floor(n / 2).cast("int")
+    way = lambda part: F.regexp_extract(part, f"^[^!-%]*{bad}?[^!-%]*", 0)
+    good = lambda part: F.greatest(F.length(F.regexp_replace(way(part), f"{bad}$", "")), F.lit(1)) - 1
+    right, left = F.substring("qual", middle + 1, n), F.reverse(F.left("qual", middle + 1))
+    head = F.when(F.length(way(left)) == F.length(left), 0).otherwise(middle - good(left))
+    out = reads.withColumn("__head", head.cast("int")).withColumn("__kept", (middle + good(right) - F.col("__head")).cast("int"))
+    as_is = F.coalesce(F.col("qual").isin("", "*"), F.lit(True)) | F.col("seq").isNull()
+    short = F.col("__kept") * 3 < n
+    cut = lambda c: F.when(as_is, F.col(c)).when(short, "").otherwise(F.substring(c, F.col("__head") + 1, F.col("__kept")))
+    seq, qual = cut("seq"), cut("qual")
+    return out.withColumns({"seq": seq, "qual": qual, "trimmed_5": F.when(as_is | short, 0).otherwise(F.col("__head"))}).drop("__head", "__kept")

@@ -158,3 +158,17 @@ def breakpoint_clusters(spark, sf_dir):
     o, k, c = views.table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
     p = o.select(F.when(k % 2 == 0, "a").otherwise("b").alias("kind"), F.concat(F.lit("chr"), k % 3).alias("chr1"), F.concat(F.lit("chr"), c % 3).alias("chr2"), (k * 37 % 100_000).alias("pos1"), (c * 91 % 100_000).alias("pos2"))
     return E.breakpoint_clusters(p)
+
+
+@query("""WITH r AS (SELECT c_custkey AS rid, translate(sha256(c_custkey::VARCHAR) || md5(c_custkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT')[1:75] AS s,
+    translate(md5(c_custkey::VARCHAR) || sha256(c_custkey::VARCHAR), '0123456789abcdef', '#%5555IIIIIIIIII')[1:75] AS q FROM customer),
+b AS (SELECT *, coalesce([i FOR i IN range(37, 75) IF q[i + 1] <= '%'][2], 75) AS b2, list_reverse([i FOR i IN range(38) IF q[i + 1] <= '%'])[2] AS c2 FROM r),
+e AS (SELECT *, coalesce(list_max([i FOR i IN range(37, b2) IF q[i + 1] > '%']), 37) AS tail, CASE WHEN c2 IS NULL THEN 0 ELSE coalesce(list_min([i FOR i IN range(c2 + 1, 38) IF q[i + 1] > '%']), 37) END AS head FROM b)
+SELECT rid, CASE WHEN 3 * (tail - head) < 75 THEN '' ELSE s[head + 1:tail] END AS seq, CASE WHEN 3 * (tail - head) < 75 THEN '' ELSE q[head + 1:tail] END AS qual,
+    CASE WHEN 3 * (tail - head) < 75 THEN 0 ELSE head END::INT AS trimmed_5 FROM e""")
+def trimmed_reads(spark, sf_dir):
+    """Reads without the ends of low quality."""
+    k = F.col("c_custkey").cast("string")
+    text = lambda letters, *of: F.left(F.translate(F.concat(*of), "0123456789abcdef", letters), F.lit(75))
+    r = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rid"), text("ACGTACGTACGTACGT", F.sha2(k, 256), F.md5(k)).alias("seq"), text("#%5555IIIIIIIIII", F.md5(k), F.sha2(k, 256)).alias("qual"))
+    return R.trim_ends(r)
