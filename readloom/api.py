@@ -118,15 +118,17 @@ def _chromosomes(spark, reads: DataFrame, features: DataFrame, aliases: str | No
     return chromosome_match(reads.select(F.col("chr").alias("rname")).filter("chr != '*'"), features.select("chr"), tables.read_aliases(spark, aliases) if aliases else None)
 
 
-def build_index(spark: SparkSession, reference: str, target: str, gapped: bool = False, threshold: int = 100) -> None:
-    """Writes kmers/ (in files by kmer), chunks/ (bases) and step/ (one place in step has a 16-mer; the chunks' length) to target."""
+def build_index(spark: SparkSession, reference: str, target: str, gapped: bool = False, threshold: int = 100, converted: bool = False) -> None:
+    """Writes kmers/ (in files by kmer), chunks/ (bases) and step/ (one place in step has a 16-mer; the chunks' length) to target.
+
+    converted: for reads of bisulfite-treated DNA, in two alphabets of three letters; ``align`` then takes reads for such."""
     chunks = read_fasta(spark, reference, CHUNK, OVERLAP).select("chr", "start", "seq")
     _align.check_reference(chunks)
     chunks.write.parquet(f"{target}/chunks")
     chunks = spark.read.parquet(f"{target}/chunks")
     step = 3 if gapped else 1
     spark.range(1).select(F.lit(step).alias("step"), F.lit(CHUNK).alias("chunk")).write.parquet(f"{target}/step")
-    _align.build_index(chunks, step, threshold, CHUNK).write.parquet(f"{target}/kmers")
+    (_align.build_converted_index if converted else _align.build_index)(chunks, step, threshold, CHUNK).write.parquet(f"{target}/kmers")
 
 
 def _read_index(spark: SparkSession, index: str) -> tuple[DataFrame, DataFrame, int, int]:
@@ -149,19 +151,26 @@ def align(
     A second pass aligns the ends of reads over junctions and indels that at least ``support`` reads show (0: no second pass), and over the introns
     of an annotation (GTF, or exons with transcript_id), if one is given.  Mates that no seed finds are looked for beside the other end.
 
-    kind: "dna" reads have no introns, so they map without junctions, and more mismatches pass, as the reference's whole read has to fit."""
+    kind: "dna" reads have no introns, so they map without junctions, and more mismatches pass, as the reference's whole read has to fit.
+
+    With an index of converted bases, reads have T for C and mates A for G, as libraries that keep the strand do; these map in one pass, mates by seeds only."""
     if kind not in ("rna", "dna"):
         raise ValueError("kind is rna or dna")
     if kind == "dna":
         options = replace(options, junctions=False, max_mismatches=max(options.max_mismatches, 3))
     kmers, chunks, step, chunk = _read_index(spark, index)
 
+    converted = "letters" in kmers.columns
+    if converted and annot is not None:
+        raise ValueError("converted reads are not aligned over introns")
+    marked = lambda letters, o: replace(o, converted=letters) if converted else o
+
     def one(path: str, o: _align.AlignOptions) -> DataFrame:
         r = read_fastq(spark, path).select(F.regexp_replace("name", "/[12]$", "").alias("rid"), "seq", "qual")
         return written(_align.align(r, kmers, chunks, o, chunk, step), "first_pass")
 
     def second(*first: DataFrame) -> list[DataFrame]:
-        if not support and introns is None:
+        if converted or (not support and introns is None):
             return list(first)
         shown = reduce(DataFrame.unionByName, first).filter("hi = 1")
         events = written(_second.shown_events(shown if support else shown.limit(0), max(support, 1), introns), "events")
@@ -172,9 +181,11 @@ def align(
         exons = annotation(spark, annot, is_gtf, extra=("transcript_id",) if is_gtf else ())
         introns = _events.annotated_introns(exons if "transcript_id" in exons.columns else exons.withColumn("transcript_id", F.col("gene_id")))
     if mates is None:
-        return second(one(reads, options))[0]
+        return second(one(reads, marked("CT", options)))[0]
     several = replace(options, best=max(options.best, MATE_PLACES), unique=False, threshold=min(options.threshold, max(options.mate_threshold, 1)))
-    ends = [written(end, "second_pass") for end in second(one(reads, several), one(mates, several))]
+    ends = [written(end, "second_pass") for end in second(one(reads, marked("CT", several)), one(mates, marked("GA", several)))]
+    if converted:
+        return _align.mate_records(_align.pair_up(*ends, options))
     return _align.mate_records(_second.rescue_mates(*ends, chunks, options, chunk))
 
 

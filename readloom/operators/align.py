@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from readloom.functions.dna import reference_span, reverse_complement
 from readloom.operators.events import breakpoint_clusters
-from readloom.operators.local import MATCH, MISMATCH, align_locally
+from readloom.operators.local import MATCH, MISMATCH, align_locally, same_or_converted
+from readloom.operators.shares import in_shares
+from readloom.session import written
 
 K = 16
 #: What two places that make no proper pair must score more than two that do.
@@ -38,6 +40,7 @@ class AlignOptions:
     least_aligned: int = 24  # bases that are not clipped, and a third of the read
     trim_5: int = 0
     trim_3: int = 0
+    converted: str = ""  # what bisulfite did to the reads as sequenced: CT (ends 1) or GA (ends 2); "": nothing
 
 
 def _kmer(seq):
@@ -76,6 +79,22 @@ def _places(step: int, chunk: int, most: int):
     return run
 
 
+#: The two alphabets of three letters that bisulfite leaves, and the letter of a read's other strand.
+ALPHABETS = ("CT", "GA")
+
+
+def _other(letters: str) -> str:
+    return ALPHABETS[1 - ALPHABETS.index(letters)]
+
+
+def build_converted_index(chunks: DataFrame, step: int = 1, max_occurrences: int = 100, chunk: int = 65_536) -> DataFrame:
+    """letters, kmer, chr, pos: the index of a reference whose C are all T (letters CT), and of one whose G are all A (GA).
+
+    Max_occurrences holds in each.  The bases of a letter that was taken away come from ``chunks`` again when reads are extended."""
+    both = (build_index(chunks.withColumn("seq", F.translate(F.upper("seq"), *x)), step, max_occurrences, chunk).select(F.lit(x).alias("letters"), "kmer", "chr", "pos") for x in ALPHABETS)
+    return next(both).unionByName(next(both))
+
+
 def build_index(chunks: DataFrame, step: int = 1, max_occurrences: int = 100, chunk: int = 65_536) -> DataFrame:
     """kmer, chr, pos from chunks (chr, start, seq; consecutive chunks of a contig begin ``chunk`` bases apart and share K - 1 or more).
 
@@ -96,7 +115,9 @@ def check_reference(chunks: DataFrame) -> None:
 
 
 def seeds(reads: DataFrame, o: AlignOptions = AlignOptions(), step: int = 1) -> DataFrame:
-    """rid, strand, offset, kmer: evenly spaced 16-mers of both strands.  reads: rid, seq."""
+    """rid, strand, offset, kmer: evenly spaced 16-mers of both strands.  reads: rid, seq.
+
+    Of converted reads also letters, the alphabet of each strand's 16-mers: a read whose C are T is so as it stands, and has A for G when turned."""
     trimmed = F.expr(f"substring(upper(seq), {o.trim_5 + 1}, greatest(length(seq) - {o.trim_5 + o.trim_3}, 0))")
     both = reads.select("rid", trimmed.alias("s")).filter(F.length("s") >= K)
     both = both.select("rid", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("s").alias("s")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("s")).alias("s")))).alias("x")).select("rid", "x.*")
@@ -106,14 +127,19 @@ def seeds(reads: DataFrame, o: AlignOptions = AlignOptions(), step: int = 1) ->
     if step > 1:  # a gapped index has one place in step: each seed tries so many neighbours
         at = F.array_distinct(F.filter(F.flatten(F.transform(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(step - 1)), lambda d: a + d))), lambda i: i <= last))
     each = both.select("rid", "strand", "s", F.explode(at).alias("offset")).withColumn("k", F.expr(f"substring(s, offset + 1, {K})"))
-    return each.filter(~F.col("k").rlike("[^ACGT]")).select("rid", "strand", "offset", _kmer("k").alias("kmer"))
+    each = each.filter(~F.col("k").rlike("[^ACGT]"))
+    if not o.converted:
+        return each.select("rid", "strand", "offset", _kmer("k").alias("kmer"))
+    letters = F.when(F.col("strand") == "+", o.converted).otherwise(_other(o.converted))
+    k = F.when(letters == "CT", F.translate("k", "C", "T")).otherwise(F.translate("k", "G", "A"))
+    return each.select("rid", "strand", "offset", _kmer(k).alias("kmer"), letters.alias("letters"))
 
 
 def vote(found: DataFrame, index: DataFrame, o: AlignOptions = AlignOptions()) -> DataFrame:
     """rid, strand, chr, diagonal (place of the read's base 0), far (the last diagonal), votes, from_, to_ (covered bases).
 
     Hits on one contig and strand whose diagonals lie within the indel tolerance vote together; a seed votes once."""
-    hits = found.join(index, "kmer").withColumn("diagonal", F.col("pos") - F.col("offset"))
+    hits = found.join(index, ["kmer", "letters"] if o.converted else "kmer").withColumn("diagonal", F.col("pos") - F.col("offset"))
     w = Window.partitionBy("rid", "strand", "chr").orderBy("diagonal", "offset")
     new = F.when(F.col("diagonal") - F.lag("diagonal").over(w) <= o.indel, 0).otherwise(1)
     grouped = hits.withColumn("new", new).withColumn("group", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -140,7 +166,7 @@ def _by_length(strings: list[str]) -> list[tuple[int, np.ndarray]]:
 
 def _extend(o: AlignOptions):
     """Reads of one length are aligned with their windows of the reference together, ends that don't fit clipped."""
-    band = max(o.indel, 1)
+    band, same = max(o.indel, 1), same_or_converted if o.converted else np.equal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +179,7 @@ def _extend(o: AlignOptions):
                 code, window = _matrix([reads[i] for i in at], n), _matrix(["\0" * int(max(0, 1 - begin[i])) + refs[i] for i in at], n + 2 * band)
                 for a in range(0, len(at), GAPPED_READS):
                     some = slice(a, a + GAPPED_READS)
-                    for r, place, cigar, wrong, score in align_locally(code[some], window[some], band, o.indel, o.max_mismatches, min(n, max(o.least_aligned, n // 3))):
+                    for r, place, cigar, wrong, score in align_locally(code[some], window[some], band, o.indel, o.max_mismatches, min(n, max(o.least_aligned, n // 3)), same):
                         i = int(at[a + r])
                         found.append((i, int(begin[i]) + place, cigar, wrong, score))
             if found:
@@ -166,11 +192,17 @@ def _extend(o: AlignOptions):
     return run
 
 
-def _with_reference(places: DataFrame, chunks: DataFrame, start: str, length: str, name: str, chunk: int) -> DataFrame:
-    """Adds name: the reference bases start..start + length - 1, from the chunk (chr, start, seq; overlapping) that holds start."""
+def _with_reference(places: DataFrame, chunks: DataFrame, start: str, length: str, name: str, chunk: int, spread: Sequence[str] = ()) -> DataFrame:
+    """Adds name: the reference bases start..start + length - 1, from the chunk (chr, start, seq; overlapping) that holds start.
+
+    Where a chunk may have a third of the places, ``spread`` names columns by which they are dealt out; places are evaluated twice then."""
     c = chunks.select(F.col("chr"), F.floor((F.col("start") - 1) / chunk).alias("__c"), F.col("start").alias("__s"), F.upper("seq").alias("__q"))
-    met = places.withColumn("__c", F.floor((F.greatest(F.col(start), F.lit(1)) - 1) / chunk)).join(c, ["chr", "__c"])
-    return met.withColumn(name, F.expr(f"substring(__q, CAST(greatest({start}, 1) - __s + 1 AS INT), CAST({length} AS INT))")).drop("__c", "__s", "__q")
+    places, keys = places.withColumn("__c", F.floor((F.greatest(F.col(start), F.lit(1)) - 1) / chunk)), ["chr", "__c"]
+    if spread:
+        places, c = in_shares(places, c, keys, spread)
+        keys = [*keys, "__part"]
+    met = places.join(c, keys)
+    return met.withColumn(name, F.expr(f"substring(__q, CAST(greatest({start}, 1) - __s + 1 AS INT), CAST({length} AS INT))")).drop("__c", "__s", "__q", "__part")
 
 
 PLACED = "strand string, chr string, pos long, cigar string, mismatches int, votes long, score int"
@@ -181,8 +213,11 @@ def extend(found: DataFrame, reads: DataFrame, chunks: DataFrame, o: AlignOption
     trimmed = F.expr(f"substring(upper(seq), {o.trim_5 + 1}, greatest(length(seq) - {o.trim_5 + o.trim_3}, 0))")
     met = found.join(reads.select("rid", trimmed.alias("s")), "rid").withColumn("s", F.when(F.col("strand") == "-", reverse_complement(F.col("s"))).otherwise(F.col("s")))
     band = max(o.indel, 1)
-    met = met.withColumn("begin", (F.col("diagonal") - band).cast("long")).withColumn("need", F.length("s") + 2 * band)
-    met = _with_reference(met, chunks, "begin", "need", "ref", chunk).select("rid", "strand", "chr", "votes", "s", "ref", "begin")
+    met = met.select("rid", "strand", "chr", "votes", "s", (F.col("diagonal") - band).cast("long").alias("begin"), (F.length("s") + 2 * band).alias("need"))
+    met = _with_reference(written(met, "places"), chunks, "begin", "need", "ref", chunk, ("rid", "strand", "begin")).select("rid", "strand", "chr", "votes", "s", "ref", "begin")
+    if o.converted:  # marks the reference's letters that the read may have changed
+        c = (F.col("strand") == "+") == F.lit(o.converted == "CT")
+        met = met.withColumn("ref", F.when(c, F.translate("ref", "C", "c")).otherwise(F.translate("ref", "G", "g")))
     kind = dict(reads.dtypes)["rid"]
     return met.mapInArrow(_extend(o), f"rid {kind}, {PLACED}")
 
@@ -199,9 +234,9 @@ def junction_candidates(votes: DataFrame, o: AlignOptions = AlignOptions()) -> D
 def splice(pairs: DataFrame, reads: DataFrame, chunks: DataFrame, o: AlignOptions = AlignOptions(), chunk: int = 65_536) -> DataFrame:
     """Spliced alignments, cut where fewest bases differ, a cut at GT..AG or CT..AC before others with as many."""
     met = pairs.join(reads.select("rid", F.upper("seq").alias("s")), "rid").withColumn("s", F.when(F.col("strand") == "-", reverse_complement(F.col("s"))).otherwise(F.col("s")))
-    met = met.withColumn("need", F.length("s") + 2).withColumn("before", F.col("d2") - 2)
-    met = _with_reference(met, chunks, "d1", "need", "left_ref", chunk)
-    met = _with_reference(met, chunks, "before", "need", "right_ref", chunk)
+    met = written(met.withColumn("need", F.length("s") + 2).withColumn("before", F.col("d2") - 2), "pairs")
+    met = _with_reference(met, chunks, "d1", "need", "left_ref", chunk, ("rid", "strand"))
+    met = _with_reference(met, chunks, "before", "need", "right_ref", chunk, ("rid", "strand"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,7 +301,12 @@ def report(placed: DataFrame, reads: DataFrame, o: AlignOptions = AlignOptions()
 
 
 def align(reads: DataFrame, index: DataFrame, chunks: DataFrame, o: AlignOptions = AlignOptions(), chunk: int = 65_536, step: int = 1) -> DataFrame:
-    """Single ends.  reads: rid, seq, qual; chunks: chr, start, seq in steps of ``chunk`` bases that overlap by a read and its band; step: as the index was built."""
+    """Single ends.  reads: rid, seq, qual; chunks: chr, start, seq in steps of ``chunk`` bases that overlap by a read and its band; step: as the index was built.
+
+    Converted reads go with the index of ``build_converted_index``, without junctions; a base that bisulfite may have turned is no mismatch, one
+    that it can't have turned is."""
+    if o.converted and (o.converted not in ALPHABETS or o.junctions):
+        raise ValueError("converted reads are CT or GA, and have no junctions")
     votes = vote(seeds(reads, o, step), index, o)
     placed = extend(candidates(votes.filter(F.col("votes") >= o.threshold), o), reads, chunks, o, chunk)
     if o.junctions:
@@ -298,6 +338,14 @@ def pair_up(first: DataFrame, second: DataFrame, o: AlignOptions = AlignOptions(
     return met.withColumn("r", F.row_number().over(Window.partitionBy("rid").orderBy(*order))).filter("r = 1").drop("r")
 
 
+def single_records(mapped: DataFrame) -> DataFrame:
+    """Single ends' records with the columns of ``mate_records``."""
+    up = F.col("chr") != "*"
+    tags = F.when(up, F.create_map(F.lit("NM"), F.col("nm").cast("string"), F.lit("NH"), F.col("nh").cast("string"), F.lit("HI"), F.col("hi").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    none = F.lit(0)
+    return mapped.select(F.col("rid").alias("qname"), "flag", "chr", "pos", "mapq", "cigar", F.lit("*").alias("rnext"), none.alias("pnext"), none.alias("tlen"), "seq", "qual", tags.alias("tags"), "nh", "hi")
+
+
 def mate_records(pairs: DataFrame) -> DataFrame:
     """Two alignment records of each pair, with mate fields: qname, flag, chr, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, tags, nh, hi."""
     def record(no: int) -> Column:

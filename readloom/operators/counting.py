@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions.dna import DUPLICATE, REVERSE, SECOND, SECONDARY, UNMAPPED, cigar_sections, has
 from readloom.operators.intervals import BIN, BIN_FACTOR, overlap_join, union_length
+from readloom.operators.shares import in_shares
 
 #: A whole count; fractions are whole parts of it, as in fixed-point arithmetic.
 UNIT = 65536
@@ -247,12 +248,17 @@ def _met(sections: DataFrame, features: DataFrame, size: dict, o: CountOptions,
         f = F.broadcast(f)
     else:  # rows that meet nothing are dealt out too
         each = each.withColumn("bin", F.coalesce("bin", -1 - F.pmod(F.xxhash64("fid"), F.lit(1 << 20)))).withColumn("chr", F.coalesce("chr", F.lit("")))
+        # a bin that a third of the rows lie in is dealt out, its features repeated
+        each, f = in_shares(each, f.withColumnsRenamed({"f_chr": "chr", "f_bin": "bin"}), ["chr", "bin"], ["fid", "start"])
+        f = f.withColumnsRenamed({"chr": "f_chr", "bin": "f_bin", "__part": "f_part"})
     width = F.when(F.col("bin") % 2 == 0, narrow).otherwise(broad) if two else F.lit(narrow)
     first = F.greatest(F.floor(F.col("start") / width), F.floor(F.col("f_start") / width)) == F.floor(F.col("bin") / 2)
     on = (F.col("chr") == F.col("f_chr")) & (F.col("bin") == F.col("f_bin")) & (F.col("f_start") <= F.col("stop")) & (F.col("f_end") >= F.col("start")) & first
     if o.strand:
         on = on & (F.col("strand") == F.col("f_strand") if o.strand == 1 else F.col("strand") != F.col("f_strand"))
-    return each.join(f, on, "left").drop("f_chr", "f_bin", "bin", "f_strand", "strand")
+    if "f_part" in f.columns:
+        on = on & (F.col("__part") == F.col("f_part"))
+    return each.join(f, on, "left").drop("f_chr", "f_bin", "bin", "f_strand", "strand", "__part", "f_part")
 
 
 def assign(fragments: DataFrame, features: DataFrame, o: CountOptions = CountOptions(), carry: tuple[str, ...] = ()) -> DataFrame:

@@ -13,9 +13,16 @@ MATCH, MISMATCH, OPEN, EXTEND, CLIP = 1, -4, -6, -1, -5
 OUTSIDE = -1000
 
 
-def base_scores(reads: np.ndarray, refs: np.ndarray) -> np.ndarray:
+def same_or_converted(reads: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """Whether bases match where a small c of the reference may read as T, a small g as A, as bisulfite turns them."""
+    c = (refs == ord("c")) & ((reads == ord("C")) | (reads == ord("T")))
+    g = (refs == ord("g")) & ((reads == ord("G")) | (reads == ord("A")))
+    return (reads == refs) | c | g
+
+
+def base_scores(reads: np.ndarray, refs: np.ndarray, same=np.equal) -> np.ndarray:
     """What each base adds; refs are 0 outside of the contig."""
-    return np.where(refs == 0, OUTSIDE, np.where(reads == refs, MATCH, MISMATCH)).astype(np.int32)
+    return np.where(refs == 0, OUTSIDE, np.where(same(reads, refs), MATCH, MISMATCH)).astype(np.int32)
 
 
 def best_stretch(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,7 +44,7 @@ def best_stretch(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return begin, end + 1, score
 
 
-def gapped(reads: np.ndarray, windows: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def gapped(reads: np.ndarray, windows: np.ndarray, band: int, same=np.equal) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The best local alignment with gaps of each read: scores, places in the window of the first base, and operations in steps along
     the row, 0 match or mismatch, 1 insertion, 2 deletion, 3 clipped, -1 none.
 
@@ -57,7 +64,7 @@ def gapped(reads: np.ndarray, windows: np.ndarray, band: int) -> tuple[np.ndarra
             before = np.maximum(before, other)
         opened, longer = np.c_[M[:, 1:], none] + (OPEN + EXTEND), np.c_[X[:, 1:], none] + EXTEND  # an insertion leaves a diagonal to the left
         X, back[1, i] = np.maximum(opened, longer), opened < longer
-        M, back[0, i] = before + base_scores(reads[:, i - 1, None], windows[:, i - 1 : i - 1 + width]), k
+        M, back[0, i] = before + base_scores(reads[:, i - 1, None], windows[:, i - 1 : i - 1 + width], same), k
         Y = np.full((m, width), low, np.int32)
         for c in range(1, width):
             opened, longer = M[:, c - 1] + (OPEN + EXTEND), Y[:, c - 1] + EXTEND
@@ -84,7 +91,7 @@ def gapped(reads: np.ndarray, windows: np.ndarray, band: int) -> tuple[np.ndarra
     return best, place, np.concatenate([clipped(begun), path, clipped(n - best_at)], axis=1), begun
 
 
-def extended(read: np.ndarray, window: np.ndarray, ops: np.ndarray, place: int) -> tuple[np.ndarray, int, int]:
+def extended(read: np.ndarray, window: np.ndarray, ops: np.ndarray, place: int, same=np.equal) -> tuple[np.ndarray, int, int]:
     """Gives each clipped end back where its bases, on the diagonal next to it, cost less than CLIP.  Operations, place, what it adds to the score."""
     gain, n = 0, len(read)
     for head in (True, False):
@@ -95,11 +102,11 @@ def extended(read: np.ndarray, window: np.ndarray, ops: np.ndarray, place: int)
         if head:
             lo = place - k
             ref = window[lo:place] if lo >= 0 else np.zeros(k, window.dtype)
-            value = base_scores(read[:k], ref).sum()
+            value = base_scores(read[:k], ref, same).sum()
         else:
             end = place + int(((ops == 0) | (ops == 2)).sum())
             ref = window[end : end + k]
-            value = base_scores(read[n - k :], ref).sum() if len(ref) == k else OUTSIDE
+            value = base_scores(read[n - k :], ref, same).sum() if len(ref) == k else OUTSIDE
         if value < CLIP:
             gain += CLIP
             continue
@@ -114,15 +121,15 @@ def cigar_of(ops: np.ndarray) -> str:
     return "".join(f"{k}{'MIDS'[c]}" for k, c in zip(np.diff(np.r_[cut, len(ops)]).tolist(), ops[cut].tolist()))
 
 
-def align_locally(reads: np.ndarray, windows: np.ndarray, band: int, indel: int, most_wrong: int, least: int) -> list[tuple[int, int, str, int, int]]:
+def align_locally(reads: np.ndarray, windows: np.ndarray, band: int, indel: int, most_wrong: int, least: int, same=np.equal) -> list[tuple[int, int, str, int, int]]:
     """row, place of the first aligned base in its window, CIGAR, mismatches and score of each read that fits.
 
     A read that lies on the window's middle diagonal as a whole isn't tried with gaps.  ``least`` aligned bases, at most ``most_wrong``
-    mismatches and ``indel`` bases in gaps.
+    mismatches and ``indel`` bases in gaps.  same: which bases of read and reference match.
     """
     m, n = reads.shape
     straight = windows[:, band : band + n]
-    scores = base_scores(reads, straight)
+    scores = base_scores(reads, straight, same)
     begin, end, score = best_stretch(scores)
     inside = (np.arange(n) >= begin[:, None]) & (np.arange(n) < end[:, None])
     wrong = ((scores != MATCH) & inside).sum(axis=1)
@@ -133,17 +140,17 @@ def align_locally(reads: np.ndarray, windows: np.ndarray, band: int, indel: int,
         found[r] = (r, band + a, f"{a}S" * (a > 0) + f"{b - a}M" + f"{n - b}S" * (b < n), int(wrong[r]), int(score[r]))
     others = np.flatnonzero(~whole) if indel else np.zeros(0, np.int64)
     if len(others):
-        _, place, ops, _ = gapped(reads[others], windows[others], band)
+        _, place, ops, _ = gapped(reads[others], windows[others], band, same)
         for j, r in enumerate(others.tolist()):
             row = ops[j][ops[j] >= 0]
             gaps = (row == 1) | (row == 2)
             if not gaps.any() or gaps.sum() > indel:
                 continue
-            row, at, gain = extended(reads[r], windows[r], row, int(place[j]))
+            row, at, gain = extended(reads[r], windows[r], row, int(place[j]), same)
             on_read, on_ref = np.cumsum(row != 2) - (row != 2), at + np.cumsum((row == 0) | (row == 2)) - ((row == 0) | (row == 2))
-            same = row == 0
-            bad = int((reads[r][on_read[same]] != windows[r][on_ref[same]]).sum())
-            aligned = int(same.sum())
+            level = row == 0
+            bad = int((~same(reads[r][on_read[level]], windows[r][on_ref[level]])).sum())
+            aligned = int(level.sum())
             opened = int((gaps & ~np.r_[False, gaps[:-1]]).sum())
             ends = int((row[0] == 3)) + int(row[-1] == 3)
             value = MATCH * (aligned - bad) + MISMATCH * bad + OPEN * opened + EXTEND * int(gaps.sum()) + CLIP * ends

@@ -96,6 +96,32 @@ def clipped_reads_in_place(spark, sf_dir):
     return mapped.select("rid", "chr", "pos", clip(r"^(\d+)S").alias("head"), clip(r"(\d+)S$").alias("tail"), bases_of(F.col("cigar"), "ID").alias("gaps"), "nm")
 
 
+@query("""SELECT 'chr' || doc_id || ':' || kind AS rid, flag, 'chr' || doc_id AS chr, 301::INT AS pos, cigar, nm FROM documents,
+(VALUES ('top', 0, '100M', 0), ('bottom', 16, '100M', 0), ('kept', 0, '100M', 0), ('mate', 16, '100M', 0), ('mate_bottom', 0, '100M', 0), ('wrong', 0, '100M', 2), ('deleted', 0, '50M3D50M', 3)) t(kind, flag, cigar, nm)""")
+def converted_reads_in_place(spark, sf_dir):
+    """Reads of bisulfite-treated contigs, 100 bases from 301 on: of either strand, with C kept, second ends of either strand, with two mismatches that bisulfite
+    can't make, and with three bases left out.  Where they map, and their edit distance (mismatches and bases in gaps)."""
+    turned = lambda s: f"reverse(translate({s}, 'ACGT', 'TGCA'))"
+    part, ct = "substr(seq, 301, 100)", lambda s: f"translate({s}, 'C', 'T')"
+    other = lambda at: f"translate(substr(seq, {at}, 1), 'ACGT', 'CGTA')"
+    # bases on either side of the gap differ from those on its other side, so it has one place
+    first = {
+        "top": ct(part), "bottom": ct(turned(part)), "kept": part,
+        "wrong": f"concat({ct('substr(seq, 301, 33)')}, {other(334)}, {ct('substr(seq, 335, 32)')}, {other(367)}, {ct('substr(seq, 368, 33)')})",
+        "deleted": ct("concat(substr(seq, 301, 50), substr(seq, 354, 50))"),
+    }
+    second = {"mate": turned(ct(part)), "mate_bottom": turned(ct(turned(part)))}
+    marked = "concat(substr(seq, 1, 348), 'AGTTAGA', substr(seq, 356))"
+    whole = _contigs(spark, sf_dir).select("chr", F.expr(marked).alias("seq"))
+    chunks = written(views.chunks(whole, 1000, 300), "chunks")
+    index, both = written(A.build_converted_index(chunks, chunk=1000), "index"), []
+    for letters, made in (("CT", first), ("GA", second)):
+        each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.expr(v).alias("seq")) for k, v in made.items())))
+        reads = written(whole.select("chr", each.alias("x")).select(F.concat_ws(":", "chr", "x.kind").alias("rid"), "x.seq", F.repeat(F.lit("I"), F.lit(100)).alias("qual")), "reads")
+        both.append(A.align(reads, index, chunks, A.AlignOptions(converted=letters), 1000).filter("hi = 1"))
+    return both[0].unionByName(both[1]).select("rid", "flag", "chr", "pos", "cigar", (F.col("nm") + bases_of(F.col("cigar"), "ID")).alias("nm"))
+
+
 #: Contigs with GT at 801 and AG before 1601: an intron of 800 bases.
 SPLICED = "substr(seq, 1, 800) || 'GT' || substr(seq, 803, 796) || 'AG' || substr(seq, 1601)"
 
