@@ -27,7 +27,7 @@ from readloom.operators.reassembly import reassemble
 from readloom.operators.simulate import simulate_reads
 from readloom.session import written
 from readloom.sources import tables
-from readloom.sources.bam import read_bam, read_header
+from readloom.sources.bam import read_bam, read_header, write_bam
 from readloom.sources.files import probe
 from readloom.sources.sequences import barcode_reads, read_barcode_folder, read_barcode_pairs, read_fasta, read_fastq
 
@@ -145,8 +145,9 @@ def _read_index(spark: SparkSession, index: str) -> tuple[DataFrame, DataFrame,
 
 def align(
     spark: SparkSession, index: str, reads: str, mates: str | None = None, options: _align.AlignOptions = _align.AlignOptions(), kind: str = "rna", annot: str | DataFrame | None = None, is_gtf: bool = False, support: int = 2,
+    phred: int = 33,
 ) -> DataFrame:
-    """Alignments of FASTQ reads; with mates, records of both ends with mate fields.
+    """Alignments of FASTQ reads, whose quality letters begin at phred (33 or 64); with mates, records of both ends with mate fields.
 
     A second pass aligns the ends of reads over junctions and indels that at least ``support`` reads show (0: no second pass), and over the introns
     of an annotation (GTF, or exons with transcript_id), if one is given.  Mates that no seed finds are looked for beside the other end.
@@ -166,7 +167,7 @@ def align(
     marked = lambda letters, o: replace(o, converted=letters) if converted else o
 
     def one(path: str, o: _align.AlignOptions) -> DataFrame:
-        r = read_fastq(spark, path).select(F.regexp_replace("name", "/[12]$", "").alias("rid"), "seq", "qual")
+        r = read_fastq(spark, path).select(F.regexp_replace("name", "/[12]$", "").alias("rid"), "seq", _tools.phred_33(F.col("qual"), phred).alias("qual"))
         return written(_align.align(r, kmers, chunks, o, chunk, step), "first_pass")
 
     def second(*first: DataFrame) -> list[DataFrame]:
@@ -196,6 +197,31 @@ def subjunc(
     return align(spark, index, reads, mates, replace(options, junctions=True), annot=annot, is_gtf=is_gtf, support=support)
 
 
+def align_to_files(
+    spark: SparkSession, index: str, reads: str, target: str, mates: str | None = None, form: str = "bam", by_place: bool = False, read_group: str | None = None, group_fields: Sequence[str] = (),
+    junctions: bool = False, **how,
+) -> DataFrame:
+    """Writes the records of ``align`` (of ``subjunc`` with junctions; how: their other arguments) to SAM or BAM files in the folder target, and
+    returns their mapping summary.
+
+    by_place: sorted, BAM with an index beside each file.  Contigs are in the header by name.  read_group: the RG of each record, with group_fields
+    (such as "SM:a") in the header's line."""
+    if form not in ("sam", "bam"):
+        raise ValueError("form is sam or bam")
+    if group_fields and read_group is None:
+        raise ValueError("fields of a read group need its name")
+    mapped = (subjunc if junctions else align)(spark, index, reads, mates, **how)
+    records = mapped if mates is not None else _align.single_records(mapped)
+    if read_group is not None:
+        records = _align.with_read_group(records, read_group)
+    records = written(records, "records")
+    _, chunks, _, _ = _read_index(spark, index)
+    length = chunks.groupBy("chr").agg(F.max(F.col("start") + F.length("seq") - 1).alias("n")).orderBy("chr")
+    contigs = {r["chr"]: r["n"] for r in length.collect()}  # a header is held whole
+    (write_bam if form == "bam" else tables.write_sam)(records, target, contigs, by_place, [] if read_group is None else ["\t".join(["@RG", f"ID:{read_group}", *group_fields])])
+    return tables.mapping_summary(records.withColumn("file", F.lit(target)))
+
+
 def fusions(spark: SparkSession, index: str, reads: str, options: _align.AlignOptions = _align.AlignOptions(), support: int = 2) -> DataFrame:
     """Breakpoints, to the base, between contigs or strands that at least ``support`` single reads run over."""
     kmers, chunks, step, chunk = _read_index(spark, index)

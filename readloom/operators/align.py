@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.dna import reference_span, reverse_complement
+from readloom.functions.dna import bases_of, reference_span, reverse_complement
 from readloom.operators.events import breakpoint_clusters
 from readloom.operators.local import MATCH, MISMATCH, align_locally, same_or_converted
 from readloom.operators.shares import in_shares
@@ -34,6 +34,7 @@ class AlignOptions:
     unique: bool = False
     min_fragment: int = 50
     max_fragment: int = 600
+    orientation: str = "fr"  # strands of a proper pair's ends, from the fragment's start on: fr, rf or ff
     junctions: bool = False
     max_intron: int = 500_000
     max_occurrences: int = 100
@@ -327,10 +328,14 @@ def pair_up(first: DataFrame, second: DataFrame, o: AlignOptions = AlignOptions(
     mapped = (F.col("r1.chr") != "*") & (F.col("r2.chr") != "*")
     left, right = F.least("r1.pos", "r2.pos"), F.greatest(F.col("r1.pos") + span("r1"), F.col("r2.pos") + span("r2"))
     size = right - left
-    ahead = F.when(rev("r1"), F.col("r2.pos") <= F.col("r1.pos")).otherwise(F.col("r1.pos") <= F.col("r2.pos"))
-    proper = F.coalesce(mapped & (F.col("r1.chr") == F.col("r2.chr")) & (rev("r1") != rev("r2")) & ahead & size.between(o.min_fragment, o.max_fragment), F.lit(False))
+    turned = (~rev("r1") if o.orientation == "rf" else rev("r1"))
+    ahead = F.when(turned, F.col("r2.pos") <= F.col("r1.pos")).otherwise(F.col("r1.pos") <= F.col("r2.pos"))
+    strands = (rev("r1") == rev("r2")) == F.lit(o.orientation == "ff")
+    proper = F.coalesce(mapped & (F.col("r1.chr") == F.col("r2.chr")) & strands & ahead & size.between(o.min_fragment, o.max_fragment), F.lit(False))
     same = F.coalesce(mapped & (F.col("r1.chr") == F.col("r2.chr")), F.lit(False))
     tlen = F.when(same, F.when(F.col("r1.pos") <= F.col("r2.pos"), size).otherwise(-size)).otherwise(0)
+    if o.orientation not in ("fr", "rf", "ff"):
+        raise ValueError("orientation is fr, rf or ff")
     met = met.withColumn("proper", proper).withColumn("tlen", tlen)
     none = F.lit(0)
     joint = F.coalesce("r1.score", none) + F.coalesce("r2.score", none) + F.when(F.col("proper"), UNPAIRED).otherwise(0)
@@ -338,10 +343,21 @@ def pair_up(first: DataFrame, second: DataFrame, o: AlignOptions = AlignOptions(
     return met.withColumn("r", F.row_number().over(Window.partitionBy("rid").orderBy(*order))).filter("r = 1").drop("r")
 
 
+def _tags(up: Column, wrong: Column, cigar: Column, nh: Column, hi: Column) -> Column:
+    """Tags of a record: NM, its edit distance (mismatches and bases in gaps), NH and HI; none if it isn't mapped."""
+    distance = wrong + bases_of(cigar, "ID")
+    return F.when(up, F.create_map(F.lit("NM"), distance.cast("string"), F.lit("NH"), nh.cast("string"), F.lit("HI"), hi.cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+
+
+def with_read_group(records: DataFrame, group: str) -> DataFrame:
+    """Records, mapped or not, with the tag RG."""
+    others = F.map_filter("tags", lambda k, _: k != "RG")
+    return records.withColumn("tags", F.map_concat(others, F.create_map(F.lit("RG"), F.lit(group))))
+
+
 def single_records(mapped: DataFrame) -> DataFrame:
     """Single ends' records with the columns of ``mate_records``."""
-    up = F.col("chr") != "*"
-    tags = F.when(up, F.create_map(F.lit("NM"), F.col("nm").cast("string"), F.lit("NH"), F.col("nh").cast("string"), F.lit("HI"), F.col("hi").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    tags = _tags(F.col("chr") != "*", *map(F.col, ("nm", "cigar", "nh", "hi")))
     none = F.lit(0)
     return mapped.select(F.col("rid").alias("qname"), "flag", "chr", "pos", "mapq", "cigar", F.lit("*").alias("rnext"), none.alias("pnext"), none.alias("tlen"), "seq", "qual", tags.alias("tags"), "nh", "hi")
 
@@ -359,7 +375,7 @@ def mate_records(pairs: DataFrame) -> DataFrame:
         pos = F.when(up, me["pos"]).when(mate_up, mate["pos"]).otherwise(0)
         mate_chr = F.when(mate_up, mate["chr"]).when(up, me["chr"])
         mate_pos = F.when(mate_up, mate["pos"]).when(up, me["pos"]).otherwise(0)
-        tags = F.when(up, F.create_map(F.lit("NM"), me["nm"].cast("string"), F.lit("NH"), me["nh"].cast("string"), F.lit("HI"), me["hi"].cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+        tags = _tags(up, *(me[c] for c in ("nm", "cigar", "nh", "hi")))
         return F.struct(
             flag.alias("flag"), chrom.alias("chr"), pos.alias("pos"), F.coalesce(me["mapq"], F.lit(0)).alias("mapq"), F.coalesce(me["cigar"], F.lit("*")).alias("cigar"),
             F.when(mate_chr.isNull(), "*").when(mate_chr == chrom, "=").otherwise(mate_chr).alias("rnext"), mate_pos.alias("pnext"), (F.col("tlen") if no == 1 else -F.col("tlen")).cast("int").alias("tlen"),

@@ -168,6 +168,14 @@ def fasta_summary(transcripts: DataFrame) -> DataFrame:
     return met.select("transcript_id", "length", "md5", F.col("n").isNull().alias("is_unique"), occurrence, (F.col("n").isNotNull() & (F.col("again") | ~F.col("transcript_id").eqNullSafe(F.col("first")))).alias("duplicated"))
 
 
+def phred_33(qual: Column, offset: int) -> Column:
+    """Qualities whose letters begin at offset, in letters from ``!`` on; scores below 0 become 0."""
+    if offset not in (33, 64):
+        raise ValueError("phred is 33 or 64")
+    letters = "".join(map(chr, range(offset - 5, 127)))
+    return qual if offset == 33 else F.translate(qual, letters, "".join(chr(max(33, ord(c) - offset + 33)) for c in letters))
+
+
 def trim_ends(reads: DataFrame) -> DataFrame:
     """reads (seq, qual) without their bad ends, and trimmed_5, the bases taken at the start.
 

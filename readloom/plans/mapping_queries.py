@@ -66,6 +66,52 @@ def mapped_pairs(spark, sf_dir):
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("proper").alias("proper")).crossJoin(wrong)
 
 
+@query("""SELECT 'chr' || doc_id || ':' || kind || ':' || strand AS rid, orientation, kind = orientation AS proper, (CASE WHEN strand = '+' THEN 300 ELSE -300 END)::INT AS tlen
+FROM documents, (VALUES ('fr'), ('rf'), ('ff')) k(kind), (VALUES ('fr'), ('rf'), ('ff')) o(orientation), (VALUES ('+'), ('-')) s(strand)""")
+def pair_orientations(spark, sf_dir):
+    """Pairs of 75 bases at either end of 300, of both strands of each contig and in each of three orientations: which of them each orientation takes for proper."""
+    turned = lambda s: f"reverse(translate({s}, 'ACGT', 'TGCA'))"
+    left, right = "substr(seq, 501, 75)", "substr(seq, 726, 75)"
+    ends = {
+        "fr:+": (left, turned(right)), "fr:-": (turned(right), left), "rf:+": (turned(left), right), "rf:-": (right, turned(left)), "ff:+": (left, right), "ff:-": (turned(right), turned(left)),
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.expr(a).alias("one"), F.expr(b).alias("two")) for k, (a, b) in ends.items())))
+    pairs = written(_contigs(spark, sf_dir).select("chr", each.alias("x")).select(F.concat_ws(":", "chr", "x.kind").alias("rid"), "x.one", "x.two"), "pairs")
+    chunks = _chunks(spark, sf_dir)
+    index = written(A.build_index(chunks, chunk=1000), "index")
+    first, second = (written(A.align(pairs.select("rid", F.col(c).alias("seq"), F.repeat(F.lit("I"), F.lit(75)).alias("qual")), index, chunks, A.AlignOptions(best=4), 1000), c) for c in ("one", "two"))
+    of = [A.pair_up(first, second, A.AlignOptions(best=4, orientation=o)).select("rid", F.lit(o).alias("orientation"), "proper", F.col("tlen").cast("int").alias("tlen")) for o in ("fr", "rf", "ff")]
+    return of[0].unionByName(of[1]).unionByName(of[2])
+
+
+@query("""SELECT 'chr' || doc_id || ':' || kind AS qname, flag, CASE WHEN flag = 4 THEN '*' ELSE 'c' || doc_id % 11 END AS chr,
+(CASE WHEN flag = 4 THEN 0 ELSE pos + 2560 * (doc_id // 11 % 100000) END)::INT AS pos, 'group1' AS rg, nm, nh, 'I' AS quality
+FROM documents, (VALUES ('forward', 0, 301, '0', 1), ('reverse', 16, 601, '1', 1), ('deleted', 0, 345, '4', 1), ('foreign', 4, 0, NULL, 1)) t(kind, flag, pos, nm, nh)""")
+def written_alignments(spark, sf_dir):
+    """Reads mapped and written as sorted BAM with a read group, read back: exact ones, turned ones with a mismatch, some without four bases, and some that don't map.
+    Their places, on eleven contigs that hold the mapped ones one after the other, edit distances (NM), read groups and qualities, which were given with letters from 64 on."""
+    from readloom.operators.readtools import phred_33
+    from readloom.sources.bam import read_bam, write_bam
+    from readloom.session import scratch
+
+    marked = "concat(substr(seq, 1, 390), 'CCAGTTAGACC', substr(seq, 402))"
+    whole = written(_contigs(spark, sf_dir).select("chr", F.expr(marked).alias("seq")), "contigs")
+    made = {
+        "forward": "substr(seq, 301, 100)", "reverse": "reverse(translate(concat(substr(seq, 601, 40), translate(substr(seq, 641, 1), 'ACGT', 'CGTA'), substr(seq, 642, 59)), 'ACGT', 'TGCA'))",
+        "deleted": "concat(substr(seq, 345, 49), substr(seq, 398, 51))", "foreign": "left(translate(sha2(concat('foreign', chr), 512), '0123456789abcdef', 'ACGTACGTACGTACGT'), 100)",
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.expr(v).alias("seq")) for k, v in made.items())))
+    reads = whole.select("chr", each.alias("x")).select(F.concat_ws(":", "chr", "x.kind").alias("rid"), "x.seq", phred_33(F.repeat(F.lit("h"), F.lit(100)), 64).alias("qual"))
+    chunks = written(views.chunks(whole, 1000, 300), "chunks")
+    records = A.with_read_group(A.single_records(A.align(reads, A.build_index(chunks, chunk=1000), chunks, A.AlignOptions(), 1000)), "group1")
+    # the header is held whole, so it has eleven contigs however many documents there are
+    doc = F.expr("CAST(substr(chr, 4) AS BIGINT)")
+    records = records.withColumn("pos", F.when(F.col("chr") != "*", F.col("pos") + 2560 * (F.floor(doc / 11) % 100_000)).otherwise(0).cast("int")).withColumn("chr", F.when(F.col("chr") != "*", F.concat(F.lit("c"), doc % 11)).otherwise("*"))
+    folder = scratch(spark)
+    write_bam(records, folder, {f"c{i}": 256_000_000 for i in range(11)}, by_place=True, more=["@RG\tID:group1\tSM:documents"])
+    return read_bam(spark, folder).select("qname", "flag", "chr", "pos", "rg", F.col("tags")["NM"].alias("nm"), "nh", F.array_join(F.array_distinct(F.split("qual", "")), "").alias("quality"))
+
+
 #: Another letter than a base's own.
 OTHER = "translate({}, 'ACGT', 'CGTA')"
 

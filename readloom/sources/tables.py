@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -180,13 +180,13 @@ def in_header_order(alignments: DataFrame, contigs: Iterable[str]) -> DataFrame:
     return at.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*alignments.columns)
 
 
-def write_sam(alignments: DataFrame, path: str, contigs: dict[str, int], by_place: bool = False) -> None:
-    """Header and lines; sorted by place over the whole folder if asked."""
+def write_sam(alignments: DataFrame, path: str, contigs: dict[str, int], by_place: bool = False, more: Sequence[str] = ()) -> None:
+    """Header and lines; sorted by place over the whole folder if asked.  more: lines of the header that follow the contigs."""
     if by_place:
         alignments = in_header_order(alignments, contigs)
     sam_lines(alignments).write.text(path)
     order = "coordinate" if by_place else "unsorted"
-    head = [f"@HD\tVN:1.6\tSO:{order}", *(f"@SQ\tSN:{c}\tLN:{n}" for c, n in contigs.items())]
+    head = [f"@HD\tVN:1.6\tSO:{order}", *(f"@SQ\tSN:{c}\tLN:{n}" for c, n in contigs.items()), *more]
     alignments.sparkSession.createDataFrame([(x,) for x in head], "value string").coalesce(1).write.mode("append").text(path)
 
 
