@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from readloom.functions.dna import reverse_complement
 
 MOST_READS, MOST_LENGTH = 100_000_000, 250
+#: Fragments of a transcript that are made together.
+BLOCK = 64
 
 
 def length_weights(mean: float, sd: float, least: int, most: int) -> np.ndarray:
@@ -54,7 +56,10 @@ def simulate_reads(
         room = np.clip(n.to_numpy() - least, 0, len(cumulative) - 1)
         return pd.Series(least + np.minimum(np.searchsorted(cumulative, u.to_numpy() * cumulative[room]), room)).astype("int32")
 
-    each = transcripts.join(counts, "transcript_id").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "k"))).repartition("transcript_id", "i")
+    # a transcript's bases go with BLOCK of its fragments at a time
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / BLOCK)))
+    each = transcripts.join(counts, "transcript_id").withColumn("block", block).repartition("transcript_id", "block")
+    each = each.withColumn("i", F.explode(F.sequence(F.col("block") * BLOCK + 1, F.least("k", (F.col("block") + 1) * BLOCK))))
     u = lambda tag: _uniform(F.lit(seed), F.lit(tag), "transcript_id", "i")
     each = each.withColumn("fragment_length", fragment(u("length"), F.length("seq")))
     each = each.withColumn("start", F.lit(1) + F.floor(u("start") * (F.length("seq") - F.col("fragment_length")) + 0.5).cast("int"))
