@@ -1,9 +1,10 @@
 """Language-model scoring by subword lattices.
 
 A token's lattice holds every way to write it in pieces of an existing vocabulary.  The vocabulary's own scores weigh them:
-they are ranks, so a piece of rank r has the weight (r + shift) ** -power, and single bytes share what is left.  Training
-text sets no piece's weight by itself, but only power, shift and the bytes' share, at the likeliest values given the expected
-counts that ``rounds`` of forward and backward recursion over all training word types give; and how often a text ends.
+they are ranks, so a piece of rank r has the weight (r + shift) ** -power, and single bytes share what is left.  Power, shift and
+the bytes' share are the likeliest given the expected counts that ``rounds`` of forward and backward recursion over all training
+word types give.  This law is what is believed before, worth as many counts as there are pieces; together with the expected counts
+it gives each piece's weight.  Training text also says how often a text ends.
 A token's probability is the sum over all its segmentations, by forward recursion in log space, and a text's is the product over
 its tokens, the end token included: ``score``.
 
@@ -99,12 +100,14 @@ class Pieces:
         return np.r_[text / text.sum() * (1 - bytes_share), np.full(256, bytes_share / 256)]
 
     def fitted(self, expected: np.ndarray) -> np.ndarray:
-        """The probabilities under the power, shift and bytes' share that make these expected counts likeliest."""
+        """Each piece's probability after these expected counts, before which the law whose power, shift and bytes' share make them
+        likeliest was worth a count a piece."""
         text = expected[:-256]
         total = max(expected.sum(), 1e-300)
         laws = [(-a * (text * np.log(self.rank + b)).sum() - text.sum() * np.log(((self.rank + b) ** -a).sum()), a, b) for a in POWERS.tolist() for b in SHIFTS.tolist()]
         _, power, shift = max(laws)
-        return self.weights(power, shift, min(0.5, max(LEAST_BYTE_SHARE, expected[-256:].sum() / total)))
+        before = self.weights(power, shift, min(0.5, max(LEAST_BYTE_SHARE, expected[-256:].sum() / total)))
+        return (expected + len(before) * before) / (expected.sum() + len(before))
 
     def arcs(self, word: str, log_weight: list[float]) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """Per end position the arcs (start, log weight, pieces) that end there."""

@@ -485,6 +485,16 @@ def test_lattice_prefers_the_language_it_learnt(spark):
     assert min(per(lambda i: i < 1000)) > max(per(lambda i: i >= 1000), default=-1e9)
 
 
+def test_held_out_words_that_training_has_cost_little_more_than_its_counts_say(spark):
+    """Under a law of ranks alone, held-out words cost twice what the base says and more."""
+    rng = random.Random(4)
+    # rare pieces of the vocabulary, common here
+    words = [x[1:].lower() for x in Pieces(default_path()).names[20_000:20_400] if isinstance(x, str) and x.startswith("▁") and x[1:].isascii() and len(x) > 4]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(80))) for i in range(300)]
+    got = lattice_scores(documents(spark, rows)).filter("held_out").collect()
+    assert got and all(math.isfinite(r["score"]) and r["score"] > 1.6 * r["base_score"] for r in got)
+
+
 # 10
 
 
