@@ -6,6 +6,7 @@ import pytest
 
 @pytest.mark.parametrize(("name", "ids", "want"), [
     ("found_junctions", (4768, 9662), [("left", {800}), ("right", {1601})]),
+    ("reads_over_annotated_introns", (30513,), [("cigar", {"92M800N8M", "8M800N92M"})]),
     ("reads_over_known_events", (4290, 5171, 6066, 6186, 9646), [("deleted", {0, 4}), ("before", {False, None})]),
 ])
 def test_planted_events_have_one_place(spark, tmp_path, name, ids, want):
