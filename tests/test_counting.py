@@ -107,3 +107,23 @@ def test_tables_and_chromosome_names(spark):
     known, seen = spark.createDataFrame([("chr1",), ("2",), ("x",)], "chr string"), spark.createDataFrame([("1",), ("chr2",), ("chr1",), ("MT",), ("odd",)], "rname string")
     alias = spark.createDataFrame([("x", "odd")], "chr string, rname string")
     assert {r["rname"]: r["chr"] for r in dna.chromosome_match(seen, known, alias).collect()} == {"1": "chr1", "chr2": "2", "chr1": "chr1", "odd": "x"}
+
+
+def test_equal_records_are_counted_before_they_are_numbered(spark, monkeypatch):
+    # 70 and 50 records of end 1 in two kinds, 45 and 90 of end 2: pairs by rank, 15 ends without a mate
+    rows = [("f", "r", f, "c", p, 9, "4M", 0, 1, None) for f, p, n in ((65, 10, 70), (65, 20, 50), (129, 30, 45), (129, 40, 90)) for _ in range(n)] + [("f", "s", 129, "c", 7, 9, "4M", 0, 1, None)]
+    df = spark.createDataFrame(rows, ALN).repartition(3)
+    for most in (4096, 8):
+        monkeypatch.setattr(C, "EQUAL", most)
+        got = C.fragments_of(df, ["qname"])
+        found = [(r["fid"], r["r1"] and r["r1"]["pos"], r["r2"] and r["r2"]["pos"]) for r in got.collect()]
+        want = [(10, 30)] * 45 + [(10, 40)] * 25 + [(20, 40)] * 50 + [(None, 40)] * 15
+        assert sorted(found, key=repr) == sorted([("s", None, 7)] + [("r" if i == 0 else f"r\x1f{i + 1}", *w) for i, w in enumerate(want)], key=repr)
+        with_many = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("RepartitionByExpression" in with_many) == (most == 8)
+
+
+def test_single_ends_of_pairs_need_no_numbers(spark):
+    rows = [("f", "r", 65, "c", 10, 9, "4M", 0, 1, None), ("f", "r", 129, "c", 30, 9, "4M", 0, 1, None), ("f", "s", 129, "c", 7, 9, "4M", 0, 1, None)]
+    got = [C.fragments_of(spark.createDataFrame(rows, ALN), ["file", "qname"], single=one).orderBy("fid").collect() for one in (True, False)]
+    assert got[0] == got[1] and len(got[0]) == 2

@@ -110,3 +110,11 @@ def test_sorted_files_follow_the_header(spark, tmp_path):
     assert places == [("chr1", 97), ("chr2", 96), ("chr2", 98), ("chr10", 95), ("chr10", 100), ("odd", 93), ("*", 0), ("*", 0)]
     paths = bam.write_bam(df.filter("chr != 'odd'"), str(tmp_path / "s"), {"chr1": 9, "chr2": 9, "chr10": 9}, by_place=True)
     assert [r[3] for p in paths for r in bam.records(p, 0, 1 << 62)] == ["chr1", "chr2", "chr2", "chr10", "chr10", "*", "*"]
+
+
+def test_names_of_files_take_no_pattern(spark, tmp_path):
+    (tmp_path / "l.sam").write_text("r\t0\tc\t1\t9\t1M\t*\t0\t0\tA\tI\n")
+    got = tables.read_sam(spark, str(tmp_path / "l.sam"))
+    assert got.first()["file"] == "l.sam"
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "input_file_name" in plan and "regexp_extract(input_file_name" not in plan
