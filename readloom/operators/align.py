@@ -18,6 +18,8 @@ from readloom.operators.wanted import Wanted, narrowed
 from readloom.session import written
 
 K = 16
+#: Bases of a seed in three letters, which tells less a base: of random bases 24 such are as rare as 18 of four letters, and few of them are nearly all T or A.
+CONVERTED_K = 24
 #: What two places that make no proper pair must score more than two that do.
 UNPAIRED = 17
 #: Reads whose gaps are looked for together.
@@ -50,25 +52,30 @@ def _kmer(seq):
     return F.translate(seq, "ACGT", "0123").cast("long")
 
 
+def _long_kmer(seq):
+    """A longer one, two bits a base."""
+    return F.conv(F.translate(seq, "ACGT", "0123"), 4, 10).cast("long")
+
+
 _CODE = np.full(256, 4, np.int64)
 _CODE[np.frombuffer(b"ACGTacgt", np.uint8)] = [0, 1, 2, 3, 0, 1, 2, 3]
 
 
-def _places(step: int, chunk: int, most: int, wanted: Wanted | None = None):
-    """chr, start, seq, last -> chr, pos, kmer: all 16-mers of a chunk that no later chunk has (and that are wanted), a step of the loop a base of theirs.
+def _places(step: int, chunk: int, most: int, wanted: Wanted | None = None, k: int = K):
+    """chr, start, seq, last -> chr, pos, kmer: all k-mers of a chunk that no later chunk has (and that are wanted), a step of the loop a base of theirs.
 
-    Of a 16-mer with more than ``most`` places in the chunk alone, one more than that go on, enough to know it by."""
+    Of a k-mer with more than ``most`` places in the chunk alone, one more than that go on, enough to know it by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (start, seq, last) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
                 code = _CODE[np.frombuffer(seq.encode(), np.uint8)]
-                n = len(code) - K + 1 if start == last else min(len(code) - K + 1, chunk)
+                n = len(code) - k + 1 if start == last else min(len(code) - k + 1, chunk)
                 if n <= 0:
                     continue
                 kmer, known = np.zeros(n, np.int64), np.ones(n, bool)
-                for j in range(K):
-                    kmer = kmer * 10 + code[j : j + n]
+                for j in range(k):
+                    kmer = kmer * (10 if k == K else 4) + code[j : j + n]
                     known &= code[j : j + n] < 4
                 pos = start + np.arange(n)
                 kept = np.flatnonzero(known & ((pos - 1) % step == 0))
@@ -92,12 +99,14 @@ def _other(letters: str) -> str:
 
 
 def build_converted_index(chunks: DataFrame, step: int = 1, max_occurrences: int = 100, chunk: int = 65_536) -> DataFrame:
-    """letters, kmer, chr, pos: the index of a reference whose C are all T (letters CT), and of one whose G are all A (GA).
+    """letters, kmer, chr, pos: the index, of words of CONVERTED_K bases, of a reference whose C are all T (letters CT), and of one whose G are all A (GA).
+
+    16 bases of three letters would be too few: those that are mostly T have over 100 places in 1e8 bases.  Consecutive chunks share CONVERTED_K - 1 bases or more.
 
     Max_occurrences holds in each.  The bases of a letter that was taken away come from ``chunks`` again when reads are extended."""
 
     def build(wanted: Wanted | None = None) -> DataFrame:
-        both = (_index(chunks.withColumn("seq", F.translate(F.upper("seq"), *x)), step, max_occurrences, chunk, wanted).select(F.lit(x).alias("letters"), "kmer", "chr", "pos") for x in ALPHABETS)
+        both = (_index(chunks.withColumn("seq", F.translate(F.upper("seq"), *x)), step, max_occurrences, chunk, wanted, CONVERTED_K).select(F.lit(x).alias("letters"), "kmer", "chr", "pos") for x in ALPHABETS)
         return next(both).unionByName(next(both))
 
     out = build()
@@ -106,7 +115,8 @@ def build_converted_index(chunks: DataFrame, step: int = 1, max_occurrences: int
 
 
 def build_index(chunks: DataFrame, step: int = 1, max_occurrences: int = 100, chunk: int = 65_536) -> DataFrame:
-    """kmer, chr, pos from chunks (chr, start, seq; consecutive chunks of a contig begin ``chunk`` bases apart and share K - 1 or more).
+    """kmer, chr, pos from chunks (chr, start, seq; consecutive chunks of a contig begin ``chunk`` bases apart and share K - 1 or more).  Where a column
+    last says at which base the contig's last chunk begins, the chunks are read where they are.
 
     step 3 keeps every third base.  16-mers with another letter than ACGT or with more than max_occurrences places are left out.  The index
     is dealt out and sorted by 16-mer, as a join by it wants.  Reads that meet it before it is written have it built with their seeds' 16-mers alone."""
@@ -115,9 +125,13 @@ def build_index(chunks: DataFrame, step: int = 1, max_occurrences: int = 100, ch
     return out
 
 
-def _index(chunks: DataFrame, step: int, max_occurrences: int, chunk: int, wanted: Wanted | None = None) -> DataFrame:
-    last = chunks.groupBy("chr").agg(F.max("start").alias("last"))
-    places = chunks.select("chr", F.col("start").cast("long").alias("start"), "seq").join(last.withColumn("last", F.col("last").cast("long")), "chr").mapInArrow(_places(step, chunk, max_occurrences, wanted), "chr string, pos long, kmer long")
+def _index(chunks: DataFrame, step: int, max_occurrences: int, chunk: int, wanted: Wanted | None = None, k: int = K) -> DataFrame:
+    some, last = chunks.select("chr", F.col("start").cast("long").alias("start"), "seq"), F.col("last").cast("long").alias("last")
+    if "last" in chunks.columns:  # so the bases don't shuffle
+        some = chunks.select(*some.columns[:1], F.col("start").cast("long").alias("start"), "seq", last)
+    else:
+        some = some.join(chunks.groupBy("chr").agg(F.max("start").alias("last")).select("chr", last), "chr")
+    places = some.mapInArrow(_places(step, chunk, max_occurrences, wanted, k), "chr string, pos long, kmer long")
     n = F.count(F.lit(1)).over(Window.partitionBy("kmer"))
     return places.withColumn("n", n).filter(F.col("n") <= max_occurrences).select("kmer", "chr", "pos")
 
@@ -133,22 +147,23 @@ def check_reference(chunks: DataFrame) -> None:
 def seeds(reads: DataFrame, o: AlignOptions = AlignOptions(), step: int = 1) -> DataFrame:
     """rid, strand, offset, kmer: evenly spaced 16-mers of both strands.  reads: rid, seq.
 
-    Of converted reads also letters, the alphabet of each strand's 16-mers: a read whose C are T is so as it stands, and has A for G when turned."""
+    Of converted reads words of CONVERTED_K bases, and also letters, the alphabet of each strand's 16-mers: a read whose C are T is so as it stands, and has A for G when turned."""
     trimmed = F.expr(f"substring(upper(seq), {o.trim_5 + 1}, greatest(length(seq) - {o.trim_5 + o.trim_3}, 0))")
-    both = reads.select("rid", trimmed.alias("s")).filter(F.length("s") >= K)
+    n = CONVERTED_K if o.converted else K
+    both = reads.select("rid", trimmed.alias("s")).filter(F.length("s") >= n)
     both = both.select("rid", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("s").alias("s")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("s")).alias("s")))).alias("x")).select("rid", "x.*")
-    last = F.length("s") - K
+    last = F.length("s") - n
     gap = F.greatest(last / max(o.seeds - 1, 1), F.lit(float(step)))
     at = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(0), F.lit(o.seeds - 1)), lambda i: F.floor(i * gap).cast("int")), lambda i: i <= last))
     if step > 1:  # a gapped index has one place in step: each seed tries so many neighbours
         at = F.array_distinct(F.filter(F.flatten(F.transform(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(step - 1)), lambda d: a + d))), lambda i: i <= last))
-    each = both.select("rid", "strand", "s", F.explode(at).alias("offset")).withColumn("k", F.expr(f"substring(s, offset + 1, {K})"))
+    each = both.select("rid", "strand", "s", F.explode(at).alias("offset")).withColumn("k", F.expr(f"substring(s, offset + 1, {n})"))
     each = each.filter(~F.col("k").rlike("[^ACGT]"))
     if not o.converted:
         return each.select("rid", "strand", "offset", _kmer("k").alias("kmer"))
     letters = F.when(F.col("strand") == "+", o.converted).otherwise(_other(o.converted))
     k = F.when(letters == "CT", F.translate("k", "C", "T")).otherwise(F.translate("k", "G", "A"))
-    return each.select("rid", "strand", "offset", _kmer(k).alias("kmer"), letters.alias("letters"))
+    return each.select("rid", "strand", "offset", _long_kmer(k).alias("kmer"), letters.alias("letters"))
 
 
 def vote(found: DataFrame, index: DataFrame, o: AlignOptions = AlignOptions()) -> DataFrame:
@@ -160,7 +175,7 @@ def vote(found: DataFrame, index: DataFrame, o: AlignOptions = AlignOptions()) -
     new = F.when(F.col("diagonal") - F.lag("diagonal").over(w) <= o.indel, 0).otherwise(1)
     grouped = hits.withColumn("new", new).withColumn("group", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     first, last = F.min_by("diagonal", "offset"), F.max_by("diagonal", "offset")
-    return grouped.groupBy("rid", "strand", "chr", "group").agg(first.alias("diagonal"), last.alias("far"), F.count_distinct("offset").alias("votes"), F.min("offset").alias("from_"), (F.max("offset") + K).alias("to_")).drop("group")
+    return grouped.groupBy("rid", "strand", "chr", "group").agg(first.alias("diagonal"), last.alias("far"), F.count_distinct("offset").alias("votes"), F.min("offset").alias("from_"), (F.max("offset") + (CONVERTED_K if o.converted else K)).alias("to_")).drop("group")
 
 
 def candidates(votes: DataFrame, o: AlignOptions = AlignOptions(), keep: int = 4) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.session import written
+from readloom.session import drop, written
 
 #: At most 2**30 slots, 128 MB, are collected and broadcast; with more 16-mers more places pass in vain.
 MOST_LOG2 = 30
@@ -71,6 +71,7 @@ class Wanted:
         bits, size = np.zeros((1 << self.log2) // 8, np.uint8), (1 << SEGMENT_LOG2) // 8
         for row in merged.toLocalIterator():
             bits[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+        drop(kmers)
         self.shared = found.sparkSession.sparkContext.broadcast(bits)
 
     def __call__(self, kmers: np.ndarray) -> np.ndarray:

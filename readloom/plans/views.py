@@ -67,10 +67,10 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(contigs: DataFrame, size: int, overlap: int = 0) -> DataFrame:
-    """chr, start, seq of contigs (chr, seq), in steps of size bases."""
+    """chr, start, seq of contigs (chr, seq), in steps of size bases, and last, where the contig's last chunk begins."""
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size)))
     cut = contigs.select("chr", "seq", at.alias("a"))
-    return cut.select("chr", (F.col("a") + 1).cast("long").alias("start"), F.substring("seq", F.col("a") + 1, F.lit(size + overlap)).alias("seq"))
+    return cut.select("chr", (F.col("a") + 1).cast("long").alias("start"), F.substring("seq", F.col("a") + 1, F.lit(size + overlap)).alias("seq"), F.expr(f"greatest(length(seq) - 1, 0) div {size} * {size} + 1").alias("last"))
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:

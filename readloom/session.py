@@ -62,4 +62,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written and read back: computed once, whatever is lost later."""
     path = f"{scratch(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table that was ``written`` and that nothing reads any more."""
+    path = SparkContext._jvm.org.apache.hadoop.fs.Path(table.written_at)
+    path.getFileSystem(SparkContext._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
