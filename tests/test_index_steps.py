@@ -8,6 +8,7 @@ import random
 from readloom.operators import align as A
 from readloom.operators.wanted import Wanted
 from readloom.plans import views
+from readloom.session import written
 
 
 def test_converted_words_tell_places_apart_where_16_bases_do_not(spark):
@@ -40,3 +41,16 @@ def test_the_seeds_16_mers_go_when_their_filter_is_built(spark, monkeypatch):
     monkeypatch.setattr(wanted, "written", lambda df, name, write=wanted.written: kept.append(write(df, name)) or kept[-1])
     Wanted(spark.range(1000).withColumnRenamed("id", "kmer"))
     assert kept and not any(os.path.exists(t.written_at.removeprefix("file://")) for t in kept)
+
+
+def test_seeds_are_never_broadcast(spark):
+    """A read of 100 bases has 20 seeds, a long one thousands, but Spark's guess of their size is that of the reads."""
+    from readloom.operators import long_reads as L
+
+    g = "".join(random.Random(3).choices("ACGT", k=3000))
+    chunks = views.chunks(spark.createDataFrame([("c1", g)], "chr string, seq string"), 1000, 300)
+    reads = written(spark.createDataFrame([("r", g[500:600])], "rid string, seq string"), "reads")  # a file has a known, small size
+    index = A.build_index(chunks, chunk=1000)
+    for met in (A.vote(A.seeds(reads), index), L.align_long(reads, index)):
+        assert met.count() == 1
+        assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
