@@ -66,3 +66,13 @@ def test_reads_of_one_name_are_mapped_each(spark):
     assert sorted((r["rid"], r["pos"], r["nh"]) for r in got) == [("r", 101, 1), ("r", 2101, 1)]
     long = spark.createDataFrame([(7, whole[500:2500])], "rid int, seq string")
     assert [tuple(r) for r in L.align_long(long, A.build_index(chunks, chunk=1000)).select("rid", "start", "end").collect()] == [(7, 501, 2500)]
+
+
+def test_contigs_are_dealt_out(spark, tmp_path):
+    """The k-mers of all contigs were one task's work where the documents lie in one piece."""
+    from readloom.plans.queries import _chunks
+
+    spark.range(100).selectExpr("id AS doc_id", "'text' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    chunks = _chunks(spark, str(tmp_path))
+    rows = chunks.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    assert sum(rows) == 300 and max(rows) < 200
