@@ -349,7 +349,7 @@ def quality_scores(spark: SparkSession, path: str, wanted: int = 10000, offset:
 
 def atgc_content(spark: SparkSession, path: str, by_position: bool = False) -> DataFrame:
     seqs = read_fastq(spark, path) if probe(path).startswith("fastq") else read_alignments(spark, path)
-    return _tools.base_content_by_position(seqs) if by_position else _tools.base_content(seqs)
+    return _tools.base_content_by_position(seqs).filter("position is not null") if by_position else _tools.base_content(seqs)
 
 
 def remove_dup_reads(spark: SparkSession, path: str, threshold: int = 50) -> DataFrame:
