@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.dna import reverse_complement
+from readloom.session import drop, written
 
 MOST_READS, MOST_LENGTH = 100_000_000, 250
 #: Fragments of a transcript that are made together.
@@ -40,36 +42,40 @@ def simulate_reads(
     if not 1 <= read_length <= MOST_LENGTH:
         raise ValueError(f"read lengths lie between 1 and {MOST_LENGTH}")
     t = transcripts.select("transcript_id", F.length("seq").alias("n"), F.coalesce("expression", F.lit(0.0)).alias("e"))
+    t = written(t, "transcripts")  # read three times
     if t.filter("e < 0").limit(1).count():
         raise ValueError("expression is never negative")
     rows = t.orderBy("transcript_id").toPandas()
+    drop(t)
     weight = np.maximum(rows["n"].to_numpy(float) - least + 1, 0) * rows["e"].to_numpy(float)
     drawn = np.random.default_rng(seed).multinomial(reads, weight / weight.sum()) if weight.sum() > 0 else np.zeros(len(rows), int)
     spark = transcripts.sparkSession
-    some = [(i, int(k)) for i, k in zip(rows["transcript_id"].tolist(), drawn) if k]
     kind = dict(transcripts.dtypes)["transcript_id"]
-    counts = spark.createDataFrame(some, f"transcript_id {kind}, k long")
+    some = pa.table({"transcript_id": pa.array(rows["transcript_id"][drawn > 0], from_pandas=True), "k": pa.array(drawn[drawn > 0], pa.int64())})
+    counts = spark.createDataFrame(some).select(F.col("transcript_id").cast(kind).alias("transcript_id"), "k")
     cumulative = np.cumsum(length_weights(mean, sd, least, most))
 
-    @F.pandas_udf("int")
-    def fragment(u: pd.Series, n: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<int>")
+    def fragments(u: pd.Series, n: pd.Series) -> pd.Series:
         room = np.clip(n.to_numpy() - least, 0, len(cumulative) - 1)
-        return pd.Series(least + np.minimum(np.searchsorted(cumulative, u.to_numpy() * cumulative[room]), room)).astype("int32")
+        return pd.Series([(least + np.minimum(np.searchsorted(cumulative, np.asarray(x, float) * cumulative[r]), r)).astype(np.int32) for x, r in zip(u, room)])
 
     # a transcript's bases go with BLOCK of its fragments at a time
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / BLOCK)))
     each = transcripts.join(counts, "transcript_id").withColumn("block", block).repartition("transcript_id", "block")
-    each = each.withColumn("i", F.explode(F.sequence(F.col("block") * BLOCK + 1, F.least("k", (F.col("block") + 1) * BLOCK))))
-    u = lambda tag: _uniform(F.lit(seed), F.lit(tag), "transcript_id", "i")
-    each = each.withColumn("fragment_length", fragment(u("length"), F.length("seq")))
+    first = F.col("block") * BLOCK + 1
+    u = lambda tag, i="i": _uniform(F.lit(seed), F.lit(tag), "transcript_id", i)
+    lengths = F.transform(F.sequence(first, F.least("k", (F.col("block") + 1) * BLOCK)), lambda i: u("length", i))
+    each = each.withColumn("lengths", fragments(lengths, F.length("seq")))
+    each = each.select("transcript_id", "seq", "block", F.posexplode("lengths").alias("i", "fragment_length")).withColumn("i", F.col("i") + first)
     each = each.withColumn("start", F.lit(1) + F.floor(u("start") * (F.length("seq") - F.col("fragment_length")) + 0.5).cast("int"))
-    whole = F.expr("upper(substring(seq, start, fragment_length))")
-    whole = F.when(u("strand") < 0.5, whole).otherwise(reverse_complement(whole))
-    each = each.withColumn("fragment", whole)
-    n = F.lit(read_length)
-    mates = [F.struct(F.lit(1).alias("mate"), F.left("fragment", n).alias("bases"))]
+    # of a fragment no more bases are turned than are read
+    forward = u("strand") < 0.5
+    head = F.upper(F.expr(f"substring(seq, start, least({read_length}, fragment_length))"))
+    last = reverse_complement(F.upper(F.expr(f"substring(seq, start + greatest(fragment_length - {read_length}, 0), least({read_length}, fragment_length))")))
+    mates = [F.struct(F.lit(1).alias("mate"), F.when(forward, head).otherwise(last).alias("bases"))]
     if paired:
-        mates.append(F.struct(F.lit(2).alias("mate"), F.left(reverse_complement(F.col("fragment")), n).alias("bases")))
+        mates.append(F.struct(F.lit(2).alias("mate"), F.when(forward, last).otherwise(head).alias("bases")))
     each = each.withColumn("m", F.explode(F.array(*mates)))
     given = quality or ["H" * read_length]
     pick = F.element_at(F.array(*map(F.lit, given)), (F.floor(_uniform(F.lit(seed), F.lit("quality"), "transcript_id", "i", "m.mate") * len(given)) + 1).cast("int"))
