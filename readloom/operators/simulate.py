@@ -14,6 +14,8 @@ from readloom.session import drop, written
 MOST_READS, MOST_LENGTH = 100_000_000, 250
 #: Fragments of a transcript that are made together.
 BLOCK = 64
+#: Transcripts up to which their numbers of fragments, which the driver holds, are broadcast; the bases never are.
+MOST_BROADCAST = 1 << 20
 
 
 def length_weights(mean: float, sd: float, least: int, most: int) -> np.ndarray:
@@ -62,7 +64,7 @@ def simulate_reads(
 
     # a transcript's bases go with BLOCK of its fragments at a time
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / BLOCK)))
-    each = transcripts.join(counts, "transcript_id").withColumn("block", block).repartition("transcript_id", "block")
+    each = transcripts.join(counts.hint("broadcast" if some.num_rows <= MOST_BROADCAST else "merge"), "transcript_id").withColumn("block", block).repartition("transcript_id", "block")
     first = F.col("block") * BLOCK + 1
     u = lambda tag, i="i": _uniform(F.lit(seed), F.lit(tag), "transcript_id", i)
     lengths = F.transform(F.sequence(first, F.least("k", (F.col("block") + 1) * BLOCK)), lambda i: u("length", i))
